@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, urls
+from . import chat, decontaminate, jaccard, mixing, pii, quality, scoring, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
+    "op6_ppm": scoring.op6_ppm,
     "op8_urls": urls.op8_urls,
+    "op9_pii": pii.op9_pii,
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {
