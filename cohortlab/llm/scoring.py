@@ -215,7 +215,7 @@ def score_documents(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     total = F.sum(F.col("v").bitwiseAND(COUNT))
     word_counts = words.groupBy("key").agg(total.alias("n"))
     gram_counts = grams.groupBy("key").agg(total.alias("n"))
-    pairs = grams.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("pair")).agg(total.alias("c"))
+    pairs = gram_counts.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("pair")).agg(F.sum("n").alias("c"))
     low = pairs.groupBy().applyInPandas(_low_orders, "pair long, c1 double, n1 double, q1 double, e0 double, c0 double, n0 double, q0 double")
     wide = gram_counts.withColumn("pair", F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).join(F.broadcast(low), "pair")  # at most 257 squared rows
     costs = wide.withColumn("ctx", F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)).groupBy("ctx").applyInPandas(trie_costs, "key long, value double")
