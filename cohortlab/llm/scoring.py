@@ -24,6 +24,7 @@ BITS = 9  # of a symbol: 0 is the start and the end of a text, 1 to 256 are byte
 SYMBOLS = 257
 CHUNK_SHIFT = 36  # a packed long holds the chunk above and a count below
 COUNT = (1 << CHUNK_SHIFT) - 1
+GRAM = -2  # grams are looked up under GRAM less their code, below the keys of words
 END = -1  # the key of the end token; words hash to keys of 62 bits
 SLICE = 1 << 20
 
@@ -185,8 +186,9 @@ class Lookup:
 
 
 def _score_chunk(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    kind, key, value = found["kind"].to_numpy(), found["key"].to_numpy(np.int64), found["value"].to_numpy(np.float64)
-    words, grams = (Lookup(key[kind == k], value[kind == k]) for k in (0, 1))
+    key, value = found["key"].to_numpy(np.int64), found["value"].to_numpy(np.float64)
+    gram = key < END
+    words, grams = Lookup(key[~gram], value[~gram]), Lookup(GRAM - key[gram], value[gram])
     ids, rows = WordIds(), []
     for _, _, texts in _slices(docs["text"].tolist()):
         keys, sizes = _word_keys(texts, ids)
@@ -199,7 +201,7 @@ def _score_chunk(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **out})
 
 
-def score_documents(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     Null texts are empty; an empty text is scored by its end alone. With no training document
@@ -220,8 +222,8 @@ def score_documents(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     wide = gram_counts.withColumn("pair", F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).join(F.broadcast(low), "pair")  # at most 257 squared rows
     costs = wide.withColumn("ctx", F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)).groupBy("ctx").applyInPandas(trie_costs, "key long, value double")
     chunk = F.shiftright("v", CHUNK_SHIFT).alias("chunk")
-    found = words.join(word_counts, "key").select(chunk, F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    found = found.unionByName(grams.join(costs, "key").select(chunk, F.lit(1).alias("kind"), "key", "value"))
+    found = words.join(word_counts, "key").select(chunk, "key", F.col("n").cast("double").alias("value"))
+    found = found.unionByName(grams.join(costs, "key").select(chunk, (F.lit(GRAM) - F.col("key")).alias("key"), "value"))
     out = by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"))
     out = out.withColumns({"train_tokens": size.select("n").scalar(), "_v": size.select("v").scalar()})
