@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, pii, quality, scoring, urls
+from . import chat, decontaminate, jaccard, mixing, pii, quality, scoring, suffixes, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_ppm": scoring.op6_ppm,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op8_urls": urls.op8_urls,
     "op9_pii": pii.op9_pii,
     "op10_chat": chat.op10_chat,
