@@ -110,3 +110,32 @@ class WordIds(dict):
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, by a vectorised sort."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def pack_sorted(v: np.ndarray, low: int) -> bytes:
+    """Sorted unsigned integers as their `low` low bytes and the steps of what is above them."""
+    v = v.astype(np.uint64)
+    if not len(v):
+        return b""
+    high = v >> np.uint64(8 * low)
+    step = np.diff(high, prepend=high[:1])
+    width = next(w for w in (1, 2, 4, 8) if int(step.max()) < 1 << 8 * w)
+    tail = v.view(np.uint8).reshape(-1, 8)[:, :low]
+    return bytes([width]) + int(high[0]).to_bytes(8, "little") + step.astype(f"<u{width}").tobytes() + tail.tobytes()
+
+
+def unpack_sorted(blob: bytes, low: int) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    width, first = blob[0], int.from_bytes(blob[1:9], "little")
+    n = (len(blob) - 9) // (width + low)
+    high = np.cumsum(np.frombuffer(blob, f"<u{width}", n, 9).astype(np.uint64)) + np.uint64(first)
+    tail = np.zeros((n, 8), np.uint8)
+    tail[:, :low] = np.frombuffer(blob, np.uint8, n * low, 9 + n * width).reshape(n, low)
+    return tail.view("<u8").reshape(-1) + (high << np.uint64(8 * low))

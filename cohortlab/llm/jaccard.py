@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, components, cut, mix, table
+from .common import WordIds, components, cut, distinct, mix, table
 
 BATCH_WORDS = 400_000
 COLUMNS = 4096
@@ -48,7 +48,7 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 
 def gram_set(ids: np.ndarray, n: int) -> np.ndarray:
     """The distinct n-grams of a text; one shorter than n words is a single gram."""
-    return np.unique(grams(ids, min(n, len(ids)))) if len(ids) else np.zeros(0, np.uint64)
+    return distinct(grams(ids, min(n, len(ids)))) if len(ids) else np.zeros(0, np.uint64)
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:

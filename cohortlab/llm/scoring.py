@@ -212,14 +212,14 @@ def score_documents(docs: DataFrame, chunk_bytes: int = 12 << 20) -> DataFrame:
     src = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")).repartition("chunk")
     by_chunk = src.groupBy("chunk")
     # a packed value keeps every reader of these two tables on the same columns, so each is made and shuffled once
-    words = by_chunk.applyInPandas(_chunk_tallies("word"), "key long, v long").repartition("key")
-    grams = by_chunk.applyInPandas(_chunk_tallies("gram"), "key long, v long").repartition("key")
+    words = by_chunk.applyInPandas(_chunk_tallies("word"), "key long not null, v long not null").repartition("key")
+    grams = by_chunk.applyInPandas(_chunk_tallies("gram"), "key long not null, v long not null").repartition("key")
     total = F.sum(F.col("v").bitwiseAND(COUNT))
     word_counts = words.groupBy("key").agg(total.alias("n"))
     gram_counts = grams.groupBy("key").agg(total.alias("n"))
     pairs = gram_counts.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("pair")).agg(F.sum("n").alias("c"))
     low = pairs.groupBy().applyInPandas(_low_orders, "pair long, c1 double, n1 double, q1 double, e0 double, c0 double, n0 double, q0 double")
-    wide = gram_counts.withColumn("pair", F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).join(F.broadcast(low), "pair")  # at most 257 squared rows
+    wide = gram_counts.withColumn("pair", F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).join(F.broadcast(low), "pair", "left")  # at most 257 squared rows
     costs = wide.withColumn("ctx", F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)).groupBy("ctx").applyInPandas(trie_costs, "key long, value double")
     chunk = F.shiftright("v", CHUNK_SHIFT).alias("chunk")
     found = words.join(word_counts, "key").select(chunk, "key", F.col("n").cast("double").alias("value"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import distinct, mix, pack_sorted, table, unpack_sorted
 
 LENGTH = 50
 V = 31
@@ -36,6 +36,7 @@ COVER = (1, 5, 11, 24, 25, 27)
 TUPLE = LENGTH - V + 1
 SLICE = 1 << 20
 KNOTS = 256
+NAME_LOW, HASH_LOW = 2, 5  # bytes of a packed name that are sent as they are
 _K = np.uint64(0x9E3779B97F4A7C15)
 _IN_COVER = np.isin(np.arange(V), COVER)
 
@@ -88,7 +89,7 @@ class Chunk:
             name = (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))).astype(np.int64)
             doc = held[np.searchsorted(starts, at, side="right") - 1]
             found.append((at, name))
-            every.append(np.unique((name << bits) | doc))
+            every.append(distinct((name << bits) | doc))
         both = np.sort(np.concatenate(every)) if every else np.zeros(0, np.int64)
         names, count = np.unique(both >> bits, return_counts=True)
         return found, names, count > 1
@@ -141,7 +142,7 @@ def _send_names(buckets: int):
     def run(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         _, names, many = Chunk(docs, _copies(marks)).names(buckets)
         edge = np.searchsorted(names, np.arange(buckets + 1, dtype=np.int64) << 32)
-        rows = [(b, key[0], (names[i:j] & 0xFFFFFFFF).astype(np.uint32).tobytes(), np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j]
+        rows = [(b, key[0], pack_sorted(names[i:j] & 0xFFFFFFFF, NAME_LOW), np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j]
         return pd.DataFrame(rows, columns=["bucket", "chunk", "names", "many"])
 
     return run
@@ -149,14 +150,14 @@ def _send_names(buckets: int):
 
 def _shared_names(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bit for each name of each chunk: whether another document has it."""
-    blocks = [np.frombuffer(x, np.uint32) for x in pdf["names"]]
+    blocks = [unpack_sorted(x, NAME_LOW).astype(np.uint32) for x in pdf["names"]]
     many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(b)) for m, b in zip(pdf["many"], blocks)])
     every = np.concatenate(blocks)
     ordered = np.sort(every)
-    twice = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[many > 0]]))
+    twice = distinct(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[many > 0]]))
     rows, bucket = [], int(pdf["bucket"].iloc[0])
     for chunk, block, own in zip(pdf["chunk"], blocks, np.split(many, np.cumsum([len(b) for b in blocks])[:-1])):
-        hit = np.isin(block, twice, assume_unique=True)
+        hit = twice[np.minimum(np.searchsorted(twice, block), len(twice) - 1)] == block if len(twice) else np.zeros(len(block), bool)
         if hit.any():
             rows.append((chunk, 0, bucket, np.packbits(hit).tobytes()))
     return pd.DataFrame(rows, columns=["chunk", "kind", "a", "blob"])
@@ -165,9 +166,9 @@ def _shared_names(pdf: pd.DataFrame) -> pd.DataFrame:
 def _send_windows(buckets: int):
     def run(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         hashes, _, _ = Chunk(docs, _copies(marks)).windows(buckets, _bits(marks, 0))
-        h = np.unique(hashes)
+        h = distinct(hashes)
         edge = np.searchsorted(_range_of(h, buckets), np.arange(buckets + 1))
-        rows = [(b, key[0], h[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j]
+        rows = [(b, key[0], pack_sorted(h[i:j], HASH_LOW)) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if i < j]
         return pd.DataFrame(rows, columns=["bucket", "chunk", "names"])
 
     return run
@@ -177,7 +178,7 @@ def _earlier(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bit for each name of each chunk: whether an earlier chunk has it. Neighbours in the order
     of (name, chunk) are compared."""
     pdf = pdf.sort_values("chunk", kind="stable")
-    blocks = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
+    blocks = [unpack_sorted(x, HASH_LOW) for x in pdf["names"]]
     every = np.concatenate(blocks)
     order = np.argsort(every, kind="stable")
     again = np.zeros(len(every), bool)
