@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, mixing, pii, quality, scoring, suffixes, urls
+import corpus_pipeline
+
+from . import chat, decontaminate, html_text, jaccard, mixing, pii, quality, scoring, suffixes, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_html": html_text.op2_html,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_mixing": mixing.op5_mixing,
@@ -14,6 +17,7 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_pii": pii.op9_pii,
     "op10_chat": chat.op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality": quality.OP1_SQL,
