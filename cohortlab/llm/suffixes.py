@@ -20,6 +20,7 @@ doc_id; a chunk sends sorted blocks of names and gets back one bit for each name
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ class Chunk:
     def __init__(self, docs: pd.DataFrame, copies: set[int]):
         docs = docs.sort_values("doc_id", kind="stable")
         self.ids = docs["doc_id"].to_numpy(np.int64)
-        self.texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in docs["text"]]
+        self.texts = [zlib.decompress(z) for z in docs["z"]]
         self.copy = np.fromiter((i in copies for i in self.ids), bool, len(self.ids))
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,6 +130,13 @@ def _range_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
+def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes, for they are shuffled once and stay on disk until the end."""
+    for pdf in batches:
+        z = [zlib.compress(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", 1) for t in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": z, "chunk": pdf["chunk"]})
+
+
 def _copies(marks: pd.DataFrame) -> set[int]:
     return set(marks.loc[marks["kind"] == 2, "a"].tolist())
 
@@ -254,7 +262,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 6 << 20) -> DataFrame:
     step = max(1, KNOTS // chunks)
     knots = sorted({stat["lo"], *stat["k"][step:-1:step], stat["hi"] + 1}) if stat["k"] else []
     chunk = _chunk_of(F.col("doc_id"), knots, chunks).alias("chunk")
-    placed = src.select("doc_id", "text", chunk).repartition("chunk")
+    placed = src.select("doc_id", "text", chunk).mapInPandas(_squeeze, "doc_id long, z binary, chunk long").repartition("chunk")
     narrow = src.filter("octet_length(text) > 0").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), chunk)
     first = narrow.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
     copies = narrow.join(first, "h").filter("doc_id > first").select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("binary").alias("blob"))
