@@ -5,6 +5,568 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.murmur import murmur
+from ..operators import balance, effects, monitoring, routing, simulate
+from ..operators.moments import arms
+from ..sources import io
+from . import sqlfn
+from .sqlfn import murmur as mm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, without negative zero; counts as long."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+def r(x: str, name: str, digits: int = 6) -> str:
+    return f"round(({x})::DOUBLE, {digits}) + 0.0 AS {name}"
+
+
+def users(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return read(spark, d, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey")).alias("user_id"), *more)
+
+
+USER = "'user_' || c_custkey"
+ID = "'u' || c_custkey"
+
+# --- routing -------------------------------------------------------------------------------
+
+
+def h(*parts: str) -> str:
+    return mm(" || '_' || ".join(parts))
+
+
+def grouped(expr: str) -> str:
+    return f"SELECT {USER} AS user_id, ({expr})::BIGINT AS group_id FROM customer"
+
+
+@query("rt01_hash_to_bucket", f"SELECT {USER} AS user_id, {h(USER, repr('exp_001'))} % 1000 AS bucket FROM customer")
+def rt01(spark, d):
+    return rounded(users(spark, d).withColumn("bucket", routing.bucket("user_id")))
+
+
+def snake_sql(salt: str = "exp_001", buckets: int = 1000, groups: int = 10, source: str = f"SELECT {USER} AS user_id FROM customer") -> str:
+    """CTEs u (user_id, bucket) and m (bucket, group_id)."""
+    return f"""u AS (SELECT user_id, {h('user_id', repr(salt))} % {buckets} AS bucket FROM ({source})),
+b AS (SELECT k.bucket, count(u.bucket) AS n FROM (SELECT unnest(range({buckets})) AS bucket) k LEFT JOIN u USING (bucket) GROUP BY 1),
+o AS (SELECT bucket, row_number() OVER (ORDER BY n DESC, bucket) - 1 AS p FROM b),
+m AS (SELECT bucket, CASE WHEN (p // {groups}) % 2 = 0 THEN p % {groups} ELSE {groups} - 1 - p % {groups} END AS group_id FROM o)"""
+
+
+SIZES = f"WITH {snake_sql()}, s AS (SELECT g.group_id, count(u.bucket) AS n FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN m USING (group_id) LEFT JOIN u USING (bucket) GROUP BY 1)"
+
+
+@query("rt02_snake_assign", f"WITH {snake_sql()} SELECT bucket, n, group_id FROM b JOIN m USING (bucket)")
+def rt02(spark, d):
+    n = users(spark, d).withColumn("bucket", routing.bucket("user_id")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return rounded(routing.snake_map(n, 1000, 10))
+
+
+@query("rt03_assign_groups", f"WITH {snake_sql()} SELECT user_id, bucket, group_id FROM u JOIN m USING (bucket)")
+def rt03(spark, d):
+    return rounded(routing.assign_groups(users(spark, d)))
+
+
+@query("rt03_assign_groups_sizes", f"{SIZES} SELECT group_id, n FROM s")
+def rt03_sizes(spark, d):
+    return rounded(routing.group_sizes(routing.assign_groups(users(spark, d)), 10))
+
+
+@query("rt04_pure_hash", grouped(f"{h(USER, repr('exp_001'))} % 1000 % 10"))
+def rt04(spark, d):
+    return rounded(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")))
+
+
+@query("rt06_many_buckets", grouped(f"{h(USER, repr('exp_001'))} % 10000 % 10"))
+def rt06(spark, d):
+    return rounded(users(spark, d).withColumn("group_id", routing.pure_hash("user_id", buckets=10_000)))
+
+
+for _name, _b in (("rt07_double_hash", 1000), ("rt09_double_hash_many_buckets", 10_000)):
+    QUERIES[_name] = lambda spark, d, b=_b: rounded(users(spark, d).withColumn("group_id", routing.double_hash("user_id", buckets=b)))
+    ORACLES[_name] = grouped(f"xor({h(USER, repr('exp_001'), repr('v1'))}, {h(USER, repr('exp_001'), repr('v2'))}) % {_b} % 10")
+
+
+def vote_sql(keys: list[str], mod: str) -> str:
+    votes = " UNION ALL ".join(f"SELECT {USER} AS user_id, {i} AS i, {h(USER, repr(k))} {mod} AS v FROM customer" for i, k in enumerate(keys))
+    return f"WITH v AS ({votes}), c AS (SELECT user_id, v, count(*) AS n, min(i) AS f FROM v GROUP BY 1, 2) SELECT user_id, arg_max(v, n * 100 - f)::BIGINT AS group_id FROM c GROUP BY 1"
+
+
+@query("rt08_salt_vote", vote_sql([f"exp_001_s{i}" for i in range(4)], "% 10"))
+def rt08(spark, d):
+    return rounded(routing.salt_vote(users(spark, d), "user_id", [f"exp_001_s{i}" for i in range(4)], None, 10))
+
+
+@query("rt10_two_stage_hash", grouped(f"{h(USER, repr('exp_001'), repr('v2'))} % 10"))
+def rt10(spark, d):
+    return rounded(users(spark, d).withColumn("group_id", routing.two_stage_hash("user_id")))
+
+
+@query("rt11_layer_union", vote_sql(["exp_001_L0", "exp_001_L1"], "% 1000 % 10"))
+def rt11(spark, d):
+    return rounded(routing.salt_vote(users(spark, d).distinct(), "user_id", ["exp_001_L0", "exp_001_L1"], 1000, 10))
+
+
+LAYERS = {"rec": (1000, 2, "rec_v1"), "sch": (1000, 2, "sch_v1"), "ui": (1000, 2, "ui_v1")}
+LAYER_SQL = f"l AS (SELECT {USER} AS user_id, " + ", ".join(f"{h(USER, repr(s))} % {b} % {g} AS {n}" for n, (b, g, s) in LAYERS.items()) + " FROM customer)"
+
+
+@query("rt12_orthogonal_layers", f"WITH {LAYER_SQL} SELECT * FROM l")
+def rt12(spark, d):
+    return rounded(routing.route_layers(users(spark, d), LAYERS))
+
+
+WARM = "SELECT 'warmup_' || i AS user_id FROM (SELECT unnest(range(10000)) AS i)"
+
+
+@query("rt13_bucket_quota", f"WITH {snake_sql(buckets=100, source=WARM)} SELECT user_id, m.bucket, group_id FROM (SELECT {USER} AS user_id, {h(USER, repr('exp_001'))} % 100 AS bucket FROM customer) JOIN m USING (bucket)")
+def rt13(spark, d):
+    return rounded(routing.route_quota(users(spark, d), buckets=100))
+
+
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select(F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"), "ts", "event_id")
+
+
+ARRIVE = "SELECT 'user_' || user_id AS user_id, ts, event_id FROM events"
+VIRTUAL = "SELECT 'v_' || lpad(i::VARCHAR, 8, '0') AS user_id FROM (SELECT unnest(range(100)) AS i)"
+
+
+@query("rt14_slot_pool", f"""WITH {snake_sql(buckets=100, source=VIRTUAL)},
+s AS (SELECT group_id, count(*) AS slots FROM u JOIN m USING (bucket) GROUP BY 1),
+f AS (SELECT min(coalesce(slots, 0) * 10 + g.group_id) AS stop FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN s USING (group_id)),
+a AS (SELECT user_id, min((ts, event_id)) AS o FROM ({ARRIVE}) GROUP BY 1),
+k AS (SELECT user_id, row_number() OVER (ORDER BY o, user_id) - 1 AS k FROM a)
+SELECT user_id, k, CASE WHEN k < stop THEN k % 10 ELSE -1 END AS group_id FROM k, f""")
+def rt14(spark, d):
+    return rounded(routing.slot_pool(arrivals(spark, d), 100, 10, order=["ts", "event_id"]))
+
+
+@query("rt18_hybrid", f"""WITH {snake_sql(buckets=100, source=WARM)},
+k AS (SELECT user_id, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, {h('user_id', repr('exp_001'))} % 100 AS bucket FROM ({ARRIVE})),
+w AS (SELECT k // 500 AS w, bucket % 10 AS g, count(*) AS n FROM k GROUP BY 1, 2),
+c AS (SELECT x.w, y.g, sum(coalesce(w.n, 0)) OVER (PARTITION BY y.g ORDER BY x.w) AS c FROM (SELECT DISTINCT w FROM w) x CROSS JOIN (SELECT unnest(range(10)) AS g) y LEFT JOIN w ON w.w = x.w AND w.g = y.g),
+t AS (SELECT w, max(c) AS top, sum(c) AS n FROM c GROUP BY 1),
+s AS (SELECT coalesce((min(w) + 1) * 500, 1000000000) AS stop FROM t WHERE n % 500 = 0 AND top / (n / 10.0) - 1 > 0.05)
+SELECT event_id, user_id, k, CASE WHEN k < stop THEN k.bucket % 10 ELSE m.group_id END::BIGINT AS group_id FROM k JOIN m USING (bucket), s""")
+def rt18(spark, d):
+    return rounded(routing.hybrid_route(arrivals(spark, d), ["ts", "event_id"], buckets=100, window=500).select("event_id", "user_id", "k", "group_id"))
+
+
+def event_trial(spark: SparkSession, d: str) -> DataFrame:
+    """The event stream as one trial in arrival order."""
+    ranked = routing.with_rank(arrivals(spark, d), ["ts", "event_id"], "i")
+    return ranked.select(F.lit(0).alias("trial"), "i", "user_id", F.lit("exp_001").alias("salt"))
+
+
+def register_fold(name: str, fold) -> None:
+    QUERIES[name] = lambda spark, d: rounded(simulate.route_trials(event_trial(spark, d), fold))
+
+
+register_fold("rt15_growing_pool", lambda u, s: simulate.fold_growing_pool(u, s, capacity=100))
+register_fold("rt16_layered", lambda u, s: [g for g, _ in simulate.fold_layered(u, s, buckets=100)])
+register_fold("rt17_calibrated", simulate.fold_calibrated)
+register_fold("rt19_share_calibrated", simulate.fold_share_calibrated)
+register_fold("rt20_sticky_calibrated", lambda u, s: simulate.fold_share_calibrated(u, s, sticky=True, buckets=1000))
+register_fold("rt21_adaptive", simulate.fold_adaptive)
+
+
+@query("rt22_multi_mapping", f"WITH {snake_sql(salt='exp_001_v0')} SELECT user_id, bucket, group_id FROM u JOIN m USING (bucket)")
+def rt22(spark, d):
+    return rounded(routing.assign_groups(users(spark, d), salt="exp_001_v0"))
+
+
+def edges_sql(col: str, bins: int = 3) -> str:
+    return ", ".join(f"quantile_cont({col}, {i / bins!r}) AS {col}_{i}" for i in range(1, bins))
+
+
+@query("rt25_strata", f"WITH e AS (SELECT {edges_sql('c_acctbal')}, {edges_sql('c_nationkey')} FROM customer) SELECT {USER} AS user_id, (CASE WHEN c_acctbal > c_acctbal_1 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > c_acctbal_2 THEN 1 ELSE 0 END) || '-' || (CASE WHEN c_nationkey > c_nationkey_1 THEN 1 ELSE 0 END + CASE WHEN c_nationkey > c_nationkey_2 THEN 1 ELSE 0 END) AS stratum FROM customer, e")
+def rt25(spark, d):
+    return routing.create_strata(users(spark, d, "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey", "absent"]).select("user_id", "stratum")
+
+
+@query("rt26_stratified", f"SELECT user_id, stratum, CASE WHEN k < 200 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)")
+def rt26(spark, d):
+    return rounded(routing.stratified_assign(users(spark, d, F.col("c_mktsegment").alias("stratum")), 10, 200).select("user_id", "stratum", "group_id"))
+
+
+# --- balance and planning ------------------------------------------------------------------
+
+
+@query("bm01_deviation", f"{SIZES} SELECT {r('avg(n)', 'mean_n')}, max(n) AS max_n, min(n) AS min_n, {r('greatest(max(n) - avg(n), avg(n) - min(n)) / avg(n) * 100', 'max_dev_pct')} FROM s")
+def bm01(spark, d):
+    return rounded(balance.deviation_pct(routing.group_sizes(routing.assign_groups(users(spark, d)), 10)))
+
+
+@query("bm02_hash_diff", f"{SIZES} SELECT {r('stddev_pop(n) / avg(n)', 'hash_diff')} FROM s")
+def bm02(spark, d):
+    return rounded(balance.hash_diff(routing.group_sizes(routing.assign_groups(users(spark, d)), 10)))
+
+
+HASHED = f"s AS (SELECT g.group_id, count(u.g) AS n FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN (SELECT {h(USER, repr('exp_001'))} % 1000 % 10 AS g FROM customer) u ON u.g = g.group_id GROUP BY 1)"
+SRM_OUT = f"""SELECT total, max_n, min_n, {r('x', 'chi2')}, 9.0::DOUBLE AS df, {r('p', 'p_value')}, CASE WHEN p < 0.001 THEN 'FAIL' WHEN p < 0.05 THEN 'WARN' ELSE 'PASS' END AS verdict,
+p > 0.05 AS passed, p < 0.01 AS alert, p >= 0.01 AND p < 0.05 AS warning, CASE WHEN p < 0.001 THEN 'critical' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'normal' END AS level FROM q"""
+
+
+@query("bm03_srm", f"WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}")
+def bm03(spark, d):
+    return rounded(balance.srm(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10)))
+
+
+@query("bm04_srm_expected", f"WITH {HASHED}, w AS (SELECT n, CASE WHEN group_id = 0 THEN 2.0 ELSE 1.0 END AS w FROM s), t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, sum(w) / sum(n)::DOUBLE * sum(n * n / w) - sum(n) AS x FROM w), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}")
+def bm04(spark, d):
+    return rounded(balance.srm(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10), [2.0] + [1.0] * 9))
+
+
+@query("bm07_orthogonality", f"""WITH {LAYER_SQL}, c AS (SELECT rec AS a, sch AS b, count(*) AS n FROM l GROUP BY 1, 2), t AS (SELECT count(*)::DOUBLE AS n FROM l),
+e AS (SELECT x.a, y.b, x.na * y.nb / t.n AS e, coalesce(c.n, 0) AS o FROM (SELECT a, sum(n) AS na FROM c GROUP BY 1) x CROSS JOIN (SELECT b, sum(n) AS nb FROM c GROUP BY 1) y CROSS JOIN t LEFT JOIN c ON c.a = x.a AND c.b = y.b),
+q AS (SELECT sum(pow(greatest(abs(o - e) - least(0.5, abs(o - e)), 0), 2) / e) AS x, max(abs(o - e) / e) * 100 AS hi, avg(abs(o - e) / e) * 100 AS mean FROM e)
+SELECT 1.0::DOUBLE AS df, {r('x', 'chi2')}, {r('hi', 'max_dev_pct')}, {r('mean', 'mean_dev_pct')}, {r(sqlfn.p_chi2('x', 1), 'p_value')}, {sqlfn.p_chi2('x', 1)} > 0.05 AS passed FROM q""")
+def bm07(spark, d):
+    return rounded(balance.orthogonality(routing.route_layers(users(spark, d), LAYERS), "rec", "sch"))
+
+
+@query("bm08_traffic_reuse", f"WITH {LAYER_SQL}, c AS (SELECT count(*) AS n FROM l GROUP BY rec, sch, ui) SELECT count(*) AS combos, sum(n)::BIGINT AS total, min(n) AS min_n, max(n) AS max_n, {r('sum(n) / 8.0', 'expected')}, {r('min(n) / max(n)', 'balance')} FROM c")
+def bm08(spark, d):
+    return rounded(balance.traffic_reuse(routing.route_layers(users(spark, d), LAYERS), list(LAYERS), 8))
+
+
+@query("ag13_contingency", f"WITH {LAYER_SQL} SELECT rec AS a, ui AS b, count(*) AS n FROM l GROUP BY 1, 2")
+def ag13(spark, d):
+    return rounded(balance.contingency(routing.route_layers(users(spark, d), LAYERS), "rec", "ui"))
+
+
+@query("bm09_planning", f"SELECT n, {r('2.8015852 * sqrt(0.095 / n)', 'mde_abs', 5)}, {r('2.8015852 * sqrt(0.095 / n) / 0.05 * 100', 'mde_rel_pct', 3)}, {r('1.96 / sqrt(n / 10.0) * 100', 'bound_pct')}, {r('3 / sqrt(n / 10.0) * 100', 'bound_3sigma_pct')} FROM (VALUES (500), (1000), (5000), (10000), (50000), (100000), (1000000)) v(n)")
+def bm09(spark, d):
+    n = spark.createDataFrame([(x,) for x in (500, 1000, 5000, 10_000, 50_000, 100_000, 1_000_000)], "n int")
+    m = balance.mde(F.col("n").cast("double"))
+    out = n.select("n", F.round(m, 5).alias("mde_abs"), F.round(m / 0.05 * 100, 3).alias("mde_rel_pct"), balance.deviation_bound(F.col("n"), F.lit(10)).alias("bound_pct"), balance.deviation_bound(F.col("n"), F.lit(10), 3).alias("bound_3sigma_pct"))
+    return rounded(out)
+
+
+@query("bm13_sample_sizes", f"SELECT bias_pct, g AS groups, ceil(pow(1.96 / (bias_pct / 100), 2))::BIGINT AS min_per_group, ceil(pow(1.96 / (bias_pct / 100), 2) * g)::BIGINT AS min_total, {r('9.0 * g * g / (pow(bias_pct / 100, 2) * 1000)', 'per_bucket')} FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) a(bias_pct), (VALUES (2), (3), (5), (10), (20), (50), (100)) b(g)")
+def bm13(spark, d):
+    grid = spark.createDataFrame([(b, g) for b in (0.5, 1.0, 2.0, 5.0) for g in (2, 3, 5, 10, 20, 50, 100)], "bias_pct double, groups int")
+    b, g = F.col("bias_pct"), F.col("groups")
+    return rounded(grid.select(b, g, balance.min_per_group(b).cast("long").alias("min_per_group"), balance.min_total(b, g).cast("long").alias("min_total"), (9.0 * g * g / (F.pow(b / 100, 2) * 1000)).alias("per_bucket")))
+
+
+ARM = f"{h(USER, repr('ab'))} % 2"
+
+
+def anova_sql(source: str, features: list[str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT g, '{f}' AS feature, {f}::DOUBLE AS v FROM x" for f in features)
+    return f"""WITH x AS ({source}), u AS ({parts}), a AS (SELECT feature, g, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM u WHERE v IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT feature, count(*) AS k, sum(n)::BIGINT AS n, sum(n * m) / sum(n) AS mean, sum(n * s) AS ssw FROM a GROUP BY 1),
+f AS (SELECT t.feature, t.k, t.n, t.mean, ssw, sum(a.n * pow(a.m - t.mean, 2)) AS ssb, max(abs(a.m - t.mean)) AS dev FROM a JOIN t USING (feature) GROUP BY ALL),
+q AS (SELECT *, ssb / (k - 1) / (ssw / (n - k)) AS fs FROM f)
+SELECT feature, k, n, {r('mean', 'mean')}, {r('fs', 'f_stat')}, {r(sqlfn.p_f('fs', '(k - 1)', '(n - k)'), 'p_value')}, {r('dev / abs(mean) * 100', 'max_diff_pct')}, {sqlfn.p_f('fs', '(k - 1)', '(n - k)')} > 0.05 AS passed, {sqlfn.p_f('fs', '(k - 1)', '(n - k)')} < 0.01 AS alert FROM q"""
+
+
+@query("st03_anova", anova_sql(f"SELECT {h(USER, repr('exp_001'))} % 1000 % 10 AS g, c_acctbal, c_nationkey FROM customer", ["c_acctbal", "c_nationkey"]))
+def st03(spark, d):
+    return rounded(balance.anova(users(spark, d, "c_acctbal", "c_nationkey").withColumn("g", routing.pure_hash("user_id")), "g", ["c_acctbal", "c_nationkey", "absent"]))
+
+
+# --- metrics per customer ------------------------------------------------------------------
+
+
+def metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Per customer with orders on both sides of 1998: arm, spend before and after, an urgent order after."""
+    o = read(spark, d, "orders")
+    pre = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    agg = o.groupBy("o_custkey").agg(F.sum(F.when(pre, F.col("o_totalprice"))).alias("pre"), F.sum(F.when(~pre, F.col("o_totalprice"))).alias("post"), F.max(F.when(~pre & (F.col("o_orderpriority") == "1-URGENT"), 1).otherwise(0)).alias("urgent"), F.count(F.when(pre, 1)).cast("double").alias("pre_orders"))
+    return agg.filter("pre is not null and post is not null").select(F.concat(F.lit("user_"), F.col("o_custkey")).alias("user_id"), "pre", "post", "urgent", "pre_orders", F.col("o_custkey").alias("seq")).withColumn("arm", (murmur("user_id", F.lit("ab")) % 2).cast("int"))
+
+
+OUSER = "'user_' || o_custkey"
+METRICS = f"""m AS (SELECT {OUSER} AS user_id, o_custkey AS seq, {h(OUSER, repr('ab'))} % 2 AS arm, sum(o_totalprice) FILTER (o_orderdate < '1998-01-01') AS pre, sum(o_totalprice) FILTER (o_orderdate >= '1998-01-01') AS post,
+max(CASE WHEN o_orderdate >= '1998-01-01' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent, count(*) FILTER (o_orderdate < '1998-01-01')::DOUBLE AS pre_orders FROM orders GROUP BY o_custkey HAVING pre IS NOT NULL AND post IS NOT NULL)"""
+CONV_OUT = f"""pt - pc AS diff, (pt - pc) / pc * 100 AS lift, (pt - pc) / sqrt(pp * (1 - pp) * (1.0 / n_t + 1.0 / n_c)) AS z, sqrt(pt * (1 - pt) / n_t + pc * (1 - pc) / n_c) AS sd, sqrt(pt * (1 - pt) / n_t) AS own FROM"""
+
+
+@query("st01_conversion", f"""WITH {METRICS}, c AS (SELECT count(*) FILTER (arm = 1) AS n_t, sum(urgent) FILTER (arm = 1)::DOUBLE AS x_t, count(*) FILTER (arm = 0) AS n_c, sum(urgent) FILTER (arm = 0)::DOUBLE AS x_c FROM m),
+p AS (SELECT *, x_t / n_t AS pt, x_c / n_c AS pc, (x_t + x_c) / (n_t + n_c) AS pp FROM c), q AS (SELECT *, {CONV_OUT} p)
+SELECT n_t, {r('x_t', 'x_t')}, n_c, {r('x_c', 'x_c')}, {r('pt', 'rate_t')}, {r('pc', 'rate_c')}, {r('diff', 'diff')}, {r('lift', 'lift_pct')}, {r('z', 'z')}, {r('diff - 1.96 * sd', 'ci_low')}, {r('diff + 1.96 * sd', 'ci_high')}, {r('pt - 1.96 * own', 'rate_t_low')}, {r('pt + 1.96 * own', 'rate_t_high')}, {r('2 * asin(sqrt(pt)) - 2 * asin(sqrt(pc))', 'cohens_h')}, {r(sqlfn.p_norm('z'), 'p_value')}, {sqlfn.p_norm('z')} < 0.05 AS significant FROM q""")
+def st01(spark, d):
+    m = arms(metrics(spark, d).withColumn("y", F.col("urgent").cast("double")), "arm", ["y"])
+    return rounded(effects.conversion_test(m.select("n_t", F.col("sum_y_t").alias("x_t"), "n_c", F.col("sum_y_c").alias("x_c"))))
+
+
+def two_arm(y: str, source: str = "m") -> str:
+    return f"a AS (SELECT count({y}) FILTER (arm = 1) AS n_t, count({y}) FILTER (arm = 0) AS n_c, avg({y}) FILTER (arm = 1) AS mt, avg({y}) FILTER (arm = 0) AS mc, var_samp({y}) FILTER (arm = 1) AS vt, var_samp({y}) FILTER (arm = 0) AS vc, var_pop({y}) FILTER (arm = 1) AS wt, var_pop({y}) FILTER (arm = 0) AS wc FROM {source}), t AS (SELECT *, mt - mc AS diff, (mt - mc) / sqrt(vt / n_t + vc / n_c) AS t, pow(vt / n_t + vc / n_c, 2) / (pow(vt / n_t, 2) / (n_t - 1) + pow(vc / n_c, 2) / (n_c - 1)) AS nu, sqrt(wt / n_t + wc / n_c) AS se FROM a)"
+
+
+@query("st02_continuous", f"WITH {METRICS}, {two_arm('post')} SELECT n_t, n_c, {r('mt', 'mean_t', 4)}, {r('mc', 'mean_c', 4)}, {r('diff', 'diff', 4)}, {r('diff / mc * 100', 'lift_pct', 4)}, {r('t', 't_stat', 4)}, {r('nu', 'nu', 4)}, {r('diff - 1.96 * se', 'ci_low', 4)}, {r('diff + 1.96 * se', 'ci_high', 4)}, {r('diff / sqrt((wt + wc) / 2)', 'cohens_d', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {sqlfn.p_t('t', 'nu')} < 0.05 AS significant FROM t")
+def st02(spark, d):
+    return rounded(effects.continuous_test(metrics(spark, d), "arm", "post"), 4)
+
+
+@query("st06_sequential", f"WITH {METRICS}, {two_arm('post')}, s AS (SELECT *, 0.05 * sqrt(ln(1 + least(n_t, n_c)) / least(n_t, n_c)) AS b FROM t) SELECT n_t, n_c, {r('diff', 'effect', 4)}, {r('t', 't_stat', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {r('b', 'boundary', 4)}, {sqlfn.p_t('t', 'nu')} < b AS stop FROM s")
+def st06(spark, d):
+    return rounded(effects.sequential_test(metrics(spark, d), "arm", "post"), 4)
+
+
+SEG = "CASE WHEN hh % 2 = 0 THEN 1 ELSE 0 END"
+PVALUES = "(VALUES ('a', 0.001), ('b', 0.012), ('c', 0.012), ('d', 0.04), ('e', 0.2), ('f', 0.9)) v(test, p_value)"
+
+
+def p_table(spark):
+    return spark.createDataFrame([("a", 0.001), ("b", 0.012), ("c", 0.012), ("d", 0.04), ("e", 0.2), ("f", 0.9)], "test string, p_value double")
+
+
+@query("st04_bonferroni", f"SELECT test, p_value::DOUBLE AS p_value, {r('least(1, p_value * 6)', 'p_bonferroni')} FROM {PVALUES}")
+def st04(spark, d):
+    return rounded(effects.bonferroni(p_table(spark)))
+
+
+@query("st05_bh_fdr", f"SELECT test, p_value::DOUBLE AS p_value, {r('least(1, min(raw) OVER (ORDER BY k DESC))', 'p_fdr')} FROM (SELECT *, row_number() OVER (ORDER BY p_value, test) AS k, p_value * 6 / row_number() OVER (ORDER BY p_value, test) AS raw FROM {PVALUES})")
+def st05(spark, d):
+    return rounded(effects.benjamini_hochberg(p_table(spark)))
+
+
+def adjusted(name: str, y: str, theta: str) -> str:
+    return f"SELECT '{name}' AS method, arm, {theta} AS theta, {y} - {theta} * (pre - mx) AS z, {y} AS raw FROM m, o"
+
+
+@query("st11_pre_post", f"""WITH {METRICS}, o AS (SELECT covar_samp(post, pre) / var_samp(pre) AS t1, covar_samp(post - pre, pre) / var_samp(pre) AS t2, avg(pre) AS mx, var_pop(post) AS vy FROM m),
+z AS ({adjusted('plain', 'post', '0.0')} UNION ALL {adjusted('did', '(post - pre)', '0.0')} UNION ALL {adjusted('cuped', 'post', 't1')} UNION ALL {adjusted('did_cuped', '(post - pre)', 't2')}),
+a AS (SELECT method, theta, count(*) FILTER (arm = 1) AS nt, count(*) FILTER (arm = 0) AS nc, avg(z) FILTER (arm = 1) AS mt, avg(z) FILTER (arm = 0) AS mc, var_samp(z) FILTER (arm = 1) AS vt, var_samp(z) FILTER (arm = 0) AS vc, var_pop(z) AS vz, var_pop(raw) AS vr FROM z GROUP BY 1, 2),
+t AS (SELECT *, (mt - mc) / sqrt(vt / nt + vc / nc) AS t, pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS nu FROM a)
+SELECT method, {r('theta', 'theta', 4)}, {r('mt - mc', 'effect', 4)}, {r('t', 't_stat', 4)}, {r('nu', 'nu', 4)}, {r('1 - vz / vy', 'var_reduction', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)} FROM t, o""")
+def st11(spark, d):
+    return rounded(effects.pre_post(metrics(spark, d), "arm", "pre", "post"), 4)
+
+
+@query("st16_multi_cuped")
+def st16(spark, d):
+    m = metrics(spark, d).withColumns({"copy": F.col("pre") * 2, "flat": F.lit(1.0)})
+    return rounded(effects.multi_cuped(m, "arm", "post", ["pre", "pre_orders", "copy", "flat"]), 4)
+
+
+@query("st19_winsorize", f"WITH {METRICS}, b AS (SELECT arm, quantile_cont(post, 0.05) AS lo, quantile_cont(post, 0.95) AS hi, quantile_cont(post, 0.99) AS top FROM m GROUP BY 1) SELECT user_id, {r('least(greatest(post, lo), hi)', 'winsorized', 4)}, {r('least(post, top)', 'capped', 4)}, {r('ln(1 + post)', 'logged')} FROM m JOIN b USING (arm)")
+def st19(spark, d):
+    out = effects.cap_top(effects.winsorize(metrics(spark, d), "arm", "post"), "arm", "post")
+    return out.select("user_id", F.round("winsorized", 4).alias("winsorized"), F.round("capped", 4).alias("capped"), F.round(F.log1p("post"), 6).alias("logged"))
+
+
+@query("st23_mann_whitney", f"""WITH {METRICS}, k AS (SELECT arm, pre_orders AS v, rank() OVER (ORDER BY pre_orders) + (count(*) OVER (PARTITION BY pre_orders) - 1) / 2.0 AS rk FROM m),
+t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM m GROUP BY pre_orders)), s AS (SELECT sum(rk) FILTER (arm = 1) AS rt, count(*) FILTER (arm = 1)::DOUBLE AS nt, count(*) FILTER (arm = 0)::DOUBLE AS nc FROM k),
+u AS (SELECT nt, nc, rt - nt * (nt + 1) / 2 AS u, sqrt(nt * nc / 12 * (nt + nc + 1 - ties / ((nt + nc) * (nt + nc - 1)))) AS sd FROM s, t), z AS (SELECT *, (greatest(u, nt * nc - u) - nt * nc / 2 - 0.5) / sd AS z FROM u)
+SELECT nt AS n_t, nc AS n_c, {r('u', 'u_stat')}, {r('z', 'z')}, {r('CASE WHEN z < 0 THEN 1.0 ELSE ' + sqlfn.p_norm('z') + ' END', 'p_value')} FROM z""")
+def st23(spark, d):
+    return rounded(effects.mann_whitney(metrics(spark, d), "arm", "pre_orders"))
+
+
+STEPS = ["view", "click", "signup", "purchase"]
+FUNNEL_SRC = "SELECT user_id, " + f"{h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm, " + ", ".join(f"max(CASE WHEN event_type = '{s}' AND event_id % 9 = {i} THEN 1 ELSE 0 END) AS \"{s}\"" for i, s in enumerate(STEPS)) + " FROM events GROUP BY user_id"
+
+
+def funnel_users(spark, d):
+    e = read(spark, d, "events")
+    w = e.groupBy("user_id").agg(*[F.max(F.when((F.col("event_type") == s) & (F.col("event_id") % 9 == i), 1).otherwise(0)).alias(s) for i, s in enumerate(STEPS)])
+    return w.withColumn("arm", (murmur(F.concat(F.lit("user_"), F.col("user_id")), F.lit("ab")) % 2).cast("int"))
+
+
+@query("st27_funnel", f"WITH w AS ({FUNNEL_SRC}), s AS (" + " UNION ALL ".join(f"SELECT '{s}' AS step, count(*) FILTER (arm = 1) AS n_t, count(*) FILTER (arm = 0) AS n_c, sum(\"{s}\") FILTER (arm = 1)::DOUBLE AS x_t, sum(\"{s}\") FILTER (arm = 0)::DOUBLE AS x_c FROM w" for s in STEPS) + f"), p AS (SELECT *, x_t / n_t AS pt, x_c / n_c AS pc, (x_t + x_c) / (n_t + n_c) AS pp FROM s), q AS (SELECT *, coalesce((pt - pc) / nullif(sqrt(pp * (1 - pp) * (1.0 / n_t + 1.0 / n_c)), 0), 0) AS z FROM p) SELECT step, {r('pt', 'rate_t')}, {r('pc', 'rate_c')}, {r('(pt - pc) / nullif(pc, 0) * 100', 'lift_pct')}, {r('z', 'z')}, {r(sqlfn.p_norm('z'), 'p_value')}, {sqlfn.p_norm('z')} < 0.05 AS significant FROM q")
+def st27(spark, d):
+    return rounded(effects.funnel(funnel_users(spark, d), "arm", [*STEPS, "absent"]))
+
+
+def survival(spark, d):
+    first = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("ship"))
+    o = read(spark, d, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    days = F.datediff("ship", "o_orderdate")
+    late = days.isNull() | (days > 60) | (days < 1)
+    return o.select(F.concat(F.lit("user_"), F.col("o_custkey")).alias("user_id"), F.when(late, 60).otherwise(days).alias("days"), (~late).cast("int").alias("observed")).withColumn("arm", (murmur("user_id", F.lit("ab")) % 2).cast("int"))
+
+
+SURVIVAL = f"y AS (SELECT {h(OUSER, repr('ab'))} % 2 AS arm, CASE WHEN k IS NULL OR k > 60 OR k < 1 THEN 60 ELSE k END AS days, CASE WHEN k IS NULL OR k > 60 OR k < 1 THEN 0 ELSE 1 END AS observed FROM (SELECT o_custkey, date_diff('day', o_orderdate::DATE, ship::DATE) AS k FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS ship FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey))"
+
+
+@query("st28_kaplan_meier", f"""WITH {SURVIVAL}, g AS (SELECT arm, unnest(range(1, 61)) AS day FROM (SELECT DISTINCT arm FROM y)),
+c AS (SELECT g.arm, g.day, count(*) FILTER (y.days >= g.day) AS at_risk, count(*) FILTER (y.days = g.day AND observed = 1) AS events FROM g JOIN y USING (arm) GROUP BY 1, 2)
+SELECT arm, day, at_risk, events, {r('exp(sum(ln(1 - events / at_risk::DOUBLE)) OVER (PARTITION BY arm ORDER BY day))', 'survival')} FROM c""")
+def st28(spark, d):
+    return rounded(effects.kaplan_meier(survival(spark, d), "days", "observed", ["arm"]))
+
+
+@query("st29_compare_survival")
+def st29(spark, d):
+    return rounded(effects.compare_survival(survival(spark, d), "arm", "days", "observed"))
+
+
+@query("st30_timepoints", f"WITH {METRICS}, a AS (SELECT count(*) FILTER (arm = 1) AS n, avg(post) FILTER (arm = 1) AS t, avg(post) FILTER (arm = 0) AS c FROM m) SELECT day, {r('t * day / 30', 'value_t', 4)}, {r('c * day / 30', 'value_c', 4)}, {r('(t - c) / c * 100', 'lift_pct', 4)}, n FROM a, (VALUES (7), (14), (30)) v(day)")
+def st30(spark, d):
+    return rounded(effects.at_timepoints(metrics(spark, d), "arm", "post"), 4)
+
+
+@query("st31_risk", f"WITH {METRICS}, a AS (SELECT avg(post) FILTER (arm = 1) AS vt, avg(post) FILTER (arm = 0) AS vc, avg(urgent) FILTER (arm = 1) AS dt, avg(urgent) FILTER (arm = 0) AS dc FROM m) SELECT {r('vt', 'avg_amount_t', 4)}, {r('vc', 'avg_amount_c', 4)}, {r('dt', 'default_rate_t', 4)}, {r('dc', 'default_rate_c', 4)}, {r('vt * dt', 'expected_loss_t', 4)}, {r('vc * dc', 'expected_loss_c', 4)}, {r('(vc * dc - vt * dt) / (vc * dc) * 100', 'loss_reduction_pct', 4)} FROM a")
+def st31(spark, d):
+    return rounded(effects.risk_metrics(metrics(spark, d), "arm", "post", "urgent"), 4)
+
+
+@query("st08_stability", f"""WITH {METRICS}, k AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY seq) - 1 AS k, avg(post) OVER (PARTITION BY arm ORDER BY seq ROWS UNBOUNDED PRECEDING) AS a FROM m),
+e AS (SELECT x.k, x.a - y.a AS e FROM k x JOIN k y ON x.k = y.k AND x.arm = 1 AND y.arm = 0), n AS (SELECT count(*) AS n FROM e),
+s AS (SELECT n, avg(e) FILTER (k < n // 3) AS early, avg(e) FILTER (k >= n - n // 3) AS late, arg_max(e, k) AS eff FROM e, n GROUP BY n),
+c AS (SELECT stddev_pop(m) AS sd FROM (SELECT avg(e) AS m FROM e, n WHERE k // (n // 10) < 10 GROUP BY k // (n // 10))),
+q AS (SELECT *, (late - early) / abs(early) * 100 AS trend FROM s, c)
+SELECT n, 'ok' AS status, {r('early', 'early', 3)}, {r('late', 'late', 3)}, {r('trend', 'trend_pct', 3)}, {r('sd', 'chunk_std', 3)}, {r('greatest(0, least(1, 1 - sd / abs(eff)))', 'stability', 3)}, CASE WHEN trend > 20 THEN 'up' WHEN trend < -20 THEN 'down' ELSE 'stable' END AS direction FROM q""")
+def st08(spark, d):
+    return rounded(effects.stability(metrics(spark, d), "arm", "post", ["seq"]), 3)
+
+
+@query("st24_beta_binomial")
+def st24(spark, d):
+    c = spark.createDataFrame([(1500, 180, 1500, 145), (200, 50, 200, 30), (1500, 180, 1500, 150)], "n_t int, x_t int, n_c int, x_c int")
+    return rounded(effects.beta_binomial(c))
+
+
+# --- data preparation, monitoring, decisions -----------------------------------------------
+
+
+@query("an07_user_consumption", f"""WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.7)::BIGINT AS s, min(epoch_us(o_orderdate)) AS lo, max(epoch_us(o_orderdate)) AS hi FROM orders),
+g AS (SELECT o_custkey AS client, s, lo, hi, avg(o_totalprice) FILTER (epoch_us(o_orderdate) < s) AS a, count(*) FILTER (epoch_us(o_orderdate) < s) AS n, sum(o_totalprice) FILTER (epoch_us(o_orderdate) < s) AS t, avg(o_totalprice) FILTER (epoch_us(o_orderdate) >= s) AS pa, count(*) FILTER (epoch_us(o_orderdate) >= s) AS pn, sum(o_totalprice) FILTER (epoch_us(o_orderdate) >= s) AS pt FROM orders, c GROUP BY ALL)
+SELECT client, {r('a', 'pre_avg', 3)}, n AS pre_count, {r('t', 'pre_total', 3)}, {r('pa', 'post_avg', 3)}, pn AS post_count, {r('pt', 'post_total', 3)}, {r('t / greatest(floor((s - lo) / 86400000000) / 30, 1)', 'pre_monthly', 3)}, {r('pt / greatest(floor((hi - s) / 86400000000) / 30, 1)', 'post_monthly', 3)} FROM g WHERE n > 0 AND pn > 0""")
+def an07(spark, d):
+    return rounded(io.user_consumption(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").withColumnRenamed("o_custkey", "client"), 3)
+
+
+@query("an08_user_history", f"WITH s AS (SELECT c_custkey FROM customer ORDER BY {h('c_custkey', repr('42'))}, c_custkey LIMIT 200) SELECT c_custkey AS user_id, {r('coalesce(sum(o_totalprice), 0)', 'total_amount', 3)}, count(o_orderkey) AS n_txn, count(DISTINCT o_orderpriority) AS n_merchants, {r('coalesce(max(o_totalprice), 0)', 'max_amount', 3)} FROM s LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def an08(spark, d):
+    u = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return rounded(io.user_history(u, read(spark, d, "orders"), 200, client="o_custkey", amount="o_totalprice", merchant="o_orderpriority"), 3)
+
+
+@query("io03_clean_transactions", "SELECT o_custkey::VARCHAR AS client_id, round(o_totalprice, 2) AS amount, o_orderdate AS date FROM orders WHERE o_orderkey % 7 <> 0")
+def io03(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("client_id"), F.concat(F.lit("$-"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")).alias("amount"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("no date")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("date"))
+    return io.clean_transactions(o)
+
+
+DAILY = f"d AS (SELECT datediff('day', DATE '2024-01-01', ts::DATE) AS day, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END) FILTER (arm = 1) AS treatment_conversion, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0 END) FILTER (arm = 0) AS control_conversion FROM (SELECT *, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm FROM events) GROUP BY 1)"
+
+
+def daily(spark, d):
+    e = read(spark, d, "events").withColumn("arm", murmur(F.concat(F.lit("user_"), F.col("user_id")), F.lit("ab")) % 2).withColumn("y", (F.col("event_type") == "purchase").cast("double"))
+    return e.groupBy(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("day")).agg(F.avg(F.when(F.col("arm") == 1, F.col("y"))).alias("treatment_conversion"), F.avg(F.when(F.col("arm") == 0, F.col("y"))).alias("control_conversion"))
+
+
+@query("ru01_anomalies", f"WITH {DAILY}, b AS (SELECT *, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN avg(treatment_conversion) OVER w END AS bm, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN stddev_samp(treatment_conversion) OVER w END AS bs FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) SELECT day, {r('treatment_conversion', 'treatment_conversion')}, {r('control_conversion', 'control_conversion')}, {r('bm', 'base_mean')}, {r('bs', 'base_std')}, {r('(treatment_conversion - bm) / nullif(bs, 0)', 'z')}, coalesce(abs((treatment_conversion - bm) / nullif(bs, 0)) > 2, false) AS anomaly FROM b")
+def ru01(spark, d):
+    return rounded(monitoring.anomalies(daily(spark, d), "treatment_conversion"))
+
+
+@query("ru02_rampup", f"WITH {DAILY}, x AS (SELECT *, treatment_conversion - control_conversion AS l, row_number() OVER (ORDER BY day DESC) AS a, row_number() OVER (ORDER BY day) AS b FROM d), s AS (SELECT count(*) AS days, avg(l) FILTER (a <= 3) AS rl, avg(l) FILTER (b <= 7) AS bl, avg(treatment_conversion) FILTER (a <= 3) AS t, avg(control_conversion) FILTER (a <= 3) AS c FROM x), q AS (SELECT *, CASE WHEN days < 3 THEN 'continue' WHEN rl < bl * 0.5 THEN 'pause' WHEN t < c - 0.02 THEN 'rollback' ELSE 'continue' END AS action FROM s) SELECT days, {r('rl', 'recent_lift')}, {r('bl', 'baseline_lift')}, action, CASE action WHEN 'rollback' THEN 0.0 WHEN 'pause' THEN 20.0 ELSE CASE WHEN days < 3 THEN 20.0 ELSE 40.0 END END::DOUBLE AS next_pct FROM q")
+def ru02(spark, d):
+    return rounded(monitoring.rampup_decision(daily(spark, d), 20.0))
+
+
+@query("ru03_stages", "SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, {b}::DOUBLE)" for a, b in monitoring.STAGES) + ") v(stage, traffic_pct)")
+def ru03(spark, d):
+    return rounded(monitoring.ramp_stages(spark))
+
+
+@query("dc07_choose_method")
+def dc07(spark, d):
+    rows = [("checkout", 50_000, "high", "short", "stable", "high", "no"), ("feed", 200_000, "low", "continuous", "shifting", "low", "yes"), ("banner", 5_000, "low", "long", "shifting", "medium", "yes"), ("pricing", 800, "medium", "medium", "unknown", "high", "limited")]
+    return rounded(monitoring.choose_method(spark.createDataFrame(rows, "scenario string, n_users_per_arm int, decision_criticality string, duration string, population_stability string, explainability string, rollback string")))
+
+
+# --- Monte-Carlo ---------------------------------------------------------------------------
+
+
+TRIALS = f"x AS (SELECT t, 'u_' || lpad(({mm(chr(39) + '20260728_' + chr(39) + ' || t || ' + chr(39) + '_' + chr(39) + ' || i')} % 1000000000)::VARCHAR, 9, '0') AS user_id FROM (SELECT unnest(range(20)) AS t), (SELECT unnest(range(500)) AS i))"
+
+
+@query("mc01_snake_trials", f"""WITH {TRIALS}, u AS (SELECT t, {mm("user_id || '_exp_' || t")} % 100 AS b FROM x), n AS (SELECT k.t, k.b, count(u.b) AS n FROM (SELECT t, b FROM (SELECT unnest(range(20)) AS t), (SELECT unnest(range(100)) AS b)) k LEFT JOIN u USING (t, b) GROUP BY 1, 2),
+o AS (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY n DESC, b) - 1 AS p FROM n), g AS (SELECT t, CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END AS g, sum(n) AS n FROM o GROUP BY 1, 2)
+SELECT t AS trial, {r('greatest(max(n) - 50, 50 - min(n)) / 50 * 100', 'max_dev_pct')} FROM g GROUP BY 1""")
+def mc01(spark, d):
+    return rounded(simulate.trial_deviation(simulate.trial_users(spark, 20, 500), "snake", 100))
+
+
+@query("mc03_strategies")
+def mc03(spark, d):
+    t = simulate.trial_users(spark, 20, 2000)
+    out = None
+    for s in ("hash", "double_hash", "two_stage", "vote", "snake"):
+        one = simulate.summarize(simulate.trial_deviation(t, s)).withColumn("strategy", F.lit(s))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("mc07_histogram")
+def mc07(spark, d):
+    return rounded(simulate.histogram(simulate.trial_deviation(simulate.trial_users(spark, 20, 2000), "snake"), "max_dev_pct"))
+
+
+@query("mc08_calibration_trials")
+def mc08(spark, d):
+    t = simulate.trial_users(spark, 8, 2000)
+    out = None
+    for name, fold in (("calibrated", simulate.fold_calibrated), ("share", simulate.fold_share_calibrated), ("adaptive", simulate.fold_adaptive)):
+        g = simulate.route_trials(t, fold).groupBy("trial", "group_id").agg(F.count("*").alias("n"))
+        one = simulate.summarize(balance.deviation_pct(g, ["trial"])).withColumn("strategy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("mc13_power")
+def mc13(spark, d):
+    return rounded(simulate.power_study(metrics(spark, d), "pre", "post", 20, 0.05))
+
+
+@query("mc18_bandits")
+def mc18(spark, d):
+    return rounded(simulate.compare_bandits(spark, [0.10, 0.14, 0.14, 0.14, 0.14], 1000, 8))
+
+
+@query("st10_aa")
+def st10(spark, d):
+    return rounded(simulate.aa_report(simulate.aa_trials(metrics(spark, d), "post", 40)))
+
+
+@query("rp02_report")
+def rp02(spark, d):
+    text = monitoring.experiment_report(metrics(spark, d), "arm", "urgent", ["pre", "pre_orders"], ["seq"])
+    return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
+
+
+@query("io07_synthetic_users")
+def io07(spark, d):
+    return rounded(io.synthetic_users(spark, 1000))
+
+
+@query("io08_synthetic_transactions")
+def io08(spark, d):
+    return rounded(io.synthetic_transactions(spark, 100))
+
+
+@query("io12_synthetic_experiment")
+def io12(spark, d):
+    return rounded(effects.pre_post(io.synthetic_experiment(spark, 2000), "assigned", "converted_pre", "converted_post"))
+
+
+@query("io13_ramp_series")
+def io13(spark, d):
+    return rounded(io.ramp_series(spark))
