@@ -446,9 +446,9 @@ def st24(spark, d):
 
 @query("an07_user_consumption", f"""WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.7)::BIGINT AS s, min(epoch_us(o_orderdate)) AS lo, max(epoch_us(o_orderdate)) AS hi FROM orders),
 g AS (SELECT o_custkey AS client, s, lo, hi, avg(o_totalprice) FILTER (epoch_us(o_orderdate) < s) AS a, count(*) FILTER (epoch_us(o_orderdate) < s) AS n, sum(o_totalprice) FILTER (epoch_us(o_orderdate) < s) AS t, avg(o_totalprice) FILTER (epoch_us(o_orderdate) >= s) AS pa, count(*) FILTER (epoch_us(o_orderdate) >= s) AS pn, sum(o_totalprice) FILTER (epoch_us(o_orderdate) >= s) AS pt FROM orders, c GROUP BY ALL)
-SELECT client, {r('a', 'pre_avg', 3)}, n AS pre_count, {r('t', 'pre_total', 3)}, {r('pa', 'post_avg', 3)}, pn AS post_count, {r('pt', 'post_total', 3)}, {r('t / greatest(floor((s - lo) / 86400000000) / 30, 1)', 'pre_monthly', 3)}, {r('pt / greatest(floor((hi - s) / 86400000000) / 30, 1)', 'post_monthly', 3)} FROM g WHERE n > 0 AND pn > 0""")
+SELECT client, {r('a', 'pre_avg', 6)}, n AS pre_count, {r('t', 'pre_total', 6)}, {r('pa', 'post_avg', 6)}, pn AS post_count, {r('pt', 'post_total', 6)}, {r('t / greatest(floor((s - lo) / 86400000000) / 30, 1)', 'pre_monthly', 6)}, {r('pt / greatest(floor((hi - s) / 86400000000) / 30, 1)', 'post_monthly', 6)} FROM g WHERE n > 0 AND pn > 0""")
 def an07(spark, d):
-    return rounded(io.user_consumption(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").withColumnRenamed("o_custkey", "client"), 3)
+    return rounded(io.user_consumption(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").withColumnRenamed("o_custkey", "client"), 6)
 
 
 @query("an08_user_history", f"WITH s AS (SELECT c_custkey FROM customer ORDER BY {h('c_custkey', repr('42'))}, c_custkey LIMIT 200) SELECT c_custkey AS user_id, {r('coalesce(sum(o_totalprice), 0)', 'total_amount', 3)}, count(o_orderkey) AS n_txn, count(DISTINCT o_orderpriority) AS n_merchants, {r('coalesce(max(o_totalprice), 0)', 'max_amount', 3)} FROM s LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
