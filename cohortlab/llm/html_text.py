@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -396,7 +397,7 @@ def main_text(pages: DataFrame, training_pages: int = 500, seed: int = 7) -> Dat
             out = [t for i in range(0, len(sources), 256) for t in extract_text(sources[i : i + 256], model)]
             yield pdf.assign(text=pd.Series(out, dtype=object, index=pdf.index))
 
-    schema = src.schema.add("text", "string")
+    schema = T.StructType([*src.schema.fields, T.StructField("text", T.StringType())])
     return src.mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
