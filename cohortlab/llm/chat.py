@@ -54,18 +54,12 @@ def paths(tree: DataFrame) -> DataFrame:
     linked = nodes.join(known.withColumn("_there", F.lit(1)), ["tree_id", "parent"], "left").select("tree_id", "node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
     # steps: the nodes from `node` up to, not including, `up`
     state = cut(linked.withColumn("steps", F.array("node")))
-    size = None
-    while True:
-        open_ = state.filter("up is not null").agg(F.count("*"), F.sum(F.size("steps"))).first()
-        if not open_[0]:
-            break
-        if size is not None and open_[0] == size[0] and size[0] > 0 and open_[1] > (1 << 22) * open_[0]:
-            break
-        size = open_
+    while (open_ := state.filter("up is not null")).limit(1).count():
         other = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        nxt = state.join(other, ["tree_id", "up"], "left").select("tree_id", "node", F.col("up2").alias("up"), F.when(F.col("steps2").isNull(), F.col("steps")).otherwise(F.concat("steps", "steps2")).alias("steps"))
-        nxt = nxt.filter(F.size("steps") == F.size(F.array_distinct("steps")))  # a cycle repeats a node
-        state = cut(nxt)
+        # paths that have reached their root are not joined again
+        longer = open_.join(other, ["tree_id", "up"], "left").select("tree_id", "node", F.col("up2").alias("up"), F.when(F.col("steps2").isNull(), F.col("steps")).otherwise(F.concat("steps", "steps2")).alias("steps"))
+        longer = cut(longer.filter(F.size("steps") == F.size(F.array_distinct("steps"))))  # a cycle repeats a node
+        state = state.filter("up is null").unionByName(longer)
     leaves = state.join(linked.select("tree_id", F.col("up").alias("node")).filter("node is not null").distinct(), ["tree_id", "node"], "left_anti")
     return leaves.select("tree_id", F.col("node").alias("leaf"), F.posexplode(F.reverse("steps")).alias("depth", "node"))
 
