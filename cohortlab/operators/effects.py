@@ -168,6 +168,22 @@ def funnel(df: DataFrame, arm: str, steps: list[str]) -> DataFrame:
     return conversion_test(c).select("step", "rate_t", "rate_c", "lift_pct", "z", "p_value", "significant")
 
 
+def unpooled_rates(rates: DataFrame) -> DataFrame:
+    """rates: step, rate_t, rate_c, n_t, n_c. Lift and Z test with the unpooled standard error."""
+    se = F.sqrt(F.col("rate_t") * (1 - F.col("rate_t")) / F.col("n_t") + F.col("rate_c") * (1 - F.col("rate_c")) / F.col("n_c"))
+    out = rates.withColumn("lift_pct", F.coalesce(ratio(F.col("rate_t") - F.col("rate_c"), F.col("rate_c")) * 100, F.lit(0.0))).withColumn("z", F.coalesce(ratio(F.col("rate_t") - F.col("rate_c"), se), F.lit(0.0)))
+    return out.withColumn("p_value", p_norm("z")).withColumn("significant", F.col("p_value") < 0.05)
+
+
+def compare_outliers(df: DataFrame, arm: str, y: str) -> DataFrame:
+    """Welch's test of y as it is and after each treatment of outliers, and the rank test."""
+    t = cap_top(winsorize(df.select(arm, F.col(y).cast("double").alias("raw")), arm, "raw"), arm, "raw").withColumn("log", F.log1p("raw"))
+    long = t.selectExpr(arm, "stack(4, 'raw', raw, 'winsorized', winsorized, 'capped', capped, 'log', log) as (method, v)")
+    out = continuous_test(long, arm, "v", keys=["method"]).select("method", F.col("diff").alias("effect"), "t_stat", "p_value")
+    u = mann_whitney(df, arm, y).select(F.lit("rank").alias("method"), F.lit(None).cast("double").alias("effect"), F.col("z").alias("t_stat"), "p_value")
+    return out.unionByName(u)
+
+
 def kaplan_meier(df: DataFrame, days: str, observed: str, keys: list[str] = (), max_day: int = 60) -> DataFrame:
     """(keys, day, at_risk, events, survival) for every day from 1 to max_day."""
     keys = list(keys)

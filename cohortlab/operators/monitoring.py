@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .moments import ratio
 
-#: Stage, traffic in per cent and least days of the ramp-up plan.
-STAGES = [(1, 1.0), (2, 5.0), (3, 10.0), (4, 20.0), (5, 30.0), (6, 50.0), (7, 75.0), (8, 90.0), (9, 100.0)]
+#: Stage, traffic in per cent and days of the ramp-up plan.
+STAGES = [("fixed test", 5, 7), ("ramp 1%", 1, 2), ("ramp 10%", 10, 3), ("ramp 25%", 25, 3), ("ramp 50%", 50, 3), ("ramp 100%", 100, 1), ("follow 7d", 100, 7), ("follow 30d", 100, 30), ("follow 90d", 100, 90)]
 #: Fixed values: (fixed test, bandit) scores of each answer.
 SCORES = {
     "decision_criticality": {"low": (5, 8), "medium": (7, 6), "high": (10, 1)},
-    "duration": {"short": (10, 2), "medium": (8, 5), "long": (5, 8), "continuous": (2, 10)},
+    "duration": {"short": (10, 2), "medium": (8, 5), "long": (5, 8), "permanent": (2, 10)},
     "population_stability": {"stable": (9, 5), "shifting": (4, 9), "unknown": (6, 6)},
     "explainability": {"high": (10, 2), "medium": (7, 5), "low": (3, 9)},
     "rollback": {"yes": (6, 9), "limited": (8, 5), "no": (10, 1)},
@@ -23,7 +23,7 @@ MARGIN = 15
 
 
 def ramp_stages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STAGES, "stage int, traffic_pct double")
+    return spark.createDataFrame(STAGES, "stage string, traffic_pct int, days int")
 
 
 def anomalies(daily: DataFrame, metric: str, day: str = "day", window: int = 3, sigma: float = 2.0, keys: list[str] = ()) -> DataFrame:
@@ -65,10 +65,20 @@ def choose_method(scenarios: DataFrame) -> DataFrame:
             ab, mab = (ab + value, mab) if side == 0 else (ab, mab + value)
     out = scenarios.withColumns({"ab_score": ab, "mab_score": mab})
     d, total = F.col("ab_score") - F.col("mab_score"), F.col("ab_score") + F.col("mab_score")
-    said = F.when(d > MARGIN, "strong_ab").when(d < -MARGIN, "strong_mab").when(d > 0, "lean_ab").when(d < 0, "lean_mab").otherwise("either")
+    said = F.when(d >= MARGIN, "strong_ab").when(d <= -MARGIN, "strong_mab").otherwise("either")
     return out.withColumns({"ab_pct": ratio(F.col("ab_score"), total) * 100, "mab_pct": ratio(F.col("mab_score"), total) * 100, "recommendation": said})
 
 
+def choose_by_rules(scenarios: DataFrame) -> DataFrame:
+    """Adds the first rule that holds: what forces a fixed test comes first, then what suits a bandit."""
+    said = (
+        F.when(F.col("n_users") < 1000, "ab_low_traffic").when(F.col("importance") == "high", "ab_important").when(F.col("duration_days") < 30, "ab_short")
+        .when(~F.col("rollback"), "ab_no_rollback").when(F.col("interpretable"), "ab_interpretable")
+        .when((F.col("n_users") > 100_000) & (F.col("duration_days") > 90) & (F.col("audience") == "shifting"), "mab_adaptive").when(F.col("duration_days") > 90, "mab_long").otherwise("either")
+    )
+    return scenarios.withColumn("recommendation", said)
+
+
 def markdown_report(title: str, sections: dict[str, list[tuple[str, object]]]) -> str:
     """A report of a few collected scalars."""
     lines = [f"# {title}", ""]

@@ -481,15 +481,67 @@ def ru02(spark, d):
     return rounded(monitoring.rampup_decision(daily(spark, d), 20.0))
 
 
-@query("ru03_stages", "SELECT * FROM (VALUES " + ", ".join(f"({a}::BIGINT, {b}::DOUBLE)" for a, b in monitoring.STAGES) + ") v(stage, traffic_pct)")
+@query("ru03_stages", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::BIGINT, {c}::BIGINT)" for a, b, c in monitoring.STAGES) + ") v(stage, traffic_pct, days)")
 def ru03(spark, d):
     return rounded(monitoring.ramp_stages(spark))
 
 
-@query("dc07_choose_method")
+SCENARIOS = [
+    ("tiny", 50, "high", "short", "stable", "high", "yes"), ("small", 500, "high", "short", "stable", "high", "yes"), ("medium", 5_000, "medium", "medium", "stable", "medium", "yes"), ("large", 50_000, "low", "long", "shifting", "low", "yes"),
+    ("huge", 500_000, "low", "permanent", "shifting", "low", "yes"), ("critical", 5_000, "high", "medium", "stable", "high", "no"), ("reversible", 50_000, "low", "long", "shifting", "low", "yes"), ("irreversible", 5_000, "medium", "medium", "stable", "medium", "no"),
+]
+DIMENSIONS = list(monitoring.SCORES)
+
+
+def score_sql(side: int) -> str:
+    n = "CASE " + " ".join(f"WHEN n_users_per_arm >= {t[0]} THEN {t[1 + side]}" for t in reversed(monitoring.TRAFFIC)) + " END"
+    return " + ".join([n, *(f"CASE {d} " + " ".join(f"WHEN '{k}' THEN {v[side]}" for k, v in monitoring.SCORES[d].items()) + " END" for d in DIMENSIONS)])
+
+
+@query("dc07_choose_method", f"WITH s AS (SELECT *, ({score_sql(0)})::BIGINT AS ab_score, ({score_sql(1)})::BIGINT AS mab_score FROM (VALUES {', '.join(map(str, SCENARIOS))}) v(scenario, n_users_per_arm, {', '.join(DIMENSIONS)})) SELECT *, {r('ab_score * 100.0 / (ab_score + mab_score)', 'ab_pct')}, {r('mab_score * 100.0 / (ab_score + mab_score)', 'mab_pct')}, CASE WHEN ab_score >= mab_score + 15 THEN 'strong_ab' WHEN mab_score >= ab_score + 15 THEN 'strong_mab' ELSE 'either' END AS recommendation FROM s")
 def dc07(spark, d):
-    rows = [("checkout", 50_000, "high", "short", "stable", "high", "no"), ("feed", 200_000, "low", "continuous", "shifting", "low", "yes"), ("banner", 5_000, "low", "long", "shifting", "medium", "yes"), ("pricing", 800, "medium", "medium", "unknown", "high", "limited")]
-    return rounded(monitoring.choose_method(spark.createDataFrame(rows, "scenario string, n_users_per_arm int, decision_criticality string, duration string, population_stability string, explainability string, rollback string")))
+    return rounded(monitoring.choose_method(spark.createDataFrame(SCENARIOS, "scenario string, n_users_per_arm int, " + ", ".join(f"{x} string" for x in DIMENSIONS))))
+
+
+RULED = [("a", 500, "low", 100, "stable", False, True), ("b", 5000, "high", 100, "stable", False, True), ("c", 5000, "low", 10, "stable", False, True), ("d", 5000, "low", 60, "stable", False, False), ("e", 5000, "low", 60, "stable", True, True), ("f", 200_000, "low", 120, "shifting", False, True), ("g", 5000, "low", 120, "stable", False, True), ("h", 5000, "low", 60, "stable", False, True)]
+
+
+@query("dc09_rules", f"SELECT *, CASE WHEN n_users < 1000 THEN 'ab_low_traffic' WHEN importance = 'high' THEN 'ab_important' WHEN duration_days < 30 THEN 'ab_short' WHEN NOT rollback THEN 'ab_no_rollback' WHEN interpretable THEN 'ab_interpretable' WHEN n_users > 100000 AND duration_days > 90 AND audience = 'shifting' THEN 'mab_adaptive' WHEN duration_days > 90 THEN 'mab_long' ELSE 'either' END AS recommendation FROM (VALUES {', '.join(map(str, RULED))}) v(scenario, n_users, importance, duration_days, audience, interpretable, rollback)")
+def dc09(spark, d):
+    return rounded(monitoring.choose_by_rules(spark.createDataFrame(RULED, "scenario string, n_users int, importance string, duration_days int, audience string, interpretable boolean, rollback boolean")))
+
+
+RATES = [("click", 0.85, 0.84), ("apply", 0.42, 0.35), ("approve", 0.68, 0.62), ("bind", 0.55, 0.55), ("repay", 0.78, 0.85)]
+
+
+@query("fn01_unpooled_funnel", f"WITH v AS (SELECT step, a::DOUBLE AS rate_t, b::DOUBLE AS rate_c FROM (VALUES {', '.join(map(str, RATES))}) x(step, a, b)), z AS (SELECT *, (rate_t - rate_c) / sqrt(rate_t * (1 - rate_t) / 1000 + rate_c * (1 - rate_c) / 1000) AS z FROM v) SELECT step, rate_t, rate_c, 1000::BIGINT AS n_t, 1000::BIGINT AS n_c, {r('(rate_t - rate_c) / rate_c * 100', 'lift_pct')}, {r('z', 'z')}, {r(sqlfn.p_norm('z'), 'p_value')}, {sqlfn.p_norm('z')} < 0.05 AS significant FROM z")
+def fn01(spark, d):
+    return rounded(effects.unpooled_rates(spark.createDataFrame(RATES, "step string, rate_t double, rate_c double").withColumns({"n_t": F.lit(1000), "n_c": F.lit(1000)})))
+
+
+@query("st22_compare_outliers")
+def st22(spark, d):
+    return rounded(effects.compare_outliers(metrics(spark, d), "arm", "post"), 4)
+
+
+@query("bm05_daily_srm", f"WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2 AS g FROM events), n AS (SELECT day, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM c GROUP BY 1), x AS (SELECT day, a + b AS total, greatest(a, b) AS max_n, least(a, b) AS min_n, 2.0 / (a + b) * (a * a + b * b) - (a + b) AS x FROM n), q AS (SELECT *, {sqlfn.p_chi2('x', 1)} AS p FROM x) {SRM_OUT.replace('9.0::DOUBLE', '1.0::DOUBLE').replace('SELECT total', 'SELECT day, total')}")
+def bm05(spark, d):
+    e = arrivals(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), routing.pure_hash("user_id", groups=2).alias("group_id"))
+    return rounded(balance.srm(e.groupBy("day", "group_id").agg(F.count("*").alias("n")), keys=["day"]))
+
+
+@query("rt27_stream_counts", f"SELECT g AS group_id, count(*) AS n FROM (SELECT {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 10 AS g FROM events) GROUP BY 1")
+def rt27(spark, d):
+    """The events replayed as a stream through the stateless router."""
+    from ..streaming import routers
+
+    src = read(spark, d, "events")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.select(F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"))
+    name = "cohortlab_stream_counts"
+    q = routers.stream_hash_counts(stream, "user_id").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    return rounded(spark.table(name))
 
 
 # --- Monte-Carlo ---------------------------------------------------------------------------
