@@ -71,13 +71,8 @@ class GlobAutomaton:
         return out
 
 
-def canonical(url: Column) -> Column:
-    """host and path of a URL; both empty for null or where there is no `://`."""
-    rest = F.when(url.contains("://"), F.expr("substr(u, instr(u, '://') + 3)")).otherwise(F.lit(""))
-    return rest
-
-
 def host_path(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds host and path of a URL; both empty for null or where there is no `://`."""
     at = df.withColumn("_u", F.coalesce(F.col(url), F.lit(""))).withColumn("_r", F.expr("if(instr(_u, '://') > 0, substr(_u, instr(_u, '://') + 3), '')"))
     at = at.withColumn("_h", F.regexp_extract("_r", r"(?s)^[^/?#]*", 0))
     return at.withColumns({"host": ascii_lower(F.col("_h")), "path": F.regexp_extract(F.expr("substr(_r, length(_h) + 1)"), r"(?s)^[^?#]*", 0)}).drop("_u", "_r", "_h")
