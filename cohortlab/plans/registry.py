@@ -572,6 +572,27 @@ def mc07(spark, d):
     return rounded(simulate.histogram(simulate.trial_deviation(simulate.trial_users(spark, 20, 2000), "snake"), "max_dev_pct"))
 
 
+@query("mc06_bias_by_traffic")
+def mc06(spark, d):
+    """Measured deviation of the hash and the snake by traffic, next to the bound."""
+    out = None
+    for n in (500, 1000, 5000):
+        for strategy in ("hash", "snake"):
+            one = simulate.summarize(simulate.trial_deviation(simulate.trial_users(spark, 10, n), strategy)).withColumns({"users": F.lit(n), "strategy": F.lit(strategy), "bound_pct": balance.deviation_bound(F.lit(n), F.lit(10))})
+            out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("mc07_bucket_sweep")
+def mc07_sweep(spark, d):
+    """Deviation of the hash by the number of buckets."""
+    t, out = simulate.trial_users(spark, 10, 5000), None
+    for b in (10, 100, 1000, 10_000):
+        one = simulate.summarize(simulate.trial_deviation(t, "hash", b)).withColumn("buckets", F.lit(b))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @query("mc08_calibration_trials")
 def mc08(spark, d):
     t = simulate.trial_users(spark, 8, 2000)
