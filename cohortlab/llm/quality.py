@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -12,14 +13,18 @@ from .common import SPACE, let, table, words
 
 # The default lexicon of insults.
 TOXIC = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+STEMS, DENSITY = (4, 5, 6, 7), 5
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where `rejects` holds; it may use text and the base columns."""
+    """A document is rejected where `rejects` (SQL or a column) holds; it may use text and the base columns."""
 
     name: str
-    rejects: str
+    rejects: str | Column
+
+    def condition(self) -> Column:
+        return F.expr(self.rejects) if isinstance(self.rejects, str) else self.rejects
 
 
 def default_rules(symbols: int = 10, exclaims: int = 20, dup_lines: int = 40, lexicon: list[str] = TOXIC) -> list[Rule]:
@@ -33,6 +38,43 @@ def default_rules(symbols: int = 10, exclaims: int = 20, dup_lines: int = 40, le
     ]
 
 
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(words(text), F.lower))
+
+
+def _dense_stems(u: Column, length: int, only: list[str] | None = None) -> Column:
+    """The stems of this length that begin at least two of the distinct words u, and DENSITY per mille of them."""
+    least = F.greatest(F.lit(2), F.floor((F.size(u) * DENSITY + 999) / 1000).cast("int"))
+    stems = F.transform(F.filter(u, lambda x: F.length(x) >= length), lambda x: F.substring(x, 1, length))
+    if only is not None:
+        stems = F.filter(stems, lambda x: x.isin(only))
+    return let(F.sort_array(stems), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - least + 1))))
+
+
+def learn_stems(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_stems: int = 1000, support: int = 5, ratio: int = 20) -> list[str]:
+    """Word stems of 4 to 7 characters that are dense in toxic documents and rare as such in others.
+
+    Fitted on at most most_labels labelled documents, the first in the order of a hash; a stem is
+    taken if it is dense in `support` toxic ones and, with one added to the others, `ratio` times
+    as often as in them. The most_stems with the most toxic documents stay.
+    """
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most_labels)
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # most_labels rows
+    dense = own.select("toxic", let(_distinct_words(F.col("text")), lambda u: F.flatten(F.array(*[_dense_stems(u, k) for k in STEMS]))).alias("s"))
+    total = own.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") != 1, 1)).alias("c")).first()
+    n = dense.select("toxic", F.explode("s").alias("stem")).groupBy("stem").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") != 1, 1)).alias("c"))
+    good = n.filter((F.col("t") >= support) & (F.col("t") * total["c"] >= ratio * (F.col("c") + 1) * total["t"]))
+    return [r["stem"] for r in good.orderBy(F.desc("t"), "stem").limit(most_stems).collect()]
+
+
+def stem_rule(stems: list[str]) -> Rule:
+    """Rejects documents in which a learned stem is dense."""
+    by_length = {k: [s for s in stems if len(s) == k] for k in STEMS}
+    one = lambda u: functools.reduce(lambda a, b: a | b, [F.size(_dense_stems(u, k, own)) > 0 for k, own in by_length.items() if own])
+    return Rule("toxic_stems", let(_distinct_words(F.col("text")), one) if stems else "false")
+
+
 def _repeated(w: Column) -> Column:
     """Words inside 3-word windows that occur twice or more. Windows are compared by 64-bit hash."""
     grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
@@ -79,7 +121,7 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, s
         rank = []
         for rule in rules:
             start = time.perf_counter()
-            rejected = sample.filter(rule.rejects).count()
+            rejected = sample.filter(rule.condition()).count()
             cost = (time.perf_counter() - start) / rows
             rank.append((-(rejected / rows) / max(cost, 1e-9), rule.name, rule))
         return [r for *_, r in sorted(rank, key=lambda x: x[:2])]
@@ -87,17 +129,22 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, s
         sample.unpersist()
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, labels: DataFrame | None = None, sample_rows: int = 2000) -> DataFrame:
     """Adds the base columns, base_failed, rejected_by (the first rule in cascade order) and kept.
 
     Null and empty texts have no words and fail the base rule. Extra columns stay; columns of
     the input named like an added one are replaced. An empty table gives an empty result.
+    labels (doc_id, toxic) adds a rule of learned stems; labels that are null or of unknown
+    documents are not used, of several for one document the highest counts.
     """
     docs = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text", *ADDED)])
-    order = cascade_order(docs, default_rules() if rules is None else rules, sample_rows)
+    rules = default_rules() if rules is None else rules
+    if labels is not None:
+        rules = [*rules, stem_rule(learn_stems(docs, labels))]
+    order = cascade_order(docs, rules, sample_rows)
     chain = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order:
-        chain = chain.when(F.expr(rule.rejects), F.lit(rule.name))
+        chain = chain.when(rule.condition(), F.lit(rule.name))
     return base_columns(docs).withColumn("rejected_by", chain).withColumn("kept", F.col("rejected_by").isNull())
 
 
@@ -105,7 +152,7 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repe
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), labels=table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -116,11 +163,19 @@ p AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
 t AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM t WHERE c IS NOT NULL),
 k AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) v(j) WHERE r.n > 1 GROUP BY 1),
+lab AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY 1 ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 10000),
+du AS (SELECT row_number() OVER () AS id, doc_id, list_distinct(list_transform(w, lambda x: lower(x))) AS u FROM d),
+dx AS (SELECT id, doc_id, len(u) AS n, unnest(u) AS x FROM du),
+ds AS (SELECT id, doc_id, substr(x, 1, k) AS stem FROM dx, (VALUES (4), (5), (6), (7)) v(k) WHERE length(x) >= k GROUP BY id, doc_id, n, k, stem HAVING count(*) >= greatest(2, (n * 5 + 999) // 1000)),
+lt AS (SELECT count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic <> 1) AS c FROM du JOIN lab USING (doc_id)),
+ln AS (SELECT stem, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (toxic <> 1) AS c FROM ds JOIN lab USING (doc_id) GROUP BY 1),
+lx AS (SELECT ln.stem FROM ln, lt WHERE ln.t >= 5 AND ln.t * lt.c >= 20 * (ln.c + 1) * lt.t ORDER BY ln.t DESC, ln.stem LIMIT 1000),
+st AS (SELECT DISTINCT doc_id FROM ds JOIN lx USING (stem)),
 s AS (SELECT d.doc_id, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
       coalesce(k.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaims FROM d LEFT JOIN k USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 100 * n_dup_lines > 40 * n_lines
-       OR 100 * n_exclaims > 20 * n_words OR regexp_matches(text, '(?i)(^|[^a-z])({'|'.join(TOXIC)})($|[^a-z])')) AS kept
+       OR 100 * n_exclaims > 20 * n_words OR regexp_matches(text, '(?i)(^|[^a-z])({'|'.join(TOXIC)})($|[^a-z])') OR doc_id IN (SELECT doc_id FROM st)) AS kept
 FROM f"""

@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality_rules(docs).filter("kept").select(docs.columns)
+    return quality_rules(docs, labels=table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,6 +135,21 @@ def test_quality_counts(docs, rows, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_toxic_stems_are_learned(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    say = lambda bad: " ".join([word() for _ in range(80)] + ["vrqx" + word() for _ in range(3)] * bad)
+    rows = [(i, say(i % 8 == 0)) for i in range(400)] + [(900, None), (901, ""), (902, "vrqxa vrqxb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(200)] + [(0, 0), (None, 1), (7, None), (12345, 1), (900, 0)], "doc_id long, toxic int")
+    stems = quality.learn_stems(docs, known)
+    assert "vrqx" in stems and all(s.startswith("vrqx") for s in stems)
+    got = {r["doc_id"] for r in quality.quality_rules(docs, labels=known).filter("rejected_by = 'toxic_stems'").collect()}
+    assert got == {i for i in range(0, 400, 8)}
+    assert quality.learn_stems(docs, known.limit(0)) == [] and quality.learn_stems(docs.limit(0), known) == []
+    assert quality.quality_rules(docs, labels=known.limit(0)).count() == len(rows)
+
+
 def test_contamination_paths_agree(spark, docs, rows, empty):
     bench = [(1, rows[0][1]), (2, "One"), (3, None), (4, "..."), (5, " ".join(rows[5][1].split()[2:14]).upper()), (6, "x x"), (6, "x x")]
     items = spark.createDataFrame(bench, "item_id long, text string")
