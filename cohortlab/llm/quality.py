@@ -63,7 +63,8 @@ def learn_stems(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, m
     own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # most_labels rows
     dense = own.select("toxic", let(_distinct_words(F.col("text")), lambda u: F.flatten(F.array(*[_dense_stems(u, k) for k in STEMS]))).alias("s"))
     total = own.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") != 1, 1)).alias("c")).first()
-    n = dense.select("toxic", F.explode("s").alias("stem")).groupBy("stem").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") != 1, 1)).alias("c"))
+    # an outer explode: the filter of a plain one would run before the join, over all documents
+    n = dense.select("toxic", F.explode_outer("s").alias("stem")).filter("stem is not null").groupBy("stem").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") != 1, 1)).alias("c"))
     good = n.filter((F.col("t") >= support) & (F.col("t") * total["c"] >= ratio * (F.col("c") + 1) * total["t"]))
     return [r["stem"] for r in good.orderBy(F.desc("t"), "stem").limit(most_stems).collect()]
 
