@@ -15,6 +15,13 @@ def deviation_pct(sizes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return g.withColumn("max_dev_pct", ratio(F.greatest(F.col("max_n") - F.col("mean_n"), F.col("mean_n") - F.col("min_n")), F.col("mean_n")) * 100)
 
 
+def traffic_balance(sizes: DataFrame) -> DataFrame:
+    """Deviation, spread and sample-ratio test of (group_id, n) on one row."""
+    spread = sizes.agg(F.stddev_pop("n").alias("std_n"))
+    test = srm(sizes).select("total", "chi2", "p_value", "passed")
+    return deviation_pct(sizes).join(spread).join(test)  # one row each
+
+
 def hash_diff(sizes: DataFrame) -> DataFrame:
     return sizes.agg(ratio(F.stddev_pop("n"), F.avg("n")).alias("hash_diff"))
 

@@ -58,6 +58,25 @@ def sequential_test(df: DataFrame, arm: str, y: str, alpha: float = 0.05, keys:
     return t.select(*keys, "n_t", "n_c", F.col("diff").alias("effect"), "t_stat", "p_value", bound.alias("boundary"), F.coalesce(F.col("p_value") < bound, F.lit(False)).alias("stop"))
 
 
+def sequential_trajectory(df: DataFrame, arm: str, y: str, period: str, alpha: float = 0.05) -> DataFrame:
+    """The sequential test at the end of every period on all rows so far; a row a period.
+
+    Rows are summed by period and arm first, so only the periods' sums go through the window.
+    """
+    own = lambda k, c: F.coalesce(F.sum(F.when(F.col(arm) == k, c)), F.lit(0.0))
+    v = F.col(y).cast("double")
+    one = df.filter(v.isNotNull() & F.col(arm).isin(0, 1)).groupBy(period).agg(*[own(k, c).alias(f"{a}_{s}") for k, s in ((1, "t"), (0, "c")) for c, a in ((F.lit(1.0), "n"), (v, "s"), (v * v, "q"))])
+    so_far = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
+    run = one.select(period, *[F.sum(c).over(so_far).alias(c) for c in one.columns if c != period])
+    mean = {s: ratio(F.col(f"s_{s}"), F.col(f"n_{s}")) for s in "tc"}
+    var = {s: ratio(F.col(f"q_{s}") - F.col(f"s_{s}") * mean[s], F.col(f"n_{s}") - 1) for s in "tc"}
+    t, nu = welch(mean["t"], var["t"], F.col("n_t"), mean["c"], var["c"], F.col("n_c"))
+    n = F.least("n_t", "n_c")
+    bound = F.when(n > 0, F.lit(alpha) * F.sqrt(F.log(1 + n) / n))
+    out = run.select(period, F.col("n_t").cast("long").alias("n_t"), F.col("n_c").cast("long").alias("n_c"), (mean["t"] - mean["c"]).alias("effect"), t.alias("t_stat"), nu.alias("nu"), bound.alias("boundary"))
+    return out.withColumn("p_value", p_t("t_stat", "nu")).withColumn("stop", F.coalesce(F.col("p_value") < F.col("boundary"), F.lit(False))).drop("nu")
+
+
 def pre_post(df: DataFrame, arm: str, pre: str, post: str, keys: list[str] = (), ddof: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Four estimators from one pass over the rows: plain, did, cuped, did_cuped; a row for each.
 

@@ -544,6 +544,64 @@ def rt27(spark, d):
     return rounded(spark.table(name))
 
 
+@query("bm06_traffic_balance", f"WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, avg(n) AS m, max(n) AS max_n, min(n) AS min_n, stddev_pop(n) AS sd, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) SELECT total, {r('m', 'mean_n')}, max_n, min_n, {r('greatest(max_n - m, m - min_n) / m * 100', 'max_dev_pct')}, {r('sd', 'std_n')}, {r('x', 'chi2')}, {r('p', 'p_value')}, p > 0.05 AS passed FROM q")
+def bm06(spark, d):
+    return rounded(balance.traffic_balance(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10)))
+
+
+@query("ag14_top_combinations", f"WITH {LAYER_SQL} SELECT rec, sch, ui, count(*) AS n FROM l GROUP BY ALL ORDER BY n DESC, rec, sch, ui LIMIT 5")
+def ag14(spark, d):
+    n = routing.route_layers(users(spark, d), LAYERS).groupBy(*LAYERS).agg(F.count("*").alias("n"))
+    return rounded(n.orderBy(F.desc("n"), *LAYERS).limit(5))
+
+
+@query("ag03_order_profile", f"SELECT o_custkey, {r('sum(o_totalprice)', 'total', 4)}, count(*) AS n, count(DISTINCT o_orderpriority) AS priorities, {r('max(o_totalprice)', 'largest', 4)} FROM orders GROUP BY 1")
+def ag03(spark, d):
+    o = read(spark, d, "orders")
+    return rounded(o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("priorities"), F.max("o_totalprice").alias("largest")), 4)
+
+
+POINTS = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query("ag08_percentiles", f"WITH {METRICS} SELECT arm, " + ", ".join(r(f"quantile_cont(post, {q})", n, 4) for n, q in POINTS.items()) + " FROM m GROUP BY 1")
+def ag08(spark, d):
+    return rounded(effects.bounds(metrics(spark, d), "arm", "post", POINTS), 4)
+
+
+@query("ag12_covariances", f"WITH {METRICS} SELECT arm, count(*) AS n, " + ", ".join(r(f"{f}({a})", f"{p}_{a}", 2) for a in ("pre", "post") for f, p in (("var_samp", "var"), ("var_pop", "vpop"))) + f", {r('covar_samp(pre, post)', 'cov_pre_post', 2)} FROM m GROUP BY 1")
+def ag12(spark, d):
+    from ..operators.moments import moments
+
+    out = moments(metrics(spark, d), ["arm"], ["pre", "post"], [("pre", "post")])
+    return rounded(out.select("arm", "n", "var_pre", "vpop_pre", "var_post", "vpop_post", "cov_pre_post"), 2)
+
+
+@query("jn02_left_join_history", f"SELECT c_custkey, coalesce(n, 0) AS n_orders, {r('coalesce(t, 0)', 'total', 4)} FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def jn02(spark, d):
+    own = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    c = read(spark, d, "customer").select("c_custkey")
+    return rounded(c.join(own, c["c_custkey"] == own["o_custkey"], "left").drop("o_custkey").fillna(0, ["n_orders", "total"]), 4)
+
+
+@query("jn03_semi_join_group", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE {h(USER, repr('exp_001'))} % 1000 % 10 = 3)")
+def jn03(spark, d):
+    """The orders of the customers of one group."""
+    own = users(spark, d, "c_custkey").filter(routing.pure_hash("user_id") == 3)
+    return rounded(read(spark, d, "orders").select("o_orderkey", "o_custkey").join(own, F.col("o_custkey") == F.col("c_custkey"), "left_semi"))
+
+
+@query("st07_sequential_trajectory", f"""WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm, value AS y FROM events WHERE value IS NOT NULL),
+g AS (SELECT day, {', '.join(f"count(*) FILTER (arm = {k})::DOUBLE AS n{s}, coalesce(sum(y) FILTER (arm = {k}), 0) AS s{s}, coalesce(sum(y * y) FILTER (arm = {k}), 0) AS q{s}" for k, s in ((1, 't'), (0, 'c')))} FROM e GROUP BY 1),
+w AS (SELECT day, {', '.join(f"sum({c}) OVER (ORDER BY day) AS {c}" for c in ('nt', 'st', 'qt', 'nc', 'sc', 'qc'))} FROM g),
+v AS (SELECT *, st / nt AS mt, sc / nc AS mc, (qt - st * st / nt) / (nt - 1) AS vt, (qc - sc * sc / nc) / (nc - 1) AS vc FROM w),
+t AS (SELECT *, (mt - mc) / sqrt(vt / nt + vc / nc) AS t, pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS nu, 0.05 * sqrt(ln(1 + least(nt, nc)) / least(nt, nc)) AS b FROM v)
+SELECT day, nt::BIGINT AS n_t, nc::BIGINT AS n_c, {r('mt - mc', 'effect', 4)}, {r('t', 't_stat', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {r('b', 'boundary', 4)}, {sqlfn.p_t('t', 'nu')} < b AS stop FROM t""")
+def st07(spark, d):
+    e = read(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), (murmur(F.concat(F.lit("user_"), F.col("user_id")), F.lit("ab")) % 2).cast("int").alias("arm"), F.col("value").alias("y"))
+    return rounded(effects.sequential_trajectory(e, "arm", "y", "day"), 4)
+
+
 # --- Monte-Carlo ---------------------------------------------------------------------------
 
 
