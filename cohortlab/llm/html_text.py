@@ -28,11 +28,18 @@ _ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _SPLIT = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe svg object textarea select button title".split())
-DROP = RAW | {"head"}
+# Text up to the end tag, or to the end of the page; and elements that go with all they hold.
+RAW = frozenset("script style textarea title noframes".split())
+UNREAD = frozenset("noscript template iframe svg object select button".split())
+DROP = RAW | UNREAD | {"head"}
+IN_HEAD = RAW | frozenset("html base basefont bgsound link meta noscript template".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+_UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|iframe|svg|object|select|button)(?![A-Za-z0-9:-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=]+\Z")
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+# What ends an element of UNREAD that has no end tag.
+BREAKS = P_ENDS | set(CLOSES) - {"option"} | {"body"}
 # Attribute tokens that speak for content and for boilerplate.
 GOOD = frozenset("article body content entry main post story text prose maincontent".split())
 BAD = frozenset("ad ads advert advertisement aside banner breadcrumb breadcrumbs comment comments consent cookie discussion footer form header login masthead menu nav navbar navigation newsletter notice pagination popup promo related reply respond share sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
@@ -40,8 +47,36 @@ TAGS = ("article", "main", "section", "div", "p", "h", "ul", "li", "nav", "heade
 FEATURES = ("text", "own", "link", "tags", "blocks", "mean", "depth", "start", "share", "index", "siblings", "sib_text", "sib_link", "good", "bad", "up_good", "up_bad", "punct", "upper", *TAGS)
 
 
+def _alone(name: str, attributes: str) -> bool:
+    """Whether '/>' ends the element (not for a value without quotes that ends with the slash)."""
+    return name in ("svg", "object", "iframe") and attributes.endswith("/") and not _UNQUOTED.search(attributes)
+
+
+def _ends(source: str) -> dict[int, int]:
+    """Where the elements of UNREAD end, by the end of their start tags; those without an end tag are left out."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _UNREAD.finditer(source):
+        name = (m.group(3) or "").lower()
+        if not name:
+            continue
+        at = opened.setdefault(name, [])
+        if m.group(2):
+            if at:
+                out[at.pop()] = m.end()
+        elif not _alone(name, m.group(4)):
+            if name in ("select", "button"):  # these hold none of their own kind
+                at.clear()
+            at.append(m.end())
+    return out
+
+
 class Page:
-    """The block elements of a page and the runs of text in them."""
+    """The block elements of a page and the runs of text in them.
+
+    A head without an end tag ends at what may not stand in it. An element of UNREAD without an
+    end tag ends with its parent or at the next block; only RAW ones reach to the end of the page.
+    """
 
     __slots__ = ("parent", "tag", "good", "bad", "runs", "child_tags")
 
@@ -49,15 +84,20 @@ class Page:
         self.parent, self.tag, self.good, self.bad, self.child_tags = [-1], ["#root"], [0], [0], [0]
         self.runs: list[list] = []  # [node, pieces, link characters]
         stack: list[tuple[str, int]] = [("#root", 0)]
-        fresh, links, skip, pos = True, 0, "", 0
+        fresh, links, pos = True, 0, 0
+        head = unread = 0  # where in the stack the open head and the element of UNREAD are
+        ends: dict[int, int] | None = None
         for m in _TOKEN.finditer(source):
             if m.start() < pos:
                 continue
             name = m.group(2)
             if name is None:
                 piece = m.group()
-                if piece[0] == "<" and len(piece) > 1:  # a comment or declaration
+                if piece[0] == "<" and len(piece) > 1 or unread:  # a comment or declaration
                     continue
+                if head and not piece.isspace():
+                    del stack[head:]
+                    head, fresh = 0, True
                 if fresh:
                     self.runs.append([stack[-1][1], [], 0])
                     fresh = False
@@ -66,21 +106,45 @@ class Page:
                     self.runs[-1][2] += len(piece)
                 continue
             name = name.lower()
-            node = stack[-1][1]
             if m.group(1):
                 at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                 if at:
                     links -= sum(n == "a" for n, _ in stack[at:])
-                    fresh = fresh or any(n not in INLINE for n, _ in stack[at:])
+                    if not unread or at < unread:
+                        fresh = fresh or any(n not in INLINE for n, _ in stack[at : unread or None])
                     del stack[at:]
-                elif name not in INLINE:
+                    head, unread = (x if x < len(stack) else 0 for x in (head, unread))
+                elif name not in INLINE and not unread:
+                    fresh = True
+                continue
+            if unread and name in BREAKS:
+                del stack[unread:]
+                unread, links = 0, sum(n == "a" for n, _ in stack)
+            if head and not unread and name not in IN_HEAD:
+                del stack[head:]
+                head, links, fresh = 0, 0, True
+            node = stack[-1][1]
+            if name in UNREAD:
+                if ends is None:
+                    ends = _ends(source)
+                pos = ends.get(m.end(), 0)
+                if not unread and name not in ("svg", "button", "select"):
                     fresh = True
+                if not pos and not _alone(name, m.group(3)):
+                    stack.append((name, node))
+                    unread = unread or len(stack) - 1
+                continue
+            if unread and m.group(3).endswith("/"):
                 continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, m.end())
                 pos = end.end() if end else len(source)
-                if name not in ("svg", "button", "select"):
-                    fresh = True
+                fresh = fresh or not unread
+                continue
+            if unread:
+                if name not in VOID:
+                    stack.append((name, node))
+                    links += name == "a"
                 continue
             if name in VOID:
                 self.child_tags[node] += 1
@@ -114,6 +178,8 @@ class Page:
             fresh = True
             if not m.group(3).endswith("/"):
                 stack.append((name, len(self.parent) - 1))
+                if name == "head":
+                    head = len(stack) - 1
         dropped = {i for i, t in enumerate(self.tag) if t in DROP}
         for i in range(1, len(self.parent)):
             if self.parent[i] in dropped:

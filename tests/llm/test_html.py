@@ -36,3 +36,18 @@ def test_rows_keep_their_columns(spark):
     got = H.main_text(df).orderBy("page_id").collect()
     assert [r["n_chars"] for r in got] == [len(got[0]["text"]), 0, 0] and got[1]["text"] == ""
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_left_out_and_missing_end_tags():
+    text = "First sentence of the story, which goes on for some words. "
+    body = f"<article><p>{text}</p><p>{text}</p></article>"
+    want = "\n".join([text.strip()] * 2)
+    for head in ("<head><title>t</title><meta charset=utf-8>", "<head><title>t</title><noscript><img src=x></noscript>", "<head><noscript><link rel=x>"):
+        assert one(f"<html>{head}<body>{body}</body></html>") == want
+        assert one(f"{head}{body}") == want
+    for odd in ("<svg width='1'/>", "<object data='x'/>", "<object data='x'>", "<button>Buy", "<select><option>One", "<template><b>x", "<noscript><b>x</b>", "<iframe src=x>", "<svg><g><svg><text>in</text></svg></g><text>leak</text></svg>", "<object><object>in</object>leak</object>", "<template><template>in</template>leak</template>"):
+        assert one(f"<body><div>{odd}</div>{body}</body>") == want, odd
+        assert one(f"<body>{odd}{body}</body>") == want, odd
+        assert one(f"<body>{body.replace('<p>', '<p>' + odd + '</p><p>', 1)}</body>") == want, odd
+    assert one(f"<body>{body}<script>x<p>{text}") == want
+    assert one(f"<body><article><p>{text}<svg><a><path></a></svg>{text}</p></article>") == f"{text}{text}".strip()
