@@ -42,25 +42,31 @@ def turn_text(role: Column, text: Column) -> Column:
     return F.when(role == "assistant", F.concat(F.lit(OPEN), body, F.lit(CLOSE))).otherwise(F.concat(F.lit(OPEN + ASK), body, F.lit(ASKED + CLOSE)))
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by tree_id, where nulls are equal, and `on`, where they are not."""
+    right = right.withColumnsRenamed({"tree_id": "_tree", on: "_on"})
+    return left.join(right, F.col("tree_id").eqNullSafe(F.col("_tree")) & (F.col(on) == F.col("_on")), how).drop("_tree", "_on")
+
+
 def paths(tree: DataFrame) -> DataFrame:
     """tree: (tree_id, node, parent). Returns (tree_id, leaf, node, depth): the members of each root-to-leaf path.
 
     Each round joins the table of jumps with itself, which doubles their length, so a path of
     depth d takes log2(d) joins. A parent that is null, missing or part of a cycle ends a path
-    (nodes of a cycle without a root have no path).
+    (nodes of a cycle without a root have no path). A null tree_id is a tree of its own.
     """
     known = tree.select("tree_id", F.col("node").alias("parent")).distinct()
     nodes = tree.select("tree_id", "node", "parent").dropDuplicates(["tree_id", "node"])
-    linked = nodes.join(known.withColumn("_there", F.lit(1)), ["tree_id", "parent"], "left").select("tree_id", "node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
+    linked = _join(nodes, known.withColumn("_there", F.lit(1)), "parent", "left").select("tree_id", "node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
     # steps: the nodes from `node` up to, not including, `up`
     state = cut(linked.withColumn("steps", F.array("node")))
     while (open_ := state.filter("up is not null")).limit(1).count():
         other = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
         # paths that have reached their root are not joined again
-        longer = open_.join(other, ["tree_id", "up"], "left").select("tree_id", "node", F.col("up2").alias("up"), F.when(F.col("steps2").isNull(), F.col("steps")).otherwise(F.concat("steps", "steps2")).alias("steps"))
+        longer = _join(open_, other, "up", "left").select("tree_id", "node", F.col("up2").alias("up"), F.when(F.col("steps2").isNull(), F.col("steps")).otherwise(F.concat("steps", "steps2")).alias("steps"))
         longer = cut(longer.filter(F.size("steps") == F.size(F.array_distinct("steps"))))  # a cycle repeats a node
         state = state.filter("up is null").unionByName(longer)
-    leaves = state.join(linked.select("tree_id", F.col("up").alias("node")).filter("node is not null").distinct(), ["tree_id", "node"], "left_anti")
+    leaves = _join(state, linked.select("tree_id", F.col("up").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
     return leaves.select("tree_id", F.col("node").alias("leaf"), F.posexplode(F.reverse("steps")).alias("depth", "node"))
 
 
@@ -71,9 +77,9 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     Paths of a tree are ranked by the mean score of their messages (null: 0), ties by leaf; best
     is how many are formatted (None: all). mask has the (start, length) in code points of every
     assistant text as it stands, escaped, in formatted. Null roles and texts are empty; of
-    messages with the same id one is taken. An empty table gives an empty result.
+    messages with the same id one is taken. Messages with a null tree_id are one tree. An empty table gives an empty result.
     """
-    member = paths(messages).join(messages.dropDuplicates(["tree_id", "node"]).select("tree_id", "node", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree_id", "node"])
+    member = _join(paths(messages), messages.dropDuplicates(["tree_id", "node"]).select("tree_id", "node", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
     role = F.coalesce("role", F.lit(""))
     turns = member.select("tree_id", "leaf", "score", F.struct("depth", role.alias("role"), turn_text(role, F.col("text")).alias("out"), F.length(escape_role(role)).alias("r")).alias("turn"))
     whole = turns.groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"), F.sort_array(F.collect_list("turn")).alias("turns"))

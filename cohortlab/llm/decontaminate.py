@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, table
+from .common import ascii_lower, let, own_key, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,18 +105,31 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = 10, shingl
         match = match.select("doc_id", "item_id", (F.col("i") - F.col("offset")).alias("start"), F.size("window").alias("length"))
         found = match if found is None else found.unionByName(match)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id string, start int, length int")
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, start int, length int")
     return found
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key: the doc_id, or for rows without one what tells their texts apart."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), own_key("text")))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, most: int = 50_000) -> DataFrame:
+    """The rows of docs that decontaminate() doesn't mark, those without a doc_id each on its own."""
+    keyed = _keyed(docs)
+    spans = contaminated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), items.select("item_id", "text"), size, shingle, most)
+    return keyed.join(spans.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, most: int = 50_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row per document.
 
     Null and empty texts have no words and no hits; items without words never match, items of
     fewer than `size` words match as one window. Rows that share a doc_id count as one document
-    with their hits joined. Extra columns are not read. An empty table gives an empty result.
+    with their hits joined; rows without a doc_id are each judged by their own text. Extra columns are not read. An empty table gives an empty result.
     """
-    spans = contaminated_spans(docs.select("doc_id", "text"), items.select("item_id", "text"), size, shingle, most)
+    keyed = _keyed(docs)
+    spans = contaminated_spans(keyed.select(F.col("_key").alias("doc_id"), "text"), items.select("item_id", "text"), size, shingle, most)
     hit = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("s"), F.collect_set("item_id").alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -124,9 +137,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, shingle: in
         return F.struct((acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"]))).alias("n"), F.greatest(acc["end"], end).alias("end"))
 
     covered = F.aggregate(F.sort_array("s"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
-    hit = hit.select("doc_id", covered.alias("n_hit"), F.size("items").alias("n_items"), F.array_join(F.sort_array("items"), ",").alias("items"))
-    sizes = docs.select("doc_id", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    out = sizes.join(hit, "doc_id", "left")
+    hit = hit.select(F.col("doc_id").alias("_key"), covered.alias("n_hit"), F.size("items").alias("n_items"), F.array_join(F.sort_array("items"), ",").alias("items"))
+    sizes = keyed.select("doc_id", "_key", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    out = sizes.join(hit, "_key", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),

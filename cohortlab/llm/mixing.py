@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, own_key, table, words
 
 
 def _uniform(*cols: Column | str) -> Column:
@@ -89,30 +89,31 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     spread over tasks. Ordering by mix_key interleaves the sources in proportion.
 
     Documents without words (null, empty) cost nothing and are used once per whole pass. Repeated
-    rows share a place but stay. Null sources mix as one source. Extra columns stay; input
-    columns with the added names are replaced. An empty table gives an empty result.
+    rows share a place but stay. Null sources mix as one source. Rows without a doc_id are used like
+    any other, told apart by source and text. Extra columns stay; input columns with the added
+    names are replaced. An empty table gives an empty result.
     """
-    added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_key", "passes", "rest", "tokens", "target")
-    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long"))
-    narrow = cut(src.select("doc_id", "source", "n_tokens"))
+    added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_key", "_own", "passes", "rest", "tokens", "target")
+    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_own", own_key("source", "text"))
+    narrow = cut(src.select("doc_id", "_own", "source", "n_tokens"))
     plan = source_weights(narrow, max_repeats, target_entropy, budget)
     sizes = narrow.groupBy("source").agg(F.count("*").alias("_n"))
     plan = cut(sizes.join(plan, sizes["source"].eqNullSafe(plan["source"]), "left").select(sizes["source"].alias("_source"), F.greatest(F.lit(1), F.ceil(F.col("_n") / block_docs)).alias("_blocks"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("rest", F.lit(0.0)).alias("rest")))
-    blocked = narrow.join(plan, narrow["source"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_blocks")))
+    blocked = narrow.join(plan, narrow["source"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64("doc_id", "_own", F.lit(seed)), F.col("_blocks")))  # hashes pass over nulls
     # the tokens of blocks that come before a block in the further pass
     per = blocked.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_c"))
     order = Window.partitionBy("source").orderBy(_uniform("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_before"), F.coalesce(F.count("*").over(order), F.lit(0)).alias("_at"))
     one = blocked.join(per, blocked["source"].eqNullSafe(per["_s"]) & (blocked["block"] == per["_b"])).drop("_s", "_b")
-    inside = Window.partitionBy("source", "block").orderBy("_key", "doc_id")
-    placed = one.withColumn("_key", _uniform("doc_id", F.lit(seed + 2)))
+    inside = Window.partitionBy("source", "block").orderBy("_key", "doc_id", "_own")
+    placed = one.withColumn("_key", _uniform("doc_id", "_own", F.lit(seed + 2)))
     placed = placed.withColumns({"place": F.row_number().over(inside), "_sum": F.col("_before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_size": F.count("*").over(Window.partitionBy("source", "block"))})
     extra = ((F.col("n_tokens") > 0) & (F.col("_sum") <= F.col("rest"))).cast("int")
     used = placed.withColumn("_times", F.col("passes") + extra).filter("_times > 0")
-    used = used.select("doc_id", "weight", "block", "place", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("pass"), ((F.col("_at") + (F.col("place") - 1) / F.col("_size")) / F.col("_blocks")).alias("_u"))
+    used = used.select(F.col("doc_id").alias("_id"), F.col("_own").alias("_used"), "weight", "block", "place", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("pass"), ((F.col("_at") + (F.col("place") - 1) / F.col("_size")) / F.col("_blocks")).alias("_u"))
     used = used.withColumn("mix_key", F.col("pass") - 1 + F.col("_u")).drop("_u")
-    used = used.dropDuplicates(["doc_id", "pass"])
-    return src.join(used, "doc_id")
+    used = used.dropDuplicates(["_id", "_used", "pass"])
+    return src.join(used, src["doc_id"].eqNullSafe(used["_id"]) & src["_own"].eqNullSafe(used["_used"])).drop("_id", "_used", "_own")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

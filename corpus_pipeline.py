@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import checkpoint_dir, table
-from cohortlab.llm.decontaminate import decontaminate
+from cohortlab.llm.decontaminate import without_contaminated
 from cohortlab.llm.jaccard import near_duplicates
 from cohortlab.llm.mixing import mix_sources
 from cohortlab.llm.pii import personal_data
@@ -35,8 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

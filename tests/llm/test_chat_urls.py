@@ -44,3 +44,9 @@ def test_urls_edges(spark):
     assert (got[1]["host"], got[1]["path"], got[1]["verdict"]) == ("", "", "allow") and got[2]["host"] == ""
     assert (got[3]["host"], got[3]["rule"], got[3]["verdict"]) == ("a.example.org", "example.org/es/", "block")
     assert got[4]["rule"] is None and got[5]["verdict"] == "block" and got[6]["path"] == ""
+
+
+def test_null_tree_is_a_tree(spark):
+    rows = [(t, i, i - 1 if i else None, "user", f"{t} {i}", 0.0) for t in (None, 0) for i in range(5)]
+    got = {r["tree_id"]: r["formatted"] for r in chat.format_trees(spark.createDataFrame(rows, TREE)).collect()}
+    assert set(got) == {None, 0} and all(got[t].count("</s>") == 5 and f"{t} 4" in got[t] for t in got)

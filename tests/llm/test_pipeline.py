@@ -1,5 +1,5 @@
 import corpus_pipeline
-from cohortlab.llm import registry
+from cohortlab.llm import decontaminate, registry
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,18 @@ def test_null_source_columns(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "a", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs.withColumn("doc_id", F.col("doc_id")), "/root/testdata/sf0.001").collect()
+
+
+def test_documents_without_an_id(spark):
+    d = "/root/testdata/sf0.001"
+    held = spark.read.parquet(f"{d}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first()["text"]
+    rows = [(None, held, "en", "a", 0), (None, "a clean text", "en", "a", 0), (None, "a clean text", "en", "a", 0), (None, "another text", "en", None, 0), (None, None, None, None, None), (1, "with an id", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted(str(r["text"]) for r in df.collect())
+    want = sorted(["None", "a clean text", "a clean text", "another text", "with an id"])
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()
+    assert len(found) == len(rows) and [r["n_words"] for r in found if r["contaminated"]] == [max(r["n_words"] for r in found)]
+    kept = corpus_pipeline.decontaminate_stage(spark, docs, d)
+    assert texts(kept) == want and kept.columns == docs.columns
+    mixed = corpus_pipeline.mixing_stage(spark, kept, d).cache()
+    assert texts(mixed.filter("pass = 1")) == want and not {"_own", "_id", "_used"} & set(mixed.columns)
