@@ -226,11 +226,17 @@ def compare_bandits(spark: SparkSession, arms: list[float], steps: int = 5000, t
     return grid.mapInPandas(run, "algorithm string, reward double, regret double").groupBy("algorithm").agg(F.count("*").alias("trials"), F.avg("reward").alias("mean_reward"), F.stddev_pop("reward").alias("std_reward"), F.avg("regret").alias("mean_regret"), F.stddev_pop("regret").alias("std_regret"))
 
 
+def _each_trial(users: DataFrame, trials: int, user: str) -> DataFrame:
+    """A row per user and trial, dealt out first: the rows are made and summed in a pass, not stored."""
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return users.repartition(parts, user).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+
+
 def power_study(users: DataFrame, pre: str, post: str, trials: int, effect: float, user: str = "user_id", multiplicative: bool = True, alpha: float = 0.05) -> DataFrame:
     """Share of trials in which each pre/post estimator finds an effect put in by chance of arm."""
     from .effects import pre_post
 
-    t = users.select(user, pre, post).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    t = _each_trial(users.select(user, pre, post), trials, user)
     t = t.withColumn("arm", (uniform(F.lit("arm"), "trial", user) < 0.5).cast("int"))
     y = F.when(F.col("arm") == 1, F.col(post) * (1 + effect) if multiplicative else F.col(post) + effect).otherwise(F.col(post))
     r = pre_post(t.withColumn("_y", y), "arm", pre, "_y", ["trial"])
@@ -241,7 +247,7 @@ def aa_trials(users: DataFrame, y: str, trials: int, user: str = "user_id", alph
     """(trial, effect, p_value) of splits without an effect."""
     from .effects import continuous_test
 
-    t = users.select(user, y).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("arm", (uniform(F.lit("aa"), "trial", user) < 0.5).cast("int"))
+    t = _each_trial(users.select(user, y), trials, user).withColumn("arm", (uniform(F.lit("aa"), "trial", user) < 0.5).cast("int"))
     return continuous_test(t, "arm", y, alpha, ["trial"]).select("trial", F.col("diff").alias("effect"), "ci_low", "ci_high", "p_value")
 
 

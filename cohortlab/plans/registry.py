@@ -664,7 +664,7 @@ def mc08(spark, d):
 
 @query("mc13_power")
 def mc13(spark, d):
-    return rounded(simulate.power_study(metrics(spark, d), "pre", "post", 20, 0.05))
+    return rounded(simulate.power_study(metrics(spark, d), "pre", "post", 200, 0.05))
 
 
 @query("mc18_bandits")
@@ -674,7 +674,7 @@ def mc18(spark, d):
 
 @query("st10_aa")
 def st10(spark, d):
-    return rounded(simulate.aa_report(simulate.aa_trials(metrics(spark, d), "post", 40)))
+    return rounded(simulate.aa_report(simulate.aa_trials(metrics(spark, d), "post", 1000)))
 
 
 @query("rp02_report")

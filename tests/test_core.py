@@ -147,3 +147,11 @@ def test_no_rows(spark):
     assert effects.continuous_test(none, "arm", "y").first()["p_value"] is None
     assert effects.stability(none, "arm", "y", ["k"]).count() == 0
     assert balance.deviation_pct(routing.group_sizes(none.withColumn("group_id", F.lit(0)), 3)).first()["max_dev_pct"] is None
+
+
+def test_studies_have_all_their_trials(spark):
+    from cohortlab.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    assert registry.QUERIES["st10_aa"](spark, d).first()["trials"] == 1000
+    assert {r["trials"] for r in registry.QUERIES["mc13_power"](spark, d).collect()} == {200}
