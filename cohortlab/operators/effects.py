@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.special import p_norm, p_t
+from .frames import percentiles, running
 from .moments import arms, ratio, welch
 
 Z95 = 1.96
@@ -141,7 +142,7 @@ def multi_cuped(df: DataFrame, arm: str, y: str, covariates: list[str], keys: li
 
 def bounds(df: DataFrame, arm: str, y: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles of y by arm, one row an arm."""
-    return df.groupBy(arm).agg(*[F.percentile(y, F.lit(p)).alias(n) for n, p in points.items()])
+    return percentiles(df, y, points, [arm])
 
 
 def winsorize(df: DataFrame, arm: str, y: str, low: float = 0.05, high: float = 0.95, name: str = "winsorized") -> DataFrame:
@@ -159,14 +160,8 @@ def mann_whitney(df: DataFrame, arm: str, y: str) -> DataFrame:
     Works on the distinct values with their counts: the rank of a value is what lies below it
     plus half its ties. Values are ranked by range, not in one task.
     """
-    from .routing import with_rank
-
     v = df.filter(F.col(y).isNotNull() & F.col(arm).isin(0, 1)).groupBy(F.col(y).alias("v")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(arm) == 1, 1).otherwise(0)).alias("nt"))
-    placed = v.repartitionByRange("v").withColumn("_part", F.spark_partition_id())
-    part = placed.groupBy("_part").agg(F.sum("n").alias("s"))
-    before = part.select("_part", F.coalesce(F.sum("s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = F.sum("n").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    r = placed.withColumn("_i", inside).join(F.broadcast(before), "_part").withColumn("rank", F.col("_b") + F.col("_i") - F.col("n") + (F.col("n") + 1) / 2)
+    r = running(v, ["v"], {"_b": F.col("n")}).withColumn("rank", F.col("_b") + (F.col("n") + 1) / 2)
     n = F.col("n").cast("double")
     s = r.agg(F.sum(F.col("nt") * F.col("rank")).alias("rt"), F.sum("nt").cast("double").alias("n_t"), F.sum(F.col("n") - F.col("nt")).cast("double").alias("n_c"), F.sum(n * n * n - n).alias("ties"))
     nt, nc = F.col("n_t"), F.col("n_c")
@@ -246,17 +241,11 @@ def stability(df: DataFrame, arm: str, y: str, order: list[str]) -> DataFrame:
     positions status is insufficient_data. The prefix sums are taken by range, then the arms
     meet on their position.
     """
-    from .routing import with_rank
-
-    sides = []
-    for code, s in ((1, "t"), (0, "c")):
-        own = df.filter((F.col(arm) == code) & F.col(y).isNotNull()).select(F.col(y).cast("double").alias("y"), *order)
-        k = with_rank(own, order)
-        block = k.groupBy(F.floor(F.col("k") / 4096).alias("b")).agg(F.sum("y").alias("s"))
-        before = block.select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_s"))
-        run = F.sum("y").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-        sides.append(k.withColumn("b", F.floor(F.col("k") / 4096)).withColumn("_r", run).join(before, "b").select("k", ((F.col("_r") + F.col("_s")) / (F.col("k") + 1)).alias(s)))
-    e = sides[0].join(sides[1], "k").select("k", (F.col("t") - F.col("c")).alias("e"))
+    own = df.filter(F.col(arm).isin(0, 1) & F.col(y).isNotNull()).select(F.col(arm).cast("int").alias("a"), F.col(y).cast("double").alias("y"), *order)
+    k = running(own, order, {"k": F.lit(1).cast("long"), "_s": F.col("y")}, ["a"])
+    mean = (F.col("_s") + F.col("y")) / (F.col("k") + 1)
+    e = k.groupBy("k").agg(*[F.max(F.when(F.col("a") == code, mean)).alias(s) for code, s in ((1, "t"), (0, "c"))])
+    e = e.filter("t is not null and c is not null").select("k", (F.col("t") - F.col("c")).alias("e"))
     n = e.agg(F.count("*").alias("n"))
     third, chunk = F.floor(F.col("n") / 3), F.floor(F.col("n") / 10)
     e = e.join(F.broadcast(n)).withColumn("c", F.when(chunk > 0, F.floor(F.col("k") / chunk)))

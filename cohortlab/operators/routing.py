@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.murmur import murmur
+from .frames import percentiles, running, with_rank
 
 SALT = "exp_001"
 
@@ -89,17 +90,6 @@ def route_quota(users: DataFrame, user: str = "user_id", buckets: int = 1000, gr
     return users.withColumn("bucket", bucket(user, salt, buckets)).join(F.broadcast(table), "bucket")
 
 
-def with_rank(df: DataFrame, order: list[str], name: str = "k", parts: int | None = None) -> DataFrame:
-    """Adds the 0-based rank in a global order without one task holding all rows: ranks within
-    ranges, plus the rows of the ranges before."""
-    placed = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    placed = placed.withColumn("_part", F.spark_partition_id())
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
-
-
 def slot_counts(spark: SparkSession, capacity: int, groups: int, salt: str = SALT) -> DataFrame:
     """(group_id, slots): made-up users v_00000000... dealt by assign_groups."""
     return group_sizes(assign_groups(virtual_ids(spark, capacity, "v_%08d"), "user_id", min(capacity, 1000), groups, salt), groups).withColumnRenamed("n", "slots")
@@ -126,7 +116,8 @@ def hybrid_route(arrivals: DataFrame, order: list[str], buckets: int = 1000, gro
     ranked = with_rank(arrivals, order).withColumn("hash_group", pure_hash(user, salt, buckets, groups)).withColumn("w", F.floor(F.col("k") / window))
     per = ranked.groupBy("w", "hash_group").agg(F.count("*").alias("n"))
     grid = per.select("w").distinct().withColumn("hash_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    run = grid.join(per, ["w", "hash_group"], "left").withColumn("c", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("hash_group").orderBy("w")))
+    full = grid.join(per, ["w", "hash_group"], "left").fillna(0, ["n"])
+    run = running(full, ["w"], {"_c": F.col("n")}, ["hash_group"]).withColumn("c", F.col("_c") + F.col("n"))
     check = run.groupBy("w").agg(F.max("c").alias("top"), F.sum("c").alias("all")).filter((F.col("all") % window == 0) & (F.col("top") / (F.col("all") / groups) - 1 > threshold))
     switch = check.agg(F.coalesce((F.min("w") + 1) * window, F.lit(2**62)).alias("switch"))
     quota = quota_table(arrivals.sparkSession, buckets, groups, quota_salt).withColumnRenamed("group_id", "quota_group")
@@ -136,7 +127,7 @@ def hybrid_route(arrivals: DataFrame, order: list[str], buckets: int = 1000, gro
 
 def quantile_bin(df: DataFrame, col: str, bins: int) -> Column:
     """0-based quantile bin: right-closed, the lowest value included, equal edges merged. One row of edges is collected."""
-    edges = df.agg(*[F.percentile(col, F.lit(i / bins)).alias(f"e{i}") for i in range(bins + 1)]).first()
+    edges = percentiles(df, col, {f"e{i}": i / bins for i in range(bins + 1)}).first() or ()
     inner = sorted({e for e in edges if e is not None})[1:-1]
     out = F.lit(0)
     for e in inner:
@@ -150,9 +141,8 @@ def create_strata(df: DataFrame, features: list[str], bins: int = 3) -> DataFram
 
 
 def stratified_assign(df: DataFrame, groups: int = 10, capacity: int | None = None, salt: str = SALT, user: str = "user_id") -> DataFrame:
-    """Round robin within each stratum in hash order; rows beyond a stratum's capacity get -1."""
-    order = Window.partitionBy("stratum").orderBy("_h", user)
-    out = df.withColumn("_h", murmur(user, F.lit(salt))).withColumn("_k", F.row_number().over(order) - 1)
+    """Round robin within each stratum in hash order; rows beyond a stratum's capacity get -1. A stratum is ranked by ranges."""
+    out = with_rank(df.withColumn("_h", murmur(user, F.lit(salt))), ["_h", user], "_k", keys=["stratum"])
     group = F.col("_k") % groups
     if capacity is not None:
         group = F.when(F.col("_k") < capacity, group).otherwise(-1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.murmur import uniform
+from ..operators.frames import percentiles
 
 USERS = "user_id STRING, age INT, credit_score INT, yearly_income STRING, total_debt STRING"
 TRANSACTIONS = "client_id STRING, date STRING, amount STRING, use_chip STRING, merchant_id STRING, merchant_city STRING, merchant_state STRING"
@@ -81,7 +82,8 @@ def user_consumption(tx: DataFrame, client: str = "client_id", at: str = "date",
     """Per client the mean, count and sum before and after the exact time quantile, and monthly
     values; clients with rows on both sides. One pass over the rows after the split point."""
     tx = tx.withColumn(at, F.col(at).cast("timestamp"))
-    cut = tx.agg(F.percentile(F.unix_micros(at), F.lit(quantile)).cast("long").alias("s"), F.unix_micros(F.min(at)).alias("lo"), F.unix_micros(F.max(at)).alias("hi"))
+    micros = tx.select(F.unix_micros(at).alias("m"))
+    cut = percentiles(micros, "m", {"s": quantile}).select(F.col("s").cast("long").alias("s")).join(micros.agg(F.min("m").alias("lo"), F.max("m").alias("hi")))
     t = tx.join(F.broadcast(cut)).withColumn("_pre", F.unix_micros(at) < F.col("s"))  # one row
     agg = []
     for name, cond in (("pre", F.col("_pre")), ("post", ~F.col("_pre"))):
