@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from cohortlab.llm import decontaminate, jaccard, mixing, pii, quality, scoring, suffixes
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, source string, kept string, w long, h long"
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,10 +147,24 @@ def test_toxic_stems_are_learned(spark):
     assert "vrqx" in stems and all(s.startswith("vrqx") for s in stems)
     got = {r["doc_id"] for r in quality.quality_rules(docs, labels=known).filter("rejected_by = 'toxic_stems'").collect()}
     assert got == {i for i in range(0, 400, 8)}
-    assert quality.learn_stems(docs, known.limit(0)) == [] and quality.learn_stems(docs.limit(0), known) == []
+    assert set(quality.learn_words(docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 8 == 0, F.lit(" Zonk!")).otherwise(""))), known)) == {"zonk"}
+    assert quality.learn_words(docs, known.limit(0)) == [] and quality.learn_stems(docs, known.limit(0)) == [] and quality.learn_stems(docs.limit(0), known) == []
     assert quality.quality_rules(docs, labels=known.limit(0)).count() == len(rows)
 
 
+def test_cascade_takes_what_rejects_most_for_its_cost(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), i % 10 < 8, i % 10 == 9) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, many boolean, few boolean")
+    slow = "length(regexp_replace(regexp_replace(text, '[a-m]+', 'z'), '[n-z0-9]+', 'yy')) > 0 and {}"
+    rules = [quality.Rule("again", "many"), quality.Rule("dear", slow.format("many")), quality.Rule("few", "few"), quality.Rule("never", "false")]
+    order = [r.name for r in quality.cascade_order(docs, rules)]
+    # once the cheap rule has run, its dear twin has nothing left to reject
+    assert order[0] == "again" and order[1] == "few" and set(order[2:]) == {"dear", "never"}
+    got = quality.quality_rules(docs, rules).groupBy("rejected_by").count().collect()
+    assert {r["rejected_by"]: r["count"] for r in got} == {"again": 400, "few": 50, None: 50}
+    assert quality.quality_rules(docs, list(reversed(rules))).filter("kept").count() == 50
+
+
 def test_contamination_paths_agree(spark, docs, rows, empty):
     bench = [(1, rows[0][1]), (2, "One"), (3, None), (4, "..."), (5, " ".join(rows[5][1].split()[2:14]).upper()), (6, "x x"), (6, "x x")]
     items = spark.createDataFrame(bench, "item_id long, text string")
