@@ -44,6 +44,23 @@ def test_urls_edges(spark):
     assert (got[1]["host"], got[1]["path"], got[1]["verdict"]) == ("", "", "allow") and got[2]["host"] == ""
     assert (got[3]["host"], got[3]["rule"], got[3]["verdict"]) == ("a.example.org", "example.org/es/", "block")
     assert got[4]["rule"] is None and got[5]["verdict"] == "block" and got[6]["path"] == ""
+    assert urls.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_rules_by_brute_force_and_canonical_globs():
+    import random
+
+    rng = random.Random(4)
+    rules = [("a", "/", "allow"), ("b.a", "/x", "block"), ("b.a", "/x/y", "allow"), ("c", "/", "block")]
+    automaton = urls.GlobAutomaton([f"*.{h}{urls.SEP}{p}*" for h, p, _ in rules])
+    seen = [("".join(rng.choice("ab.c") for _ in range(rng.randint(0, 5))), "".join(rng.choice("/xy.a") for _ in range(rng.randint(0, 6)))) for _ in range(3000)]
+    got = automaton.match([f".{h}{urls.SEP}{p}" for h, p in seen])
+    assert got.tolist() == [[(h == x or h.endswith("." + x)) and p.startswith(y) for x, y, _ in rules] for h, p in seen]
+    assert urls.canonical("u@h.com:80", "/A//%7Eb%2ezip%25") == ("h.com", "/a/~b.zip%25")
+    blocked = urls.GlobAutomaton([h + urls.SEP + p for _, h, p in urls.BLOCKED])
+    assert blocked.words > 10
+    hit = lambda h, p: bool(blocked.match([f".{h}{urls.SEP}{p}"]).any())
+    assert hit("online-casino.net", "/") and hit("ads.site.com", "/x") and hit("x.com", "/a/setup.exe") and not hit("alphabets.com", "/adult-education/loading.html")
 
 
 def test_null_tree_is_a_tree(spark):
