@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import checkpoint_dir, cut  # noqa: F401
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -17,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc.getCheckpointDir():
-        base = os.path.join(tempfile.gettempdir(), "cohortlab-checkpoints")
-        sc.setCheckpointDir(base)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression once for use inside lambdas, which would otherwise evaluate it for each element."""
     return F.transform(F.array(value), body)[0]
