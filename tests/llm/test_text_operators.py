@@ -165,27 +165,31 @@ def test_cascade_takes_what_rejects_most_for_its_cost(spark):
     assert quality.quality_rules(docs, list(reversed(rules))).filter("kept").count() == 50
 
 
-def test_contamination_paths_agree(spark, docs, rows, empty):
-    bench = [(1, rows[0][1]), (2, "One"), (3, None), (4, "..."), (5, " ".join(rows[5][1].split()[2:14]).upper()), (6, "x x"), (6, "x x")]
-    items = spark.createDataFrame(bench, "item_id long, text string")
+def test_contamination_by_brute_force(spark, docs, rows, empty):
+    bench = [(1, rows[0][1]), (2, "One"), (3, None), (4, "..."), (5, " ".join(rows[5][1].split()[2:14]).upper()), (6, "x x"), (6, "x x"), (7, rows[0][1])]
+    items = spark.createDataFrame([(*b, "k") for b in bench], "item_id long, text string, window string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     wins = {(str(i), tuple(w[j : j + 10])) for i, t in bench if (w := split(t)) for j in range(max(1, len(w) - 9))}
-    want = {}
-    for i, t, _ in rows:
-        w = split(t)
-        hit, own = want.setdefault(i, (set(), set()))
+    more = [(0, "one"), (0, "nothing"), (None, rows[0][1]), (None, "clean"), (None, None)]
+
+    def judged(t):
+        w, hit, own = split(t), set(), set()
         for item, x in wins:
             for p in range(len(w) - len(x) + 1):
                 if tuple(w[p : p + len(x)]) == x:
                     hit |= set(range(p, p + len(x)))
                     own.add(item)
-    for most in (50_000, 2):
-        for r in decontaminate.decontaminate(docs, items, most=most).collect():
-            hit, own = want[r["doc_id"]]
-            assert (r["n_hit"], r["n_items"], r["contaminated"]) == (len(hit), len(own), bool(hit)), r
-            assert r["items_sha256"] == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
+        return len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)
+
+    all_docs = docs.unionByName(spark.createDataFrame([(a, b, "s", "k", 1, 2) for a, b in more], DOCS))
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.decontaminate(all_docs, items).collect())
+    want = [(i, t) for i, t, _ in rows] + more
+    assert got == Counter((i, *judged(t)) for i, t in want)
+    kept = Counter((r["doc_id"], r["text"]) for r in decontaminate.without_contaminated(all_docs, items).collect())
+    assert kept == Counter((i, t) for i, t in want if not judged(t)[-1])
     assert decontaminate.decontaminate(empty, items).count() == 0
     assert not decontaminate.decontaminate(docs, items.limit(0)).filter("contaminated").count()
+    assert decontaminate.without_contaminated(docs, items.limit(0)).count() == len(rows)
 
 
 def test_personal_data(spark, empty):
