@@ -32,11 +32,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def own_key(*cols: str) -> Column:
-    """What tells rows without a doc_id apart: a hash of cols; null for rows that have a doc_id."""
-    return F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct(*cols)), 256))
-
-
 def chunks_for(docs: DataFrame, text: str = "text", chunk_bytes: int = 8 << 20) -> int:
     """How many chunks of about chunk_bytes the texts make."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0

@@ -6,12 +6,11 @@ whole passes over each source plus whole blocks, and one part of a block, of a f
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, own_key, table, words
+from ..operators.frames import running
+from .common import cut, let, table, words
 
 
 def _uniform(*cols: Column | str) -> Column:
@@ -20,44 +19,43 @@ def _uniform(*cols: Column | str) -> Column:
 
 
 def bisect_exponent(shares: DataFrame, max_repeats: float | None, target_entropy: float | None, steps: int = 40) -> float:
-    """The largest exponent in [0, 1] whose weights meet the limit, to 2**-steps.
+    """The exponent in [0, 1] whose weights meet the limit, to 2**-steps.
 
     shares: (source, tokens). Of the weights p**a / sum(p**a), the entropy falls with a (for a
     >= 0), and so do the repeats of the smallest source against the largest. target_entropy is
-    in nats, a least value; max_repeats is the most passes over any source when every source is
-    passed at least once. Each step is one aggregate over the table of sources.
+    in nats, a least value: the largest a that meets it changes shares least. max_repeats is the
+    most passes over any source when every source is passed at least once: the least a that
+    meets it is the flattest allowed. The whole bisection is one expression over one row with
+    the shares of all sources, 8 bytes a source.
     """
     if max_repeats is None and target_entropy is None:
         return 1.0
-    low, high = 0.0, 1.0
-    if not shares.limit(1).count():
-        return 1.0
-    total = F.lit(float(shares.agg(F.sum("tokens")).first()[0]))
-
-    def fits(a: float) -> bool:
-        p = F.col("tokens") / total
-        r = shares.agg(F.sum(F.pow(p, F.lit(a))).alias("z"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias("l"), F.min(p).alias("least"), F.max(p).alias("most")).first()
-        entropy = math.log(r["z"]) - a * r["l"] / r["z"]
-        repeats = (r["least"] / r["most"]) ** (a - 1)
-        return (target_entropy is None or entropy >= target_entropy) and (max_repeats is None or repeats <= max_repeats)
-
-    # repeats fall and entropy falls as a rises: with a repetition limit the least a that fits is
-    # the flattest allowed; with an entropy target the largest a that fits changes shares least
-    if target_entropy is not None:
-        if fits(1.0):
-            return 1.0
-        if not fits(0.0):
-            return 0.0
-        for _ in range(steps):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(mid) else (low, mid)
-        return low
-    if fits(0.0):
-        return 0.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (low, mid) if fits(mid) else (mid, high)
-    return high
+    one = shares.agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t")).filter(F.size("t") > 0)
+    one = one.select(F.transform("t", lambda x: x / F.aggregate("t", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+
+    def fits(a: Column) -> Column:
+        z = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.pow(x, a))
+        log = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.pow(x, a) * F.log(x))
+        ok = F.lit(True)
+        if target_entropy is not None:
+            ok &= F.log(z) - a * log / z >= target_entropy
+        if max_repeats is not None:
+            ok &= F.pow(F.array_min("p") / F.array_max("p"), a - 1) <= max_repeats
+        return ok
+
+    up = target_entropy is not None  # whether a that meets the limit lets the next be larger
+
+    def step(acc: Column, _: Column) -> Column:
+        half = let((acc["lo"] + acc["hi"]) / 2, lambda m: F.struct(m.alias("m"), fits(m).alias("ok")))
+        return let(half, lambda h: F.when(h["ok"] == up, F.struct(h["m"].alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), h["m"].alias("hi"))))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)
+    if up:
+        a = F.when(fits(F.lit(1.0)), 1.0).when(~fits(F.lit(0.0)), 0.0).otherwise(found["lo"])
+    else:
+        a = F.when(fits(F.lit(0.0)), 0.0).otherwise(found["hi"])
+    row = one.select(a.alias("a")).first()
+    return row["a"] if row else 1.0
 
 
 def source_weights(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, steps: int = 40) -> DataFrame:
@@ -89,31 +87,35 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     spread over tasks. Ordering by mix_key interleaves the sources in proportion.
 
     Documents without words (null, empty) cost nothing and are used once per whole pass. Repeated
-    rows share a place but stay. Null sources mix as one source. Rows without a doc_id are used like
-    any other, told apart by source and text. Extra columns stay; input columns with the added
-    names are replaced. An empty table gives an empty result.
+    rows share a place but stay. Null sources mix as one source. Rows are told apart by doc_id,
+    source and text, so rows without a doc_id or with a shared one are used like any other. Extra
+    columns stay; input columns with the added names are replaced. An empty table gives an empty result.
     """
-    added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_key", "_own", "passes", "rest", "tokens", "target")
-    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_own", own_key("source", "text"))
-    narrow = cut(src.select("doc_id", "_own", "source", "n_tokens"))
+    added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_order", "_key", "passes", "rest", "tokens", "target")
+    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_key", _row_key())
+    narrow = cut(src.select("_key", "source", "n_tokens"))
     plan = source_weights(narrow, max_repeats, target_entropy, budget)
     sizes = narrow.groupBy("source").agg(F.count("*").alias("_n"))
     plan = cut(sizes.join(plan, sizes["source"].eqNullSafe(plan["source"]), "left").select(sizes["source"].alias("_source"), F.greatest(F.lit(1), F.ceil(F.col("_n") / block_docs)).alias("_blocks"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("rest", F.lit(0.0)).alias("rest")))
-    blocked = narrow.join(plan, narrow["source"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64("doc_id", "_own", F.lit(seed)), F.col("_blocks")))  # hashes pass over nulls
+    blocked = narrow.join(plan, narrow["source"].eqNullSafe(plan["_source"])).withColumn("block", F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("_blocks")))
     # the tokens of blocks that come before a block in the further pass
-    per = blocked.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_c"))
-    order = Window.partitionBy("source").orderBy(_uniform("block", F.lit(seed + 1)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_before"), F.coalesce(F.count("*").over(order), F.lit(0)).alias("_at"))
+    per = blocked.groupBy("source", "block").agg(F.sum("n_tokens").alias("_t")).withColumn("_order", _uniform("block", F.lit(seed + 1)))
+    per = running(per, ["_order", "block"], {"_before": F.col("_t"), "_at": F.lit(1).cast("long")}, ["source"]).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "_before", "_at")
     one = blocked.join(per, blocked["source"].eqNullSafe(per["_s"]) & (blocked["block"] == per["_b"])).drop("_s", "_b")
-    inside = Window.partitionBy("source", "block").orderBy("_key", "doc_id", "_own")
-    placed = one.withColumn("_key", _uniform("doc_id", "_own", F.lit(seed + 2)))
+    inside = Window.partitionBy("source", "block").orderBy("_order", "_key")
+    placed = one.withColumn("_order", _uniform("_key", F.lit(seed + 2)))
     placed = placed.withColumns({"place": F.row_number().over(inside), "_sum": F.col("_before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_size": F.count("*").over(Window.partitionBy("source", "block"))})
     extra = ((F.col("n_tokens") > 0) & (F.col("_sum") <= F.col("rest"))).cast("int")
     used = placed.withColumn("_times", F.col("passes") + extra).filter("_times > 0")
-    used = used.select(F.col("doc_id").alias("_id"), F.col("_own").alias("_used"), "weight", "block", "place", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("pass"), ((F.col("_at") + (F.col("place") - 1) / F.col("_size")) / F.col("_blocks")).alias("_u"))
-    used = used.withColumn("mix_key", F.col("pass") - 1 + F.col("_u")).drop("_u")
-    used = used.dropDuplicates(["_id", "_used", "pass"])
-    return src.join(used, src["doc_id"].eqNullSafe(used["_id"]) & src["_own"].eqNullSafe(used["_used"])).drop("_id", "_used", "_own")
+    used = used.select("_key", "weight", "block", "place", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("pass"), ((F.col("_at") + (F.col("place") - 1) / F.col("_size")) / F.col("_blocks")).alias("_u"))
+    used = used.withColumn("mix_key", F.col("pass") - 1 + F.col("_u")).drop("_u").dropDuplicates(["_key", "pass"])
+    return src.join(used, "_key").drop("_key")
+
+
+def _row_key() -> Column:
+    """What tells rows apart: doc_id and a hash of source and text, a long one where there is no doc_id."""
+    more = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct("source", "text")), 256)).otherwise(F.hex(F.xxhash64("source", F.lit("|"), "text")))
+    return F.concat_ws(":", F.col("doc_id").cast("string"), more)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

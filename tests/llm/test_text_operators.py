@@ -225,6 +225,46 @@ def test_mixing_meets_its_plan(spark, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_by_brute_force(spark):
+    rows = [(i if i % 50 else None, "w " * (i * 7 % 23), ["big", "mid", None][(i % 11 > 7) + (i % 11 > 9)]) for i in range(2000)] + [(7, "w w w", "mid"), (7, "w w w w", "mid"), (7, "w w", "big")]
+    docs = spark.createDataFrame([(a, b, c, 0) for a, b, c in rows], "doc_id long, text string, source string, passes int")
+    for kind in ({"max_repeats": 2.5}, {"max_repeats": None, "target_entropy": 1.0}, {"max_repeats": None, "budget": 5000.0}):
+        out = mixing.mix_sources(docs, block_docs=40, **kind).collect()
+        have = Counter()
+        for _, t, s in rows:
+            have[s] += len(t.split())
+        total = sum(have.values())
+        grid = [i / 20_000 for i in range(20_001)]
+        weights = lambda a: {s: (n / total) ** a / sum((m / total) ** a for m in have.values()) for s, n in have.items()}
+        entropy = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+        repeats = lambda a: (min(have.values()) / max(have.values())) ** (a - 1)
+        a = 1.0 if "budget" in kind else min(x for x in grid if repeats(x) <= 2.5) if kind["max_repeats"] else max(x for x in grid if entropy(x) >= 1.0)
+        want = weights(a)
+        key = lambda r: (r["doc_id"], r["source"], r["text"])
+        given = {r["source"]: r["weight"] for r in out}
+        assert given == pytest.approx(want, abs=1e-4)
+        budget = kind.get("budget") or max(have[x] / given[x] for x in have)
+        for s in have:
+            own = [r for r in out if r["source"] == s]
+            target = budget * given[s]
+            passes = math.floor(round(target / have[s], 9))
+            rest = max(0.0, target - passes * have[s])
+            # the whole passes hold every row, the further one what fits in the order of its permutation
+            n = Counter(r["pass"] for r in own)
+            for p in range(1, int(passes) + 1):
+                assert Counter(key(r) for r in own if r["pass"] == p) == Counter((i, x, t) for i, t, x in rows if x == s)
+            if passes:
+                first = sorted((r for r in own if r["pass"] == 1), key=lambda r: (r["mix_key"], str(key(r))))
+                done, fits = 0, Counter()
+                for r in first:
+                    done += r["n_tokens"]
+                    fits[key(r)] += r["n_tokens"] > 0 and done <= rest + 1e-6
+                got = Counter(key(r) for r in own if r["pass"] == passes + 1)
+                assert +got == +fits
+            used = sum(r["n_tokens"] for r in own)
+            assert target - 23 < used <= target + 1e-6 and max(n) <= passes + 1
+
+
 def test_entropy_is_met(spark):
     shares = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
     a = mixing.bisect_exponent(shares, None, 0.9)
