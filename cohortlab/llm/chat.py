@@ -51,23 +51,33 @@ def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Dat
 def paths(tree: DataFrame) -> DataFrame:
     """tree: (tree_id, node, parent). Returns (tree_id, leaf, node, depth): the members of each root-to-leaf path.
 
-    Each round joins the table of jumps with itself, which doubles their length, so a path of
-    depth d takes log2(d) joins. A parent that is null, missing or part of a cycle ends a path
-    (nodes of a cycle without a root have no path). A null tree_id is a tree of its own.
+    Self-joins double the length of jumps: the k-th table holds each node's 2**k-th ancestor, a row
+    a node and no list of what lies between. Nodes learn their depth on the way. From the leaves
+    alone, the tables are then followed from the longest jump to the shortest, each doubling the
+    ancestors known of a leaf, so the rows made are those of the result.
+
+    A parent that is null or missing ends a path; nodes whose ancestors run in a cycle have no
+    root and no path. A null tree_id is a tree of its own. An empty table has no paths.
     """
     known = tree.select("tree_id", F.col("node").alias("parent")).distinct()
     nodes = tree.select("tree_id", "node", "parent").dropDuplicates(["tree_id", "node"])
     linked = _join(nodes, known.withColumn("_there", F.lit(1)), "parent", "left").select("tree_id", "node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
-    # steps: the nodes from `node` up to, not including, `up`
-    state = cut(linked.withColumn("steps", F.array("node")))
-    while (open_ := state.filter("up is not null")).limit(1).count():
-        other = state.select("tree_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        # paths that have reached their root are not joined again
-        longer = _join(open_, other, "up", "left").select("tree_id", "node", F.col("up2").alias("up"), F.when(F.col("steps2").isNull(), F.col("steps")).otherwise(F.concat("steps", "steps2")).alias("steps"))
-        longer = cut(longer.filter(F.size("steps") == F.size(F.array_distinct("steps"))))  # a cycle repeats a node
-        state = state.filter("up is null").unionByName(longer)
-    leaves = _join(state, linked.select("tree_id", F.col("up").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
-    return leaves.select("tree_id", F.col("node").alias("leaf"), F.posexplode(F.reverse("steps")).alias("depth", "node"))
+    # dist: the steps taken from the node; up: where they lead, null once the root is passed
+    jumps = [cut(linked.withColumn("dist", F.when(F.col("up").isNotNull(), 1).otherwise(0)))]
+    largest = tree.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while 1 << (len(jumps) - 1) < largest and jumps[-1].filter("up is not null").limit(1).count():
+        last = jumps[-1]
+        other = last.select("tree_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        open_ = _join(last.filter("up is not null"), other, "up").select("tree_id", "node", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"))
+        jumps.append(cut(last.filter("up is null").unionByName(open_)))
+    rooted = jumps[-1].filter("up is null")  # what still has an ancestor runs in a cycle
+    leaves = _join(rooted.select("tree_id", "node", "dist"), linked.select("tree_id", F.col("up").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
+    member = leaves.select("tree_id", F.col("node").alias("leaf"), "node", F.col("dist").alias("depth"))
+    for k in range(len(jumps) - 2, -1, -1):
+        jump = jumps[k].filter("up is not null").select("tree_id", "node", "up")
+        here, above = F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        member = _join(member, jump, "node", "left").select("tree_id", "leaf", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("s")).select("tree_id", "leaf", "s.node", "s.depth")
+    return member
 
 
 def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:

@@ -27,6 +27,37 @@ def test_long_path_and_empty(spark):
     assert chat.format_trees(spark.createDataFrame([], TREE)).count() == 0
 
 
+def test_paths_by_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for t in (None, *range(30)):
+        n = rng.randint(1, 40)
+        for i in range(n):
+            rows.append((t, i, rng.choice([i - 1, rng.randrange(i), rng.randrange(n), None, 99]) if i else None))
+        rows += [rows[-1]] * rng.randint(0, 2)
+    up = {(t, i): p for t, i, p in rows}
+    want = set()
+    for (t, i), p in up.items():
+        if any(k[0] == t and q == i for k, q in up.items()):
+            continue
+        chain, at = [i], i
+        while (p := up[t, at]) is not None and (t, p) in up and p not in chain:
+            chain.append(p)
+            at = p
+        if p is None or (t, p) not in up:
+            want |= {(t, i, x, d) for d, x in enumerate(reversed(chain))}
+    got = [tuple(r) for r in chat.paths(spark.createDataFrame(rows, "tree_id long, node long, parent long")).select("tree_id", "leaf", "node", "depth").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_very_long_conversation_and_clashing_columns(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("tree_id"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.repeat(F.lit("x"), 50).alias("text"), F.lit(0.0).alias("score"), F.lit(3).alias("leaf"), F.lit(4).alias("depth"), F.lit(5).alias("up"), F.lit(6).alias("dist"))
+    got = chat.format_trees(rows).first()
+    assert got["n_turns"] == n and got["leaf"] == n - 1 and len(got["formatted"]) == n * (50 + 4 + 1 + len("<s>[INST][/INST]</s>"))
+
+
 def test_automaton_agrees_with_fnmatch():
     import fnmatch
     import random
