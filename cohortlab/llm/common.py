@@ -38,19 +38,31 @@ def chunks_for(docs: DataFrame, text: str = "text", chunk_bytes: int = 8 << 20)
     return max(1, -(-int(total) // chunk_bytes))
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """big joined with small, which has a row for each key with c, the rows that big has of it.
+
+    The rows of keys with over a 500th of all (and 1,000) meet a broadcast of those keys, of which there are at
+    most 500; only the others are shuffled, so no task gets all rows of a hot key.
+    """
+    most = max(1000, total // 500)
+    hot = F.broadcast(small.filter(F.col("c") > most))
+    cold = small.filter(F.col("c") <= most)
+    return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: (a, b). Returns (node, root), root the least id of the node's component, for nodes
-    with an edge to another. Every step aggregates before it joins, so a hub's rows are only
-    ever streamed; each round is checkpointed.
+    with an edge to another. Every step aggregates before it joins, a hub's rows are spread over
+    tasks, and each round is checkpointed.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, n = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = join_counted(both, low, ["u"], 2 * n).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
@@ -58,7 +70,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -9,6 +9,7 @@ they are found and never written out as pairs, so a group of any size costs boun
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, components, cut, distinct, mix, table
+from .common import WordIds, components, cut, distinct, join_counted, mix, table
 
 BATCH_WORDS = 400_000
 COLUMNS = 4096
 
 
-def choose_bands(threshold: float, recall: float = 0.9999, noise: float = 0.4) -> tuple[int, int]:
+def choose_bands(threshold: float, recall: float = 0.9999, noise: float = 0.15) -> tuple[int, int]:
     """(bands, rows): the fewest rows with which a pair at half the threshold shares a band with
     a chance of at most `noise`, and bands enough for `recall` at the threshold."""
     for rows in range(1, 33):
@@ -53,11 +54,11 @@ def gram_set(ids: np.ndarray, n: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, k1, k2, bands): a 128-bit key of the word sequence and a hash for each band; no row for texts without words."""
-    factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def flush(held: list[tuple[int, bytes, np.ndarray]]) -> pd.DataFrame:
-        import xxhash
+    factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    # 32 bits a permutation: an xor and an odd factor, in half the time of 64
+    masks, factors = (factors >> np.uint64(32)).astype(np.uint32), factors.astype(np.uint32) | np.uint32(1)
 
+    def flush(held: list[tuple[int, tuple[int, int], np.ndarray]]) -> pd.DataFrame:
         lengths = np.array([len(x[2]) for x in held])
         every = np.concatenate([x[2] for x in held]) if held else np.zeros(0, np.uint64)
         ends = np.cumsum(lengths)
@@ -78,15 +79,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         for i in short:
             h[at[i]] = grams(held[i][2], int(lengths[i]))[0]
         out = np.empty((len(held), bands), np.int64)
+        low = (h >> np.uint64(32)).astype(np.uint32)
+        v = np.empty_like(low)
         for b in range(bands):
             acc = np.full(len(held), b + 1, np.uint64)
-            for r in range(rows):
-                v = h * factors[b * rows + r]
-                v ^= v >> np.uint64(31)
+            for r in range(b * rows, b * rows + rows):
+                np.bitwise_xor(low, masks[r], out=v)
+                np.multiply(v, factors[r], out=v)
                 acc = mix(acc * np.uint64(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(v, at))
             out[:, b] = acc.view(np.int64)
-        keys = [xxhash.xxh128_intdigest(x[1]) for x in held]
-        return pd.DataFrame({"doc_id": [x[0] for x in held], "k1": np.array([k >> 64 for k in keys], np.uint64).view(np.int64), "k2": np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64), "bands": list(out)})
+        keys = np.array([x[1] for x in held], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"doc_id": [x[0] for x in held], "k1": keys[:, 0], "k2": keys[:, 1], "bands": list(out)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -96,7 +99,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 ws = text_words(text)
                 if not ws or doc is None or doc != doc:
                     continue
-                held.append((int(doc), b" ".join(ws), ids.of(ws)))
+                held.append((int(doc), sequence_key(ws), ids.of(ws)))
                 count += len(ws)
                 if count >= BATCH_WORDS:
                     yield flush(held)
@@ -159,47 +162,57 @@ def _link_block(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], si
             return links, root
 
 
+def sequence_key(ws: list[bytes]) -> tuple[int, int]:
+    """A 128-bit key of a word sequence, as two signed longs."""
+    import xxhash
+
+    return struct.unpack("<qq", xxhash.xxh128_intdigest(b" ".join(ws)).to_bytes(16, "little"))
+
+
 def verified_links(docs: DataFrame, candidates: DataFrame, n: int, threshold: float, block: int, block_grams: int) -> DataFrame:
-    """candidates: (doc_id, root, m). Returns (doc_id, links, low) of every block pair."""
+    """candidates: (doc_id, k1, root, m). Returns (doc_id, k1, links, low) of every block pair."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
         for pdf in batches:
-            found = [gram_set(ids.of(text_words(t)), n) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "root": pdf["root"], "m": pdf["m"], "size": [len(x) for x in found], "grams": [x.tobytes() for x in found]})
-
-    rows = docs.select("doc_id", "text").join(candidates, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.mapInPandas(sets, "doc_id long, root long, m long, size long, grams binary")
-    rows = cut(rows)
-    groups = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_grams)).alias("blocks"))
-    placed = rows.join(groups, "root").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+            found = [text_words(t) for t in pdf["text"]]
+            # of the texts of a doc_id the one with the candidate's words
+            own = np.fromiter((sequence_key(w)[0] == k for w, k in zip(found, pdf["k1"])), bool, len(found))
+            pdf = pdf.assign(ws=pd.Series(found, dtype=object, index=pdf.index))[own]
+            found = [gram_set(ids.of(w), n) for w in pdf["ws"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pdf["k1"], "root": pdf["root"], "m": pdf["m"], "size": [len(x) for x in found], "grams": [x.tobytes() for x in found]})
+
+    rows = docs.select("doc_id", "text").join(candidates, "doc_id").mapInPandas(sets, "doc_id long, k1 long, root long, m long, size long, grams binary")
+    rows = cut(rows.dropDuplicates(["doc_id", "k1"]))
+    groups = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_grams)).alias("blocks"), F.count("*").alias("c"))
+    placed = join_counted(rows, groups, ["root"], rows.count()).withColumn("b", F.pmod(F.xxhash64("doc_id", "k1"), F.col("blocks")))
     pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("doc_id", "root", "m", "grams", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+    pairs = pairs.select("doc_id", "k1", "root", "m", "grams", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
     key = ["root", "b1", "b2"]
-    pairs = pairs.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "doc_id")
+    pairs = pairs.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "doc_id", "k1")
 
     def link(group: list[tuple]) -> pd.DataFrame:
         ids = np.array([g[0] for g in group], np.int64)
         links, root = _link_block(ids, np.array([g[1] for g in group], np.int64), [np.frombuffer(g[2], np.uint64) for g in group], np.array([g[3] for g in group]), group[0][4][1] == group[0][4][2], threshold)
-        return pd.DataFrame({"doc_id": ids, "links": links, "low": root})
+        return pd.DataFrame({"doc_id": ids, "k1": [g[5] for g in group], "links": links, "low": root})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         done: list[pd.DataFrame] = []
         for pdf in batches:
-            for doc, root, m, g, b1, b2, side in zip(pdf["doc_id"], pdf["root"], pdf["m"], pdf["grams"], pdf["b1"], pdf["b2"], pdf["side"]):
+            for doc, k1, root, m, g, b1, b2, side in zip(pdf["doc_id"], pdf["k1"], pdf["root"], pdf["m"], pdf["grams"], pdf["b1"], pdf["b2"], pdf["side"]):
                 if held and held[-1][4] != (root, b1, b2):
                     if len(held) > 1:
                         done.append(link(held))
                     held = []
-                held.append((doc, m, g, side, (root, b1, b2)))
+                held.append((doc, m, g, side, (root, b1, b2), k1))
             if done:
                 yield pd.concat(done)
                 done = []
         if len(held) > 1:
             yield link(held)
 
-    return pairs.mapInPandas(run, "doc_id long, links long, low long")
+    return pairs.mapInPandas(run, "doc_id long, k1 long, links long, low long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = 256, block_grams: int = 400_000) -> DataFrame:
@@ -208,7 +221,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     n_links: other rows whose sets of word n-grams have at least this Jaccard similarity;
     class_id: the least doc_id that links lead to, directly or through others. Texts shorter
     than n words are one gram. Null and empty texts, and rows without a doc_id, have no words
-    and no links: they are their own class. Repeated rows count as links of one another. Extra
+    and no links: they are their own class. Repeated rows count as links of one another; rows
+    that share a doc_id with different texts are one document, of the class of both, with the
+    links of the text that has most, and aren't linked by that doc_id. Extra
     columns are not read; an empty table gives an empty result. Pairs at the threshold share a
     band with at least the probability `recall`, more similar ones with a higher one.
     """
@@ -217,15 +232,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     reps = cut(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min_by("bands", "doc_id").alias("bands")))
     hashes = reps.select("rep", F.explode("bands").alias("h"))
     shared = hashes.groupBy("h").agg(F.min("rep").alias("low"), F.count("*").alias("c")).filter("c > 1")
-    edges = hashes.join(shared, "h").select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    total = reps.count()
+    edges = join_counted(hashes, shared, ["h"], bands * total).select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b")
     group = components(edges)
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
-    candidates = cut(group.join(reps.select(F.col("rep").alias("node"), "m"), "node").select(F.col("node").alias("doc_id"), "root", "m"))
+    candidates = cut(group.join(reps.select(F.col("rep").alias("node"), "k1", "m"), "node").select(F.col("node").alias("doc_id"), "k1", "root", "m"))
     found = cut(verified_links(docs, candidates, n, threshold, block, block_grams))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links")).filter("links > 0")
-    classes = components(found.select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
-    rep = reps.select("k1", "k2", "rep", "m").join(links.withColumnRenamed("doc_id", "rep"), "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    one = sig.select("doc_id", "k1", "k2").join(rep, ["k1", "k2"]).groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    links = found.groupBy("doc_id", "k1").agg(F.sum("links").alias("links")).filter("links > 0")
+    # the texts of a doc_id that has several are of one class
+    several = sig.select("doc_id", "k1", "k2").join(sig.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1"), "doc_id").distinct()
+    same = several.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = components(found.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).unionByName(same))
+    rep = reps.select("k1", "k2", "rep", F.col("m").alias("c")).join(links.withColumnRenamed("doc_id", "rep"), ["rep", "k1"], "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    one = join_counted(sig.select("doc_id", "k1", "k2"), rep, ["k1", "k2"], sig.count()).groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return docs.select("doc_id").join(one, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

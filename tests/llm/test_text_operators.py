@@ -61,7 +61,32 @@ def test_jaccard_finds_every_link(docs, rows, empty):
 
 def test_bands_reach_the_recall():
     b, r = jaccard.choose_bands(0.8, 0.9999)
-    assert 1 - (1 - 0.8**r) ** b >= 0.9999
+    assert 1 - (1 - 0.8**r) ** b >= 0.9999 and 1 - (1 - 0.4**r) ** b <= 0.15
+
+
+def test_jaccard_of_real_documents_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10_000))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := words(t))}
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            where[g].append(i)
+    links = Counter()
+    shared = Counter((a, b) for own in where.values() for a in own for b in own if a < b)
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == {i: links[i] for i in texts} and sum(links.values()) > 100
+
+
+def test_jaccard_of_rows_that_share_an_id(spark):
+    say = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, say("a")), (2, say("a")), (2, say("b")), (3, say("b") + " more"), (4, say("c"))]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
 
 
 def test_repeats_by_brute_force(docs, rows, empty):
