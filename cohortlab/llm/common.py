@@ -32,6 +32,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key(*more: str) -> Column:
+    """What tells rows apart: the doc_id and a hash of the text (and the columns in more), a long one where there is no doc_id."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct(*more, "text")), 256)).otherwise(F.hex(F.xxhash64(*[c for m in more for c in (m, F.lit("|"))], "text"))))
+
+
 def chunks_for(docs: DataFrame, text: str = "text", chunk_bytes: int = 8 << 20) -> int:
     """How many chunks of about chunk_bytes the texts make."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, table
+from .common import ascii_lower, cut, let, row_key, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,11 +64,6 @@ def _wanted(words: Column, bits: Column, ks: list[int], give: Callable[[Column,
     return let(F.struct(words.alias("w"), bits.alias("m")), one)
 
 
-def row_key() -> Column:
-    """What tells documents apart: the doc_id and a hash of the text, a long one where there is no doc_id."""
-    return F.concat_ws(":", F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.sha2("text", 256)).otherwise(F.hex(F.xxhash64("text"))))
-
-
 def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Three tables: (doc_id, _key, n_words) of every row of docs; (_key, window, start, length) of
     every occurrence of a window, None if no item has words; (item_id, window, k) of the items."""

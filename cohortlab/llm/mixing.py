@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.frames import running
-from .common import cut, let, table, words
+from .common import cut, let, row_key, table, words
 
 
 def _uniform(*cols: Column | str) -> Column:
@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     columns stay; input columns with the added names are replaced. An empty table gives an empty result.
     """
     added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_order", "_key", "passes", "rest", "tokens", "target")
-    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_key", _row_key())
+    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_key", row_key("source"))
     narrow = cut(src.select("_key", "source", "n_tokens"))
     plan = source_weights(narrow, max_repeats, target_entropy, budget)
     sizes = narrow.groupBy("source").agg(F.count("*").alias("_n"))
@@ -112,11 +112,5 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     return src.join(used, "_key").drop("_key")
 
 
-def _row_key() -> Column:
-    """What tells rows apart: doc_id and a hash of source and text, a long one where there is no doc_id."""
-    more = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct("source", "text")), 256)).otherwise(F.hex(F.xxhash64("source", F.lit("|"), "text")))
-    return F.concat_ws(":", F.col("doc_id").cast("string"), more)
-
-
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")

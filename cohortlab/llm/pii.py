@@ -1,15 +1,20 @@
 """Operator 9: personal data by fixed rules and bootstrapped contextual extraction.
 
 Seeds (what the fixed rules find, and long hexadecimal keys) induce lexical patterns: the two
-words before an identifier. Spark scores the graph of patterns and instances in turns: a
-pattern by the scores of its instances, an instance by those of its patterns. Identifiers in
-the context of a high-confidence pattern are personal data too, seen before or not.
+words before the whole of what was found. Spark scores the graph of patterns and instances in turns: a
+pattern by the scores of its instances, an instance by those of its patterns. Whatever holds digits
+and stands in the context of a high-confidence pattern is personal data too, seen before or not,
+of any length, spaces included.
+
+The texts are read once. What is kept of them is narrow: the places and hashes of candidates.
+Patterns stay in tables and meet the candidates by joins.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, join_counted, row_key, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -27,9 +32,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
-_TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
+# tokens with digits, one space apart; a token that closes a clause closes the run
+_RUN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:(?<![,;:.!?|])\x20[^\s0-9]*+[0-9]\S*+)*+")
 _EDGE = "\"'`()[]{}<>,;:.!?=|*#$%&"
+_DIGITS = re.compile(r"[0-9]+")
 _KEY = re.compile(r"[0-9A-Fa-f]{32,}")
+CANDIDATE = "array<struct<start:int,end:int,pattern:long,instance:long,seed:boolean,base:boolean>>"
+SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -67,77 +76,88 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def identifiers(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, pattern) of tokens that look like identifiers: 8 characters, 4 digits."""
-    for m in _TOKEN.finditer(text):
+def context(text: str, start: int, inside: str = "") -> str:
+    """The two words before a place, in lower case with digits as 0; `^` stands for words before the text."""
+    words = (text[max(0, start - 96) : start] + re.sub(r"([=:])", r" \1 ", inside)).split()[-2:]
+    plain = [_DIGITS.sub("0", w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower()) for w in words]
+    return " ".join(["^"] * (2 - len(plain)) + plain)
+
+
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """(start, end, pattern, seed, base): the fixed rules' spans, and runs of tokens with digits beside them."""
+    for start, end, _ in base:
+        yield start, end, context(text, start), True, True
+    taken, at = sorted((s, e) for s, e, _ in base), 0
+    for m in _RUN.finditer(text):
         start, end = m.span()
-        if end - start < 8:
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if any(s < end for s, _ in taken[at : at + 1]):
             continue
-        token = m.group()
-        cut_at = max(token.rfind("="), token.rfind(":"))
-        inside = token[: cut_at + 1] if 0 < cut_at < len(token) - 8 else ""
-        start += len(inside)
-        body = text[start:end]
-        start += len(body) - len(body.lstrip(_EDGE))
+        body = m.group()
+        # of "name=value" and "name: value" the value
+        cut_at = max(body.rfind("=", 0, -1), body.rfind(":", 0, -1)) if " " not in body else -1
+        inside = body[: cut_at + 1] if cut_at > 0 and _DIGITS.search(body, cut_at) else ""
+        body = body[len(inside) :]
+        begin = start + len(inside) + len(body) - len(body.lstrip(_EDGE))
         body = body.strip(_EDGE)
-        end = start + len(body)
-        if len(body) < 8 or sum(map(body.count, "0123456789")) < 4:
-            continue
-        before = (text[max(0, m.start() - 64) : m.start()] + " " + re.sub(r"([=:])", r" \1 ", inside)).split()[-2:]
-        words = [w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower() for w in before]
-        if len(words) == 2 and any(words):
-            yield start, end, " ".join(words)
+        if body:
+            yield begin, begin + len(body), context(text, start, inside), bool(_KEY.fullmatch(body)), False
 
 
-def _texts(col: pd.Series) -> list[str]:
-    return [x if isinstance(x, str) else "" for x in col]
+def _long(x: str) -> int:
+    return struct.unpack("<q", hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest())[0]
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct (pattern, instance, seed) of a batch."""
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The fixed rules' spans and the candidates of each text."""
     for pdf in batches:
-        seen: dict[tuple[str, str], bool] = {}
-        for text in _texts(pdf["text"]):
-            found = list(identifiers(text))
-            if not found:
-                continue
+        spans, found = [], []
+        for text in pdf["text"]:
+            text = text if isinstance(text, str) else ""
             base = base_spans(text)
-            for start, end, pattern in found:
-                one = text[start:end]
-                seed = bool(_KEY.fullmatch(one)) or any(s <= start and end <= e for s, e, _ in base)
-                key = (pattern, hashlib.blake2b(one.encode(), digest_size=12).hexdigest())
-                seen[key] = seen.get(key, False) or seed
-        if seen:
-            yield pd.DataFrame({"pattern": [k[0] for k in seen], "instance": [k[1] for k in seen], "seed": list(seen.values())}, columns=["pattern", "instance", "seed"])
+            spans.append([{"start": a, "end": b, "kind": k} for a, b, k in base])
+            found.append([{"start": a, "end": b, "pattern": _long(p), "instance": _long(text[a:b]), "seed": s, "base": o} for a, b, p, s, o in candidates(text, base)])
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "_key": pdf["_key"], "spans": spans, "found": found})
 
 
-def learn_patterns(docs: DataFrame, rounds: int = 3, least: float = 0.6, support: int = 3) -> DataFrame:
-    """(pattern, score, n): contexts whose instances are mostly personal data.
+def score_patterns(edges: DataFrame, rounds: int, support: int) -> DataFrame:
+    """edges: distinct (pattern, instance, seed). Returns (pattern, score, n).
 
-    An edge is a distinct pattern-instance pair over all documents. A pattern scores the sum of
-    its instances' scores over one more than their number; an instance that is no seed scores
-    the noisy-or of its patterns of at least `support` instances.
+    A pattern scores the sum of its instances' scores over one more than their number; an
+    instance that is no seed scores the noisy-or of its patterns of at least `support` instances.
+    Patterns and instances with many edges are split over tasks.
     """
-    edges = docs.select("text").mapInPandas(_edges, "pattern string, instance string, seed boolean")
-    edges = cut(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("s"), F.max("seed").alias("seed"))
+    total = edges.count()
+    by_instance = cut(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("c")))
+    score = by_instance.withColumn("s", F.col("seed").cast("double"))
     patterns = None
     for turn in range(rounds):
-        patterns = edges.join(score.select("instance", "s"), "instance").groupBy("pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("score"), F.count("*").alias("n"))
-        patterns = cut(patterns) if turn == rounds - 1 else patterns
+        met = join_counted(edges.select("pattern", "instance"), score.select("instance", "c", "s"), ["instance"], total)
+        patterns = cut(met.groupBy("pattern").agg((F.sum("s") / (F.count("*") + 1)).alias("score"), F.count("*").alias("n")))
         if turn < rounds - 1:
             good = F.when(F.col("n") >= support, F.least(F.col("score"), F.lit(0.999))).otherwise(F.lit(0.0))
-            score = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - good)))).alias("_or"), F.max("seed").alias("seed")).select("instance", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("_or")).alias("s"), "seed")
-            score = cut(score)
-    return patterns.filter((F.col("n") >= support) & (F.col("score") >= least))
-
-
-def spans_of(text: str, patterns: frozenset[str] | None) -> list[tuple[int, int, str]]:
-    base = base_spans(text)
-    if not patterns:
-        return base
-    more = [(s, e, "id") for s, e, p in identifiers(text) if p in patterns and not any(a < e and s < b for a, b, _ in base)]
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+            told = join_counted(edges.select("pattern", "instance"), patterns.withColumn("c", F.col("n")), ["pattern"], total)
+            told = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - good)))).alias("_or"))
+            score = cut(by_instance.join(told, "instance").select("instance", "c", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("_or")).alias("s")))
+    return patterns
+
+
+def find_spans(docs: DataFrame, rounds: int = 3, least: float = 0.6, support: int = 3) -> DataFrame:
+    """(doc_id, _key, pii), a row for each row of docs; pii is the array of (start, end, kind)."""
+    kept = docs.select("doc_id", "text", row_key().alias("_key")).mapInPandas(_read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _key string, spans {SPAN}, found {CANDIDATE}")
+    kept = cut(kept)
+    each = kept.select("_key", F.explode("found").alias("x")).select("_key", "x.*")
+    edges = cut(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count_if(~F.col("base")).alias("others")))
+    patterns = score_patterns(edges.select("pattern", "instance", "seed"), rounds, support)
+    occurs = edges.groupBy("pattern").agg(F.sum("others").alias("c"))
+    good = patterns.filter((F.col("n") >= support) & (F.col("score") >= least)).join(occurs, "pattern").select("pattern", "c")
+    hit = join_counted(each.filter("not base").select("_key", "pattern", "start", "end"), good, ["pattern"], each.count())
+    more = hit.groupBy("_key").agg(F.collect_set(F.struct("start", "end", F.lit("id").alias("kind"))).alias("more"))
+    rank = lambda x: F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"])
+    every = F.concat("spans", F.coalesce("more", F.array().cast(SPAN)))
+    ordered = F.transform(F.sort_array(F.transform(every, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("r"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return kept.join(more, "_key", "left").select("doc_id", "_key", ordered.alias("pii"))
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -152,42 +172,29 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, least: float = 0.6, support: int = 3, most: int = 200_000) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int = 3, least: float = 0.6, support: int = 3) -> DataFrame:
     """Adds pii (array of start, end, kind) and redacted to each row of docs.
 
-    Null texts are empty and stay null when redacted. Every row is treated on its own, so
-    repeated rows get equal spans. Columns named pii and redacted are replaced; all others stay.
-    High-confidence patterns are looked up in memory; if there are more than `most`, in slices
-    of `most`, a pass for each, whose spans are united.
+    Null texts are empty and stay null when redacted. Every row is treated on its own, also where
+    a doc_id is null or shared, so repeated rows get equal spans. Columns named pii and redacted
+    are replaced; all others stay. An empty table gives an empty result.
     """
-    src = docs.drop("pii", "redacted")
-    learned = learn_patterns(src, rounds, least, support).select("pattern")
-    total = learned.count()
-    slices = max(1, -(-total // most))
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
-    out = src.withColumn("pii", F.array().cast(span))
-    for part in range(slices):
-        own = frozenset(r[0] for r in learned.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == part).collect())
-        last = part == slices - 1
-
-        def run(batches: Iterator[pd.DataFrame], own: frozenset[str] = own, last: bool = last) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                spans, texts = [], []
-                for text, had in zip(pdf["text"], pdf["pii"]):
-                    known = isinstance(text, str)
-                    found = {*spans_of(text if known else "", own), *((x["start"], x["end"], x["kind"]) for x in had)}
-                    spans.append(sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))))
-                    texts.append(redact(text, spans[-1]) if known and last else None)
-                pdf = pdf.assign(pii=[[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans])
-                yield pdf.assign(redacted=pd.Series(texts, dtype=object, index=pdf.index)) if last else pdf
-
-        fields = [*out.schema.fields, *([T.StructField("redacted", T.StringType())] if last else [])]
-        out = out.mapInPandas(run, T.StructType(fields))
-    return out
+    src = docs.drop("pii", "redacted").withColumn("_key", row_key())
+    found = find_spans(docs, rounds, least, support).select("_key", "pii").dropDuplicates(["_key"])
+    out = src.join(found, "_key").drop("_key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [redact(t, [(x["start"], x["end"], x["kind"]) for x in p]) if isinstance(t, str) and len(p) else t for t, p in zip(pdf["text"], pdf["pii"])]
+            # arrays of structs go back as they came
+            pdf = pdf.assign(pii=[[{"start": x["start"], "end": x["end"], "kind": x["kind"]} for x in p] for p in pdf["pii"]])
+            yield pdf.assign(redacted=pd.Series(texts, dtype=object, index=pdf.index))
+
+    return out.mapInPandas(run, T.StructType([*out.schema.fields, T.StructField("redacted", T.StringType())]))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda x: x["kind"] != "id")
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
     join = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
