@@ -76,17 +76,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def context(text: str, start: int, inside: str = "") -> str:
-    """The two words before a place, in lower case with digits as 0; `^` stands for words before the text."""
-    words = (text[max(0, start - 96) : start] + re.sub(r"([=:])", r" \1 ", inside)).split()[-2:]
-    plain = [_DIGITS.sub("0", w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower()) for w in words]
-    return " ".join(["^"] * (2 - len(plain)) + plain)
+def context(text: str, start: int, inside: str = "") -> str | None:
+    """The two words before a place, in lower case with digits as 0; `^` stands for a word before the text, None for two."""
+    words = (text[max(0, start - 96) : start] + re.sub(r"([=:])", r" \1 ", inside)).split()
+    plain = [_DIGITS.sub("0", x) for w in words if (x := w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower())][-2:]
+    return " ".join(["^"] * (2 - len(plain)) + plain) if plain else None
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, bool, bool]]:
-    """(start, end, pattern, seed, base): the fixed rules' spans, and runs of tokens with digits beside them."""
+    """(start, end, pattern, seed, base): the fixed rules' spans, and runs of tokens with digits beside them; only those with a word before them."""
     for start, end, _ in base:
-        yield start, end, context(text, start), True, True
+        if pattern := context(text, start):
+            yield start, end, pattern, True, True
     taken, at = sorted((s, e) for s, e, _ in base), 0
     for m in _RUN.finditer(text):
         start, end = m.span()
@@ -101,8 +102,8 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[in
         body = body[len(inside) :]
         begin = start + len(inside) + len(body) - len(body.lstrip(_EDGE))
         body = body.strip(_EDGE)
-        if body:
-            yield begin, begin + len(body), context(text, start, inside), bool(_KEY.fullmatch(body)), False
+        if body and (pattern := context(text, start, inside)):
+            yield begin, begin + len(body), pattern, bool(_KEY.fullmatch(body)), False
 
 
 def _long(x: str) -> int:
