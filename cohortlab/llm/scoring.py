@@ -5,7 +5,8 @@ context symbols and the symbol after them, over all training documents. Shorter
 sums of longer ones. Escapes are estimated by method C (the distinct symbols of a context), and
 symbols seen in a longer context are excluded from the shorter ones. The cost of each gram is
 worked out once, in the table; documents then look their grams up in the dictionary of their
-chunk, so no task holds more than one chunk and its own grams.
+chunk, so no task holds more than one chunk and its own grams. A trie group holds the grams of one
+pair of bytes, a number that the alphabet bounds and the corpus does not.
 """
 
 from __future__ import annotations
@@ -205,11 +206,11 @@ def score_documents(docs: DataFrame, chunk_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     Null texts are empty; an empty text is scored by its end alone. With no training document
-    every symbol has probability 1/257. Repeated rows count and are scored as often as they
+    every symbol has probability 1/257. A null doc_id is a training document's. Repeated rows count and are scored as often as they
     occur. Extra columns are not read; an empty table gives an empty result.
     """
     chunks = chunks_for(docs, "text", chunk_bytes)
-    src = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")).repartition("chunk")
+    src = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartitionById(chunks, "chunk")  # a task a chunk
     by_chunk = src.groupBy("chunk")
     # a packed value keeps every reader of these two tables on the same columns, so each is made and shuffled once
     words = by_chunk.applyInPandas(_chunk_tallies("word"), "key long not null, v long not null").repartition("key")
@@ -221,10 +222,10 @@ def score_documents(docs: DataFrame, chunk_bytes: int = 12 << 20) -> DataFrame:
     low = pairs.groupBy().applyInPandas(_low_orders, "pair long, c1 double, n1 double, q1 double, e0 double, c0 double, n0 double, q0 double")
     wide = gram_counts.withColumn("pair", F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).join(F.broadcast(low), "pair", "left")  # at most 257 squared rows
     costs = wide.withColumn("ctx", F.shiftright("key", BITS).bitwiseAND((1 << 2 * BITS) - 1)).groupBy("ctx").applyInPandas(trie_costs, "key long, value double")
-    chunk = F.shiftright("v", CHUNK_SHIFT).alias("chunk")
+    chunk = F.shiftright("v", CHUNK_SHIFT).cast("int").alias("chunk")
     found = words.join(word_counts, "key").select(chunk, "key", F.col("n").cast("double").alias("value"))
     found = found.unionByName(grams.join(costs, "key").select(chunk, (F.lit(GRAM) - F.col("key")).alias("key"), "value"))
-    out = by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(_score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    out = by_chunk.cogroup(found.repartitionById(chunks, "chunk").groupBy("chunk")).applyInPandas(_score_chunk, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"))
     out = out.withColumns({"train_tokens": size.select("n").scalar(), "_v": size.select("v").scalar()})
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("_v") + 1)

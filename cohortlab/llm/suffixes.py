@@ -20,15 +20,17 @@ doc_id; a chunk sends sorted blocks of names and gets back one bit for each name
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct, mix, pack_sorted, table, unpack_sorted
+from ..operators.frames import running
+from .common import cut, distinct, join_counted, mix, pack_sorted, table, unpack_sorted
 
 LENGTH = 50
 V = 31
@@ -36,7 +38,6 @@ V = 31
 COVER = (1, 5, 11, 24, 25, 27)
 TUPLE = LENGTH - V + 1
 SLICE = 1 << 20
-KNOTS = 256
 NAME_LOW, HASH_LOW = 2, 5  # bytes of a packed name that are sent as they are
 _K = np.uint64(0x9E3779B97F4A7C15)
 _IN_COVER = np.isin(np.arange(V), COVER)
@@ -45,11 +46,12 @@ _IN_COVER = np.isin(np.arange(V), COVER)
 class Chunk:
     """The documents of a chunk in slices, by doc_id; copies of earlier documents are left out."""
 
-    def __init__(self, docs: pd.DataFrame, copies: set[int]):
+    def __init__(self, docs: pd.DataFrame, copies: dict[int, set[bytes]]):
         docs = docs.sort_values("doc_id", kind="stable")
         self.ids = docs["doc_id"].to_numpy(np.int64)
         self.texts = [zlib.decompress(z) for z in docs["z"]]
-        self.copy = np.fromiter((i in copies for i in self.ids), bool, len(self.ids))
+        # rows that share a doc_id are told apart by their texts
+        self.copy = np.fromiter((i in copies and hashlib.sha256(t).digest() in copies[i] for i, t in zip(self.ids.tolist(), self.texts)), bool, len(self.ids))
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(documents, starts, bytes, words, place): of each byte the four bytes from it on as a word, and its place in its document."""
@@ -137,8 +139,11 @@ def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": z, "chunk": pdf["chunk"]})
 
 
-def _copies(marks: pd.DataFrame) -> set[int]:
-    return set(marks.loc[marks["kind"] == 2, "a"].tolist())
+def _copies(marks: pd.DataFrame) -> dict[int, set[bytes]]:
+    own, out = marks[marks["kind"] == 2], {}
+    for doc, h in zip(own["a"].tolist(), own["blob"].tolist()):
+        out.setdefault(doc, set()).add(bytes(h))
+    return out
 
 
 def _bits(marks: pd.DataFrame, kind: int) -> dict[int, bytes]:
@@ -234,48 +239,61 @@ def _remove(buckets: int):
     return run
 
 
-def _chunk_of(doc_id: Column, knots: list[int], chunks: int) -> Column:
-    """A chunk for doc_id, rising with it: even between the knots, which are even over the rows."""
-    per = max(1, -(-chunks // max(1, len(knots) - 1)))
+def _boundaries(src: DataFrame, chunk_bytes: int, most: int = 100_000) -> tuple[np.ndarray, int, int]:
+    """The first doc_ids of `most` or fewer runs of equal bytes, in the order of doc_id, how many
+    chunks each run makes, and the least doc_id beyond all."""
+    size = src.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("n"))
+    total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.max("doc_id").alias("hi")).first()
+    chunks = max(1, -(-int(total["b"]) // chunk_bytes))
+    per = -(-chunks // most)
+    step = chunk_bytes * per
+    at = running(size, ["doc_id"], {"before": F.col("n")})
+    first = at.filter(F.floor(F.col("before") / step) != F.floor((F.col("before") + F.col("n")) / step)).select(F.col("doc_id") + 1).collect()  # at most `most` rows
+    return np.unique(np.array([r[0] for r in first], np.int64)), per, int(total["hi"] or 0) + 1
 
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            a, b = knots[lo], knots[hi]
-            inside = F.floor((doc_id - F.lit(a)).cast("double") * per / float(max(1, b - a)))
-            return F.lit(lo * per).cast("long") + F.least(F.greatest(inside, F.lit(0)), F.lit(per - 1))
-        mid = (lo + hi) // 2
-        return F.when(doc_id < F.lit(knots[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    return tree(0, len(knots) - 1) if len(knots) > 1 else F.lit(0).cast("long")
+def _chunk_of(bounds: np.ndarray, per: int, beyond: int) -> Callable[[str], Column]:
+    """The chunk of a doc_id, rising with it: by the run of equal bytes, and evenly over the ids of a run that makes several."""
+    ends = np.append(bounds, beyond)
+
+    @F.pandas_udf("int")
+    def chunk(doc_id: pd.Series) -> pd.Series:
+        ids = doc_id.to_numpy(np.int64)
+        run = np.searchsorted(bounds, ids, side="right")
+        if per == 1:
+            return pd.Series(run.astype(np.int32))
+        lo = np.where(run > 0, bounds[np.maximum(run - 1, 0)], 0)
+        share = (ids - lo).astype(float) / np.maximum(1, ends[run] - lo)
+        return pd.Series((run * per + np.clip(share * per, 0, per - 1).astype(np.int64)).astype(np.int32))
+
+    return chunk
 
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes; a row for each row of docs.
 
     Null texts are empty; rows without a doc_id are left out, for they have no place in the
-    order. Texts shorter than LENGTH bytes lose nothing. Repeated rows with one doc_id don't
-    count against one another. Extra columns are not read; an empty table gives an empty result.
+    order. Texts shorter than LENGTH bytes lose nothing. Rows with one doc_id don't count against
+    one another, whether their texts are equal or not. Extra columns are not read; an empty table gives an empty result.
     """
     src = docs.select("doc_id", "text").filter("doc_id is not null")
-    stat = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.percentile_approx("doc_id", [i / KNOTS for i in range(KNOTS + 1)], 10_000).alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    chunks = max(1, -(-int(stat["b"]) // chunk_bytes))
-    step = max(1, KNOTS // chunks)
-    knots = sorted({stat["lo"], *stat["k"][step:-1:step], stat["hi"] + 1}) if stat["k"] else []
-    chunk = _chunk_of(F.col("doc_id"), knots, chunks).alias("chunk")
-    placed = src.select("doc_id", "text", chunk).mapInPandas(_squeeze, "doc_id long, z binary, chunk long").repartition("chunk")
-    narrow = src.filter("octet_length(text) > 0").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), chunk)
+    bounds, per, beyond = _boundaries(src, chunk_bytes)
+    chunks = (len(bounds) + 1) * per
+    chunk = _chunk_of(bounds, per, beyond)(F.col("doc_id")).alias("chunk")
+    by_id = lambda df: df.repartitionById(chunks, F.col("chunk"))
+    placed = by_id(src.select("doc_id", "text", chunk).mapInPandas(_squeeze, "doc_id long, z binary, chunk int"))
+    narrow = cut(src.filter("octet_length(text) > 0").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), chunk))
     first = narrow.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = narrow.join(first, "h").filter("doc_id > first").select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("binary").alias("blob"))
-    copies = copies.repartition("chunk")
-    marks = "chunk long, kind int, a long, blob binary"
+    copies = join_counted(narrow, first, ["h"], narrow.count()).filter("doc_id > first").select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("a"), F.col("h").alias("blob"))
+    copies = cut(copies)
+    marks = "chunk int, kind int, a long, blob binary"
     by_chunk = placed.groupBy("chunk")
-    sent = by_chunk.cogroup(copies.groupBy("chunk")).applyInPandas(_send_names(chunks), "bucket int, chunk long, names binary, many binary")
-    shared = sent.groupBy("bucket").applyInPandas(_shared_names, marks).repartition("chunk")
+    sent = by_chunk.cogroup(by_id(copies).groupBy("chunk")).applyInPandas(_send_names(chunks), "bucket int, chunk int, names binary, many binary")
+    shared = sent.repartitionById(chunks, F.col("bucket")).groupBy("bucket").applyInPandas(_shared_names, marks)
     told = copies.unionByName(shared)
-    sent = by_chunk.cogroup(told.groupBy("chunk")).applyInPandas(_send_windows(chunks), "bucket int, chunk long, names binary")
-    earlier = sent.groupBy("bucket").applyInPandas(_earlier, marks)
-    told = told.unionByName(earlier)
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInPandas(_remove(chunks), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    sent = by_chunk.cogroup(by_id(told).groupBy("chunk")).applyInPandas(_send_windows(chunks), "bucket int, chunk int, names binary")
+    earlier = sent.repartitionById(chunks, F.col("bucket")).groupBy("bucket").applyInPandas(_earlier, marks)
+    return by_chunk.cogroup(by_id(told.unionByName(earlier)).groupBy("chunk")).applyInPandas(_remove(chunks), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

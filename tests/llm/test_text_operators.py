@@ -109,6 +109,28 @@ def test_repeats_by_brute_force(docs, rows, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    a, b, c = ("".join(f"{x}{i}," for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b[:100] + c), (3, c), (None, a), (4, c), (5, b + a[20:120])]
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for size in (1000,) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size).collect())
+    assert got == Counter([(1, len(a), 0, 0), (2, len(a), len(a), 1), (2, len(b), 0, 0), (3, 100 + len(c), 100, 1), (3, len(c), 0, 0), (4, len(c), len(c), 1), (5, len(b) + 100, len(b) + 100, 1)])
+
+
+def test_chunks_hold_equal_bytes(spark):
+    """Clustered ids and one very long text don't put everything into one chunk."""
+    docs = spark.range(3000).select(F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") * 10**9).alias("doc_id"), F.when(F.col("id") == 1000, F.repeat(F.lit("y"), 30_000)).otherwise(F.repeat(F.lit("x"), 100)).alias("text"))
+    for most in (100_000, 7):
+        bounds, per, beyond = suffixes._boundaries(docs, 10_000, most)
+        chunk = suffixes._chunk_of(bounds, per, beyond)(F.col("doc_id"))
+        own = docs.select(chunk.alias("c"), "doc_id", F.length("text").alias("n")).orderBy("doc_id").collect()
+        assert [r["c"] for r in own] == sorted(r["c"] for r in own) and max(r["c"] for r in own) < (len(bounds) + 1) * per
+        size = Counter()
+        for r in own:
+            size[r["c"]] += r["n"]
+        if most > 7:
+            assert sorted(size.values())[-2] <= 10_000 and max(size.values()) <= 40_000
+
+
 def test_difference_cover():
     assert {(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
 
