@@ -1,6 +1,12 @@
+import html
+import itertools
+import math
 import random
 import re
+import time
 
+import numpy as np
+import pytest
 from cohortlab.llm import html_text as H
 
 
@@ -28,7 +34,115 @@ def test_held_out_pages():
         source, marks = H.training_page(rng)
         got = set(re.findall(r"Q\d+Q", one(source)))
         want, missed, extra = want + len(marks), missed + len(marks - got), extra + len(got - marks)
-    assert missed <= 0.2 * want and extra <= 0.05 * want
+    assert missed <= 0.03 * want and extra <= 0.02 * want
+
+
+# Pages written by hand, in other layouts than the training pages: `{}` is a paragraph of the story, `[]` what is not.
+LAYOUTS = [
+    # a news site whose containers say nothing
+    """<html><body><div id=w1><div class=t><a href=/>[]</a> <a href=/w>[]</a> <a href=/s>[]</a></div><div class=x7><div class=x8><h1>{h}</h1><div class=x9><p>{}</p><p>{}</p><p>{}</p><p>{}</p></div></div>
+    <div class=x3><ul><li><a href=/1>[]</a></li><li><a href=/2>[]</a></li><li><a href=/3>[]</a></li></ul></div></div><div class=b><a href=/i>[]</a> | <a href=/t>[]</a></div></div></body></html>""",
+    # a page laid out by tables
+    """<html><body><table width=100%><tr><td colspan=2><a href=/>[]</a> <a href=/b>[]</a></td></tr><tr><td width=150><a href=/1>[]</a><br><a href=/2>[]</a><br><a href=/3>[]</a></td><td><h2>{h}</h2><p>{}<p>{}<p>{}<p>{}</td></tr>
+    <tr><td colspan=2><font size=1>[]</font></td></tr></table></body></html>""",
+    # a blog entry with a sidebar and a form
+    """<body class=home><header><h2><a href=/>[]</a></h2><nav><a href=/a>[]</a><a href=/b>[]</a></nav></header><main><article class="post type-post"><header><h1>{h}</h1></header><p>{}</p><blockquote>{}</blockquote><p>{}</p><h3>{h}</h3><p>{}</p></article>
+    <section id=comments class=comments-area><h2>[]</h2><ol><li><p>[]</p></li><li><p>[]</p></li></ol><form><label>[]</label><textarea>x</textarea></form></section></main><aside><section class=widget><h2>[]</h2><ul><li><a href=/1>[]</a></li></ul></section></aside><footer><p>[]</p></footer></body>""",
+    # a manual with a contents column
+    """<body><div class="navbar"><a href=/>[]</a></div><div class=row><div class="col-3 toc"><ul><li><a href=#a>[]</a></li><li><a href=#b>[]</a></li><li><a href=#c>[]</a></li><li><a href=#d>[]</a></li></ul></div><div class="col-9"><h1>{h}</h1><p>{}</p><h2>{h}</h2><p>{}</p><ul><li>{}</li><li>{}</li></ul><p>{}</p></div></div><div class=cookie-banner><p>[]</p><button>OK</button></div></body>""",
+    # an encyclopedia page
+    """<body><div id=mw-head><ul><li><a href=/r>[]</a></li><li><a href=/e>[]</a></li></ul></div><div id=content class=mw-body><h1>{h}</h1><div id=bodyContent><p>{}</p><p>{}</p><h2>{h}</h2><p>{}</p><p>{}</p><table class=infobox><tr><th>{h}</th><td>{}</td></tr></table></div></div><div id=mw-panel><ul><li><a href=/m>[]</a></li><li><a href=/n>[]</a></li></ul></div><div id=footer><ul><li>[]</li><li><a href=/p>[]</a></li></ul></div></body>""",
+    # a magazine with a teaser between paragraphs and share links
+    """<body><nav class=main-menu><ul><li><a href=/1>[]</a></li><li><a href=/2>[]</a></li></ul></nav><div class=page><section class=story><h1>{h}</h1><div class=share><a href=/f>[]</a><a href=/x>[]</a></div><p>{}</p><p>{}</p><div class="promo newsletter"><p>[]</p></div><p>{}</p><p>{}</p></section><div class=related><h4>[]</h4><a href=/7>[]</a><a href=/8>[]</a></div></div><footer class=site-footer>[]</footer></body>""",
+    # a forum post without paragraphs, between ranks of links
+    """<body><div class=top><a href=/l>[]</a> <a href=/r>[]</a></div><div class=crumbs><a href=/f>[]</a> &gt; <a href=/g>[]</a></div><div class=thread><h2>{h}</h2><div class=msg>{}<br><br>{}<br><br>{}</div></div><div class=pager><a href=/2>[]</a> <a href=/3>[]</a> <a href=/4>[]</a></div><div class=bottom>[]</div></body>""",
+    # a press release in nested sections with a contact column
+    """<body><header class=masthead><a href=/>[]</a><ul><li><a href=/p>[]</a></li><li><a href=/c>[]</a></li></ul></header><section><section><h1>{h}</h1><p>{}</p><section><h2>{h}</h2><p>{}</p><ol><li>{}</li><li>{}</li></ol></section></section></section><aside class=contact><h4>[]</h4><p>[]</p></aside><footer><small>[]</small></footer></body>""",
+    # an old page of headings and rules
+    """<html><body bgcolor=white><center><a href=/a>[]</a> | <a href=/b>[]</a> | <a href=/c>[]</a></center><hr><h2>{h}</h2><p>{}<p>{}<p>{}<p>{}<hr><center><font size=-1>[]<br><a href=mailto:x>[]</a></font></center></body></html>""",
+]
+# Written after the model was settled on the others, and not used to change it.
+UNSEEN = [
+    # a recipe between a picture strip and ratings
+    """<body><div id=bar><span><a href=/>[]</a></span><span><a href=/q>[]</a></span></div><div id=strip><a href=/1><img src=1>[]</a><a href=/2><img src=2>[]</a></div><div id=recipe><h1>{h}</h1><p>{}</p><h3>{h}</h3><ul><li>{}</li><li>{}</li></ul><h3>{h}</h3><ol><li>{}</li><li>{}</li></ol></div><div id=stars>[]</div><div id=more><h3>[]</h3><ul><li><a href=/7>[]</a></li><li><a href=/8>[]</a></li></ul></div></body>""",
+    # an essay with notes, a language switch and a login line
+    """<html><body><p><a href=/en>[]</a> <a href=/fr>[]</a></p><form action=/login>[]<input name=u></form><div><div><h2>{h}</h2><h4>{h}</h4><p>{}</p><p>{}</p><p>{}</p><dl><dt>{h}</dt><dd>{}</dd></dl></div></div><div><p><a href=/prev>[]</a> <a href=/next>[]</a></p></div><footer><p>[]</p></footer></body></html>""",
+    # a product page with a description among buttons and offers
+    """<body><nav><a href=/>[]</a><a href=/k>[]</a></nav><main><div class=gallery><img src=x></div><div class=desc><h1>{h}</h1><p>{}</p><p>{}</p><table><tr><td>{h}</td><td>{}</td></tr></table></div><div class=social><a href=/f>[]</a><a href=/t>[]</a></div><div class="related offers"><h3>[]</h3><p>[]</p></div></main><footer>[]</footer></body>""",
+]
+
+
+@pytest.mark.parametrize("layouts", [LAYOUTS, UNSEEN], ids=["seen", "unseen"])
+def test_layouts_written_by_hand(layouts):
+    rng = random.Random(11)
+    words = "when the river rose again people of the lower town carried their books to the old mill and waited there until morning came with a cold wind from the north".split()
+    want = got = extra = other = 0
+    for layout in layouts * 5:
+        n = iter(range(10_000))
+
+        def fill(m):
+            k = next(n)
+            if m.group() == "[]":
+                return f"N{k}N " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+            lo, hi = (2, 7) if m.group() == "{h}" else (18, 70)
+            return f"Y{k}Y " + " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi))).capitalize() + ("" if m.group() == "{h}" else ".")
+
+        source = re.sub(r"\{h?\}|\[\]", fill, layout)
+        out = one(source)
+        yes, no = set(re.findall(r"Y\d+Y", source)), set(re.findall(r"N\d+N", source))
+        want, got = want + len(yes), got + len(yes & set(re.findall(r"Y\d+Y", out)))
+        other, extra = other + len(no), extra + len(no & set(re.findall(r"N\d+N", out)))
+    assert got >= 0.9 * want and extra <= 0.1 * other, (got / want, extra / other)
+
+
+def test_pages_by_a_plain_reading(spark):
+    """Every page of a table against its article cut out and stripped by other means."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in H.main_text(rows).join(rows.select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
+        blocks = re.split(r"</?(?:p|h1)>", body)
+        text = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m.group() == "<br>" else "", x)).split()) for x in blocks]
+        assert r["text"] == "\n".join(x for x in text if x) and r["n_chars"] == len(r["text"])
+
+
+def test_decoding_by_brute_force():
+    rng, mixed = random.Random(5), math.log(0.05)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        page = H.Page("")
+        page.parent = [-1] + [rng.randrange(i) for i in range(1, n)]
+        page.tag = ["body"] * min(n, rng.randint(0, 2)) + ["div"] * n
+        page.tag = page.tag[:n]
+        page.runs = [(i, f"t{i}", 0) for i in range(n) if rng.random() < 0.7]
+        p = np.array([rng.uniform(0.02, 0.98) for _ in range(n)])
+        own = {i for i, *_ in page.runs}
+        has = set(own)
+        for i in range(n - 1, 0, -1):
+            if i in has:
+                has.add(page.parent[i])
+        best = None
+        for labels in itertools.product("CBM", repeat=n):
+            if any(i and labels[page.parent[i]] != "M" and labels[i] != labels[page.parent[i]] for i in range(n)):
+                continue
+            part = {"C": lambda i: math.log(p[i]), "B": lambda i: math.log(1 - p[i]), "M": lambda i: (0 if page.tag[i] == "body" else mixed) + (max(math.log(p[i]), math.log(1 - p[i])) if i in own else 0)}
+            score = sum(part[labels[i]](i) for i in range(n) if i in has)
+            text = "\n".join(t for i, t, _ in page.runs if labels[i] == "C" or labels[i] == "M" and p[i] >= 0.5)
+            best = max(best, (score, text)) if best else (score, text)
+        assert page.decode(p) == best[1]
+
+
+def test_time_in_proportion_to_length():
+    """A megabyte of tags that once took minutes."""
+    start = time.monotonic()
+    for part in ("<div>", "<a class=\"x ", "<a '>' ", "<b></i></p>", "<a><div>", "<object>", "<a ", "<ul><li><div>", "<table><td>"):
+        assert isinstance(one(part * (300_000 // len(part))), str)
+    assert time.monotonic() - start < 60
+
+
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Some words of text, here.</p></article>", "old", "x")], "page_id long, url string, html string, n_chars string, score string")
+    row = H.main_text(df).first()
+    assert row["n_chars"] == len(row["text"]) > 0 and row["score"] == "x"
 
 
 def test_rows_keep_their_columns(spark):
