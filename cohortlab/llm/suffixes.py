@@ -132,11 +132,15 @@ def _range_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as compressed bytes, for they are shuffled once and stay on disk until the end."""
-    for pdf in batches:
-        z = [zlib.compress(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", 1) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": z, "chunk": pdf["chunk"]})
+def _squeeze(chunk: Callable[[np.ndarray], np.ndarray]):
+    """Texts as compressed bytes with their chunk, for they are shuffled once and stay on disk until the end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = [zlib.compress(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"", 1) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "z": z, "chunk": chunk(pdf["doc_id"].to_numpy(np.int64))})
+
+    return run
 
 
 def _copies(marks: pd.DataFrame) -> dict[int, set[bytes]]:
@@ -252,19 +256,17 @@ def _boundaries(src: DataFrame, chunk_bytes: int, most: int = 100_000) -> tuple[
     return np.unique(np.array([r[0] for r in first], np.int64)), per, int(total["hi"] or 0) + 1
 
 
-def _chunk_of(bounds: np.ndarray, per: int, beyond: int) -> Callable[[str], Column]:
-    """The chunk of a doc_id, rising with it: by the run of equal bytes, and evenly over the ids of a run that makes several."""
+def _chunk_of(bounds: np.ndarray, per: int, beyond: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The chunks of doc_ids, rising with them: by the run of equal bytes, and evenly over the ids of a run that makes several."""
     ends = np.append(bounds, beyond)
 
-    @F.pandas_udf("int")
-    def chunk(doc_id: pd.Series) -> pd.Series:
-        ids = doc_id.to_numpy(np.int64)
+    def chunk(ids: np.ndarray) -> np.ndarray:
         run = np.searchsorted(bounds, ids, side="right")
         if per == 1:
-            return pd.Series(run.astype(np.int32))
+            return run.astype(np.int32)
         lo = np.where(run > 0, bounds[np.maximum(run - 1, 0)], 0)
         share = (ids - lo).astype(float) / np.maximum(1, ends[run] - lo)
-        return pd.Series((run * per + np.clip(share * per, 0, per - 1).astype(np.int64)).astype(np.int32))
+        return (run * per + np.clip(share * per, 0, per - 1).astype(np.int64)).astype(np.int32)
 
     return chunk
 
@@ -279,12 +281,15 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = 6 << 20) -> DataFrame:
     src = docs.select("doc_id", "text").filter("doc_id is not null")
     bounds, per, beyond = _boundaries(src, chunk_bytes)
     chunks = (len(bounds) + 1) * per
-    chunk = _chunk_of(bounds, per, beyond)(F.col("doc_id")).alias("chunk")
+    chunk_of = _chunk_of(bounds, per, beyond)
     by_id = lambda df: df.repartitionById(chunks, F.col("chunk"))
-    placed = by_id(src.select("doc_id", "text", chunk).mapInPandas(_squeeze, "doc_id long, z binary, chunk int"))
-    narrow = cut(src.filter("octet_length(text) > 0").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), chunk))
+    placed = by_id(src.mapInPandas(_squeeze(chunk_of), "doc_id long, z binary, chunk int"))
+    narrow = cut(src.filter("octet_length(text) > 0").select("doc_id", F.unhex(F.sha2("text", 256)).alias("h")))
     first = narrow.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = join_counted(narrow, first, ["h"], narrow.count()).filter("doc_id > first").select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("a"), F.col("h").alias("blob"))
+    copies = join_counted(narrow, first, ["h"], narrow.count()).filter("doc_id > first").select("doc_id", "h")
+    # a step of its own, so that no task needs a second Python worker
+    chunk = F.pandas_udf(lambda x: pd.Series(chunk_of(x.to_numpy(np.int64))), "int")
+    copies = cut(copies).select(chunk("doc_id").alias("chunk"), F.lit(2).alias("kind"), F.col("doc_id").alias("a"), F.col("h").alias("blob"))
     copies = cut(copies)
     marks = "chunk int, kind int, a long, blob binary"
     by_chunk = placed.groupBy("chunk")

@@ -121,8 +121,8 @@ def test_chunks_hold_equal_bytes(spark):
     docs = spark.range(3000).select(F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") * 10**9).alias("doc_id"), F.when(F.col("id") == 1000, F.repeat(F.lit("y"), 30_000)).otherwise(F.repeat(F.lit("x"), 100)).alias("text"))
     for most in (100_000, 7):
         bounds, per, beyond = suffixes._boundaries(docs, 10_000, most)
-        chunk = suffixes._chunk_of(bounds, per, beyond)(F.col("doc_id"))
-        own = docs.select(chunk.alias("c"), "doc_id", F.length("text").alias("n")).orderBy("doc_id").collect()
+        own = docs.select("doc_id", F.length("text").alias("n")).orderBy("doc_id").toPandas()
+        own = own.assign(c=suffixes._chunk_of(bounds, per, beyond)(own["doc_id"].to_numpy())).to_dict("records")
         assert [r["c"] for r in own] == sorted(r["c"] for r in own) and max(r["c"] for r in own) < (len(bounds) + 1) * per
         size = Counter()
         for r in own:
