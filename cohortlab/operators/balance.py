@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.murmur import uniform
 from ..functions.special import norm_ppf, p_chi2, p_f
 from .moments import ratio
 
@@ -46,21 +47,49 @@ def srm(sizes: DataFrame, expected: list[float] | None = None, keys: list[str] |
     }).drop("_ws", "_q", "_g")
 
 
+#: What a level of srm() asks for.
+ACTIONS = {"critical": "stop and check the allocation", "high": "review recent changes, consider a pause", "medium": "keep watching, may be chance", "normal": "nothing to do"}
+
+
+def srm_monitoring(sizes: DataFrame, period: str, groups: int, expected: float | None = None) -> DataFrame:
+    """Sample-ratio test of the cumulated sizes at the end of each period, with the largest deviation
+    of a group from its expected size (by default an equal share) and the action. sizes: (period, group_id, n).
+
+    Only the table of periods and groups goes through the window.
+    """
+    grid = sizes.select(period).distinct().withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    full = grid.join(sizes.select(period, F.col("group_id").cast("int").alias("group_id"), "n"), [period, "group_id"], "left").fillna(0, ["n"])
+    run = full.withColumn("n", F.sum("n").over(Window.partitionBy("group_id").orderBy(period).rowsBetween(Window.unboundedPreceding, 0)))
+    test = srm(run, keys=[period])
+    each = F.lit(float(expected)) if expected is not None else F.col("total") / groups
+    worst = F.greatest(F.col("max_n") - each, each - F.col("min_n")) / each * 100
+    action = F.coalesce(*[F.when(F.col("level") == k, v) for k, v in ACTIONS.items()])
+    if expected is not None:
+        q = run.groupBy(period).agg(F.sum((F.col("n") - each) * (F.col("n") - each) / each).alias("chi2"))
+        test = test.drop("chi2", "p_value", "level").join(q, period).withColumn("p_value", p_chi2("chi2", F.lit(float(groups - 1))))
+        p = F.col("p_value")
+        test = test.withColumn("level", F.when(p < 0.001, "critical").when(p < 0.01, "high").when(p < 0.05, "medium").otherwise("normal"))
+    return test.select(period, "total", "max_n", "min_n", "chi2", "p_value", "level", worst.alias("max_group_diff_pct"), action.alias("action"))
+
+
 def contingency(routed: DataFrame, a: str, b: str) -> DataFrame:
     return routed.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def orthogonality(routed: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-squared test of independence of two layers (with Yates' correction for two by two), and cell deviations."""
-    cells = contingency(routed, a, b)
-    ra, rb = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    shape = ra.agg(F.count("*").alias("ka"), F.sum("na").alias("total")).join(rb.agg(F.count("*").alias("kb")))
-    grid = ra.withColumn("_j", F.lit(1)).join(rb.withColumn("_j", F.lit(1)), "_j").join(cells, ["a", "b"], "left").join(shape)  # groups by groups rows
+def orthogonality(routed: DataFrame, a: str, b: str, keys: list[str] = ()) -> DataFrame:
+    """Chi-squared test of independence of two layers (with Yates' correction for two by two), and cell
+    deviations; one row, or one a key."""
+    keys = list(keys)
+    cells = routed.groupBy(*keys, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    ra, rb = cells.groupBy(*keys, "a").agg(F.sum("n").alias("na")), cells.groupBy(*keys, "b").agg(F.sum("n").alias("nb"))
+    one = F.lit(1).alias("_j")
+    shape = ra.groupBy(*keys, one).agg(F.count("*").alias("ka"), F.sum("na").alias("total")).join(rb.groupBy(*keys, one).agg(F.count("*").alias("kb")), [*keys, "_j"])
+    grid = ra.withColumn("_j", F.lit(1)).join(rb.withColumn("_j", F.lit(1)), [*keys, "_j"]).join(cells, [*keys, "a", "b"], "left").join(shape, [*keys, "_j"])  # groups by groups rows a key
     e = F.col("na") * F.col("nb") / F.col("total")
     d = F.abs(F.coalesce("n", F.lit(0)) - e)
     df = (F.col("ka") - 1) * (F.col("kb") - 1)
     yates = F.when(df == 1, F.greatest(F.lit(0.0), d - F.least(F.lit(0.5), d))).otherwise(d)
-    out = grid.select(df.cast("double").alias("df"), (yates * yates / e).alias("x"), (d / e * 100).alias("dev")).groupBy("df").agg(F.sum("x").alias("chi2"), F.max("dev").alias("max_dev_pct"), F.avg("dev").alias("mean_dev_pct"))
+    out = grid.select(*keys, df.cast("double").alias("df"), (yates * yates / e).alias("x"), (d / e * 100).alias("dev")).groupBy(*keys, "df").agg(F.sum("x").alias("chi2"), F.max("dev").alias("max_dev_pct"), F.avg("dev").alias("mean_dev_pct"))
     return out.withColumn("p_value", p_chi2("chi2", "df")).withColumn("passed", F.col("p_value") > 0.05)
 
 
@@ -103,3 +132,51 @@ def min_per_group(bias_pct: Column, z: float = 1.96) -> Column:
 
 def min_total(bias_pct: Column, groups: Column, z: float = 1.96) -> Column:
     return F.ceil(F.pow(F.lit(z) / (bias_pct / 100), 2) * groups)
+
+
+def bound_table(spark: SparkSession, ns: tuple[int, ...] = (500, 5_000, 50_000, 500_000), buckets: int = 1000, groups: int = 10) -> DataFrame:
+    """Users and spread of a bucket and of a group under pure hashing, and three spreads in per cent."""
+    n = spark.createDataFrame([(x,) for x in ns], "n int")
+    each = F.col("n") / buckets
+    spread = F.sqrt(F.lit(buckets / groups)) * F.sqrt(each)
+    return n.select("n", each.alias("per_bucket"), F.sqrt(each).alias("bucket_std"), spread.alias("group_std"), (3 * spread / (F.col("n") / groups) * 100).alias("bound_3sigma_pct"))
+
+
+def aa_of_groups(routed: DataFrame, groups: int, group: str = "group_id", user: str = "user_id", simulations: int = 5, rate: float = 0.05) -> DataFrame:
+    """A dry run of all groups at one conversion rate: F test of the groups' rates over the simulations.
+
+    A user converts in a simulation by a hash; a group without users has the rate 0.
+    """
+    each = routed.select(F.col(group).cast("int").alias("g"), user, F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim"))
+    rates = each.groupBy("sim", "g").agg(F.avg((uniform(F.lit("aa"), "sim", user) < rate).cast("double")).alias("r"))
+    grid = routed.sparkSession.range(groups * simulations).select((F.col("id") % groups).cast("int").alias("g"), F.floor(F.col("id") / groups).cast("int").alias("sim"))
+    full = grid.join(rates, ["g", "sim"], "left").select("g", F.coalesce("r", F.lit(0.0)).alias("rate"))
+    return anova(full, "g", ["rate"]).select("f_stat", "p_value", "passed")
+
+
+def split_report(routed: DataFrame, groups: int, group: str = "group_id", user: str = "user_id", hash_limit: float = 0.01, rate: float = 0.05) -> DataFrame:
+    """(item, value, passed: pass, fail or -): every group's share and deviation, the three checks of a split, the
+    smallest detectable effect at the first group's size, and whether all checks pass."""
+    sizes = group_sizes_of(routed, groups, group)
+    n = F.col("n").cast("double")
+    total = F.lit(sizes.agg(F.sum("n")).first()[0]).cast("double")
+    share = sizes.select(F.explode(F.array(*[F.struct(F.concat(F.lit(f"group {i} "), F.lit(what)).alias("item"), F.when(F.col("group_id") == i, value).alias("value")) for i in range(groups) for what, value in (("n", n), ("share_pct", n / total * 100), ("deviation_pct", (n - total / groups) / (total / groups) * 100))])).alias("s")).select("s.*").filter("value is not null").withColumn("passed", F.lit(None).cast("boolean"))
+    spread = hash_diff(sizes).select(F.lit("hash_diff").alias("item"), F.col("hash_diff").alias("value"), (F.col("hash_diff") < hash_limit).alias("passed"))
+    ratio_ = srm(sizes).select(F.lit("srm_p").alias("item"), F.col("p_value").alias("value"), (F.col("verdict") != "FAIL").alias("passed"))
+    dry = aa_of_groups(routed, groups, group, user, rate=rate).select(F.lit("aa_p").alias("item"), F.col("p_value").alias("value"), "passed")
+    least = sizes.filter("group_id = 0").select(F.lit("mde").alias("item"), mde(n, rate).alias("value"), F.lit(None).cast("boolean").alias("passed"))
+    checks = spread.unionByName(ratio_).unionByName(dry)
+    every = checks.agg(F.lit("all").alias("item"), F.lit(None).cast("double").alias("value"), F.bool_and("passed").alias("passed"))
+    said = F.coalesce(F.when(F.col("passed"), "pass"), F.when(~F.col("passed"), "fail"), F.lit("-"))
+    return share.unionByName(checks).unionByName(least).unionByName(every).withColumn("passed", said)
+
+
+def group_sizes_of(routed: DataFrame, groups: int, group: str) -> DataFrame:
+    from .routing import group_sizes
+
+    return group_sizes(routed, groups, group)
+
+
+def mean_deviation(df: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """(feature, max_diff_pct): the largest deviation of a group's mean from the overall mean, in per cent."""
+    return anova(df, group, features).select("feature", "max_diff_pct")

@@ -102,10 +102,14 @@ def pre_post(df: DataFrame, arm: str, pre: str, post: str, keys: list[str] = (),
     return out.withColumn("p_value", p_t("t_stat", "nu"))
 
 
-def multi_cuped(df: DataFrame, arm: str, y: str, covariates: list[str], keys: list[str] = ()) -> DataFrame:
+def multi_cuped(df: DataFrame, arm: str, y: str, covariates: list[str], keys: list[str] = (), ddof: tuple[int, int] = (1, 1), raw: str | None = None) -> DataFrame:
     """CUPED with several covariates, from one pass of moments. A covariate that is constant or
-    (nearly) a combination of those before it is left out, as a least-squares fit would not need it."""
-    cols = [y, *covariates]
+    (nearly) a combination of those before it is left out, as a least-squares fit would not need it.
+
+    var_reduction compares the variance of the adjusted metric with that of raw (y itself if None);
+    ddof says of which kind each is: 1 for sample, 0 for population variances.
+    """
+    cols = list(dict.fromkeys([y, *covariates, *([raw] if raw else [])]))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     d = df.select(*keys, F.col(arm).alias("a"), *[F.col(c).cast("double").alias(c) for c in cols])
     m = arms(d, "a", cols, pairs, list(keys))
@@ -128,11 +132,13 @@ def multi_cuped(df: DataFrame, arm: str, y: str, covariates: list[str], keys: li
                 mean[s] = r[f"mean_{y}{s}"] - sum(t * (r[f"mean_{c}{s}"] - r[f"mean_{c}"]) for t, c in zip(theta, chosen))
                 own = np.array([[cov(r, p, q, s) for q in chosen] for p in chosen], float).reshape(len(chosen), -1)
                 var[s] = r[f"var_{y}{s}"] - 2 * sum(t * cov(r, y, c, s) for t, c in zip(theta, chosen)) + (theta @ own @ theta if chosen else 0)
+            n, plain = r["n_t"] + r["n_c"], r[f"var_{raw or y}"]
             whole = r[f"var_{y}"] - sum(t * cov(r, y, c, "") for t, c in zip(theta, chosen))
+            whole, plain = (v if k else v * (n - 1) / n for v, k in zip((whole, plain), ddof))
             a, b = var["_t"] / r["n_t"], var["_c"] / r["n_c"]
             t = (mean["_t"] - mean["_c"]) / (a + b) ** 0.5 if a + b > 0 else None
             nu = (a + b) ** 2 / (a * a / (r["n_t"] - 1) + b * b / (r["n_c"] - 1)) if a + b > 0 else None
-            out.append([r[k] for k in keys] + [mean["_t"] - mean["_c"], t, nu, 1 - whole / r[f"var_{y}"] if r[f"var_{y}"] else 0.0, len(chosen)])
+            out.append([r[k] for k in keys] + [mean["_t"] - mean["_c"], t, nu, 1 - whole / plain if plain else 0.0, len(chosen)])
         return pd.DataFrame(out, columns=[*keys, "effect", "t_stat", "nu", "var_reduction", "n_covariates"])
 
     types = dict(m.dtypes)
@@ -140,6 +146,34 @@ def multi_cuped(df: DataFrame, arm: str, y: str, covariates: list[str], keys: li
     return m.mapInPandas(lambda it: (solve(p) for p in it), schema).withColumn("p_value", p_t("t_stat", "nu"))
 
 
+#: Which variances the extended estimators compare, (of the adjusted metric, of the plain one): 1 sample, 0 population.
+EXTENDED_DDOF = {"plain": (1, 1), "did": (1, 1), "cuped": (0, 1), "multi_cuped": (0, 0), "did_multi_cuped": (0, 1)}
+
+
+def extended_estimators(df: DataFrame, arm: str, pre: str, post: str, covariates: list[str], keys: list[str] = ()) -> DataFrame:
+    """plain, did, cuped with pre, CUPED with all covariates, and DID with all covariates: a row for each."""
+    keys = list(keys)
+    two = pre_post(df, arm, pre, post, keys, {k: EXTENDED_DDOF[k] for k in ("did", "cuped")}).filter(F.col("method").isin("plain", "did", "cuped"))
+    out = two.select(*keys, "method", "effect", "t_stat", "nu", "var_reduction", "p_value")
+    d = df.withColumn("_delta", F.col(post).cast("double") - F.col(pre).cast("double"))
+    for name, y in (("multi_cuped", post), ("did_multi_cuped", "_delta")):
+        one = multi_cuped(d, arm, y, covariates, keys, EXTENDED_DDOF[name], post).withColumn("method", F.lit(name))
+        out = out.unionByName(one.select(*out.columns))
+    return out
+
+
+def seasonal_cuped(df: DataFrame, arm: str, pre: str, post: str, weekday: str, weekend: str) -> DataFrame:
+    """CUPED with the earlier metric and marks of weekday and weekend; of marks that add up to one, one is used."""
+    return multi_cuped(df, arm, post, [pre, weekday, weekend], ddof=(0, 0))
+
+
+def z_normalized(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds log_<c>_norm: log(1 + c) less its mean, over its population deviation (null where that is 0)."""
+    m = df.agg(*[f(F.log1p(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    out = df.join(F.broadcast(m))  # one row
+    return out.withColumns({f"log_{c}_norm": ratio(F.log1p(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).drop(*m.columns)
+
+
 def bounds(df: DataFrame, arm: str, y: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles of y by arm, one row an arm."""
     return percentiles(df, y, points, [arm])
@@ -198,6 +232,30 @@ def compare_outliers(df: DataFrame, arm: str, y: str) -> DataFrame:
     return out.unionByName(u)
 
 
+def outlier_study(df: DataFrame, arm: str, y: str, user: str, trials: int = 100, effect_pct: float = 5.0, noise: float = 0.1) -> DataFrame:
+    """(method, power, mean_effect, std_effect, raw_p, rank_p): how often each treatment of outliers
+    finds an effect put into the treated arm under noise, and what the plain and the rank test say of the data.
+
+    Trials are keys, so their moments and percentiles are grouped ones; a row a user and trial is made and summed.
+    """
+    from .simulate import _each_trial, normal
+
+    own = df.filter(F.col(arm).isin(0, 1)).select(user, arm, F.col(y).cast("double").alias("y"))
+    spread = own.groupBy(arm).agg(F.stddev_pop(F.when(F.col(arm) == 1, F.col("y") * (1 + effect_pct / 100)).otherwise(F.col("y"))).alias("_sd"))
+    t = _each_trial(own.join(F.broadcast(spread), arm), trials, user)  # a row an arm
+    lifted = F.when(F.col(arm) == 1, F.col("y") * (1 + effect_pct / 100)).otherwise(F.col("y"))
+    t = t.select("trial", arm, (lifted + noise * F.col("_sd") * normal(F.lit("outlier"), "trial", user)).alias("raw"))
+    points = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}
+    b = percentiles(t, "raw", points, ["trial", arm])
+    t = t.join(b, ["trial", arm])
+    between = lambda lo, hi: F.least(F.greatest(F.col("raw"), F.col(lo)), F.col(hi))
+    t = t.withColumns({"w5": between("p05", "p95"), "w1": between("p01", "p99"), "cap": F.least(F.col("raw"), F.col("p99")), "log": F.log1p(F.greatest(F.col("raw"), F.lit(0.0)))})
+    long = t.selectExpr("trial", arm, "stack(5, 'raw', raw, 'winsorize_5', w5, 'winsorize_1', w1, 'cap_99', cap, 'log', log) as (method, v)")
+    each = continuous_test(long, arm, "v", keys=["method", "trial"])
+    out = each.groupBy("method").agg(F.avg(F.col("significant").cast("double")).alias("power"), F.avg("diff").alias("mean_effect"), F.stddev_pop("diff").alias("std_effect"))
+    return out.join(continuous_test(own, arm, "y").select(F.col("p_value").alias("raw_p"))).join(mann_whitney(own, arm, "y").select(F.col("p_value").alias("rank_p")))  # one row each
+
+
 def kaplan_meier(df: DataFrame, days: str, observed: str, keys: list[str] = (), max_day: int = 60) -> DataFrame:
     """(keys, day, at_risk, events, survival) for every day from 1 to max_day."""
     keys = list(keys)
@@ -258,19 +316,81 @@ def stability(df: DataFrame, arm: str, y: str, order: list[str]) -> DataFrame:
 
 
 def beta_binomial(counts: DataFrame, a: float = 1.0, b: float = 1.0, panels: int = 2000) -> DataFrame:
-    """counts: n_t, x_t, n_c, x_c. Posterior means, P(t > c) by quadrature and its reading."""
+    """counts: n_t, x_t, n_c, x_c. Posterior means with 95 % credible intervals, P(t > c) and the
+    interval of the lift by quadrature, and its reading."""
+    added = ["prob_better", "low_t", "high_t", "low_c", "high_c", "lift_low", "lift_high"]
 
     def run(it):
         for pdf in it:
-            yield pdf.assign(prob_better=[_prob_better(a + r.x_t, b + r.n_t - r.x_t, a + r.x_c, b + r.n_c - r.x_c, panels) for r in pdf.itertuples()])
+            rows = []
+            for r in pdf.itertuples():
+                t, c = (a + r.x_t, b + r.n_t - r.x_t), (a + r.x_c, b + r.n_c - r.x_c)
+                rows.append([_prob_better(*t, *c, panels), *(_beta_quantile(*x, p) for x in (t, c) for p in (0.025, 0.975)), *_lift_interval(t, c)])
+            yield pd.concat([pdf, pd.DataFrame(rows, columns=added, index=pdf.index, dtype=float)], axis=1)
 
-    out = counts.mapInPandas(run, StructType([*counts.schema.fields, StructField("prob_better", DoubleType())]))
+    out = counts.mapInPandas(run, StructType([*counts.schema.fields, *[StructField(x, DoubleType()) for x in added]]))
     mt, mc = (F.col("x_t") + a) / (F.col("n_t") + a + b), (F.col("x_c") + a) / (F.col("n_c") + a + b)
     p = F.col("prob_better")
     said = F.when(p > 0.95, "strong_win").when(p > 0.85, "likely_win").when(p > 0.6, "lean_win").when(p > 0.4, "no_difference").otherwise("lean_loss")
     return out.withColumns({"mean_t": mt, "mean_c": mc, "abs_lift": mt - mc, "rel_lift": (mt - mc) / (mc + 1e-9), "reading": said})
 
 
+def _beta_quantile(a: float, b: float, p: float) -> float:
+    from ..functions.special import beta_i
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if beta_i(a, b, mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def _lift_interval(t: tuple[float, float], c: tuple[float, float], cells: int = 4000) -> tuple[float, float]:
+    """The 2.5 and 97.5 % points of the difference of two beta variables, on a grid of their densities."""
+    def grid(a: float, b: float, width: float, lo: float) -> np.ndarray:
+        x = lo + width * np.arange(cells)
+        inside = (x > 0) & (x < 1)
+        log = np.full(cells, -np.inf)
+        log[inside] = (a - 1) * np.log(x[inside]) + (b - 1) * np.log1p(-x[inside])
+        w = np.exp(log - log.max())
+        return w / w.sum()
+
+    span = [(m := a / (a + b), 9 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5) for a, b in (t, c)]
+    width = 2 * max(s for _, s in span) / cells
+    lo = [m - width * cells / 2 + width / 2 for m, _ in span]
+    size = 1 << (2 * cells).bit_length()
+    diff = np.fft.irfft(np.fft.rfft(grid(*t, width, lo[0]), size) * np.fft.rfft(grid(*c, width, lo[1])[::-1], size), size)[: 2 * cells - 1]
+    total = np.cumsum(diff)
+    at = lambda p: lo[0] - lo[1] + width * (int(np.searchsorted(total, p)) - cells + 1)
+    return at(0.025), at(0.975)
+
+
+def bayes_against_z(counts: DataFrame, effects: tuple[float, ...] = (0.0, 0.005, 0.01, 0.02), simulations: int = 200, seed: int = 20260728) -> DataFrame:
+    """(n_t, x_t, n_c, x_c, effect, z_power, bayes_power): how often the Z test and P(t > c) > 0.95 find
+    effects added to the treated rate; without an effect the counts stand as they are. A row of
+    counts and a simulation are one unit of work; each draws from its own generator."""
+    from ..functions.special import norm_sf2
+
+    cols = ["n_t", "x_t", "n_c", "x_c"]
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for r in pdf.itertuples():
+                rng = np.random.default_rng(seed + int(r.sim))
+                for e in effects:
+                    x = int(rng.binomial(r.n_t, r.x_t / r.n_t + e)) if e > 0 else int(r.x_t)
+                    pool = (x + r.x_c) / (r.n_t + r.n_c)
+                    se = (pool * (1 - pool) * (1 / r.n_t + 1 / r.n_c)) ** 0.5
+                    z = (x / r.n_t - r.x_c / r.n_c) / se if se > 0 else 0.0
+                    better = _prob_better(1.0 + x, 1.0 + r.n_t - x, 1.0 + r.x_c, 1.0 + r.n_c - r.x_c, 200)
+                    rows.append([r.n_t, r.x_t, r.n_c, r.x_c, e, float(norm_sf2(z) < 0.05), float(better > 0.95)])
+            yield pd.DataFrame(rows, columns=[*cols, "effect", "z", "b"])
+
+    each = counts.select(*cols, F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim")).repartition(32, "sim")
+    return each.mapInPandas(run, "n_t long, x_t long, n_c long, x_c long, effect double, z double, b double").groupBy(*cols, "effect").agg(F.avg("z").alias("z_power"), F.avg("b").alias("bayes_power"))
+
+
 def _prob_better(at: float, bt: float, ac: float, bc: float, panels: int) -> float:
     """P(T > C) of two beta variables: the integral of the density of T times the distribution of C."""
     import math

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .moments import ratio
@@ -89,28 +89,56 @@ def markdown_report(title: str, sections: dict[str, list[tuple[str, object]]]) -
     return "\n".join(lines)
 
 
-def experiment_report(df: DataFrame, arm: str, y: str, features: list[str], order: list[str], y_type: str = "binary", title: str = "Experiment report") -> str:
-    """The whole validation of an experiment: sample ratio, balance, effect, stability, advice."""
-    from .balance import anova, srm
-    from .effects import continuous_test, conversion_test, stability
+def two_arm_test(df: DataFrame, arm: str, y: str, y_type: str) -> Row:
+    """One row of the Z test (binary) or Welch's (continuous)."""
+    from .effects import continuous_test, conversion_test
     from .moments import arms
 
+    if y_type == "binary":
+        m = arms(df.withColumn("_y", F.col(y).cast("double")), arm, ["_y"]).select("n_t", F.col("sum__y_t").alias("x_t"), "n_c", F.col("sum__y_c").alias("x_c"))
+        return conversion_test(m).first()
+    return continuous_test(df, arm, y).first()
+
+
+def advice_for(balanced: bool, significant: bool, effect: float, score: float, mde: float | None) -> str:
+    """What to do, from the checks in their order of weight."""
+    if not balanced:
+        return "stop at once: the sample ratio is off, no result can be trusted"
+    if significant:
+        return ("ship to all users" if effect > 0 else "harmful: stop") if score > 0.6 else "significant but unstable: keep running"
+    if mde is None:
+        return "no detectable effect: decide by other reasons"
+    return "extend by one or two weeks: the effect is over half of what can be detected" if abs(effect) > mde / 2 else "stop: the effect is far below what can be detected"
+
+
+def experiment_report(df: DataFrame, arm: str, y: str, features: list[str], order: list[str], y_type: str = "binary", title: str = "Experiment report", secondary: dict[str, str] | None = None, identity: tuple[str, str, str, str] | None = None) -> str:
+    """The whole validation of an experiment: identity, sample ratio with its level and action, balance
+    of features, main and secondary metrics (name to binary or continuous), stability, smallest
+    detectable effect, status of each part, advice. Only single rows and a row a feature are collected."""
+    from .balance import ACTIONS, anova, mde, srm
+    from .effects import stability
+
     sizes = df.groupBy(F.col(arm).cast("int").alias("group_id")).agg(F.count("*").alias("n"))
     ratio_row = srm(sizes).first()
     balance = anova(df, arm, features).orderBy("feature").collect() if features else []
-    if y_type == "binary":
-        m = arms(df.withColumn("_y", F.col(y).cast("double")), arm, ["_y"]).select("n_t", F.col("sum__y_t").alias("x_t"), "n_c", F.col("sum__y_c").alias("x_c"))
-        effect = conversion_test(m).first()
-    else:
-        effect = continuous_test(df, arm, y).first()
+    effect = two_arm_test(df, arm, y, y_type)
+    others = [(name, two_arm_test(df, arm, name, kind)) for name, kind in (secondary or {}).items()]
     steady = stability(df, arm, y, order).first()
-    ok, sig = ratio_row and ratio_row["passed"], bool(effect["significant"])
-    score = steady["stability"] if steady else None
-    advice = "fix the allocation first" if not ok else "no detectable effect: extend or stop" if not sig else "ship" if (effect["diff"] or 0) > 0 and (score or 0) > 0.6 else "significant but unstable: keep running" if (effect["diff"] or 0) > 0 else "harmful: stop"
+    least = None
+    if y_type == "binary" and effect["n_t"] and 0 < (effect["rate_c"] or 0) < 1:
+        least = df.sparkSession.range(1).select(mde(F.lit(float(min(effect["n_t"], effect["n_c"]))), effect["rate_c"]).alias("m")).first()["m"]
+    ok, sig = bool(ratio_row and ratio_row["passed"]), bool(effect["significant"])
+    score = (steady["stability"] if steady else None) or 0.0
+    passed = sum(bool(r["passed"]) for r in balance)
+    enough = "n/a" if least is None else "enough" if abs(effect["diff"] or 0) > least else "not enough"
     return markdown_report(title, {
-        "Sample ratio": [(f"group {r['group_id']}", r["n"]) for r in sizes.orderBy("group_id").collect()] + [("chi2", ratio_row["chi2"]), ("p", ratio_row["p_value"]), ("level", ratio_row["level"])],
-        "Balance": [(r["feature"], f"F {r['f_stat']:.4f}, p {r['p_value']:.4f}") for r in balance],
-        "Effect": [(k, effect[k]) for k in ("diff", "lift_pct", "ci_low", "ci_high", "p_value", "significant")],
-        "Stability": [(k, steady[k] if steady else None) for k in ("status", "stability", "trend_pct", "direction")],
-        "Advice": [("advice", advice)],
+        "Experiment": list(zip(("id", "name", "start", "end"), identity or ("n/a",) * 4)),
+        "Sample ratio": [(f"group {r['group_id']}", r["n"]) for r in sizes.orderBy("group_id").collect()] + [("chi2", ratio_row["chi2"]), ("p", ratio_row["p_value"]), ("level", ratio_row["level"]), ("action", ACTIONS[ratio_row["level"]])],
+        "Balance": [(r["feature"], f"F {r['f_stat']:.4f}, p {r['p_value']:.4f}, largest deviation {r['max_diff_pct']:.4f} %") for r in balance],
+        "Main metric": [(k, effect[k]) for k in ("diff", "lift_pct", "ci_low", "ci_high", "p_value", "significant", "cohens_h" if y_type == "binary" else "cohens_d")],
+        "Secondary metrics": [(name, f"diff {x['diff']:.4f}, p {x['p_value']:.4f}, {'significant' if x['significant'] else 'not significant'}") for name, x in others] or [("none", "n/a")],
+        "Stability": [(k, steady[k] if steady else None) for k in ("status", "early", "late", "stability", "trend_pct", "direction")],
+        "Smallest detectable effect": [("mde", least), ("effect found", effect["diff"]), ("power", enough)],
+        "Status": [("traffic", "healthy" if ok else ratio_row["level"]), ("features", f"{passed} of {len(balance)} passed"), ("significance", "significant" if sig else "not significant"), ("stability", "stable" if score > 0.6 else "to be watched")],
+        "Advice": [("advice", advice_for(ok, sig, effect["diff"] or 0.0, score, least))],
     })

@@ -110,6 +110,79 @@ def slot_pool(arrivals: DataFrame, capacity: int, groups: int = 10, salt: str =
     return out.select(user, "k", F.when(F.col("k") < F.col("stop"), F.col("k") % groups).otherwise(-1).cast("int").alias("group_id"))
 
 
+def prebucket_split(users: DataFrame, order: list[str], groups: int = 10, salt: str = SALT, user: str = "user_id") -> DataFrame:
+    """slot_pool with room for five times the users, 50,000 at least."""
+    n = users.agg(F.count_distinct(user)).first()[0]
+    return slot_pool(users, max(5 * n, 50_000), groups, salt, user, order)
+
+
+def snake_split(users: DataFrame, groups: int = 10, salt: str = SALT, user: str = "user_id") -> DataFrame:
+    """assign_groups with a bucket a user, 1,000 at most."""
+    return assign_groups(users, user, min(max(users.count(), 1), 1000), groups, salt)
+
+
+def growing_pool(arrivals: DataFrame, capacity: int = 10_000, groups: int = 10, at: float = 0.8, salt: str = SALT, user: str = "user_id", order: list[str] | None = None) -> DataFrame:
+    """(user, k, group_id): a slot pool that doubles before an allocation that finds more than `at`
+    of it used; use counts start anew then.
+
+    Between two growths the groups are dealt in turn, so a group follows from the rank of a user's
+    first arrival alone; the growths, one for each doubling, are worked out beforehand.
+    """
+    spark, order = arrivals.sparkSession, order or ["arrival_seq"]
+
+    def slots(lo: int, hi: int, s: str) -> list[int]:
+        ids = spark.range(lo, hi).select(F.format_string("v_%08d", "id").alias("user_id"))
+        return [r["n"] for r in group_sizes(assign_groups(ids, "user_id", min(hi - lo, 1000), groups, s), groups).orderBy("group_id").collect()]  # a row a group
+
+    first = arrivals.groupBy(user).agg(F.min(F.struct(*order)).alias("_o")).select(user, *[F.col(f"_o.{c}").alias(c) for c in order])
+    ranked = with_rank(first, [*order, user])
+    n, start, total, grown = ranked.count(), 0, capacity, 0
+    have, before = slots(0, capacity, salt), [0] * groups
+    group = F.lit(-1)
+    while True:
+        full = start + min((h - b) * groups + g for g, (h, b) in enumerate(zip(have, before)))  # the turn of a full group
+        grow = int(at * total)
+        while grow / total <= at:
+            grow += 1
+        end = min(full, grow)
+        group = F.when((F.col("k") >= start) & (F.col("k") < end), (F.col("k") - start) % groups).otherwise(group)
+        if full < grow or grow >= n:
+            break
+        before = [b + (grow - start + groups - 1 - g) // groups for g, b in enumerate(before)]
+        grown += 1
+        have = [h + m for h, m in zip(have, slots(total, 2 * total, f"{salt}_v{grown}"))]
+        start, total = grow, 2 * total
+    return ranked.select(user, "k", group.cast("int").alias("group_id"))
+
+
+def layered_route(arrivals: DataFrame, order: list[str], groups: int = 10, buckets: int = 1000, salt: str = SALT, user: str = "user_id") -> DataFrame:
+    """Adds group_id and layer to every arrival: a new user takes a prepared bucket of the least used
+    group while that has one (L1_prebucket) and keeps it (L1_cache); all others take their hash (L2_realtime).
+
+    The first group to run out stops the preparing for good, so the rank of the first arrival decides.
+    """
+    free = quota_table(arrivals.sparkSession, buckets, groups, salt).groupBy("group_id").agg(F.count("*").alias("n"))
+    stop = arrivals.sparkSession.range(groups).join(free, F.col("id") == F.col("group_id"), "left").agg(F.min(F.coalesce("n", F.lit(0)) * groups + F.col("id")).alias("_stop"))
+    first = arrivals.groupBy(user).agg(F.min(F.struct(*order)).alias("_first"))
+    ranked = with_rank(first.select(user, "_first", *[F.col(f"_first.{c}").alias(c) for c in order]), [*order, user]).join(F.broadcast(stop))  # one row
+    ranked = ranked.select(F.col(user).alias("_user"), "_first", "k", (F.col("k") < F.col("_stop")).alias("_held"))
+    out = arrivals.join(ranked, F.col(user) == F.col("_user"))
+    layer = F.when(~F.col("_held"), "L2_realtime").when(F.struct(*order) == F.col("_first"), "L1_prebucket").otherwise("L1_cache")
+    return out.withColumns({"group_id": F.when(F.col("_held"), F.col("k") % groups).otherwise(pure_hash(user, salt, buckets, groups)).cast("int"), "layer": layer}).drop("_user", "_first", "_held", "k")
+
+
+def pool_utilization(routed: DataFrame, capacity: int) -> DataFrame:
+    """(used, utilization_pct) of a slot pool's (user, group_id)."""
+    used = F.count_if(F.col("group_id") >= 0)
+    return routed.agg(used.alias("used"), (used / capacity * 100).alias("utilization_pct"))
+
+
+def cache_hit_rate(routed: DataFrame) -> DataFrame:
+    """(hits, misses, hit_rate_pct) of layered_route."""
+    hits, misses = F.count_if(F.col("layer") != "L2_realtime"), F.count_if(F.col("layer") == "L2_realtime")
+    return routed.agg(hits.alias("hits"), misses.alias("misses"), F.coalesce(F.try_divide(hits, hits + misses) * 100, F.lit(0.0)).alias("hit_rate_pct"))
+
+
 def hybrid_route(arrivals: DataFrame, order: list[str], buckets: int = 1000, groups: int = 10, window: int = 1000, threshold: float = 0.05, salt: str = SALT, quota_salt: str = SALT, user: str = "user_id") -> DataFrame:
     """Pure hash until the first check, every `window` events, that finds the largest group over
     the mean by more than threshold; the quota table from there on."""

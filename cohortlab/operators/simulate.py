@@ -7,20 +7,26 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.murmur import murmur, murmur32, uniform
-from . import routing
+from . import balance, routing
 
 BASE_SEED = 20260728
 EDGES = [0, 0.2, 0.4, 0.6, 0.8, 1, 1.5, 2, 3, 5, 100]
 
 
-def trial_users(spark: SparkSession, trials: int, users: int) -> DataFrame:
-    """(trial, i, user_id, salt): reproducible ids from a hash."""
+def normal(*parts: Column | str) -> Column:
+    """A standard normal number from two hash-uniform ones."""
+    u, v = uniform(F.lit("n1"), *parts), uniform(F.lit("n2"), *parts)
+    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * F.lit(3.141592653589793) * v)
+
+
+def trial_users(spark: SparkSession, trials: int, users: int, pool: int = 1_000_000_000) -> DataFrame:
+    """(trial, i, user_id, salt): reproducible ids from a hash, of `pool` ones; few of them repeat users."""
     grid = spark.range(trials * users).select(F.floor(F.col("id") / users).cast("int").alias("trial"), (F.col("id") % users).alias("i"))
-    return grid.withColumn("user_id", F.format_string("u_%09d", (murmur(F.lit(BASE_SEED), "trial", "i") % 1_000_000_000))).withColumn("salt", F.concat(F.lit("exp_"), F.col("trial")))
+    return grid.withColumn("user_id", F.format_string("u_%09d", (murmur(F.lit(BASE_SEED), "trial", "i") % pool))).withColumn("salt", F.concat(F.lit("exp_"), F.col("trial")))
 
 
 def pcg_users(spark: SparkSession, trials: int, users: int, base_seed: int = BASE_SEED) -> DataFrame:
@@ -36,7 +42,12 @@ def pcg_users(spark: SparkSession, trials: int, users: int, base_seed: int = BAS
 
 
 def trial_deviation(users: DataFrame, strategy: str, buckets: int = 1000, groups: int = 10) -> DataFrame:
-    """(trial, max_dev_pct) of a strategy: snake, hash, double_hash, two_stage or vote."""
+    """(trial, max_dev_pct) of a strategy: snake, hash, double_hash, two_stage, vote or union (of two layers)."""
+    return balance.deviation_pct(trial_sizes(users, strategy, buckets, groups), ["trial"]).select("trial", "max_dev_pct")
+
+
+def trial_sizes(users: DataFrame, strategy: str, buckets: int = 1000, groups: int = 10, layers: int = 2) -> DataFrame:
+    """(trial, group_id, n) of a strategy, empty groups too."""
     h = lambda *x: murmur("user_id", "salt", *[F.lit(y) for y in x])
     if strategy == "snake":
         b = users.withColumn("bucket", h() % buckets).groupBy("trial", "bucket").agg(F.count("*").alias("n"))
@@ -44,12 +55,13 @@ def trial_deviation(users: DataFrame, strategy: str, buckets: int = 1000, groups
     else:
         if strategy == "vote":
             users = users.withColumn("_votes", F.array(*[h(f"s{i}") % groups for i in range(4)]))
-        group = {"hash": lambda: h() % buckets % groups, "double_hash": lambda: h("v1").bitwiseXOR(h("v2")) % buckets % groups, "two_stage": lambda: h("v2") % groups, "vote": lambda: routing.first_mode(F.col("_votes"))}[strategy]()
+        elif strategy == "union":
+            users = users.withColumn("_votes", F.array(*[h(f"L{i}") % buckets % groups for i in range(layers)]))
+        group = {"hash": lambda: h() % buckets % groups, "double_hash": lambda: h("v1").bitwiseXOR(h("v2")) % buckets % groups, "two_stage": lambda: h("v2") % groups, "vote": lambda: routing.first_mode(F.col("_votes")), "union": lambda: routing.first_mode(F.col("_votes"))}[strategy]()
         n = users.withColumn("group_id", group.cast("int")).groupBy("trial", "group_id").agg(F.count("*").alias("n"))
         grid = users.select("trial").distinct().withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         sizes = grid.join(n, ["trial", "group_id"], "left").fillna(0, ["n"])
-    g = sizes.groupBy("trial").agg(F.avg("n").alias("m"), F.max("n").alias("hi"), F.min("n").alias("lo"))
-    return g.select("trial", (F.greatest(F.col("hi") - F.col("m"), F.col("m") - F.col("lo")) / F.col("m") * 100).alias("max_dev_pct"))
+    return sizes
 
 
 def summarize(trials: DataFrame, value: str = "max_dev_pct", limit: float = 1.0, keys: list[str] = ()) -> DataFrame:
@@ -192,7 +204,86 @@ def route_trials(arrivals: DataFrame, fold: Callable[[list[str], str], list[int]
     return arrivals.groupBy("trial").applyInPandas(run, "trial int, i long, user_id string, group_id int")
 
 
-def bandit(name: str, arms: list[float], steps: int, seed: int, epsilon: float = 0.1) -> tuple[float, float, list[int]]:
+def routed_sizes(arrivals: DataFrame, fold: Callable[[list[str], str], list[int]], groups: int = 10) -> DataFrame:
+    """(trial, group_id, n) of an ordered router, first arrivals of users only, empty groups too."""
+    r = route_trials(arrivals, fold)
+    first = r.groupBy("trial", "user_id").agg(F.min_by("group_id", "i").alias("group_id"))
+    n = first.filter("group_id >= 0").groupBy("trial", "group_id").agg(F.count("*").alias("n"))
+    grid = arrivals.select("trial").distinct().withColumn("group_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return grid.join(n, ["trial", "group_id"], "left").fillna(0, ["n"])
+
+
+def fold_slot_pool(ids: list[str], salt: str, groups: int = 10, capacity: int = 50_000) -> list[int]:
+    """The slot pool: growth never comes."""
+    return fold_growing_pool(ids, salt, groups, capacity, at=2.0)
+
+
+def stream_summary(arrivals: DataFrame, fold: Callable[[list[str], str], list[int]], capacity: int | None = None) -> DataFrame:
+    """(trial, users, n_groups, max_dev_pct, utilization_pct) of an ordered router fed with each trial's
+    stream; groups without users don't count for the deviation."""
+    sizes = routed_sizes(arrivals, fold).filter("n > 0")
+    out = balance.deviation_pct(sizes, ["trial"]).select("trial", "max_dev_pct").join(sizes.groupBy("trial").agg(F.sum("n").alias("users"), F.count("*").alias("n_groups")), "trial")
+    return out.withColumn("utilization_pct", F.col("users") / capacity * 100 if capacity else F.lit(None).cast("double"))
+
+
+def orthogonality_study(users: DataFrame, layers: dict[str, tuple[int, int, str]]) -> DataFrame:
+    """(measure, trials, mean, median, p95, pass_rate) of independence, use of combinations and layer sizes over trials."""
+    routed, names = routing.route_layers(users, layers), list(layers)
+    out = None
+
+    def add(rows: DataFrame, measure: str, value: str, passed: Column) -> None:
+        nonlocal out
+        v = F.col(value)
+        one = rows.agg(F.count("*").alias("trials"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"), F.avg(passed.cast("double")).alias("pass_rate"))
+        one = one.select(F.lit(measure).alias("measure"), "*")
+        out = one if out is None else out.unionByName(one)
+
+    pairs = None
+    for b in names[1:]:
+        one = balance.orthogonality(routed, names[0], b, ["trial"])
+        pairs = one if pairs is None else pairs.unionByName(one)
+    add(pairs, "p_value", "p_value", F.col("p_value") > 0.05)
+    add(pairs, "max_cell_dev_pct", "max_dev_pct", F.col("max_dev_pct") < 5)
+    combos = routed.groupBy("trial", *names).agg(F.count("*").alias("n")).groupBy("trial").agg((F.min("n") / F.max("n")).alias("balance"))
+    add(combos, "combination_balance", "balance", F.col("balance") > 0.8)
+    for name, (_, groups, _) in layers.items():
+        n = routed.groupBy("trial", F.col(name).alias("group_id")).agg(F.count("*").alias("n"))
+        dev = balance.deviation_pct(n, ["trial"])
+        add(dev, f"dev_pct {name}", "max_dev_pct", F.col("max_dev_pct") < 1)
+    return out
+
+
+def full_evaluation(users: DataFrame, features: list[str], trials: int = 10, groups: int = 10, user: str = "user_id", order: list[str] | None = None) -> DataFrame:
+    """(strategy, max_dev_pct, min_srm_p, srm_pass_rate, feature_dev_pct, verdict): pure hash, snake and
+    slot pool over all users, with a salt a trial; traffic passes below 3 % with every p above 0.01,
+    features below 10 %. The pool has no salt, so its trials are one."""
+    buckets = min(max(users.count(), 1), 1000)
+    each = users.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_salt", F.concat(F.lit("exp_"), F.col("trial")))
+    bucket = murmur(user, "_salt") % buckets
+    placed = each.withColumn("bucket", bucket)
+    deal = routing.snake_map(placed.groupBy("trial", "bucket").agg(F.count("*").alias("n")), buckets, groups, ["trial"]).select("trial", "bucket", "group_id")
+    pool = routing.prebucket_split(users, order or [user], groups, user=user).select(F.col(user).alias("_u"), "group_id")
+    routed = {
+        "hash": each.withColumn("group_id", (murmur(user, "_salt") % 1000 % groups).cast("int")),
+        "snake": placed.join(deal, ["trial", "bucket"]),
+        "slot_pool": users.join(pool, F.col(user) == F.col("_u")).withColumn("trial", F.lit(0)),
+    }
+    out = None
+    for name, r in routed.items():
+        sizes = r.filter("group_id >= 0").groupBy("trial", "group_id").agg(F.count("*").alias("n"))
+        traffic = balance.deviation_pct(sizes, ["trial"]).select("trial", "max_dev_pct").join(balance.srm(sizes, keys=["trial"]).select("trial", "p_value"), "trial")
+        t = traffic.agg(F.avg("max_dev_pct").alias("max_dev_pct"), F.min("p_value").alias("min_srm_p"), F.avg((F.col("p_value") > 0.05).cast("double")).alias("srm_pass_rate"))
+        f = balance.unpivot(r, ["trial", "group_id"], features).groupBy("trial", "feature", "group_id").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+        whole = f.groupBy("trial", "feature").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean"))
+        dev = f.join(whole, ["trial", "feature"]).groupBy("trial", "feature").agg(F.max(F.abs(F.col("m") - F.col("mean")) / F.abs("mean") * 100).alias("dev"))
+        worst = dev.groupBy("feature").agg(F.avg("dev").alias("dev")).agg(F.max("dev").alias("feature_dev_pct"))
+        one = t.join(worst).select(F.lit(name).alias("strategy"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    good = (F.col("max_dev_pct") < 3) & (F.col("min_srm_p") > 0.01) & (F.col("feature_dev_pct") < 10)
+    return out.withColumn("verdict", F.when(good, "passed").otherwise("beyond limits"))
+
+
+def bandit(name: str, arms: list[float], steps: int, seed: int, epsilon: float = 0.1, track: list[tuple[int, float]] | None = None) -> tuple[float, float, list[int]]:
     """(reward, regret, pulls) of one run of fixed, epsilon, ucb1 or thompson on Bernoulli arms."""
     rng, k = np.random.default_rng(seed), len(arms)
     pulls, value, wins = np.zeros(k), np.zeros(k), np.zeros(k)
@@ -213,9 +304,26 @@ def bandit(name: str, arms: list[float], steps: int, seed: int, epsilon: float =
         value[a] += (r - value[a]) / pulls[a]
         reward += r
         regret += best - arms[a]
+        if track is not None:
+            track.append((a, r))
     return reward, regret, pulls.astype(int).tolist()
 
 
+def bandit_track(spark: SparkSession, arms: list[float], steps: int = 5000, names: tuple[str, ...] = ("fixed", "epsilon", "ucb1", "thompson"), seed: int = 42) -> DataFrame:
+    """(algorithm, step, arm, reward, regret): rewards and regret summed up to each step of one run an algorithm."""
+
+    def run(it):
+        for pdf in it:
+            for name in pdf["algorithm"]:
+                track: list[tuple[int, float]] = []
+                bandit(name, arms, steps, seed, track=track)
+                yield pd.DataFrame({"algorithm": name, "step": np.arange(1, steps + 1), "arm": [a for a, _ in track], "_r": [r for _, r in track], "_g": [max(arms) - arms[a] for a, _ in track]})
+
+    rows = spark.createDataFrame([(n,) for n in names], "algorithm string").repartition(len(names)).mapInPandas(run, "algorithm string, step long, arm int, _r double, _g double")
+    so_far = Window.partitionBy("algorithm").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # `steps` rows
+    return rows.withColumns({"reward": F.sum("_r").over(so_far), "regret": F.sum("_g").over(so_far)}).drop("_r", "_g")
+
+
 def compare_bandits(spark: SparkSession, arms: list[float], steps: int = 5000, trials: int = 30, names: tuple[str, ...] = ("fixed", "epsilon", "ucb1", "thompson"), seed: int = 42) -> DataFrame:
     def run(it):
         for pdf in it:

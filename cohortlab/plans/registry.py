@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.murmur import murmur
@@ -148,17 +148,25 @@ def arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 
 ARRIVE = "SELECT 'user_' || user_id AS user_id, ts, event_id FROM events"
-VIRTUAL = "SELECT 'v_' || lpad(i::VARCHAR, 8, '0') AS user_id FROM (SELECT unnest(range(100)) AS i)"
+def pool_sql(capacity: str) -> str:
+    """CTEs down to f (stop): the first rank that finds the group whose turn it is without a slot."""
+    virtual = f"SELECT 'v_' || lpad(i::VARCHAR, 8, '0') AS user_id FROM (SELECT unnest(range({capacity})) AS i)"
+    return f"""{snake_sql(source=virtual)},
+s AS (SELECT group_id, count(*) AS slots FROM u JOIN m USING (bucket) GROUP BY 1),
+f AS (SELECT min(coalesce(slots, 0) * 10 + g.group_id) AS stop FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN s USING (group_id))"""
 
 
-@query("rt14_slot_pool", f"""WITH {snake_sql(buckets=100, source=VIRTUAL)},
-s AS (SELECT group_id, count(*) AS slots FROM u JOIN m USING (bucket) GROUP BY 1),
-f AS (SELECT min(coalesce(slots, 0) * 10 + g.group_id) AS stop FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN s USING (group_id)),
-a AS (SELECT user_id, min((ts, event_id)) AS o FROM ({ARRIVE}) GROUP BY 1),
-k AS (SELECT user_id, row_number() OVER (ORDER BY o, user_id) - 1 AS k FROM a)
-SELECT user_id, k, CASE WHEN k < stop THEN k % 10 ELSE -1 END AS group_id FROM k, f""")
+def roomy(users: str, source: str) -> str:
+    return f"(SELECT greatest(5 * count(DISTINCT {users}), 50000) FROM {source})"
+
+
+FIRST = f"a AS (SELECT user_id, min((ts, event_id)) AS o FROM ({ARRIVE}) GROUP BY 1), k AS (SELECT user_id, row_number() OVER (ORDER BY o, user_id) - 1 AS k FROM a)"
+DEALT = "SELECT user_id, k, CASE WHEN k < stop THEN k % 10 ELSE -1 END AS group_id FROM k, f"
+
+
+@query("rt14_slot_pool", f"WITH {pool_sql(roomy('user_id', 'events'))}, {FIRST} {DEALT}")
 def rt14(spark, d):
-    return rounded(routing.slot_pool(arrivals(spark, d), 100, 10, order=["ts", "event_id"]))
+    return rounded(routing.prebucket_split(arrivals(spark, d), ["ts", "event_id"]))
 
 
 @query("rt18_hybrid", f"""WITH {snake_sql(buckets=100, source=WARM)},
@@ -172,24 +180,6 @@ def rt18(spark, d):
     return rounded(routing.hybrid_route(arrivals(spark, d), ["ts", "event_id"], buckets=100, window=500).select("event_id", "user_id", "k", "group_id"))
 
 
-def event_trial(spark: SparkSession, d: str) -> DataFrame:
-    """The event stream as one trial in arrival order."""
-    ranked = routing.with_rank(arrivals(spark, d), ["ts", "event_id"], "i")
-    return ranked.select(F.lit(0).alias("trial"), "i", "user_id", F.lit("exp_001").alias("salt"))
-
-
-def register_fold(name: str, fold) -> None:
-    QUERIES[name] = lambda spark, d: rounded(simulate.route_trials(event_trial(spark, d), fold))
-
-
-register_fold("rt15_growing_pool", lambda u, s: simulate.fold_growing_pool(u, s, capacity=100))
-register_fold("rt16_layered", lambda u, s: [g for g, _ in simulate.fold_layered(u, s, buckets=100)])
-register_fold("rt17_calibrated", simulate.fold_calibrated)
-register_fold("rt19_share_calibrated", simulate.fold_share_calibrated)
-register_fold("rt20_sticky_calibrated", lambda u, s: simulate.fold_share_calibrated(u, s, sticky=True, buckets=1000))
-register_fold("rt21_adaptive", simulate.fold_adaptive)
-
-
 @query("rt22_multi_mapping", f"WITH {snake_sql(salt='exp_001_v0')} SELECT user_id, bucket, group_id FROM u JOIN m USING (bucket)")
 def rt22(spark, d):
     return rounded(routing.assign_groups(users(spark, d), salt="exp_001_v0"))
@@ -204,9 +194,9 @@ def rt25(spark, d):
     return routing.create_strata(users(spark, d, "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey", "absent"]).select("user_id", "stratum")
 
 
-@query("rt26_stratified", f"SELECT user_id, stratum, CASE WHEN k < 200 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)")
+@query("rt26_stratified", f"SELECT user_id, stratum, CASE WHEN k < 50000 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)")
 def rt26(spark, d):
-    return rounded(routing.stratified_assign(users(spark, d, F.col("c_mktsegment").alias("stratum")), 10, 200).select("user_id", "stratum", "group_id"))
+    return rounded(routing.stratified_assign(users(spark, d, F.col("c_mktsegment").alias("stratum")), 10, 50_000).select("user_id", "stratum", "group_id"))
 
 
 # --- balance and planning ------------------------------------------------------------------
@@ -357,12 +347,6 @@ def st11(spark, d):
     return rounded(effects.pre_post(metrics(spark, d), "arm", "pre", "post"), 4)
 
 
-@query("st16_multi_cuped")
-def st16(spark, d):
-    m = metrics(spark, d).withColumns({"copy": F.col("pre") * 2, "flat": F.lit(1.0)})
-    return rounded(effects.multi_cuped(m, "arm", "post", ["pre", "pre_orders", "copy", "flat"]), 4)
-
-
 @query("st19_winsorize", f"WITH {METRICS}, b AS (SELECT arm, quantile_cont(post, 0.05) AS lo, quantile_cont(post, 0.95) AS hi, quantile_cont(post, 0.99) AS top FROM m GROUP BY 1) SELECT user_id, {r('least(greatest(post, lo), hi)', 'winsorized', 4)}, {r('least(post, top)', 'capped', 4)}, {r('ln(1 + post)', 'logged')} FROM m JOIN b USING (arm)")
 def st19(spark, d):
     out = effects.cap_top(effects.winsorize(metrics(spark, d), "arm", "post"), "arm", "post")
@@ -378,12 +362,21 @@ def st23(spark, d):
 
 
 STEPS = ["view", "click", "signup", "purchase"]
-FUNNEL_SRC = "SELECT user_id, " + f"{h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm, " + ", ".join(f"max(CASE WHEN event_type = '{s}' AND event_id % 9 = {i} THEN 1 ELSE 0 END) AS \"{s}\"" for i, s in enumerate(STEPS)) + " FROM events GROUP BY user_id"
+FUNNEL_SRC = f"""SELECT user_id, {h("'user_' || user_id", repr('ab'))} % 2 AS arm, (t0 IS NOT NULL)::INT AS view, (t1 IS NOT NULL)::INT AS click, (t2 IS NOT NULL)::INT AS signup, (t3 IS NOT NULL)::INT AS purchase FROM (
+SELECT a.user_id, a.t AS t0, b.t AS t1, c.t AS t2, e.t AS t3 FROM (SELECT user_id, min(CASE WHEN event_type = 'view' THEN (ts, event_id) END) AS t FROM events GROUP BY 1) a
+LEFT JOIN LATERAL (SELECT min((ts, event_id)) AS t FROM events x WHERE x.user_id = a.user_id AND event_type = 'click' AND (ts, event_id) > a.t) b ON true
+LEFT JOIN LATERAL (SELECT min((ts, event_id)) AS t FROM events x WHERE x.user_id = a.user_id AND event_type = 'signup' AND (ts, event_id) > b.t) c ON true
+LEFT JOIN LATERAL (SELECT min((ts, event_id)) AS t FROM events x WHERE x.user_id = a.user_id AND event_type = 'purchase' AND (ts, event_id) > c.t) e ON true)"""
 
 
 def funnel_users(spark, d):
-    e = read(spark, d, "events")
-    w = e.groupBy("user_id").agg(*[F.max(F.when((F.col("event_type") == s) & (F.col("event_id") % 9 == i), 1).otherwise(0)).alias(s) for i, s in enumerate(STEPS)])
+    """Users with a mark for each step they reach after the step before it; one shuffle by user."""
+    e, last = read(spark, d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("at")), None
+    for s in STEPS:
+        here = F.col("event_type") == s
+        e = e.withColumn(s, F.min(F.when(here if last is None else here & (F.col("at") > F.col(last)), F.col("at"))).over(Window.partitionBy("user_id")))
+        last = s
+    w = e.groupBy("user_id").agg(*[F.count(s).alias(s) for s in STEPS]).select("user_id", *[(F.col(s) > 0).cast("int").alias(s) for s in STEPS])
     return w.withColumn("arm", (murmur(F.concat(F.lit("user_"), F.col("user_id")), F.lit("ab")) % 2).cast("int"))
 
 
@@ -519,11 +512,6 @@ def fn01(spark, d):
     return rounded(effects.unpooled_rates(spark.createDataFrame(RATES, "step string, rate_t double, rate_c double").withColumns({"n_t": F.lit(1000), "n_c": F.lit(1000)})))
 
 
-@query("st22_compare_outliers")
-def st22(spark, d):
-    return rounded(effects.compare_outliers(metrics(spark, d), "arm", "post"), 4)
-
-
 @query("bm05_daily_srm", f"WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2 AS g FROM events), n AS (SELECT day, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM c GROUP BY 1), x AS (SELECT day, a + b AS total, greatest(a, b) AS max_n, least(a, b) AS min_n, 2.0 / (a + b) * (a * a + b * b) - (a + b) AS x FROM n), q AS (SELECT *, {sqlfn.p_chi2('x', 1)} AS p FROM x) {SRM_OUT.replace('9.0::DOUBLE', '1.0::DOUBLE').replace('SELECT total', 'SELECT day, total')}")
 def bm05(spark, d):
     e = arrivals(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), routing.pure_hash("user_id", groups=2).alias("group_id"))
@@ -538,10 +526,7 @@ def rt27(spark, d):
     src = read(spark, d, "events")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.select(F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"))
-    name = "cohortlab_stream_counts"
-    q = routers.stream_hash_counts(stream, "user_id").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    return rounded(spark.table(name))
+    return rounded(routers.run_to_table(routers.stream_hash_counts(stream, "user_id"), "complete"))
 
 
 @query("bm06_traffic_balance", f"WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, avg(n) AS m, max(n) AS max_n, min(n) AS min_n, stddev_pop(n) AS sd, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) SELECT total, {r('m', 'mean_n')}, max_n, min_n, {r('greatest(max_n - m, m - min_n) / m * 100', 'max_dev_pct')}, {r('sd', 'std_n')}, {r('x', 'chi2')}, {r('p', 'p_value')}, p > 0.05 AS passed FROM q")
@@ -615,58 +600,6 @@ def mc01(spark, d):
     return rounded(simulate.trial_deviation(simulate.trial_users(spark, 20, 500), "snake", 100))
 
 
-@query("mc03_strategies")
-def mc03(spark, d):
-    t = simulate.trial_users(spark, 20, 2000)
-    out = None
-    for s in ("hash", "double_hash", "two_stage", "vote", "snake"):
-        one = simulate.summarize(simulate.trial_deviation(t, s)).withColumn("strategy", F.lit(s))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
-@query("mc07_histogram")
-def mc07(spark, d):
-    return rounded(simulate.histogram(simulate.trial_deviation(simulate.trial_users(spark, 20, 2000), "snake"), "max_dev_pct"))
-
-
-@query("mc06_bias_by_traffic")
-def mc06(spark, d):
-    """Measured deviation of the hash and the snake by traffic, next to the bound."""
-    out = None
-    for n in (500, 1000, 5000):
-        for strategy in ("hash", "snake"):
-            one = simulate.summarize(simulate.trial_deviation(simulate.trial_users(spark, 10, n), strategy)).withColumns({"users": F.lit(n), "strategy": F.lit(strategy), "bound_pct": balance.deviation_bound(F.lit(n), F.lit(10))})
-            out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
-@query("mc07_bucket_sweep")
-def mc07_sweep(spark, d):
-    """Deviation of the hash by the number of buckets."""
-    t, out = simulate.trial_users(spark, 10, 5000), None
-    for b in (10, 100, 1000, 10_000):
-        one = simulate.summarize(simulate.trial_deviation(t, "hash", b)).withColumn("buckets", F.lit(b))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
-@query("mc08_calibration_trials")
-def mc08(spark, d):
-    t = simulate.trial_users(spark, 8, 2000)
-    out = None
-    for name, fold in (("calibrated", simulate.fold_calibrated), ("share", simulate.fold_share_calibrated), ("adaptive", simulate.fold_adaptive)):
-        g = simulate.route_trials(t, fold).groupBy("trial", "group_id").agg(F.count("*").alias("n"))
-        one = simulate.summarize(balance.deviation_pct(g, ["trial"])).withColumn("strategy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
-@query("mc13_power")
-def mc13(spark, d):
-    return rounded(simulate.power_study(metrics(spark, d), "pre", "post", 200, 0.05))
-
-
 @query("mc18_bandits")
 def mc18(spark, d):
     return rounded(simulate.compare_bandits(spark, [0.10, 0.14, 0.14, 0.14, 0.14], 1000, 8))
@@ -677,12 +610,6 @@ def st10(spark, d):
     return rounded(simulate.aa_report(simulate.aa_trials(metrics(spark, d), "post", 1000)))
 
 
-@query("rp02_report")
-def rp02(spark, d):
-    text = monitoring.experiment_report(metrics(spark, d), "arm", "urgent", ["pre", "pre_orders"], ["seq"])
-    return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
-
-
 @query("io07_synthetic_users")
 def io07(spark, d):
     return rounded(io.synthetic_users(spark, 1000))
@@ -701,3 +628,6 @@ def io12(spark, d):
 @query("io13_ramp_series")
 def io13(spark, d):
     return rounded(io.ramp_series(spark))
+
+
+from . import studies  # noqa: E402, F401 - adds its queries to these

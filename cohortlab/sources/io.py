@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.murmur import uniform
 from ..operators.frames import percentiles
+from ..operators.simulate import normal
 
 USERS = "user_id STRING, age INT, credit_score INT, yearly_income STRING, total_debt STRING"
 TRANSACTIONS = "client_id STRING, date STRING, amount STRING, use_chip STRING, merchant_id STRING, merchant_city STRING, merchant_state STRING"
@@ -40,12 +43,6 @@ def write_report(text: str, path: str) -> None:
         f.write(text)
 
 
-def normal(*parts: Column | str) -> Column:
-    """A standard normal number from two hash-uniform ones."""
-    u, v = uniform(F.lit("n1"), *parts), uniform(F.lit("n2"), *parts)
-    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * F.lit(3.141592653589793) * v)
-
-
 def synthetic_users(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     s = F.lit(seed)
     return spark.range(n).select(
@@ -70,12 +67,45 @@ def synthetic_experiment(spark: SparkSession, n: int, base: float = 0.1, effect:
 
 
 def ramp_series(spark: SparkSession, days: int = 14, base: float = 0.1, lift: float = 0.02, decay: float = 0.005, traffic: int = 10_000, seed: int = 42) -> DataFrame:
-    """Daily conversion of both arms; novelty = decay * max(0, 7 - day) wears off in a week."""
+    """Daily conversion of both arms, binomial draws of the day's traffic; novelty = decay * max(0, 7 - day) wears off in a week."""
+
+    def draw(it):
+        for pdf in it:
+            rows = []
+            for day in pdf["id"]:
+                rng, novelty = np.random.default_rng([seed, int(day)]), decay * max(0, 7 - int(day))
+                c, t = (rng.binomial(traffic, min(1.0, max(0.0, p))) / traffic for p in (base, base + lift + novelty))
+                rows.append([int(day), novelty, lift + novelty, c, t, t - c])
+            yield pd.DataFrame(rows, columns=["day", "novelty", "true_lift", "control_conversion", "treatment_conversion", "lift"])
+
+    return spark.range(days).mapInPandas(draw, "day long, novelty double, true_lift double, control_conversion double, treatment_conversion double, lift double")
+
+
+def split_sample(spark: SparkSession, n: int = 5000, seed: int = 20260728) -> DataFrame:
+    """(user_id, hash_group, snake_group, prebucket_group, calibration_group): a sample of made-up users
+    under four splits, drawn in order by one task (n rows)."""
+    from ..functions.murmur import murmur32
+
+    def draw(it):
+        for _ in it:
+            ids, rng, i = [f"u_{k:06d}" for k in range(n)], np.random.default_rng(seed), np.arange(n)
+            pre = rng.permutation(np.minimum(i // max(1, n // 10), 9))
+            base, count, calibrated = murmur32([f"{u}_cal_001" for u in ids]) % 10, [0] * 10, []
+            for b in base:
+                g = count.index(min(count)) if rng.random() < 0.7 else int(b)
+                count[g] += 1
+                calibrated.append(g)
+            yield pd.DataFrame({"user_id": ids, "hash_group": murmur32([f"{u}_exp_001" for u in ids]) % 1000 % 10, "snake_group": i % 10, "prebucket_group": pre, "calibration_group": calibrated})
+
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "user_id string, hash_group long, snake_group long, prebucket_group long, calibration_group long")
+
+
+def synthetic_seasonal(spark: SparkSession, n: int = 4000, lift: float = 0.05, seed: int = 42) -> DataFrame:
+    """(user_id, assigned, pre, post, weekday, weekend): a metric that weekend users raise, and treated ones by `lift`."""
     s = F.lit(seed)
-    d = spark.range(days).withColumnRenamed("id", "day").withColumn("novelty", decay * F.greatest(F.lit(0), 7 - F.col("day")))
-    rate = lambda p, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), p + F.sqrt(p * (1 - p) / traffic) * normal(s, F.lit(k), "day")))
-    d = d.withColumns({"true_lift": F.lit(lift) + F.col("novelty"), "control_conversion": rate(F.lit(base), "c")}).withColumn("treatment_conversion", rate(base + F.col("true_lift"), "t"))
-    return d.withColumn("lift", F.col("treatment_conversion") - F.col("control_conversion"))
+    d = spark.range(n).select(F.col("id").alias("user_id"), (uniform(s, F.lit("arm"), "id") < 0.5).cast("int").alias("assigned"), (uniform(s, F.lit("weekend"), "id") < 0.5).cast("double").alias("weekend"), (50 + 5 * normal(s, F.lit("user"), "id")).alias("_base"))
+    d = d.withColumns({"pre": F.col("_base") + 5 * normal(s, F.lit("pre"), "user_id"), "post": F.col("_base") + 5 * F.col("weekend") + 5 * normal(s, F.lit("post"), "user_id"), "weekday": 1 - F.col("weekend")})
+    return d.withColumn("post", F.when(F.col("assigned") == 1, F.col("post") * (1 + lift)).otherwise(F.col("post"))).drop("_base")
 
 
 def user_consumption(tx: DataFrame, client: str = "client_id", at: str = "date", amount: str = "amount", quantile: float = 0.7) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.frames import checkpoint_dir, with_rank
 from ..operators.routing import SALT, pure_hash
 
 
@@ -27,28 +28,43 @@ def slot_rule(counts: list[int], slots: list[int]) -> int:
     return g if counts[g] < slots[g] else -1
 
 
-def stream_slot_pool(events: DataFrame, user: str, order: str, slots: list[int]) -> DataFrame:
-    """(user_id, group_id) of each new user. Decisions depend on all before them, so there is one key;
-    the state is the groups' counts and the users known."""
-    groups = len(slots)
+def stream_slot_pool(events: DataFrame, user: str, order: str, slots: list[int], folder: str) -> DataStreamWriter:
+    """A query that writes (user_id, k, group_id) of each new user to `folder`/users, a subfolder a batch.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts, known = (list(state.get[0]), set(state.get[1])) if state.exists else ([0] * groups, set())
-        pdf = pd.concat(list(batches)).sort_values(order)
-        rows = []
-        for u in pdf["user_id"]:
-            if u in known:
-                continue
-            known.add(u)
-            g = slot_rule(counts, slots)
-            if g >= 0:
-                counts[g] += 1
-            rows.append((u, g))
-        state.update((counts, sorted(known)))
-        yield pd.DataFrame(rows, columns=["user_id", "group_id"])
-
-    src = events.select(F.col(user).cast("string").alias("user_id"), F.col(order), F.lit(0).alias("_k"))
-    return src.groupBy("_k").applyInPandasWithState(step, "user_id string, group_id int", "counts array<int>, known array<string>", "append", GroupStateTimeout.NoTimeout)
+    Known users are kept by the state store, a key a user. The new ones of a batch are ranked by
+    ranges; the number of users before the batch and the closed form of the pool give their groups.
+    A batch that is run again writes its own subfolder anew.
+    """
+    groups = len(slots)
+    stop = min(s * groups + g for g, s in enumerate(slots))
+    new = events.select(F.col(user).cast("string").alias("user_id"), F.col(order).alias("_order")).dropDuplicates(["user_id"])
+
+    def deal(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        ranked = with_rank(batch, ["_order", "user_id"])
+        done = spark.read.schema("n long, epoch long").parquet(f"{folder}/counts").filter(F.col("epoch") < epoch).agg(F.sum("n")).first()[0] or 0 if epoch else 0
+        k = F.col("k") + F.lit(done)
+        out = ranked.select("user_id", k.alias("k"), F.when(k < stop, k % groups).otherwise(-1).cast("int").alias("group_id"))
+        out.write.mode("overwrite").parquet(f"{folder}/users/batch={epoch}")
+        spark.createDataFrame([(ranked.count(),)], "n long").write.mode("overwrite").parquet(f"{folder}/counts/epoch={epoch}")
+
+    return new.writeStream.foreachBatch(deal).outputMode("append").option("checkpointLocation", f"{folder}/state")
+
+
+def run_to_table(df: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
+    """Runs a stream over what there is and returns its last result, written to the shared folder.
+    complete: the last batch is the result; append and update: all batches are, the last row of a key standing for it."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+        last.append(epoch)
+
+    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination(seconds)
+    out = df.sparkSession.read.schema(df.schema).parquet(*([f"{folder}/out/batch={last[-1]}"] if mode == "complete" else [f"{folder}/out/batch={e}" for e in last])) if last else None
+    return out if out is not None else df.sparkSession.createDataFrame([], df.schema)
 
 
 def running_sequential(spark, sizes_of: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):

@@ -69,23 +69,13 @@ def test_slot_pool_is_the_event_loop(spark, capacity):
     assert got == want
 
 
-def test_streaming_pool_equals_batch(spark, tmp_path):
+def test_streaming_counts_equal_batch(spark, tmp_path):
     rng = random.Random(5)
-    rows = [(i, f"user_{rng.randrange(60)}") for i in range(300)]
-    src = spark.createDataFrame(rows, "arrival_seq long, user_id string")
+    src = spark.createDataFrame([(i, f"user_{rng.randrange(60)}") for i in range(300)], "arrival_seq long, user_id string")
     src.coalesce(1).write.parquet(str(tmp_path / "in"))
-    slots = [r["slots"] for r in routing.slot_counts(spark, 100, 10).orderBy("group_id").collect()]
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = routers.stream_slot_pool(stream, "user_id", "arrival_seq", slots).writeStream.format("memory").queryName("pool").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
-    batch = {r["user_id"]: r["group_id"] for r in routing.slot_pool(src, 100).collect()}
-    assert {r["user_id"]: r["group_id"] for r in spark.table("pool").collect()} == batch
-    q = routers.stream_hash_counts(stream, "user_id").writeStream.format("memory").queryName("sizes").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
     want = {r["group_id"]: r["count"] for r in src.withColumn("group_id", routing.pure_hash("user_id")).groupBy("group_id").count().collect()}
-    assert {r["group_id"]: r["n"] for r in spark.table("sizes").collect()} == want
+    assert {r["group_id"]: r["n"] for r in routers.run_to_table(routers.stream_hash_counts(stream, "user_id"), "complete").collect()} == want
 
 
 def test_kaplan_meier_by_hand(spark):
