@@ -167,22 +167,24 @@ def fold_layered(ids: list[str], salt: str, groups: int = 10, buckets: int = 100
 
 
 def fold_adaptive(ids: list[str], salt: str, groups: int = 10, buckets: int = 1000, window: int = 500, limit: float = 0.05, warm: list[str] | None = None) -> list[int]:
-    """Buckets move from the largest to the smallest group whenever a check finds the deviation at the limit."""
+    """Buckets move from the largest to the smallest group whenever a check finds the largest over the mean by the limit."""
     keys = murmur32([f"{u}_{salt}" for u in ids]) % buckets
     first = murmur32([f"{u}_{salt}" for u in (warm if warm is not None else ids)]) % buckets
     group_of = snake_buckets(first, buckets, groups)
     size = np.bincount(first, minlength=buckets)
     listing = sorted(range(buckets), key=lambda b: (group_of[b], -size[b], b))
-    seen, count, out = np.zeros(buckets, np.int64), np.zeros(groups, np.int64), []
+    seen, count, out, met = np.zeros(buckets, np.int64), np.zeros(groups, np.int64), [], []
     for i, b in enumerate(keys, 1):
         g = int(group_of[b])
+        if not count[g] and g not in met:
+            met.append(g)  # of equal groups the one met first counts
         seen[b] += 1
         count[g] += 1
         out.append(g)
         if i % window == 0:
             mean = count.sum() / groups
-            hi, lo = int(count.argmax()), int(count.argmin())
-            if mean > 0 and max(count[hi] - mean, mean - count[lo]) / mean >= limit:
+            hi, lo = max(met, key=lambda g: count[g]), min(met, key=lambda g: count[g])
+            if mean > 0 and abs(count[hi] - mean) / mean >= limit:
                 own = [x for x in listing if group_of[x] == hi and seen[x] > 1]
                 own = sorted(own, key=lambda x: -seen[x])[: int(mean * limit / 0.5)]
                 if own:
