@@ -403,7 +403,15 @@ def st28(spark, d):
     return rounded(effects.kaplan_meier(survival(spark, d), "days", "observed", ["arm"]))
 
 
-@query("st29_compare_survival")
+SURVIVED = f"""WITH {SURVIVAL}, g AS (SELECT arm, unnest(range(1, 61)) AS day FROM (SELECT DISTINCT arm FROM y)),
+c AS (SELECT g.arm, g.day, count(*) FILTER (y.days >= g.day) AS at_risk, count(*) FILTER (y.days = g.day AND observed = 1) AS events FROM g JOIN y USING (arm) GROUP BY 1, 2),
+k AS (SELECT arm, day, 1 - exp(sum(ln(1 - events / at_risk::DOUBLE)) OVER (PARTITION BY arm ORDER BY day)) AS rate FROM c)"""
+
+
+@query("st29_compare_survival", f"""{SURVIVED}, rk AS (SELECT arm, rank() OVER (ORDER BY days) + (count(*) OVER (PARTITION BY days) - 1) / 2.0 AS rk FROM y),
+ti AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM y GROUP BY days)), rs AS (SELECT sum(rk) FILTER (arm = 1) AS rt, count(*) FILTER (arm = 1)::DOUBLE AS nt, count(*) FILTER (arm = 0)::DOUBLE AS nc FROM rk),
+u AS (SELECT nt, nc, rt - nt * (nt + 1) / 2 AS u, sqrt(nt * nc / 12 * (nt + nc + 1 - ties / ((nt + nc) * (nt + nc - 1)))) AS sd FROM rs, ti), z AS (SELECT (greatest(u, nt * nc - u) - nt * nc / 2 - 0.5) / sd AS z FROM u)
+SELECT a.day, {r('a.rate', 'rate_t')}, {r('b.rate', 'rate_c')}, {r('a.rate - b.rate', 'diff')}, {r('CASE WHEN z < 0 THEN 1.0 ELSE ' + sqlfn.p_norm('z') + ' END', 'p_value')} FROM k a JOIN k b ON a.day = b.day AND a.arm = 1 AND b.arm = 0, z WHERE a.day IN (7, 14, 30)""")
 def st29(spark, d):
     return rounded(effects.compare_survival(survival(spark, d), "arm", "days", "observed"))
 
@@ -590,19 +598,22 @@ def st07(spark, d):
 # --- Monte-Carlo ---------------------------------------------------------------------------
 
 
-TRIALS = f"x AS (SELECT t, 'u_' || lpad(({mm(chr(39) + '20260728_' + chr(39) + ' || t || ' + chr(39) + '_' + chr(39) + ' || i')} % 1000000000)::VARCHAR, 9, '0') AS user_id FROM (SELECT unnest(range(20)) AS t), (SELECT unnest(range(500)) AS i))"
+TRIALS = f"""x AS (SELECT t, 'u_' || lpad(({mm("'20260728_' || t || '_' || i")} % 1000000000)::VARCHAR, 9, '0') AS user_id FROM (SELECT unnest(range(100)) AS t), (SELECT unnest(range(5000)) AS i))"""
 
 
-@query("mc01_snake_trials", f"""WITH {TRIALS}, u AS (SELECT t, {mm("user_id || '_exp_' || t")} % 100 AS b FROM x), n AS (SELECT k.t, k.b, count(u.b) AS n FROM (SELECT t, b FROM (SELECT unnest(range(20)) AS t), (SELECT unnest(range(100)) AS b)) k LEFT JOIN u USING (t, b) GROUP BY 1, 2),
-o AS (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY n DESC, b) - 1 AS p FROM n), g AS (SELECT t, CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END AS g, sum(n) AS n FROM o GROUP BY 1, 2)
-SELECT t AS trial, {r('greatest(max(n) - 50, 50 - min(n)) / 50 * 100', 'max_dev_pct')} FROM g GROUP BY 1""")
+@query("mc01_snake_trials", f"""WITH {TRIALS}, u AS (SELECT t, {mm("user_id || '_exp_' || t")} % 1000 AS b FROM x),
+n AS (SELECT k.t, k.b, count(u.b) AS n FROM (SELECT t, b FROM (SELECT unnest(range(100)) AS t), (SELECT unnest(range(1000)) AS b)) k LEFT JOIN u USING (t, b) GROUP BY 1, 2),
+o AS (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY n DESC, b) - 1 AS p FROM n),
+g AS (SELECT t, CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END AS g, sum(n) AS n FROM o GROUP BY 1, 2)
+SELECT t AS trial, {r('greatest(max(n) - 500, 500 - min(n)) / 500 * 100', 'max_dev_pct')} FROM g GROUP BY 1""")
 def mc01(spark, d):
-    return rounded(simulate.trial_deviation(simulate.trial_users(spark, 20, 500), "snake", 100))
+    """The published size: 100 trials of 5,000 users, 1,000 buckets."""
+    return rounded(simulate.trial_deviation(simulate.trial_users(spark, 100, 5000), "snake"))
 
 
 @query("mc18_bandits")
 def mc18(spark, d):
-    return rounded(simulate.compare_bandits(spark, [0.10, 0.14, 0.14, 0.14, 0.14], 1000, 8))
+    return rounded(simulate.compare_bandits(spark, [0.10, 0.14, 0.14, 0.14, 0.14]))
 
 
 @query("st10_aa")
