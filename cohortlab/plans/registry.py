@@ -64,7 +64,7 @@ def rt01(spark, d):
     return rounded(users(spark, d).withColumn("bucket", routing.bucket("user_id")))
 
 
-def snake_sql(salt: str = "exp_001", buckets: int = 1000, groups: int = 10, source: str = f"SELECT {USER} AS user_id FROM customer") -> str:
+def snake_sql(salt: str = "exp_001", buckets: int | str = 1000, groups: int = 10, source: str = f"SELECT {USER} AS user_id FROM customer") -> str:
     """CTEs u (user_id, bucket) and m (bucket, group_id)."""
     return f"""u AS (SELECT user_id, {h('user_id', repr(salt))} % {buckets} AS bucket FROM ({source})),
 b AS (SELECT k.bucket, count(u.bucket) AS n FROM (SELECT unnest(range({buckets})) AS bucket) k LEFT JOIN u USING (bucket) GROUP BY 1),
@@ -138,7 +138,7 @@ def rt12(spark, d):
 WARM = "SELECT 'warmup_' || i AS user_id FROM (SELECT unnest(range(10000)) AS i)"
 
 
-@query("rt13_bucket_quota", f"WITH {snake_sql(buckets=100, source=WARM)} SELECT user_id, m.bucket, group_id FROM (SELECT {USER} AS user_id, {h(USER, repr('exp_001'))} % 100 AS bucket FROM customer) JOIN m USING (bucket)")
+@query("rt13_bucket_quota", f"""WITH {snake_sql(buckets=100, source=WARM)} SELECT user_id, m.bucket, group_id FROM (SELECT {USER} AS user_id, {h(USER, repr('exp_001'))} % 100 AS bucket FROM customer) JOIN m USING (bucket)""")
 def rt13(spark, d):
     return rounded(routing.route_quota(users(spark, d), buckets=100))
 
@@ -189,12 +189,13 @@ def edges_sql(col: str, bins: int = 3) -> str:
     return ", ".join(f"quantile_cont({col}, {i / bins!r}) AS {col}_{i}" for i in range(1, bins))
 
 
-@query("rt25_strata", f"WITH e AS (SELECT {edges_sql('c_acctbal')}, {edges_sql('c_nationkey')} FROM customer) SELECT {USER} AS user_id, (CASE WHEN c_acctbal > c_acctbal_1 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > c_acctbal_2 THEN 1 ELSE 0 END) || '-' || (CASE WHEN c_nationkey > c_nationkey_1 THEN 1 ELSE 0 END + CASE WHEN c_nationkey > c_nationkey_2 THEN 1 ELSE 0 END) AS stratum FROM customer, e")
+@query("rt25_strata", f"""WITH e AS (SELECT {edges_sql('c_acctbal')}, {edges_sql('c_nationkey')} FROM customer)
+SELECT {USER} AS user_id, (CASE WHEN c_acctbal > c_acctbal_1 THEN 1 ELSE 0 END + CASE WHEN c_acctbal > c_acctbal_2 THEN 1 ELSE 0 END) || '-' || (CASE WHEN c_nationkey > c_nationkey_1 THEN 1 ELSE 0 END + CASE WHEN c_nationkey > c_nationkey_2 THEN 1 ELSE 0 END) AS stratum FROM customer, e""")
 def rt25(spark, d):
     return routing.create_strata(users(spark, d, "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey", "absent"]).select("user_id", "stratum")
 
 
-@query("rt26_stratified", f"SELECT user_id, stratum, CASE WHEN k < 50000 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)")
+@query("rt26_stratified", f"""SELECT user_id, stratum, CASE WHEN k < 50000 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)""")
 def rt26(spark, d):
     return rounded(routing.stratified_assign(users(spark, d, F.col("c_mktsegment").alias("stratum")), 10, 50_000).select("user_id", "stratum", "group_id"))
 
@@ -217,12 +218,15 @@ SRM_OUT = f"""SELECT total, max_n, min_n, {r('x', 'chi2')}, 9.0::DOUBLE AS df, {
 p > 0.05 AS passed, p < 0.01 AS alert, p >= 0.01 AND p < 0.05 AS warning, CASE WHEN p < 0.001 THEN 'critical' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'normal' END AS level FROM q"""
 
 
-@query("bm03_srm", f"WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}")
+@query("bm03_srm", f"""WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s),
+q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}""")
 def bm03(spark, d):
     return rounded(balance.srm(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10)))
 
 
-@query("bm04_srm_expected", f"WITH {HASHED}, w AS (SELECT n, CASE WHEN group_id = 0 THEN 2.0 ELSE 1.0 END AS w FROM s), t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, sum(w) / sum(n)::DOUBLE * sum(n * n / w) - sum(n) AS x FROM w), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}")
+@query("bm04_srm_expected", f"""WITH {HASHED}, w AS (SELECT n, CASE WHEN group_id = 0 THEN 2.0 ELSE 1.0 END AS w FROM s),
+t AS (SELECT sum(n)::BIGINT AS total, max(n) AS max_n, min(n) AS min_n, sum(w) / sum(n)::DOUBLE * sum(n * n / w) - sum(n) AS x FROM w),
+q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) {SRM_OUT}""")
 def bm04(spark, d):
     return rounded(balance.srm(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10), [2.0] + [1.0] * 9))
 
@@ -235,7 +239,8 @@ def bm07(spark, d):
     return rounded(balance.orthogonality(routing.route_layers(users(spark, d), LAYERS), "rec", "sch"))
 
 
-@query("bm08_traffic_reuse", f"WITH {LAYER_SQL}, c AS (SELECT count(*) AS n FROM l GROUP BY rec, sch, ui) SELECT count(*) AS combos, sum(n)::BIGINT AS total, min(n) AS min_n, max(n) AS max_n, {r('sum(n) / 8.0', 'expected')}, {r('min(n) / max(n)', 'balance')} FROM c")
+@query("bm08_traffic_reuse", f"""WITH {LAYER_SQL}, c AS (SELECT count(*) AS n FROM l GROUP BY rec, sch, ui)
+SELECT count(*) AS combos, sum(n)::BIGINT AS total, min(n) AS min_n, max(n) AS max_n, {r('sum(n) / 8.0', 'expected')}, {r('min(n) / max(n)', 'balance')} FROM c""")
 def bm08(spark, d):
     return rounded(balance.traffic_reuse(routing.route_layers(users(spark, d), LAYERS), list(LAYERS), 8))
 
@@ -245,7 +250,7 @@ def ag13(spark, d):
     return rounded(balance.contingency(routing.route_layers(users(spark, d), LAYERS), "rec", "ui"))
 
 
-@query("bm09_planning", f"SELECT n, {r('2.8015852 * sqrt(0.095 / n)', 'mde_abs', 5)}, {r('2.8015852 * sqrt(0.095 / n) / 0.05 * 100', 'mde_rel_pct', 3)}, {r('1.96 / sqrt(n / 10.0) * 100', 'bound_pct')}, {r('3 / sqrt(n / 10.0) * 100', 'bound_3sigma_pct')} FROM (VALUES (500), (1000), (5000), (10000), (50000), (100000), (1000000)) v(n)")
+@query("bm09_planning", f"""SELECT n, {r('2.8015852 * sqrt(0.095 / n)', 'mde_abs', 5)}, {r('2.8015852 * sqrt(0.095 / n) / 0.05 * 100', 'mde_rel_pct', 3)}, {r('1.96 / sqrt(n / 10.0) * 100', 'bound_pct')}, {r('3 / sqrt(n / 10.0) * 100', 'bound_3sigma_pct')} FROM (VALUES (500), (1000), (5000), (10000), (50000), (100000), (1000000)) v(n)""")
 def bm09(spark, d):
     n = spark.createDataFrame([(x,) for x in (500, 1000, 5000, 10_000, 50_000, 100_000, 1_000_000)], "n int")
     m = balance.mde(F.col("n").cast("double"))
@@ -253,7 +258,7 @@ def bm09(spark, d):
     return rounded(out)
 
 
-@query("bm13_sample_sizes", f"SELECT bias_pct, g AS groups, ceil(pow(1.96 / (bias_pct / 100), 2))::BIGINT AS min_per_group, ceil(pow(1.96 / (bias_pct / 100), 2) * g)::BIGINT AS min_total, {r('9.0 * g * g / (pow(bias_pct / 100, 2) * 1000)', 'per_bucket')} FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) a(bias_pct), (VALUES (2), (3), (5), (10), (20), (50), (100)) b(g)")
+@query("bm13_sample_sizes", f"""SELECT bias_pct, g AS groups, ceil(pow(1.96 / (bias_pct / 100), 2))::BIGINT AS min_per_group, ceil(pow(1.96 / (bias_pct / 100), 2) * g)::BIGINT AS min_total, {r('9.0 * g * g / (pow(bias_pct / 100, 2) * 1000)', 'per_bucket')} FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) a(bias_pct), (VALUES (2), (3), (5), (10), (20), (50), (100)) b(g)""")
 def bm13(spark, d):
     grid = spark.createDataFrame([(b, g) for b in (0.5, 1.0, 2.0, 5.0) for g in (2, 3, 5, 10, 20, 50, 100)], "bias_pct double, groups int")
     b, g = F.col("bias_pct"), F.col("groups")
@@ -306,12 +311,13 @@ def two_arm(y: str, source: str = "m") -> str:
     return f"a AS (SELECT count({y}) FILTER (arm = 1) AS n_t, count({y}) FILTER (arm = 0) AS n_c, avg({y}) FILTER (arm = 1) AS mt, avg({y}) FILTER (arm = 0) AS mc, var_samp({y}) FILTER (arm = 1) AS vt, var_samp({y}) FILTER (arm = 0) AS vc, var_pop({y}) FILTER (arm = 1) AS wt, var_pop({y}) FILTER (arm = 0) AS wc FROM {source}), t AS (SELECT *, mt - mc AS diff, (mt - mc) / sqrt(vt / n_t + vc / n_c) AS t, pow(vt / n_t + vc / n_c, 2) / (pow(vt / n_t, 2) / (n_t - 1) + pow(vc / n_c, 2) / (n_c - 1)) AS nu, sqrt(wt / n_t + wc / n_c) AS se FROM a)"
 
 
-@query("st02_continuous", f"WITH {METRICS}, {two_arm('post')} SELECT n_t, n_c, {r('mt', 'mean_t', 4)}, {r('mc', 'mean_c', 4)}, {r('diff', 'diff', 4)}, {r('diff / mc * 100', 'lift_pct', 4)}, {r('t', 't_stat', 4)}, {r('nu', 'nu', 4)}, {r('diff - 1.96 * se', 'ci_low', 4)}, {r('diff + 1.96 * se', 'ci_high', 4)}, {r('diff / sqrt((wt + wc) / 2)', 'cohens_d', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {sqlfn.p_t('t', 'nu')} < 0.05 AS significant FROM t")
+@query("st02_continuous", f"""WITH {METRICS}, {two_arm('post')} SELECT n_t, n_c, {r('mt', 'mean_t', 4)}, {r('mc', 'mean_c', 4)}, {r('diff', 'diff', 4)}, {r('diff / mc * 100', 'lift_pct', 4)}, {r('t', 't_stat', 4)}, {r('nu', 'nu', 4)}, {r('diff - 1.96 * se', 'ci_low', 4)}, {r('diff + 1.96 * se', 'ci_high', 4)}, {r('diff / sqrt((wt + wc) / 2)', 'cohens_d', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {sqlfn.p_t('t', 'nu')} < 0.05 AS significant FROM t""")
 def st02(spark, d):
     return rounded(effects.continuous_test(metrics(spark, d), "arm", "post"), 4)
 
 
-@query("st06_sequential", f"WITH {METRICS}, {two_arm('post')}, s AS (SELECT *, 0.05 * sqrt(ln(1 + least(n_t, n_c)) / least(n_t, n_c)) AS b FROM t) SELECT n_t, n_c, {r('diff', 'effect', 4)}, {r('t', 't_stat', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {r('b', 'boundary', 4)}, {sqlfn.p_t('t', 'nu')} < b AS stop FROM s")
+@query("st06_sequential", f"""WITH {METRICS}, {two_arm('post')}, s AS (SELECT *, 0.05 * sqrt(ln(1 + least(n_t, n_c)) / least(n_t, n_c)) AS b FROM t)
+SELECT n_t, n_c, {r('diff', 'effect', 4)}, {r('t', 't_stat', 4)}, {r(sqlfn.p_t('t', 'nu'), 'p_value', 4)}, {r('b', 'boundary', 4)}, {sqlfn.p_t('t', 'nu')} < b AS stop FROM s""")
 def st06(spark, d):
     return rounded(effects.sequential_test(metrics(spark, d), "arm", "post"), 4)
 
@@ -329,7 +335,7 @@ def st04(spark, d):
     return rounded(effects.bonferroni(p_table(spark)))
 
 
-@query("st05_bh_fdr", f"SELECT test, p_value::DOUBLE AS p_value, {r('least(1, min(raw) OVER (ORDER BY k DESC))', 'p_fdr')} FROM (SELECT *, row_number() OVER (ORDER BY p_value, test) AS k, p_value * 6 / row_number() OVER (ORDER BY p_value, test) AS raw FROM {PVALUES})")
+@query("st05_bh_fdr", f"""SELECT test, p_value::DOUBLE AS p_value, {r('least(1, min(raw) OVER (ORDER BY k DESC))', 'p_fdr')} FROM (SELECT *, row_number() OVER (ORDER BY p_value, test) AS k, p_value * 6 / row_number() OVER (ORDER BY p_value, test) AS raw FROM {PVALUES})""")
 def st05(spark, d):
     return rounded(effects.benjamini_hochberg(p_table(spark)))
 
@@ -347,7 +353,8 @@ def st11(spark, d):
     return rounded(effects.pre_post(metrics(spark, d), "arm", "pre", "post"), 4)
 
 
-@query("st19_winsorize", f"WITH {METRICS}, b AS (SELECT arm, quantile_cont(post, 0.05) AS lo, quantile_cont(post, 0.95) AS hi, quantile_cont(post, 0.99) AS top FROM m GROUP BY 1) SELECT user_id, {r('least(greatest(post, lo), hi)', 'winsorized', 4)}, {r('least(post, top)', 'capped', 4)}, {r('ln(1 + post)', 'logged')} FROM m JOIN b USING (arm)")
+@query("st19_winsorize", f"""WITH {METRICS}, b AS (SELECT arm, quantile_cont(post, 0.05) AS lo, quantile_cont(post, 0.95) AS hi, quantile_cont(post, 0.99) AS top FROM m GROUP BY 1)
+SELECT user_id, {r('least(greatest(post, lo), hi)', 'winsorized', 4)}, {r('least(post, top)', 'capped', 4)}, {r('ln(1 + post)', 'logged')} FROM m JOIN b USING (arm)""")
 def st19(spark, d):
     out = effects.cap_top(effects.winsorize(metrics(spark, d), "arm", "post"), "arm", "post")
     return out.select("user_id", F.round("winsorized", 4).alias("winsorized"), F.round("capped", 4).alias("capped"), F.round(F.log1p("post"), 6).alias("logged"))
@@ -416,12 +423,14 @@ def st29(spark, d):
     return rounded(effects.compare_survival(survival(spark, d), "arm", "days", "observed"))
 
 
-@query("st30_timepoints", f"WITH {METRICS}, a AS (SELECT count(*) FILTER (arm = 1) AS n, avg(post) FILTER (arm = 1) AS t, avg(post) FILTER (arm = 0) AS c FROM m) SELECT day, {r('t * day / 30', 'value_t', 4)}, {r('c * day / 30', 'value_c', 4)}, {r('(t - c) / c * 100', 'lift_pct', 4)}, n FROM a, (VALUES (7), (14), (30)) v(day)")
+@query("st30_timepoints", f"""WITH {METRICS}, a AS (SELECT count(*) FILTER (arm = 1) AS n, avg(post) FILTER (arm = 1) AS t, avg(post) FILTER (arm = 0) AS c FROM m)
+SELECT day, {r('t * day / 30', 'value_t', 4)}, {r('c * day / 30', 'value_c', 4)}, {r('(t - c) / c * 100', 'lift_pct', 4)}, n FROM a, (VALUES (7), (14), (30)) v(day)""")
 def st30(spark, d):
     return rounded(effects.at_timepoints(metrics(spark, d), "arm", "post"), 4)
 
 
-@query("st31_risk", f"WITH {METRICS}, a AS (SELECT avg(post) FILTER (arm = 1) AS vt, avg(post) FILTER (arm = 0) AS vc, avg(urgent) FILTER (arm = 1) AS dt, avg(urgent) FILTER (arm = 0) AS dc FROM m) SELECT {r('vt', 'avg_amount_t', 4)}, {r('vc', 'avg_amount_c', 4)}, {r('dt', 'default_rate_t', 4)}, {r('dc', 'default_rate_c', 4)}, {r('vt * dt', 'expected_loss_t', 4)}, {r('vc * dc', 'expected_loss_c', 4)}, {r('(vc * dc - vt * dt) / (vc * dc) * 100', 'loss_reduction_pct', 4)} FROM a")
+@query("st31_risk", f"""WITH {METRICS}, a AS (SELECT avg(post) FILTER (arm = 1) AS vt, avg(post) FILTER (arm = 0) AS vc, avg(urgent) FILTER (arm = 1) AS dt, avg(urgent) FILTER (arm = 0) AS dc FROM m)
+SELECT {r('vt', 'avg_amount_t', 4)}, {r('vc', 'avg_amount_c', 4)}, {r('dt', 'default_rate_t', 4)}, {r('dc', 'default_rate_c', 4)}, {r('vt * dt', 'expected_loss_t', 4)}, {r('vc * dc', 'expected_loss_c', 4)}, {r('(vc * dc - vt * dt) / (vc * dc) * 100', 'loss_reduction_pct', 4)} FROM a""")
 def st31(spark, d):
     return rounded(effects.risk_metrics(metrics(spark, d), "arm", "post", "urgent"), 4)
 
@@ -452,7 +461,8 @@ def an07(spark, d):
     return rounded(io.user_consumption(read(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice").withColumnRenamed("o_custkey", "client"), 6)
 
 
-@query("an08_user_history", f"WITH s AS (SELECT c_custkey FROM customer ORDER BY {h('c_custkey', repr('42'))}, c_custkey LIMIT 200) SELECT c_custkey AS user_id, {r('coalesce(sum(o_totalprice), 0)', 'total_amount', 3)}, count(o_orderkey) AS n_txn, count(DISTINCT o_orderpriority) AS n_merchants, {r('coalesce(max(o_totalprice), 0)', 'max_amount', 3)} FROM s LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("an08_user_history", f"""WITH s AS (SELECT c_custkey FROM customer ORDER BY {h('c_custkey', repr('42'))}, c_custkey LIMIT 200)
+SELECT c_custkey AS user_id, {r('coalesce(sum(o_totalprice), 0)', 'total_amount', 3)}, count(o_orderkey) AS n_txn, count(DISTINCT o_orderpriority) AS n_merchants, {r('coalesce(max(o_totalprice), 0)', 'max_amount', 3)} FROM s LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def an08(spark, d):
     u = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     return rounded(io.user_history(u, read(spark, d, "orders"), 200, client="o_custkey", amount="o_totalprice", merchant="o_orderpriority"), 3)
@@ -472,12 +482,21 @@ def daily(spark, d):
     return e.groupBy(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("day")).agg(F.avg(F.when(F.col("arm") == 1, F.col("y"))).alias("treatment_conversion"), F.avg(F.when(F.col("arm") == 0, F.col("y"))).alias("control_conversion"))
 
 
-@query("ru01_anomalies", f"WITH {DAILY}, b AS (SELECT *, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN avg(treatment_conversion) OVER w END AS bm, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN stddev_samp(treatment_conversion) OVER w END AS bs FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) SELECT day, {r('treatment_conversion', 'treatment_conversion')}, {r('control_conversion', 'control_conversion')}, {r('bm', 'base_mean')}, {r('bs', 'base_std')}, {r('(treatment_conversion - bm) / nullif(bs, 0)', 'z')}, coalesce(abs((treatment_conversion - bm) / nullif(bs, 0)) > 2, false) AS anomaly FROM b")
+@query("ru01_anomalies", f"""WITH {DAILY}, b AS (SELECT *, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN avg(treatment_conversion) OVER w END AS bm, CASE WHEN count(treatment_conversion) OVER w >= 3 THEN stddev_samp(treatment_conversion) OVER w END AS bs FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT day, {r('treatment_conversion', 'treatment_conversion')},
+{r('control_conversion', 'control_conversion')},
+{r('bm', 'base_mean')},
+{r('bs', 'base_std')},
+{r('(treatment_conversion - bm) / nullif(bs, 0)', 'z')}, coalesce(abs((treatment_conversion - bm) / nullif(bs, 0)) > 2, false) AS anomaly FROM b""")
 def ru01(spark, d):
     return rounded(monitoring.anomalies(daily(spark, d), "treatment_conversion"))
 
 
-@query("ru02_rampup", f"WITH {DAILY}, x AS (SELECT *, treatment_conversion - control_conversion AS l, row_number() OVER (ORDER BY day DESC) AS a, row_number() OVER (ORDER BY day) AS b FROM d), s AS (SELECT count(*) AS days, avg(l) FILTER (a <= 3) AS rl, avg(l) FILTER (b <= 7) AS bl, avg(treatment_conversion) FILTER (a <= 3) AS t, avg(control_conversion) FILTER (a <= 3) AS c FROM x), q AS (SELECT *, CASE WHEN days < 3 THEN 'continue' WHEN rl < bl * 0.5 THEN 'pause' WHEN t < c - 0.02 THEN 'rollback' ELSE 'continue' END AS action FROM s) SELECT days, {r('rl', 'recent_lift')}, {r('bl', 'baseline_lift')}, action, CASE action WHEN 'rollback' THEN 0.0 WHEN 'pause' THEN 20.0 ELSE CASE WHEN days < 3 THEN 20.0 ELSE 40.0 END END::DOUBLE AS next_pct FROM q")
+@query("ru02_rampup", f"""WITH {DAILY}, x AS (SELECT *, treatment_conversion - control_conversion AS l, row_number() OVER (ORDER BY day DESC) AS a, row_number() OVER (ORDER BY day) AS b FROM d),
+s AS (SELECT count(*) AS days, avg(l) FILTER (a <= 3) AS rl, avg(l) FILTER (b <= 7) AS bl, avg(treatment_conversion) FILTER (a <= 3) AS t, avg(control_conversion) FILTER (a <= 3) AS c FROM x),
+q AS (SELECT *, CASE WHEN days < 3 THEN 'continue' WHEN rl < bl * 0.5 THEN 'pause' WHEN t < c - 0.02 THEN 'rollback' ELSE 'continue' END AS action FROM s)
+SELECT days, {r('rl', 'recent_lift')},
+{r('bl', 'baseline_lift')}, action, CASE action WHEN 'rollback' THEN 0.0 WHEN 'pause' THEN 20.0 ELSE CASE WHEN days < 3 THEN 20.0 ELSE 40.0 END END::DOUBLE AS next_pct FROM q""")
 def ru02(spark, d):
     return rounded(monitoring.rampup_decision(daily(spark, d), 20.0))
 
@@ -499,7 +518,8 @@ def score_sql(side: int) -> str:
     return " + ".join([n, *(f"CASE {d} " + " ".join(f"WHEN '{k}' THEN {v[side]}" for k, v in monitoring.SCORES[d].items()) + " END" for d in DIMENSIONS)])
 
 
-@query("dc07_choose_method", f"WITH s AS (SELECT *, ({score_sql(0)})::BIGINT AS ab_score, ({score_sql(1)})::BIGINT AS mab_score FROM (VALUES {', '.join(map(str, SCENARIOS))}) v(scenario, n_users_per_arm, {', '.join(DIMENSIONS)})) SELECT *, {r('ab_score * 100.0 / (ab_score + mab_score)', 'ab_pct')}, {r('mab_score * 100.0 / (ab_score + mab_score)', 'mab_pct')}, CASE WHEN ab_score >= mab_score + 15 THEN 'strong_ab' WHEN mab_score >= ab_score + 15 THEN 'strong_mab' ELSE 'either' END AS recommendation FROM s")
+@query("dc07_choose_method", f"""WITH s AS (SELECT *, ({score_sql(0)})::BIGINT AS ab_score, ({score_sql(1)})::BIGINT AS mab_score FROM (VALUES {', '.join(map(str, SCENARIOS))}) v(scenario, n_users_per_arm, {', '.join(DIMENSIONS)}))
+SELECT *, {r('ab_score * 100.0 / (ab_score + mab_score)', 'ab_pct')}, {r('mab_score * 100.0 / (ab_score + mab_score)', 'mab_pct')}, CASE WHEN ab_score >= mab_score + 15 THEN 'strong_ab' WHEN mab_score >= ab_score + 15 THEN 'strong_mab' ELSE 'either' END AS recommendation FROM s""")
 def dc07(spark, d):
     return rounded(monitoring.choose_method(spark.createDataFrame(SCENARIOS, "scenario string, n_users_per_arm int, " + ", ".join(f"{x} string" for x in DIMENSIONS))))
 
@@ -507,7 +527,7 @@ def dc07(spark, d):
 RULED = [("a", 500, "low", 100, "stable", False, True), ("b", 5000, "high", 100, "stable", False, True), ("c", 5000, "low", 10, "stable", False, True), ("d", 5000, "low", 60, "stable", False, False), ("e", 5000, "low", 60, "stable", True, True), ("f", 200_000, "low", 120, "shifting", False, True), ("g", 5000, "low", 120, "stable", False, True), ("h", 5000, "low", 60, "stable", False, True)]
 
 
-@query("dc09_rules", f"SELECT *, CASE WHEN n_users < 1000 THEN 'ab_low_traffic' WHEN importance = 'high' THEN 'ab_important' WHEN duration_days < 30 THEN 'ab_short' WHEN NOT rollback THEN 'ab_no_rollback' WHEN interpretable THEN 'ab_interpretable' WHEN n_users > 100000 AND duration_days > 90 AND audience = 'shifting' THEN 'mab_adaptive' WHEN duration_days > 90 THEN 'mab_long' ELSE 'either' END AS recommendation FROM (VALUES {', '.join(map(str, RULED))}) v(scenario, n_users, importance, duration_days, audience, interpretable, rollback)")
+@query("dc09_rules", f"""SELECT *, CASE WHEN n_users < 1000 THEN 'ab_low_traffic' WHEN importance = 'high' THEN 'ab_important' WHEN duration_days < 30 THEN 'ab_short' WHEN NOT rollback THEN 'ab_no_rollback' WHEN interpretable THEN 'ab_interpretable' WHEN n_users > 100000 AND duration_days > 90 AND audience = 'shifting' THEN 'mab_adaptive' WHEN duration_days > 90 THEN 'mab_long' ELSE 'either' END AS recommendation FROM (VALUES {', '.join(map(str, RULED))}) v(scenario, n_users, importance, duration_days, audience, interpretable, rollback)""")
 def dc09(spark, d):
     return rounded(monitoring.choose_by_rules(spark.createDataFrame(RULED, "scenario string, n_users int, importance string, duration_days int, audience string, interpretable boolean, rollback boolean")))
 
@@ -515,12 +535,17 @@ def dc09(spark, d):
 RATES = [("click", 0.85, 0.84), ("apply", 0.42, 0.35), ("approve", 0.68, 0.62), ("bind", 0.55, 0.55), ("repay", 0.78, 0.85)]
 
 
-@query("fn01_unpooled_funnel", f"WITH v AS (SELECT step, a::DOUBLE AS rate_t, b::DOUBLE AS rate_c FROM (VALUES {', '.join(map(str, RATES))}) x(step, a, b)), z AS (SELECT *, (rate_t - rate_c) / sqrt(rate_t * (1 - rate_t) / 1000 + rate_c * (1 - rate_c) / 1000) AS z FROM v) SELECT step, rate_t, rate_c, 1000::BIGINT AS n_t, 1000::BIGINT AS n_c, {r('(rate_t - rate_c) / rate_c * 100', 'lift_pct')}, {r('z', 'z')}, {r(sqlfn.p_norm('z'), 'p_value')}, {sqlfn.p_norm('z')} < 0.05 AS significant FROM z")
+@query("fn01_unpooled_funnel", f"""WITH v AS (SELECT step, a::DOUBLE AS rate_t, b::DOUBLE AS rate_c FROM (VALUES {', '.join(map(str, RATES))}) x(step, a, b)),
+z AS (SELECT *, (rate_t - rate_c) / sqrt(rate_t * (1 - rate_t) / 1000 + rate_c * (1 - rate_c) / 1000) AS z FROM v)
+SELECT step, rate_t, rate_c, 1000::BIGINT AS n_t, 1000::BIGINT AS n_c, {r('(rate_t - rate_c) / rate_c * 100', 'lift_pct')}, {r('z', 'z')}, {r(sqlfn.p_norm('z'), 'p_value')}, {sqlfn.p_norm('z')} < 0.05 AS significant FROM z""")
 def fn01(spark, d):
     return rounded(effects.unpooled_rates(spark.createDataFrame(RATES, "step string, rate_t double, rate_c double").withColumns({"n_t": F.lit(1000), "n_c": F.lit(1000)})))
 
 
-@query("bm05_daily_srm", f"WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2 AS g FROM events), n AS (SELECT day, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM c GROUP BY 1), x AS (SELECT day, a + b AS total, greatest(a, b) AS max_n, least(a, b) AS min_n, 2.0 / (a + b) * (a * a + b * b) - (a + b) AS x FROM n), q AS (SELECT *, {sqlfn.p_chi2('x', 1)} AS p FROM x) {SRM_OUT.replace('9.0::DOUBLE', '1.0::DOUBLE').replace('SELECT total', 'SELECT day, total')}")
+@query("bm05_daily_srm", f"""WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2 AS g FROM events),
+n AS (SELECT day, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM c GROUP BY 1),
+x AS (SELECT day, a + b AS total, greatest(a, b) AS max_n, least(a, b) AS min_n, 2.0 / (a + b) * (a * a + b * b) - (a + b) AS x FROM n),
+q AS (SELECT *, {sqlfn.p_chi2('x', 1)} AS p FROM x) {SRM_OUT.replace('9.0::DOUBLE', '1.0::DOUBLE').replace('SELECT total', 'SELECT day, total')}""")
 def bm05(spark, d):
     e = arrivals(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), routing.pure_hash("user_id", groups=2).alias("group_id"))
     return rounded(balance.srm(e.groupBy("day", "group_id").agg(F.count("*").alias("n")), keys=["day"]))
@@ -537,7 +562,9 @@ def rt27(spark, d):
     return rounded(routers.run_to_table(routers.stream_hash_counts(stream, "user_id"), "complete"))
 
 
-@query("bm06_traffic_balance", f"WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, avg(n) AS m, max(n) AS max_n, min(n) AS min_n, stddev_pop(n) AS sd, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s), q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t) SELECT total, {r('m', 'mean_n')}, max_n, min_n, {r('greatest(max_n - m, m - min_n) / m * 100', 'max_dev_pct')}, {r('sd', 'std_n')}, {r('x', 'chi2')}, {r('p', 'p_value')}, p > 0.05 AS passed FROM q")
+@query("bm06_traffic_balance", f"""WITH {HASHED}, t AS (SELECT sum(n)::BIGINT AS total, avg(n) AS m, max(n) AS max_n, min(n) AS min_n, stddev_pop(n) AS sd, 10 / sum(n)::DOUBLE * sum(n * n) - sum(n) AS x FROM s),
+q AS (SELECT *, {sqlfn.p_chi2('x', 9)} AS p FROM t)
+SELECT total, {r('m', 'mean_n')}, max_n, min_n, {r('greatest(max_n - m, m - min_n) / m * 100', 'max_dev_pct')}, {r('sd', 'std_n')}, {r('x', 'chi2')}, {r('p', 'p_value')}, p > 0.05 AS passed FROM q""")
 def bm06(spark, d):
     return rounded(balance.traffic_balance(routing.group_sizes(users(spark, d).withColumn("group_id", routing.pure_hash("user_id")), 10)))
 
@@ -570,7 +597,7 @@ def ag12(spark, d):
     return rounded(out.select("arm", "n", "var_pre", "vpop_pre", "var_post", "vpop_post", "cov_pre_post"), 2)
 
 
-@query("jn02_left_join_history", f"SELECT c_custkey, coalesce(n, 0) AS n_orders, {r('coalesce(t, 0)', 'total', 4)} FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+@query("jn02_left_join_history", f"""SELECT c_custkey, coalesce(n, 0) AS n_orders, {r('coalesce(t, 0)', 'total', 4)} FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def jn02(spark, d):
     own = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
     c = read(spark, d, "customer").select("c_custkey")
