@@ -55,8 +55,9 @@ def _wanted(words: Column, bits: Column, ks: list[int], give: Callable[[Column,
     """give(words, place, hash, k) for each shingle of a text, of each length of ks, that the bitmap lets through."""
 
     def of(s: Column, k: int) -> Column:
-        hashed = F.transform(_places(s["w"], k), lambda i: F.struct(i.alias("i"), _hash(s["w"], i, k).alias("h")))
-        return F.transform(F.filter(hashed, lambda x: _in_map(s["m"], x["h"])), lambda x: give(s["w"], x["i"], x["h"], k))
+        # hashed again where found, which is rare, instead of a struct for every shingle
+        found = F.filter(_places(s["w"], k), lambda i: _in_map(s["m"], _hash(s["w"], i, k)))
+        return F.transform(found, lambda i: give(s["w"], i, _hash(s["w"], i, k), k))
 
     def one(s: Column) -> Column:
         return F.concat(*[of(s, k) for k in ks])
