@@ -175,12 +175,15 @@ def verified_links(docs: DataFrame, candidates: DataFrame, n: int, threshold: fl
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
         for pdf in batches:
-            found = [text_words(t) for t in pdf["text"]]
-            # of the texts of a doc_id the one with the candidate's words
-            own = np.fromiter((sequence_key(w)[0] == k for w, k in zip(found, pdf["k1"])), bool, len(found))
-            pdf = pdf.assign(ws=pd.Series(found, dtype=object, index=pdf.index))[own]
-            found = [gram_set(ids.of(w), n) for w in pdf["ws"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": pdf["k1"], "root": pdf["root"], "m": pdf["m"], "size": [len(x) for x in found], "grams": [x.tobytes() for x in found]})
+            kept, found = [], []
+            # one text after the other: the words of a whole batch would take many times its bytes
+            for i, (text, k1) in enumerate(zip(pdf["text"], pdf["k1"])):
+                ws = text_words(text)
+                if sequence_key(ws)[0] == k1:  # of the texts of a doc_id the one with the candidate's words
+                    kept.append(i)
+                    found.append(gram_set(ids.of(ws), n).tobytes())
+            own = pdf.iloc[kept]
+            yield pd.DataFrame({"doc_id": own["doc_id"], "k1": own["k1"], "root": own["root"], "m": own["m"], "size": [len(x) // 8 for x in found], "grams": found})
 
     rows = docs.select("doc_id", "text").join(candidates, "doc_id").mapInPandas(sets, "doc_id long, k1 long, root long, m long, size long, grams binary")
     rows = cut(rows.dropDuplicates(["doc_id", "k1"]))
