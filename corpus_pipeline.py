@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import checkpoint_dir, table
+from cohortlab.llm.common import checkpoint_dir, cut, row_key, table
 from cohortlab.llm.decontaminate import without_contaminated
 from cohortlab.llm.jaccard import near_duplicates
 from cohortlab.llm.mixing import mix_sources
@@ -23,29 +23,40 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go; null and empty texts fail the base rule. Repeated rows, and
+    rows without a doc_id, are judged by their texts alone. An empty table stays empty."""
     return quality_rules(docs, labels=table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id stays."""
+    """Of each class of linked documents the one with the least doc_id stays, of equal rows with that
+    doc_id one. Null and empty texts and rows without a doc_id have no links and stay; texts that
+    share the least doc_id stay with it. An empty table stays empty."""
     others = near_duplicates(docs).filter("class_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    again = cut(docs.filter("doc_id is not null").groupBy(row_key().alias("_key")).agg(F.count("*").alias("c")).filter("c > 1").select("_key"))
+    if not again.limit(1).count():
+        return kept
+    keyed = kept.withColumn("_key", row_key())
+    return keyed.join(again, "_key", "left_anti").unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go, each row judged by its own text; null and empty
+    texts have none. Empty tables remove nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows."""
+    """Personal data in texts is replaced by its kind; n_chars follows. Null texts stay null, every
+    row stays, repeated rows are treated alike. An empty table stays empty."""
     out = personal_data(docs)
     return out.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document is used, each document at least once."""
+    """A row for each time a document is used, each document at least once, those with a null or
+    shared doc_id, a null source or no words too. An empty table stays empty."""
     return mix_sources(docs)
 
 
