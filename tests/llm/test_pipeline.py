@@ -41,3 +41,11 @@ def test_documents_without_an_id(spark):
     assert texts(kept) == want and kept.columns == docs.columns
     mixed = corpus_pipeline.mixing_stage(spark, kept, d).cache()
     assert texts(mixed.filter("pass = 1")) == want and not {"_own", "_id", "_used"} & set(mixed.columns)
+
+
+def test_repeated_rows_leave_one(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, "en", "a", 1), (3, "something else entirely", "en", "a", 1), (None, text, "en", "a", 1), (4, None, "en", "a", 1), (5, text.upper() + " end", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "/root/testdata/sf0.001").collect()]
+    assert sorted(got, key=str) == [1, 3, 4, None]
