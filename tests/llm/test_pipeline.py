@@ -1,6 +1,11 @@
+import re
+from collections import Counter, defaultdict
+
 import corpus_pipeline
-from cohortlab.llm import decontaminate, registry
+import duckdb
+from cohortlab.llm import decontaminate, pii, quality, registry
 from pyspark.sql import functions as F
+from test_text_operators import all_spans, words
 
 
 def test_stages(spark):
@@ -49,3 +54,39 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "/root/testdata/sf0.001").collect()]
     assert sorted(got, key=str) == [1, 3, 4, None]
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage's decisions on whole tables by other means: SQL, sets and dictionaries."""
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    kept = {i for i, k in con.execute(f"SELECT doc_id, kept FROM ({quality.OP1_SQL})").fetchall() if k}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect() if r["doc_id"] in kept}
+    # near duplicates: sets of five words
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := words(t))}
+    where, root = defaultdict(list), {i: i for i in texts}
+    for i, s in sets.items():
+        for g in s:
+            where[g].append(i)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in Counter((a, b) for own in where.values() for a in own for b in own if a < b).items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    texts = {i: t for i, t in texts.items() if find(i) == i}
+    # decontamination: windows of ten words
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    bench = {tuple(w[j : j + 10]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if (w := split(r["text"])) for j in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in bench}
+    texts = {i: t for i, t in texts.items() if not any(tuple(w[p : p + k]) in bench for w in [split(t)] for k in sizes for p in range(len(w) - k + 1))}
+    texts = {i: pii.redact(texts[i], s) for i, s in all_spans(texts).items()}
+    out = corpus_pipeline.run(spark, d).select("doc_id", "text", "n_chars", "pass").collect()
+    assert {(r["doc_id"], r["text"]) for r in out} == set(texts.items()) and all(r["n_chars"] == len(r["text"]) for r in out)
+    assert Counter(r["doc_id"] for r in out if r["pass"] == 1) == Counter(texts)

@@ -268,17 +268,15 @@ def contract_spans(text):
     return sorted(found, key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
 
 
-def test_personal_data_by_brute_force(spark):
-    """All spans of whole documents against plain dictionaries."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+def all_spans(texts):
+    """The spans of the operator by plain dictionaries."""
     found = {i: list(pii.candidates(t, contract_spans(t))) for i, t in texts.items()}
     edges = {}
     for i, own in found.items():
         for a, b, p, seed, _ in own:
             edges[p, texts[i][a:b]] = edges.get((p, texts[i][a:b]), False) or seed
     seeds = {x for (_, x), s in edges.items() if s}
-    score = {x: float(x in seeds) for _, x in edges}
+    score, patterns = {x: float(x in seeds) for _, x in edges}, {}
     for turn in range(3):
         own = defaultdict(list)
         for p, x in edges:
@@ -291,7 +289,13 @@ def test_personal_data_by_brute_force(spark):
         if turn < 2:
             score = {x: 1.0 if x in seeds else 1 - miss[x] for x in score}
     good = {p for p, (s, n) in patterns.items() if s >= 0.6 and n >= 3}
-    want = {i: sorted({*contract_spans(texts[i]), *((a, b, "id") for a, b, p, _, o in own if not o and p in good)}, key=lambda s: (s[0], pii.KINDS.index(s[2]))) for i, own in found.items()}
+    return {i: sorted({*contract_spans(texts[i]), *((a, b, "id") for a, b, p, _, o in own if not o and p in good)}, key=lambda s: (s[0], pii.KINDS.index(s[2]))) for i, own in found.items()}
+
+
+def test_personal_data_by_brute_force(spark):
+    """All spans of whole documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = all_spans({r["doc_id"]: r["text"] or "" for r in docs.collect()})
     got = {r["doc_id"]: [tuple(x) for x in r["pii"]] for r in pii.find_spans(docs).collect()}
     assert got == want and sum(k == "id" for own in want.values() for *_, k in own) > 0
 
