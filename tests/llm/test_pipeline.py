@@ -89,4 +89,4 @@ def test_pipeline_by_brute_force(spark):
     texts = {i: pii.redact(texts[i], s) for i, s in all_spans(texts).items()}
     out = corpus_pipeline.run(spark, d).select("doc_id", "text", "n_chars", "pass").collect()
     assert {(r["doc_id"], r["text"]) for r in out} == set(texts.items()) and all(r["n_chars"] == len(r["text"]) for r in out)
-    assert Counter(r["doc_id"] for r in out if r["pass"] == 1) == Counter(texts)
+    assert Counter(r["doc_id"] for r in out if r["pass"] == 1) == Counter(list(texts))
