@@ -240,7 +240,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     group = components(edges)
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
     candidates = cut(group.join(reps.select(F.col("rep").alias("node"), "k1", "m"), "node").select(F.col("node").alias("doc_id"), "k1", "root", "m"))
-    found = cut(verified_links(docs, candidates, n, threshold, block, block_grams))
+    conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(batch)
+    conf.set(batch, str(block))  # rows with gram sets are large: a worker gets a block of them at a time
+    try:
+        found = cut(verified_links(docs, candidates, n, threshold, block, block_grams))
+    finally:
+        conf.set(batch, was)
     links = found.groupBy("doc_id", "k1").agg(F.sum("links").alias("links")).filter("links > 0")
     # the texts of a doc_id that has several are of one class
     several = sig.select("doc_id", "k1", "k2").join(sig.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1"), "doc_id").distinct()
