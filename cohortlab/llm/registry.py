@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, html_text, jaccard, mixing, pii, quality, scoring, suffixes, urls
+from . import chat, decontaminate, fim, html_text, jaccard, merkle, mixing, pii, quality, scoring, suffixes, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_pii": pii.op9_pii,
     "op10_chat": chat.op10_chat,
+    "op11_fim": fim.op11_fim,
+    "op13_merkle": merkle.op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_urls": urls.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_fim": fim.OP11_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
