@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, fim, html_text, jaccard, merkle, mixing, pii, quality, scoring, suffixes, urls
+from . import chat, decontaminate, fim, html_text, jaccard, merkle, mixing, odd_sketch, pii, quality, scoring, suffixes, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_chat": chat.op10_chat,
     "op11_fim": fim.op11_fim,
+    "op12_odd_sketch": odd_sketch.op12_odd_sketch,
     "op13_merkle": merkle.op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
