@@ -59,25 +59,77 @@ def sequential_test(df: DataFrame, arm: str, y: str, alpha: float = 0.05, keys:
     return t.select(*keys, "n_t", "n_c", F.col("diff").alias("effect"), "t_stat", "p_value", bound.alias("boundary"), F.coalesce(F.col("p_value") < bound, F.lit(False)).alias("stop"))
 
 
-def sequential_trajectory(df: DataFrame, arm: str, y: str, period: str, alpha: float = 0.05) -> DataFrame:
-    """The sequential test at the end of every period on all rows so far; a row a period.
+#: What is carried of the two arms: sizes, means and sums of squared deviations.
+ARM_CELLS = ("n_t", "mean_t", "m2_t", "n_c", "mean_c", "m2_c")
 
-    Rows are summed by period and arm first, so only the periods' sums go through the window.
+
+def arm_cells(arm: str, y: str) -> list[Column]:
+    """The aggregates ARM_CELLS of the arms 1 (t) and 0 (c)."""
+    out = []
+    for code, s in ((1, "t"), (0, "c")):
+        own = F.when(F.col(arm) == code, F.col(y).cast("double"))
+        n = F.count(own).cast("double")
+        out += [n.alias(f"n_{s}"), F.coalesce(F.avg(own), F.lit(0.0)).alias(f"mean_{s}"), F.coalesce(F.var_pop(own) * n, F.lit(0.0)).alias(f"m2_{s}")]
+    return out
+
+
+def add_arms(a: Column, b: Column) -> Column:
+    """Chan's formula: the cells of two sets of rows together. Nothing cancels, however many rows there are."""
+    out = []
+    for s in "tc":
+        n, d = a[f"n_{s}"] + b[f"n_{s}"], b[f"mean_{s}"] - a[f"mean_{s}"]
+        part = F.coalesce(ratio(b[f"n_{s}"], n), F.lit(0.0))
+        out += [n.alias(f"n_{s}"), (a[f"mean_{s}"] + d * part).alias(f"mean_{s}"), (a[f"m2_{s}"] + b[f"m2_{s}"] + d * d * a[f"n_{s}"] * part).alias(f"m2_{s}")]
+    return F.struct(*out)
+
+
+def _zero() -> Column:
+    return F.struct(*[F.lit(0.0).alias(c) for c in ARM_CELLS])
+
+
+def merged_arms(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ARM_CELLS for each key."""
+    return cells.groupBy(*keys).agg(F.collect_list(F.struct(*ARM_CELLS)).alias("_c")).select(*keys, F.aggregate("_c", _zero(), add_arms).alias("_m")).select(*keys, "_m.*")
+
+
+def running_arms(cells: DataFrame, period: str, keys: list[str] = (), carried: DataFrame | None = None) -> DataFrame:
+    """cells: (period, keys, ARM_CELLS). The cells of all periods up to each, after those carried: (keys, ARM_CELLS).
+
+    A key's periods are one array: a few numbers a period, whatever the number of rows.
     """
-    own = lambda k, c: F.coalesce(F.sum(F.when(F.col(arm) == k, c)), F.lit(0.0))
-    v = F.col(y).cast("double")
-    one = df.filter(v.isNotNull() & F.col(arm).isin(0, 1)).groupBy(period).agg(*[own(k, c).alias(f"{a}_{s}") for k, s in ((1, "t"), (0, "c")) for c, a in ((F.lit(1.0), "n"), (v, "s"), (v * v, "q"))])
-    so_far = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
-    run = one.select(period, *[F.sum(c).over(so_far).alias(c) for c in one.columns if c != period])
-    mean = {s: ratio(F.col(f"s_{s}"), F.col(f"n_{s}")) for s in "tc"}
-    var = {s: ratio(F.col(f"q_{s}") - F.col(f"s_{s}") * mean[s], F.col(f"n_{s}") - 1) for s in "tc"}
-    t, nu = welch(mean["t"], var["t"], F.col("n_t"), mean["c"], var["c"], F.col("n_c"))
+    keys = list(keys)
+    one = (cells.groupBy(*keys) if keys else cells.groupBy()).agg(F.array_sort(F.collect_list(F.struct(period, *ARM_CELLS))).alias("_c")).filter(F.size("_c") > 0)
+    start = _zero()
+    if carried is not None:
+        had = carried.select(*keys, F.struct(*ARM_CELLS).alias("_had"))
+        one = one.join(had, keys, "left") if keys else one.join(F.broadcast(had), how="left")  # one row
+        start = F.coalesce("_had", start)
+
+    def step(state: Column, x: Column) -> Column:
+        own = F.transform(F.array(add_arms(state["m"], x)), lambda m: F.struct(m.alias("m"), F.concat(state["out"], F.array(F.struct(x[period].alias(period), *[m[c].alias(c) for c in ARM_CELLS]))).alias("out")))
+        return own[0]
+
+    run = one.select(*keys, F.aggregate("_c", F.struct(start.alias("m"), F.slice("_c", 1, 0).alias("out")), step)["out"].alias("_r"))
+    return run.select(*keys, F.inline("_r"))
+
+
+def arms_test(run: DataFrame, keep: list[str], alpha: float = 0.05) -> DataFrame:
+    """The sequential test of ARM_CELLS: Welch's p against alpha * sqrt(ln(1 + n) / n)."""
+    var = {s: ratio(F.col(f"m2_{s}"), F.col(f"n_{s}") - 1) for s in "tc"}
+    t, nu = welch(F.col("mean_t"), var["t"], F.col("n_t"), F.col("mean_c"), var["c"], F.col("n_c"))
     n = F.least("n_t", "n_c")
     bound = F.when(n > 0, F.lit(alpha) * F.sqrt(F.log(1 + n) / n))
-    out = run.select(period, F.col("n_t").cast("long").alias("n_t"), F.col("n_c").cast("long").alias("n_c"), (mean["t"] - mean["c"]).alias("effect"), t.alias("t_stat"), nu.alias("nu"), bound.alias("boundary"))
+    effect = F.when(n > 0, F.col("mean_t") - F.col("mean_c"))
+    out = run.select(*keep, F.col("n_t").cast("long").alias("n_t"), F.col("n_c").cast("long").alias("n_c"), effect.alias("effect"), t.alias("t_stat"), nu.alias("nu"), bound.alias("boundary"))
     return out.withColumn("p_value", p_t("t_stat", "nu")).withColumn("stop", F.coalesce(F.col("p_value") < F.col("boundary"), F.lit(False))).drop("nu")
 
 
+def sequential_trajectory(df: DataFrame, arm: str, y: str, period: str, alpha: float = 0.05, keys: list[str] = ()) -> DataFrame:
+    """The sequential test at the end of every period on all rows so far; a row a period (and key)."""
+    cells = df.filter(F.col(y).isNotNull() & F.col(arm).isin(0, 1)).groupBy(period, *keys).agg(*arm_cells(arm, y))
+    return arms_test(running_arms(cells, period, keys), [period, *keys], alpha)
+
+
 def pre_post(df: DataFrame, arm: str, pre: str, post: str, keys: list[str] = (), ddof: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Four estimators from one pass over the rows: plain, did, cuped, did_cuped; a row for each.
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.murmur import murmur
 from ..operators import balance, effects, monitoring, routing, simulate
 from ..operators.frames import checkpoint_dir
 from ..sources import io
@@ -443,10 +444,10 @@ def io10(spark, d):
     return rounded(io.split_sample(spark))
 
 
-def event_stream(spark, d):
+def event_stream(spark, d, *more):
     src = read(spark, d, "events")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.select(F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return stream.select(F.concat(F.lit("user_"), F.col("user_id")).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), *more)
 
 
 @query("str_hourly_counts", f"SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2 AS group_id, count(*) AS n FROM events GROUP BY 1, 2")
@@ -458,6 +459,51 @@ def hourly(spark, d):
     return rounded(out.select(F.col("hour.start").cast("timestamp_ntz").alias("hour"), "group_id", "n"))
 
 
+GROUP_2 = f"{h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('exp_001'))} % 1000 % 2"
+
+
+@query("str_hourly_closed", f"SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, {GROUP_2} AS group_id, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) GROUP BY 1, 2")
+def hourly_closed(spark, d):
+    """The same windows in append mode: those that the watermark, an hour behind, has closed."""
+    from ..streaming import routers
+
+    out = routers.run_to_table(routers.hourly_counts(event_stream(spark, d), "ts", "user_id"), "append")
+    return rounded(out.select(F.col("hour.start").cast("timestamp_ntz").alias("hour"), "group_id", "n"))
+
+
+@query("str_hourly_srm", f"""WITH c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, {GROUP_2} AS g FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)),
+o AS (SELECT hour, count(*) FILTER (g = 0) AS a, count(*) FILTER (g = 1) AS b FROM c GROUP BY 1),
+n AS (SELECT hour, a + b AS n_window, sum(a) OVER (ORDER BY hour)::DOUBLE AS a, sum(b) OVER (ORDER BY hour)::DOUBLE AS b FROM o),
+x AS (SELECT *, pow(a - b, 2) / (a + b) AS x FROM n), q AS (SELECT *, {sqlfn.p_chi2('x', 1)} AS p FROM x), v AS (SELECT *, CASE WHEN p < 0.001 THEN 'critical' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'normal' END AS level FROM q)
+SELECT hour, n_window, (a + b)::BIGINT AS total, greatest(a, b)::BIGINT AS max_n, least(a, b)::BIGINT AS min_n, {r('x', 'chi2')}, {r('p', 'p_value')}, level, {r('abs(a - b) / (a + b) * 100', 'max_group_diff_pct')},
+CASE level {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in balance.ACTIONS.items())} END AS action FROM v""")
+def hourly_srm(spark, d):
+    """Sample-ratio monitoring of the events' stream: each hour once, when the watermark closes it."""
+    from ..streaming import health
+
+    folder = shared_folder(spark, "srm")
+    health.run_to_end(health.stream_srm(event_stream(spark, d), "ts", "user_id", folder))
+    return rounded(health.emitted(spark, folder).withColumn("hour", F.col("start").cast("timestamp_ntz")).drop("start"))
+
+
+@query("st07_stream", f"""WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm, value AS y FROM events WHERE value IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)),
+g AS (SELECT event_type, day, {', '.join(f"count(*) FILTER (arm = {k})::DOUBLE AS n{s}, coalesce(sum(y) FILTER (arm = {k}), 0) AS s{s}, coalesce(sum(y * y) FILTER (arm = {k}), 0) AS q{s}" for k, s in ((1, 't'), (0, 'c')))} FROM e GROUP BY 1, 2),
+w AS (SELECT event_type, day, {', '.join(f"sum({c}) OVER (PARTITION BY event_type ORDER BY day) AS {c}" for c in ('nt', 'st', 'qt', 'nc', 'sc', 'qc'))} FROM g),
+v AS (SELECT *, st / nt AS mt, sc / nc AS mc, (qt - st * st / nt) / (nt - 1) AS vt, (qc - sc * sc / nc) / (nc - 1) AS vc FROM w),
+t AS (SELECT *, (mt - mc) / sqrt(vt / nt + vc / nc) AS t, pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS nu, 0.05 * sqrt(ln(1 + least(nt, nc)) / least(nt, nc)) AS b FROM v),
+p AS (SELECT *, {sqlfn.p_t('t', 'nu')} AS p FROM t)
+SELECT event_type, day, nt::BIGINT AS n_t, nc::BIGINT AS n_c, {r('mt - mc', 'effect', 4)}, {r('t', 't_stat', 4)}, {r('p', 'p_value', 4)}, {r('b', 'boundary', 4)}, p < b AS stop,
+p < b AND count(*) FILTER (p < b) OVER (PARTITION BY event_type ORDER BY day) = 1 AS signal FROM p""")
+def st07_stream(spark, d):
+    """The sequential test of each event type on the events' stream, a row a day, with one stop signal an experiment."""
+    from ..streaming import health
+
+    folder = shared_folder(spark, "sequential")
+    src = event_stream(spark, d, "event_type", "value").withColumn("arm", (murmur("user_id", F.lit("ab")) % 2).cast("int"))
+    health.run_to_end(health.stream_sequential(src, "ts", "arm", "value", folder, ["event_type"]))
+    return rounded(health.emitted(spark, folder).withColumn("day", F.date_format("start", "yyyy-MM-dd")).drop("start"), 4)
+
+
 @query("rp02_report")
 def rp02(spark, d):
     text = monitoring.experiment_report(metrics(spark, d), "arm", "urgent", ["pre", "pre_orders"], ["seq"], secondary={"post": "continuous"}, identity=("exp_001", "urgent orders", "1998-01-01", "1998-08-02"))

@@ -1,16 +1,15 @@
-"""Structured Streaming: stateless routing, ordered stateful routers, running health checks."""
+"""Structured Streaming: stateless routing, hourly windows, ordered stateful routers."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.frames import checkpoint_dir, with_rank
 from ..operators.routing import SALT, pure_hash
+from .health import run_to_end
 
 
 def stream_hash_counts(events: DataFrame, user: str, groups: int = 10, salt: str = SALT) -> DataFrame:
@@ -51,8 +50,9 @@ def stream_slot_pool(events: DataFrame, user: str, order: str, slots: list[int],
     return new.writeStream.foreachBatch(deal).outputMode("append").option("checkpointLocation", f"{folder}/state")
 
 
-def run_to_table(df: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
-    """Runs a stream over what there is and returns its last result, written to the shared folder.
+def run_to_table(df: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what there is, however long that takes, and returns its last result, written to the
+    shared folder; a stream that fails raises, so the result is never a part.
     complete: the last batch is the result; append and update: all batches are, the last row of a key standing for it."""
     folder = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     last: list[int] = []
@@ -61,12 +61,6 @@ def run_to_table(df: DataFrame, mode: str, seconds: int = 600) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
         last.append(epoch)
 
-    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination(seconds)
+    run_to_end(df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state"))
     out = df.sparkSession.read.schema(df.schema).parquet(*([f"{folder}/out/batch={last[-1]}"] if mode == "complete" else [f"{folder}/out/batch={e}" for e in last])) if last else None
     return out if out is not None else df.sparkSession.createDataFrame([], df.schema)
-
-
-def running_sequential(spark, sizes_of: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """A foreachBatch function that applies a batch check to every micro-batch's running table."""
-    return lambda df, epoch: sink(sizes_of(df), epoch)
