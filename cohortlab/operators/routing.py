@@ -79,14 +79,14 @@ def virtual_ids(spark: SparkSession, n: int, pattern: str) -> DataFrame:
     return spark.range(n).select("id", F.format_string(pattern, "id").alias("user_id"))
 
 
-def quota_table(spark: SparkSession, buckets: int = 1000, groups: int = 10, salt: str = SALT) -> DataFrame:
-    """(bucket, group_id) dealt from 100 made-up users a bucket."""
-    warm = virtual_ids(spark, 100 * buckets, "warmup_%d").select(bucket("user_id", salt, buckets).alias("bucket"))
-    return snake_map(warm.groupBy("bucket").agg(F.count("*").alias("n")), buckets, groups).select("bucket", "group_id")
+def quota_table(spark: SparkSession, buckets: int = 1000, groups: int = 10, salt: str = SALT, each: int = 100) -> DataFrame:
+    """(bucket, n, group_id) dealt from `each` made-up users a bucket."""
+    warm = virtual_ids(spark, each * buckets, "warmup_%d").select(bucket("user_id", salt, buckets).alias("bucket"))
+    return snake_map(warm.groupBy("bucket").agg(F.count("*").alias("n")), buckets, groups).select("bucket", "n", "group_id")
 
 
 def route_quota(users: DataFrame, user: str = "user_id", buckets: int = 1000, groups: int = 10, salt: str = SALT) -> DataFrame:
-    table = quota_table(users.sparkSession, buckets, groups, salt)
+    table = quota_table(users.sparkSession, buckets, groups, salt).drop("n")
     return users.withColumn("bucket", bucket(user, salt, buckets)).join(F.broadcast(table), "bucket")
 
 
@@ -123,7 +123,7 @@ def snake_split(users: DataFrame, groups: int = 10, salt: str = SALT, user: str
 
 def growing_pool(arrivals: DataFrame, capacity: int = 10_000, groups: int = 10, at: float = 0.8, salt: str = SALT, user: str = "user_id", order: list[str] | None = None) -> DataFrame:
     """(user, k, group_id): a slot pool that doubles before an allocation that finds more than `at`
-    of it used; use counts start anew then.
+    of it used; use counts start anew then. The slots of each growth have a salt of their own, from _v0 on.
 
     Between two growths the groups are dealt in turn, so a group follows from the rank of a user's
     first arrival alone; the growths, one for each doubling, are worked out beforehand.
@@ -137,7 +137,7 @@ def growing_pool(arrivals: DataFrame, capacity: int = 10_000, groups: int = 10,
     first = arrivals.groupBy(user).agg(F.min(F.struct(*order)).alias("_o")).select(user, *[F.col(f"_o.{c}").alias(c) for c in order])
     ranked = with_rank(first, [*order, user])
     n, start, total, grown = ranked.count(), 0, capacity, 0
-    have, before = slots(0, capacity, salt), [0] * groups
+    have, before = slots(0, capacity, f"{salt}_v0"), [0] * groups
     group = F.lit(-1)
     while True:
         full = start + min((h - b) * groups + g for g, (h, b) in enumerate(zip(have, before)))  # the turn of a full group
@@ -157,17 +157,19 @@ def growing_pool(arrivals: DataFrame, capacity: int = 10_000, groups: int = 10,
 
 def layered_route(arrivals: DataFrame, order: list[str], groups: int = 10, buckets: int = 1000, salt: str = SALT, user: str = "user_id") -> DataFrame:
     """Adds group_id and layer to every arrival: a new user takes a prepared bucket of the least used
-    group while that has one (L1_prebucket) and keeps it (L1_cache); all others take their hash (L2_realtime).
+    group while that has one (L1_prebucket), else the group of their hash (L2_realtime); either is written to the
+    cache, so that later arrivals find it there (L1_cache).
 
-    The first group to run out stops the preparing for good, so the rank of the first arrival decides.
+    Prepared are the buckets that ten made-up users a bucket reach. The first group to run out stops
+    the preparing for good, so the rank of the first arrival decides.
     """
-    free = quota_table(arrivals.sparkSession, buckets, groups, salt).groupBy("group_id").agg(F.count("*").alias("n"))
+    free = quota_table(arrivals.sparkSession, buckets, groups, salt, 10).filter("n > 0").groupBy("group_id").agg(F.count("*").alias("n"))
     stop = arrivals.sparkSession.range(groups).join(free, F.col("id") == F.col("group_id"), "left").agg(F.min(F.coalesce("n", F.lit(0)) * groups + F.col("id")).alias("_stop"))
     first = arrivals.groupBy(user).agg(F.min(F.struct(*order)).alias("_first"))
     ranked = with_rank(first.select(user, "_first", *[F.col(f"_first.{c}").alias(c) for c in order]), [*order, user]).join(F.broadcast(stop))  # one row
     ranked = ranked.select(F.col(user).alias("_user"), "_first", "k", (F.col("k") < F.col("_stop")).alias("_held"))
     out = arrivals.join(ranked, F.col(user) == F.col("_user"))
-    layer = F.when(~F.col("_held"), "L2_realtime").when(F.struct(*order) == F.col("_first"), "L1_prebucket").otherwise("L1_cache")
+    layer = F.when(F.struct(*order) != F.col("_first"), "L1_cache").when(F.col("_held"), "L1_prebucket").otherwise("L2_realtime")
     return out.withColumns({"group_id": F.when(F.col("_held"), F.col("k") % groups).otherwise(pure_hash(user, salt, buckets, groups)).cast("int"), "layer": layer}).drop("_user", "_first", "_held", "k")
 
 
@@ -193,7 +195,7 @@ def hybrid_route(arrivals: DataFrame, order: list[str], buckets: int = 1000, gro
     run = running(full, ["w"], {"_c": F.col("n")}, ["hash_group"]).withColumn("c", F.col("_c") + F.col("n"))
     check = run.groupBy("w").agg(F.max("c").alias("top"), F.sum("c").alias("all")).filter((F.col("all") % window == 0) & (F.col("top") / (F.col("all") / groups) - 1 > threshold))
     switch = check.agg(F.coalesce((F.min("w") + 1) * window, F.lit(2**62)).alias("switch"))
-    quota = quota_table(arrivals.sparkSession, buckets, groups, quota_salt).withColumnRenamed("group_id", "quota_group")
+    quota = quota_table(arrivals.sparkSession, buckets, groups, quota_salt).drop("n").withColumnRenamed("group_id", "quota_group")
     out = ranked.withColumn("bucket", bucket(user, salt, buckets)).join(F.broadcast(quota), "bucket").join(F.broadcast(switch))
     return out.withColumn("group_id", F.when(F.col("k") < F.col("switch"), F.col("hash_group")).otherwise(F.col("quota_group"))).drop("w")
 
@@ -214,9 +216,10 @@ def create_strata(df: DataFrame, features: list[str], bins: int = 3) -> DataFram
 
 
 def stratified_assign(df: DataFrame, groups: int = 10, capacity: int | None = None, salt: str = SALT, user: str = "user_id") -> DataFrame:
-    """Round robin within each stratum in hash order; rows beyond a stratum's capacity get -1. A stratum is ranked by ranges."""
+    """Round robin within each stratum in hash order, until the first group has its share of the stratum's
+    capacity; rows after that get -1. A stratum is ranked by ranges."""
     out = with_rank(df.withColumn("_h", murmur(user, F.lit(salt))), ["_h", user], "_k", keys=["stratum"])
     group = F.col("_k") % groups
     if capacity is not None:
-        group = F.when(F.col("_k") < capacity, group).otherwise(-1)
+        group = F.when(F.col("_k") <= (capacity // groups - 1) * groups, group).otherwise(-1)
     return out.withColumn("group_id", group.cast("int")).drop("_h", "_k")

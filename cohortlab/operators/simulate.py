@@ -119,15 +119,16 @@ def snake_buckets(keys: np.ndarray, buckets: int, groups: int) -> np.ndarray:
     return out
 
 
-def fold_growing_pool(ids: list[str], salt: str, groups: int = 10, capacity: int = 10_000, at: float = 0.8) -> list[int]:
-    """A slot pool that doubles before an allocation that finds more than `at` of it used; use counts start anew then."""
+def fold_growing_pool(ids: list[str], salt: str, groups: int = 10, capacity: int = 10_000, at: float = 0.8, first: str = "_v0") -> list[int]:
+    """A slot pool that doubles before an allocation that finds more than `at` of it used; use counts start anew then.
+    The slots of each growth have a salt of their own, those before the first too."""
 
     def slots(lo: int, hi: int, s: str) -> np.ndarray:
         b = min(hi - lo, 1000)
         keys = murmur32([f"v_{i:08d}_{s}" for i in range(lo, hi)]) % b
         return np.bincount(snake_buckets(keys, b, groups)[keys], minlength=groups)
 
-    have, used, total, taken, grown = slots(0, capacity, salt), np.zeros(groups, np.int64), capacity, 0, 0
+    have, used, total, taken, grown = slots(0, capacity, salt + first), np.zeros(groups, np.int64), capacity, 0, 0
     start, known, out = np.zeros(groups, np.int64), {}, []
     for u in ids:
         if u not in known:
@@ -146,10 +147,10 @@ def fold_growing_pool(ids: list[str], salt: str, groups: int = 10, capacity: int
     return out
 
 
-def fold_layered(ids: list[str], salt: str, groups: int = 10, buckets: int = 1000, warm: int = 100) -> list[tuple[int, str]]:
-    """Known users from the cache; new ones take a prepared bucket of the least used group while there is one, then their hash."""
+def fold_layered(ids: list[str], salt: str, groups: int = 10, buckets: int = 1000, warm: int = 10) -> list[tuple[int, str]]:
+    """Known users from the cache, however they got there; new ones take a prepared bucket of the least used group while there is one, then their hash."""
     keys = murmur32([f"warmup_{i}_{salt}" for i in range(warm * buckets)]) % buckets
-    free = np.bincount(snake_buckets(keys, buckets, groups), minlength=groups)
+    free = np.bincount(snake_buckets(keys, buckets, groups)[np.unique(keys)], minlength=groups)  # buckets without a made-up user aren't prepared
     base = murmur32([f"{u}_{salt}" for u in ids]) % buckets % groups
     used, known, out = np.zeros(groups, np.int64), {}, []
     for i, u in enumerate(ids):
@@ -162,7 +163,8 @@ def fold_layered(ids: list[str], salt: str, groups: int = 10, buckets: int = 100
             known[u] = g
             out.append((g, "L1_prebucket"))
         else:
-            out.append((int(base[i]), "L2_realtime"))
+            known[u] = int(base[i])
+            out.append((known[u], "L2_realtime"))
     return out
 
 
@@ -173,12 +175,13 @@ def fold_adaptive(ids: list[str], salt: str, groups: int = 10, buckets: int = 10
     group_of = snake_buckets(first, buckets, groups)
     size = np.bincount(first, minlength=buckets)
     listing = sorted(range(buckets), key=lambda b: (group_of[b], -size[b], b))
-    seen, count, out, met = np.zeros(buckets, np.int64), np.zeros(groups, np.int64), [], []
+    seen, count, out, met, known = np.zeros(buckets, np.int64), np.zeros(groups, np.int64), [], [], set()
     for i, b in enumerate(keys, 1):
         g = int(group_of[b])
         if not count[g] and g not in met:
             met.append(g)  # of equal groups the one met first counts
-        seen[b] += 1
+        seen[b] += ids[i - 1] not in known
+        known.add(ids[i - 1])
         count[g] += 1
         out.append(g)
         if i % window == 0:
@@ -216,8 +219,8 @@ def routed_sizes(arrivals: DataFrame, fold: Callable[[list[str], str], list[int]
 
 
 def fold_slot_pool(ids: list[str], salt: str, groups: int = 10, capacity: int = 50_000) -> list[int]:
-    """The slot pool: growth never comes."""
-    return fold_growing_pool(ids, salt, groups, capacity, at=2.0)
+    """The slot pool: growth never comes, and the salt is plain."""
+    return fold_growing_pool(ids, salt, groups, capacity, at=2.0, first="")
 
 
 def stream_summary(arrivals: DataFrame, fold: Callable[[list[str], str], list[int]], capacity: int | None = None) -> DataFrame:

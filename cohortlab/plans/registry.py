@@ -195,7 +195,7 @@ def rt25(spark, d):
     return routing.create_strata(users(spark, d, "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey", "absent"]).select("user_id", "stratum")
 
 
-@query("rt26_stratified", f"""SELECT user_id, stratum, CASE WHEN k < 50000 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)""")
+@query("rt26_stratified", f"""SELECT user_id, stratum, CASE WHEN k < 49991 THEN k % 10 ELSE -1 END AS group_id FROM (SELECT {USER} AS user_id, c_mktsegment AS stratum, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {h(USER, repr('exp_001'))}, {USER}) - 1 AS k FROM customer)""")
 def rt26(spark, d):
     return rounded(routing.stratified_assign(users(spark, d, F.col("c_mktsegment").alias("stratum")), 10, 50_000).select("user_id", "stratum", "group_id"))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.murmur import murmur
-from ..operators import balance, effects, monitoring, routing, simulate
+from ..operators import balance, effects, monitoring, ordered, routing, simulate
 from ..operators.frames import checkpoint_dir
 from ..sources import io
 from . import sqlfn
@@ -17,21 +17,46 @@ from .sqlfn import murmur as mm
 # --- routers over whole streams, by closed forms ---------------------------------------------
 
 
-@query("rt15_growing_pool", f"""WITH {pool_sql('10000')}, {FIRST}
-SELECT user_id, k, CASE WHEN (SELECT count(*) FROM k) > 8001 THEN error('more users than the pool takes before it grows')::INT WHEN k < stop THEN k % 10 ELSE -1 END::BIGINT AS group_id FROM k, f""")
+def growth_sql(capacity: int, versions: int) -> str:
+    """A pool of `capacity` slots that grows up to versions - 1 times: each version's slots from users of its own,
+    its start at the growth's rank, its end at the next growth or where a group is full. Beyond that an error."""
+    return f"""WITH i AS (SELECT v, unnest(range(CASE v WHEN 0 THEN 0 ELSE {capacity} * (1 << (v - 1)) END, {capacity} * (1 << v))) AS i, least(1000, CASE v WHEN 0 THEN {capacity} ELSE {capacity} * (1 << (v - 1)) END) AS size FROM (SELECT unnest(range({versions})) AS v)),
+u AS (SELECT v, size, {mm("'v_' || lpad(i::VARCHAR, 8, '0') || '_exp_001_v' || v")} % size AS b FROM i),
+n AS (SELECT k.v, k.b, count(u.b) AS n FROM (SELECT v, unnest(range(size)) AS b FROM (SELECT DISTINCT v, size FROM u)) k LEFT JOIN u ON u.v = k.v AND u.b = k.b GROUP BY 1, 2),
+o AS (SELECT v, n, row_number() OVER (PARTITION BY v ORDER BY n DESC, b) - 1 AS p FROM n),
+s AS (SELECT v, CASE WHEN (p // 10) % 2 = 0 THEN p % 10 ELSE 9 - p % 10 END AS g, sum(n) AS n FROM o GROUP BY 1, 2),
+t AS (SELECT v, CASE v WHEN 0 THEN 0 ELSE 8 * {capacity} * (1 << (v - 1)) // 10 + 1 END AS start, 8 * {capacity} * (1 << v) // 10 + 1 AS grow FROM (SELECT unnest(range({versions})) AS v)),
+d AS (SELECT v, start, grow, g, sum(coalesce(n, 0)) OVER (PARTITION BY g ORDER BY v) AS have, coalesce(sum((grow - start + 9 - g) // 10) OVER (PARTITION BY g ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had
+  FROM (SELECT t.*, g.g FROM t CROSS JOIN (SELECT unnest(range(10)) AS g) g) LEFT JOIN s USING (v, g)),
+e AS (SELECT v, start, grow, start + min((have - had) * 10 + g) AS f FROM d GROUP BY v, start, grow),
+z AS (SELECT coalesce(min(f) FILTER (f < grow), 9000000000) AS z FROM e), {FIRST}
+SELECT user_id, k, CASE WHEN k >= (SELECT max(grow) FROM e) THEN error('more users than the versions take')::INT WHEN k >= z THEN -1 ELSE (k - start) % 10 END::BIGINT AS group_id FROM k JOIN e ON k >= start AND k < grow, z"""
+
+
+@query("rt15_growing_pool", growth_sql(10_000, 2))
 def rt15(spark, d):
-    """10,000 slots at first. The SQL holds up to the first growth, at 8,001 users; tests hold growth against the event loop."""
+    """10,000 slots at first. The SQL holds up to the second growth, at 16,001 users."""
     return rounded(routing.growing_pool(arrivals(spark, d), order=["ts", "event_id"]))
 
 
-LAYERED = f"""{snake_sql(buckets=1000, source=WARM.replace('10000', '100000'))}, n AS (SELECT group_id, count(*) AS n FROM m GROUP BY 1),
+@query("rt15_growths", growth_sql(40, 10))
+def rt15_growths(spark, d):
+    """40 slots at first, so that a few hundred users make it grow several times."""
+    return rounded(routing.growing_pool(arrivals(spark, d), 40, order=["ts", "event_id"]))
+
+
+def layered_sql(buckets: int) -> str:
+    return f"""{snake_sql(buckets=buckets, source=WARM.replace('10000', str(10 * buckets)))}, n AS (SELECT group_id, count(*) AS n FROM m JOIN b USING (bucket) WHERE b.n > 0 GROUP BY 1),
 f AS (SELECT min(coalesce(n, 0) * 10 + g.group_id) AS stop FROM (SELECT unnest(range(10)) AS group_id) g LEFT JOIN n USING (group_id)), {FIRST},
-l AS (SELECT e.event_id, e.user_id, CASE WHEN k < stop THEN k % 10 ELSE {h('e.user_id', repr('exp_001'))} % 1000 % 10 END::BIGINT AS group_id,
-CASE WHEN k >= stop THEN 'L2_realtime' WHEN (e.ts, e.event_id) = a.o THEN 'L1_prebucket' ELSE 'L1_cache' END AS layer FROM ({ARRIVE}) e JOIN a USING (user_id) JOIN k USING (user_id), f)"""
+l AS (SELECT e.event_id, e.user_id, CASE WHEN k < stop THEN k % 10 ELSE {h('e.user_id', repr('exp_001'))} % {buckets} % 10 END::BIGINT AS group_id,
+CASE WHEN (e.ts, e.event_id) <> a.o THEN 'L1_cache' WHEN k < stop THEN 'L1_prebucket' ELSE 'L2_realtime' END AS layer FROM ({ARRIVE}) e JOIN a USING (user_id) JOIN k USING (user_id), f)"""
+
+
+LAYERED = layered_sql(1000)
 
 
-def layered(spark, d):
-    return routing.layered_route(arrivals(spark, d), ["ts", "event_id"])
+def layered(spark, d, buckets=1000):
+    return routing.layered_route(arrivals(spark, d), ["ts", "event_id"], buckets=buckets)
 
 
 @query("rt16_layered", f"WITH {LAYERED} SELECT * FROM l")
@@ -39,6 +64,12 @@ def rt16(spark, d):
     return rounded(layered(spark, d).select("event_id", "user_id", "group_id", "layer"))
 
 
+@query("rt16_second_layer", f"WITH {layered_sql(60)} SELECT * FROM l")
+def rt16_second(spark, d):
+    """With 60 buckets, so that most users come to the second layer."""
+    return rounded(layered(spark, d, 60).select("event_id", "user_id", "group_id", "layer"))
+
+
 @query("bm16_cache_hit_rate", f"""WITH {LAYERED} SELECT count(*) FILTER (layer <> 'L2_realtime') AS hits, count(*) FILTER (layer = 'L2_realtime') AS misses, {r(chr(39).join(['count(*) FILTER (layer <> ', 'L2_realtime', ') * 100.0 / count(*)']), 'hit_rate_pct')} FROM l""")
 def bm16_cache(spark, d):
     return rounded(routing.cache_hit_rate(layered(spark, d)))
@@ -108,6 +139,63 @@ def rt20(spark, d):
     return rounded(simulate.routed_sizes(simulate.trial_users(spark, 20, 5000, 3000), sticky))
 
 
+ARRIVED = f"x AS (SELECT 0 AS t, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, user_id, 'exp_001' AS salt FROM ({ARRIVE}))"
+
+
+def sizes(routed, groups=10):
+    return rounded(routing.group_sizes(routed, groups))
+
+
+def untried(sql: str) -> str:
+    return f"SELECT group_id, n FROM ({sql})"
+
+
+@query("rt17_stream", untried(fold_sql(ARRIVED, f"{SALTED} % 1000 % 10", f"""(i > 0 AND {mm("user_id || '_' || salt || '_calib'")} % 1000 % 10 = 0)::INT""")))
+def rt17_stream(spark, d):
+    """The calibrated router over all events: the sizes it makes."""
+    return sizes(ordered.calibrated_route(arrivals(spark, d), ["ts", "event_id"]))
+
+
+@query("rt19_stream", untried(fold_sql(ARRIVED, f"{SALTED} % 10", SHARE)))
+def rt19_stream(spark, d):
+    return sizes(ordered.share_calibrated_route(arrivals(spark, d), ["ts", "event_id"]))
+
+
+@query("rt20_stream", untried(fold_sql(ARRIVED.replace("x AS", "every AS") + ", x AS (SELECT t, min(i) AS i, user_id, salt FROM every GROUP BY t, user_id, salt)", f"{SALTED} % 1000 % 10", SHARE)))
+def rt20_stream(spark, d):
+    """The sticky router over all events: users by group."""
+    routed = ordered.sticky_route(arrivals(spark, d), ["ts", "event_id"])
+    return sizes(routed.groupBy("user_id").agg(F.first("group_id").alias("group_id")))
+
+
+ADAPTIVE = f"""WITH RECURSIVE {snake_sql(source=f"SELECT DISTINCT user_id FROM ({ARRIVE})")},
+k AS (SELECT user_id, event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, {h('user_id', repr('exp_001'))} % 1000 AS bucket FROM ({ARRIVE})),
+c AS (SELECT k // 500 AS w, bucket, count(*) AS n, count(*) FILTER (k = first) AS new, min(k) AS first FROM (SELECT *, min(k) OVER (PARTITION BY user_id) AS first FROM k) GROUP BY 1, 2),
+v AS (SELECT w.w, list(coalesce(c.n, 0) ORDER BY b.bucket) AS n, list(coalesce(c.new, 0) ORDER BY b.bucket) AS new, list(coalesce(c.first, 9000000000) ORDER BY b.bucket) AS first
+  FROM (SELECT DISTINCT w FROM c) w CROSS JOIN b LEFT JOIN c ON c.w = w.w AND c.bucket = b.bucket GROUP BY 1),
+p AS (SELECT list(place ORDER BY bucket) AS place, list(group_id ORDER BY bucket) AS g FROM (SELECT bucket, group_id, row_number() OVER (ORDER BY group_id, n DESC, bucket) AS place FROM m JOIN b USING (bucket))),
+s AS (
+  SELECT -1 AS w, g AS used, g, list_resize([0::HUGEINT], 1000, 0) AS seen, list_resize([0::HUGEINT], 10, 0) AS size, list_resize([9000000000::BIGINT], 10, 9000000000) AS met FROM p
+  UNION ALL
+  SELECT w, used, CASE WHEN moves THEN list_transform(used, lambda x, i: CASE WHEN list_contains(own, i) THEN lo - 1 ELSE x END) ELSE used END, seen,
+    CASE WHEN moves THEN list_transform(size, lambda x, i: x + CASE WHEN i = lo THEN 1 ELSE 0 END * seen[own[-1]] * len(own) - CASE WHEN i = hi THEN 1 ELSE 0 END * seen[own[-1]] * len(own)) ELSE size END, met
+  FROM (SELECT *, full_ AND abs(size[hi] - mean) / mean >= 0.05 AND len(own) > 0 AS moves
+    FROM (SELECT *, list_transform(list_slice(list_sort(list_transform(list_filter(range(1, 1001), lambda i: used[i] = hi - 1 AND seen[i] > 1), lambda i: [-seen[i], place[i], i])), 1, floor(mean * 0.05 / 0.5)::BIGINT), lambda x: x[3]::BIGINT) AS own
+      FROM (SELECT *, list_sort(list_transform(list_filter(range(1, 11), lambda i: met[i] < 9000000000), lambda i: [-size[i], met[i], i]))[1][3]::BIGINT AS hi,
+          list_sort(list_transform(list_filter(range(1, 11), lambda i: met[i] < 9000000000), lambda i: [size[i], met[i], i]))[1][3]::BIGINT AS lo, list_sum(size) / 10.0::DOUBLE AS mean
+        FROM (SELECT v.w, p.place, s.g AS used, list_transform(s.seen, lambda x, i: x + v.new[i]) AS seen, (SELECT count(*) FROM k) >= (v.w + 1) * 500 AS full_,
+            list_transform(s.size, lambda x, j: x + list_sum(list_transform(v.n, lambda y, i: CASE WHEN s.g[i] = j - 1 THEN y ELSE 0 END))) AS size,
+            list_transform(s.met, lambda x, j: CASE WHEN x < 9000000000 THEN x ELSE list_min(list_transform(v.first, lambda y, i: CASE WHEN s.g[i] = j - 1 THEN y ELSE 9000000000 END)) END) AS met
+          FROM s JOIN v ON v.w = s.w + 1 CROSS JOIN p)))))
+SELECT event_id, user_id, k, k // 500 AS w, s.used[bucket + 1]::BIGINT AS group_id FROM k JOIN s ON s.w = k.k // 500"""
+
+
+@query("rt21_stream", ADAPTIVE)
+def rt21_stream(spark, d):
+    """The adaptive router over all events."""
+    return rounded(ordered.adaptive_route(arrivals(spark, d), ["ts", "event_id"]).select("event_id", "user_id", "k", "w", "group_id"))
+
+
 @query("rt21_adaptive")
 def rt21(spark, d):
     """Over the published trials (50 of 5,000 users)."""
