@@ -1,7 +1,8 @@
 """Operator 4: n-gram Jaccard join by MinHash banding.
 
 Equal word sequences are one representative. Representatives shuffle on the hashes of their
-bands; those that share a band (directly or through others) form a candidate group. Each group
+bands; those that share a band and agree in enough of all their samples (directly or through others)
+form a candidate group, so texts that meet in a band by chance stay apart. Each group
 is verified in block pairs on full n-gram sets: the links of a pair of blocks are counted where
 they are found and never written out as pairs, so a group of any size costs bounded tasks.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordIds, components, cut, distinct, join_counted, mix, table
+from .sketch import likely_classes, most_bits, sketches
 
 BATCH_WORDS = 400_000
 COLUMNS = 4096
@@ -53,7 +55,7 @@ def gram_set(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, bands): a 128-bit key of the word sequence and a hash for each band; no row for texts without words."""
+    """(doc_id, k1, k2, bands, sketch): a 128-bit key of the word sequence, a hash for each band and the odd sketch of all samples; no row for texts without words."""
     factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
     # 32 bits a permutation: an xor and an odd factor, in half the time of 64
     masks, factors = (factors >> np.uint64(32)).astype(np.uint32), factors.astype(np.uint32) | np.uint32(1)
@@ -81,15 +83,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         out = np.empty((len(held), bands), np.int64)
         low = (h >> np.uint64(32)).astype(np.uint32)
         v = np.empty_like(low)
+        least = np.empty((len(held), bands * rows), np.uint32)
         for b in range(bands):
             acc = np.full(len(held), b + 1, np.uint64)
             for r in range(b * rows, b * rows + rows):
                 np.bitwise_xor(low, masks[r], out=v)
                 np.multiply(v, factors[r], out=v)
-                acc = mix(acc * np.uint64(0xC2B2AE3D27D4EB4F) + np.minimum.reduceat(v, at))
+                least[:, r] = np.minimum.reduceat(v, at)
+                acc = mix(acc * np.uint64(0xC2B2AE3D27D4EB4F) + least[:, r])
             out[:, b] = acc.view(np.int64)
         keys = np.array([x[1] for x in held], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"doc_id": [x[0] for x in held], "k1": keys[:, 0], "k2": keys[:, 1], "bands": list(out)})
+        return pd.DataFrame({"doc_id": [x[0] for x in held], "k1": keys[:, 0], "k2": keys[:, 1], "bands": list(out), "sketch": list(sketches(least).view(np.int64))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
@@ -107,7 +111,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
 def _link_block(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -228,16 +232,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     that share a doc_id with different texts are one document, of the class of both, with the
     links of the text that has most, and aren't linked by that doc_id. Extra
     columns are not read; an empty table gives an empty result. Pairs at the threshold share a
-    band with at least the probability `recall`, more similar ones with a higher one.
+    band with at least the probability `recall`, more similar ones with a higher one, and pass their sketches but
+    for five deviations; a pair that only others join is verified too.
     """
     bands, rows = choose_bands(threshold, recall)
     sig = cut(signatures(docs, n, bands, rows))
-    reps = cut(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min_by("bands", "doc_id").alias("bands")))
-    hashes = reps.select("rep", F.explode("bands").alias("h"))
-    shared = hashes.groupBy("h").agg(F.min("rep").alias("low"), F.count("*").alias("c")).filter("c > 1")
-    total = reps.count()
-    edges = join_counted(hashes, shared, ["h"], bands * total).select(F.col("rep").alias("a"), F.col("low").alias("b")).filter("a <> b")
-    group = components(edges)
+    reps = cut(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
+    group = likely_classes(reps, bands, most_bits(threshold, bands * rows), block)
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
     candidates = cut(group.join(reps.select(F.col("rep").alias("node"), "k1", "m"), "node").select(F.col("node").alias("doc_id"), "k1", "root", "m"))
     conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

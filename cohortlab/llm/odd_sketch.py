@@ -16,7 +16,6 @@ Every pair that shares a band is in one class already, or refuted by its sketch,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,35 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import WordIds, components, cut, join_counted, mix, table
 from .jaccard import _link_block, choose_bands, gram_set, text_words
+from .sketch import differing, groups_of, most_bits, pairs_of, similarity, sketches  # noqa: F401
 
-BITS = 512
 BATCH_GRAMS = 400_000
-PAIRS = 250_000
-
-
-def most_bits(threshold: float, samples: int, bits: int = BITS, z: float = 5.0) -> int:
-    """The XOR count of a pair at the threshold, and z deviations: those of how many samples differ and of where
-    they fall. Each of n flips goes to a bit by chance, so that the mean of a bit's sign is (1 - 2 / bits)^n."""
-    n = 2 * samples * (1 - threshold)
-    sign, both = (1 - 2 / bits) ** n, (1 - 4 / bits) ** n
-    falls = (bits + bits * (bits - 1) * both - (bits * sign) ** 2) / 4
-    differ = sign**2 * 4 * samples * threshold * (1 - threshold)
-    return math.ceil(bits / 2 * (1 - sign) + z * math.sqrt(falls + differ))
-
-
-def similarity(differ: np.ndarray, samples: int, bits: int = BITS) -> np.ndarray:
-    """The Jaccard similarity that an XOR count stands for."""
-    return 1 + bits / (4 * samples) * np.log(np.maximum(1e-9, 1 - 2 * differ / bits))
-
-
-def sketches(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """A parity bitmap for each row of MinHash samples: each (place, value) flips a bit."""
-    rows, k = samples.shape
-    h = samples.astype(np.uint64)
-    h += mix(np.arange(1, k + 1, dtype=np.uint64))[None, :]
-    h = (mix(h) % np.uint64(bits)).astype(np.int64)
-    flips = np.bincount((np.arange(rows)[:, None] * bits + h).ravel(), minlength=rows * bits) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<u8")
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, samples: int) -> DataFrame:
@@ -109,11 +82,6 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, samples: int) ->
     return docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
 
 
-def differing(a: Column | str, b: Column | str) -> Column:
-    """The XOR count of two sketches."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def full_sets(docs: DataFrame, of: DataFrame, n: int) -> DataFrame:
     """(rep, grams) of the rows of `of`, (rep, k1), read from their texts again. A rep with several texts has a row for each."""
 
@@ -147,29 +115,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return met.filter(1_000_000 * F.col("_both") >= round(threshold * 1_000_000) * (F.col("_all") - F.col("_both"))).select("a", "low").distinct()
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of equal keys begin and end."""
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
-    return new, np.append(new[1:], len(key))
-
-
 def _promising(most: int, threshold: float):
     """Rows (h, b1, b2, side, ...) sorted by bucket and pair of blocks: those with a partner of another
     class in their group whose sketch passes, in the first band that the two share."""
 
     def check(h: pd.DataFrame) -> np.ndarray:
-        begin, end = _groups(h[["h", "b1", "b2"]].to_numpy())
-        stop = np.repeat(end, end - begin)
-        n = stop - np.arange(len(h)) - 1
         comp, side, cross, size, j = (h[c].to_numpy() for c in ("comp", "side", "cross", "n_shingles", "j"))
         sketch, bands = np.array(h["sketch"].tolist(), np.int64).view(np.uint64), np.array(h["bands"].tolist(), np.int64)
         good = np.zeros(len(h), bool)
-        edges = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()) + PAIRS, PAIRS), side="left") + 1
-        lo = 0
-        for hi in np.minimum(edges, len(h)):
-            a = np.repeat(np.arange(lo, hi), n[lo:hi])
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
-            lo = hi
+        for a, b in pairs_of(h[["h", "b1", "b2"]].to_numpy()):
             short, long = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
             ok = (comp[a] != comp[b]) & (~cross[a] | (side[a] != side[b])) & (short >= threshold * long - 1e-9 * long)
             a, b = a[ok], b[ok]
@@ -185,7 +139,7 @@ def _promising(most: int, threshold: float):
         held = None
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            begin, _ = _groups(held[["h", "b1", "b2"]].to_numpy())
+            begin, _ = groups_of(held[["h", "b1", "b2"]].to_numpy())
             if begin[-1]:
                 own = held.iloc[: begin[-1]]
                 yield own.loc[check(own), columns]

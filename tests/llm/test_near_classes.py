@@ -167,3 +167,32 @@ def test_queries_equal_their_sql_on_odd_rows(spark, tmp_path):
         assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall()) and got.count() == len(rows)
     tampered = {d for d, t, *_ in rows if t and "\n" in t and zlib.crc32(str(d).encode()) % 2 == 0}
     assert {r["doc_id"] for r in merkle.op13_merkle(spark, str(tmp_path)).filter("not verified").collect()} == tampered
+
+
+def test_likely_classes_hold_every_likely_pair(spark, monkeypatch):
+    """Against all pairs, with few pairs at a time and small blocks."""
+    from cohortlab.llm import sketch
+
+    monkeypatch.setattr(sketch, "PAIRS", 10)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32, (6, 60)).astype(np.uint32)
+    low = np.where(rng.random((120, 60)) < rng.choice([0.05, 0.2, 0.4], (120, 1)), rng.integers(0, 2**32, (120, 60)), base[rng.integers(0, 6, 120)]).astype(np.uint32)
+    marks, bands = sketch.sketches(low).view(np.int64), np.array([[hash(tuple(x[3 * b : 3 * b + 3])) for b in range(20)] for x in low.tolist()])
+    reps = spark.createDataFrame([(i, b.tolist(), s.tolist()) for i, (b, s) in enumerate(zip(bands, marks))], "rep long, bands array<long>, sketch array<long>")
+    root = list(range(120))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(120):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and np.bitwise_count((marks[i] ^ marks[j]).view(np.uint64)).sum() <= 40:
+                root[find(i)] = find(j)
+    for block in (256, 5):
+        got = {r["node"]: r["root"] for r in sketch.likely_classes(reps, 20, 40, block).collect()}
+        seen = {}
+        for i in range(120):
+            assert seen.setdefault(find(i), got.get(i, i)) == got.get(i, i)
+        assert len(set(seen.values())) == len(seen) > 6
