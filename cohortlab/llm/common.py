@@ -63,8 +63,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     tasks, and each round is checkpointed.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen, n = None, e.count()
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = mark(e)
     for _ in range(rounds):
+        n = seen[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         large = join_counted(both, low, ["u"], 2 * n).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -72,10 +74,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
         e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = mark(e)
         if now == seen:
             break
-        seen, n = now, now[0]
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bands, rows = choose_bands(threshold, recall)
     sig = cut(signatures(docs, n, bands, rows))
     reps = cut(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
-    group = likely_classes(reps, bands, most_bits(threshold, bands * rows), block)
+    group = likely_classes(reps, bands, most_bits(threshold, bands * rows))
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
     candidates = cut(group.join(reps.select(F.col("rep").alias("node"), "k1", "m"), "node").select(F.col("node").alias("doc_id"), "k1", "root", "m"))
     conf, batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -106,7 +106,7 @@ def _likely(most: int):
     return run
 
 
-def likely_classes(reps: DataFrame, bands: int, most: int, block: int = 256) -> DataFrame:
+def likely_classes(reps: DataFrame, bands: int, most: int, block: int = 1024) -> DataFrame:
     """reps: (rep, bands, sketch). Returns (node, root): every two reps that share a band and whose sketches differ in at most
     `most` bits have one root; reps without such a partner have no row.
 
@@ -120,19 +120,17 @@ def likely_classes(reps: DataFrame, bands: int, most: int, block: int = 256) ->
     total = bands * reps.count()
     members = cut(join_counted(hashes, shared, ["h"], total))
     near = members.filter("rep <> low").join(sketch, "rep").filter(differing("sketch", "low_sketch") <= most)
-    classes = components(near.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    label = members.select("rep").distinct().join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp"))
-    label = cut(label)
+    near = cut(near.select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
+    # the least partner found so far stands for the class, which is enough to leave out most pairs
+    label = members.select("rep").distinct().join(near.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("b")), "rep", "left")
+    label = cut(label.select("rep", F.least("rep", "b").alias("comp")))
     buckets = members.select("h", "rep").join(label, "rep").groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     buckets = cut(buckets.select("h", "c", F.ceil(F.col("c") / block).alias("blocks")))
     if not buckets.limit(1).count():
-        return classes
+        return components(near)
     placed = join_counted(members.select("h", "rep"), buckets, ["h"], members.count()).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     paired = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = ["h", "b1", "b2"]
     paired = paired.select("h", "rep", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"), (F.col("b") != F.col("o")).alias("cross"))
     dealt = paired.join(label, "rep").join(sketch, "rep").repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "rep")
-    more = cut(dealt.mapInPandas(_likely(most), "a long, b long").distinct())
-    if not more.limit(1).count():
-        return classes
-    return components(more.unionByName(classes.toDF("a", "b")))
+    return components(near.unionByName(dealt.mapInPandas(_likely(most), "a long, b long")))
