@@ -91,8 +91,9 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     source and text, so rows without a doc_id or with a shared one are used like any other. Extra
     columns stay; input columns with the added names are replaced. An empty table gives an empty result.
     """
-    added = ("n_tokens", "weight", "pass", "block", "place", "mix_key", "_blocks", "_n", "_order", "_key", "passes", "rest", "tokens", "target")
-    src = docs.drop(*added).withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_key", row_key("source"))
+    user_key = "_key" + "_" * max([len(c) for c in docs.columns if c.startswith("_key")], default=0)  # a name that no column has
+    docs = docs.withColumnRenamed("_key", user_key) if "_key" in docs.columns else docs
+    src = docs.drop("n_tokens", "weight", "pass", "block", "place", "mix_key").withColumn("n_tokens", F.size(words(F.col("text"))).cast("long")).withColumn("_key", row_key("source"))
     narrow = cut(src.select("_key", "source", "n_tokens"))
     plan = source_weights(narrow, max_repeats, target_entropy, budget)
     sizes = narrow.groupBy("source").agg(F.count("*").alias("_n"))
@@ -109,7 +110,8 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy
     used = placed.withColumn("_times", F.col("passes") + extra).filter("_times > 0")
     used = used.select("_key", "weight", "block", "place", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("pass"), ((F.col("_at") + (F.col("place") - 1) / F.col("_size")) / F.col("_blocks")).alias("_u"))
     used = used.withColumn("mix_key", F.col("pass") - 1 + F.col("_u")).drop("_u").dropDuplicates(["_key", "pass"])
-    return src.join(used, "_key").drop("_key")
+    out = src.join(used, "_key").drop("_key")
+    return out.withColumnRenamed(user_key, "_key") if user_key in docs.columns else out
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
