@@ -77,10 +77,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def context(text: str, start: int, inside: str = "") -> str | None:
-    """The two words before a place, in lower case with digits as 0; `^` stands for a word before the text, None for two."""
-    words = (text[max(0, start - 96) : start] + re.sub(r"([=:])", r" \1 ", inside)).split()
-    plain = [_DIGITS.sub("0", x) for w in words if (x := w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower())][-2:]
-    return " ".join(["^"] * (2 - len(plain)) + plain) if plain else None
+    """The two words before a place, however far before it, in lower case with digits as 0; `^` stands for a word before the text, None for two."""
+    more, width = re.sub(r"([=:])", r" \1 ", inside).split(), 96
+    while True:
+        low = max(0, start - width)
+        words = text[low:start].split()
+        if low and words and not text[low - 1].isspace() and not text[low].isspace():
+            del words[0]  # the part of a word
+        plain = [_DIGITS.sub("0", x) for w in words + more if (x := w.strip("\"'`()[]{}<>,;.!?|*#$%&").lower())][-2:]
+        if not low or len(plain) == 2:
+            return " ".join(["^"] * (2 - len(plain)) + plain) if plain else None
+        width *= 2
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, bool, bool]]:
