@@ -90,3 +90,37 @@ def test_pipeline_by_brute_force(spark):
     out = corpus_pipeline.run(spark, d).select("doc_id", "text", "n_chars", "pass").collect()
     assert {(r["doc_id"], r["text"]) for r in out} == set(texts.items()) and all(r["n_chars"] == len(r["text"]) for r in out)
     assert Counter(r["doc_id"] for r in out if r["pass"] == 1) == Counter(list(texts))
+
+
+def test_columns_of_users_stay(spark):
+    """Names that operators add or use inside, and a text of a million characters."""
+    d = "/root/testdata/sf0.001"
+    names = ["kept", "n_words", "_key", "pii", "redacted", "tokens", "target", "passes", "rest", "class_id", "contaminated", "rejected_by", "a.b", "_beside_", "h", "c"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40).select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == docs.first()["doc_id"], F.repeat(F.lit("many words of one text\n"), 50_000)).otherwise(F.col("text"))).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d).cache()
+        assert out.columns[: len(docs.columns)] == docs.columns and out.filter(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0, name
+        assert out.count() > 0
+    last = stage(spark, docs.withColumns({"pass": F.lit("x"), "block": F.lit("y")}), d)
+    assert dict(last.dtypes)["pass"] != "string" and last.columns.count("pass") == 1
+
+
+def test_mixing_keeps_columns(spark):
+    from cohortlab.llm import mixing
+
+    names = ["tokens", "target", "passes", "rest", "_key", "_blocks", "_n", "_order", "_source"]
+    docs = spark.createDataFrame([(i, f"some words {i}", f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs.withColumns({n: F.lit(n) for n in names}))
+    assert out.filter(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0 and set(names) <= set(out.columns)
+    plain = lambda df: sorted(tuple(r) for r in df.select("doc_id", "pass", "block", "place").collect())
+    assert plain(out) == plain(mixing.mix_sources(docs))
+
+
+def test_contexts_reach_any_distance():
+    far = "reference code" + " " * 300 + "12345678"
+    assert pii.context(far, far.index("1")) == "reference code"
+    long = "see " + "x" * 250 + " 12345678"
+    assert pii.context(long, long.index("1")) == "see " + "x" * 250
+    assert pii.context("code 1234", 5) == "^ code" and pii.context("1234", 0) is None
+    assert pii.context("a b " + ". " * 200 + "77", 404) == "a b"
