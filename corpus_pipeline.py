@@ -1,12 +1,15 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, personal data, mixing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns
-of documents. Each works on everything its predecessor kept.
+of documents. Each works on everything its predecessor kept. Columns beyond those of documents stay as
+they are, whatever their names; only the last stage replaces those that have the names it adds.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +25,33 @@ from cohortlab.llm.quality import quality_rules
 ORACLE_SQL = None
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with other columns than those of documents put aside in one, so that their names don't meet the stage's."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in OWN]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        quoted = lambda c: F.col(f"`{c}`")
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in OWN], F.struct(*[quoted(c) for c in more]).alias("_beside")), sf_dir)
+        added = [c for c in out.columns if c not in OWN and c != "_beside"]
+        return out.select(*[quoted(c) if c in OWN else F.col("_beside").getField(c).alias(c) for c in docs.columns if c not in added], *added)
+
+    return run
+
+
+@beside
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go; null and empty texts fail the base rule. Repeated rows, and
     rows without a doc_id, are judged by their texts alone. An empty table stays empty."""
     return quality_rules(docs, labels=table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
 
 
+@beside
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the least doc_id stays, of equal rows with that
     doc_id one. Null and empty texts and rows without a doc_id have no links and stay; texts that
@@ -41,12 +65,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keyed.join(again, "_key", "left_anti").unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(docs.columns)
 
 
+@beside
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go, each row judged by its own text; null and empty
     texts have none. Empty tables remove nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@beside
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows. Null texts stay null, every
     row stays, repeated rows are treated alike. An empty table stays empty."""
@@ -54,6 +80,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
+@beside
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is used, each document at least once, those with a null or
     shared doc_id, a null source or no words too. An empty table stays empty."""
