@@ -47,9 +47,11 @@ def p_norm(z: str) -> str:
     return f"(1 - {2 / math.sqrt(2 * math.pi)!r} * {_simpson('exp(-x * x / 2)', f'least(abs({z}), 12.0)')})"
 
 
-def p_t(t: str, df: str) -> str:
+def p_t(t: str, df: str, closed: bool = False) -> str:
+    """closed: the whole integral by its closed form, for degrees of freedom near 1, where its end is steep."""
     f = f"pow(greatest(cos(x), 0.0), ({df}) - 1)"
-    return f"(1 - {_simpson(f, f'atan(abs({t}) / sqrt({df}))', 4000)} / {_simpson(f, repr(math.pi / 2), 4000)})"
+    whole = f"({math.sqrt(math.pi) / 2!r} * exp(lgamma(({df}) / 2) - lgamma((({df}) + 1) / 2)))" if closed else _simpson(f, repr(math.pi / 2), 4000)
+    return f"(1 - {_simpson(f, f'atan(abs({t}) / sqrt({df}))', 4000)} / {whole})"
 
 
 def p_chi2(x: str, df: int) -> str:

@@ -577,11 +577,11 @@ def hourly_srm(spark, d):
 @query("st07_stream", f"""WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, {h(chr(39) + 'user_' + chr(39) + ' || user_id', repr('ab'))} % 2 AS arm, value AS y FROM events WHERE value IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE value IS NOT NULL)),
 g AS (SELECT event_type, day, {', '.join(f"count(*) FILTER (arm = {k})::DOUBLE AS n{s}, coalesce(sum(y) FILTER (arm = {k}), 0) AS s{s}, coalesce(sum(y * y) FILTER (arm = {k}), 0) AS q{s}" for k, s in ((1, 't'), (0, 'c')))} FROM e GROUP BY 1, 2),
 w AS (SELECT event_type, day, {', '.join(f"sum({c}) OVER (PARTITION BY event_type ORDER BY day) AS {c}" for c in ('nt', 'st', 'qt', 'nc', 'sc', 'qc'))} FROM g),
-v AS (SELECT *, st / nt AS mt, sc / nc AS mc, (qt - st * st / nt) / (nt - 1) AS vt, (qc - sc * sc / nc) / (nc - 1) AS vc FROM w),
+v AS (SELECT *, st / nt AS mt, sc / nc AS mc, (qt - st * st / nt) / nullif(nt - 1, 0) AS vt, (qc - sc * sc / nc) / nullif(nc - 1, 0) AS vc FROM w),
 t AS (SELECT *, (mt - mc) / sqrt(vt / nt + vc / nc) AS t, pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS nu, 0.05 * sqrt(ln(1 + least(nt, nc)) / least(nt, nc)) AS b FROM v),
-p AS (SELECT *, {sqlfn.p_t('t', 'nu')} AS p FROM t)
-SELECT event_type, day, nt::BIGINT AS n_t, nc::BIGINT AS n_c, {r('mt - mc', 'effect', 4)}, {r('t', 't_stat', 4)}, {r('p', 'p_value', 4)}, {r('b', 'boundary', 4)}, p < b AS stop,
-p < b AND count(*) FILTER (p < b) OVER (PARTITION BY event_type ORDER BY day) = 1 AS signal FROM p""")
+p AS (SELECT *, {sqlfn.p_t('t', 'nu', closed=True)} AS p FROM t)
+SELECT event_type, day, nt::BIGINT AS n_t, nc::BIGINT AS n_c, {r('mt - mc', 'effect', 4)}, {r('t', 't_stat', 4)}, {r('p', 'p_value', 4)}, {r('b', 'boundary', 4)}, coalesce(p < b, false) AS stop,
+coalesce(p < b, false) AND count(*) FILTER (p < b) OVER (PARTITION BY event_type ORDER BY day) = 1 AS signal FROM p""")
 def st07_stream(spark, d):
     """The sequential test of each event type on the events' stream, a row a day, with one stop signal an experiment."""
     from ..streaming import health
