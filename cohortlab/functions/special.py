@@ -122,13 +122,3 @@ def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def p_f(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _lift(f_sf)(x, d1, d2)
-
-
-def ks_uniform(p: np.ndarray) -> tuple[float, float]:
-    """Kolmogorov statistic of p against the uniform distribution, and its tail."""
-    p = np.sort(np.asarray(p, float))
-    n = len(p)
-    if not n:
-        return 0.0, 1.0
-    d = float(max((np.arange(1, n + 1) / n - p).max(), (p - np.arange(n) / n).max()))
-    return d, kolmogorov_sf(d, n)

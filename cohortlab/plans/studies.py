@@ -466,19 +466,39 @@ def mc12(spark, d):
 POWER_EFFECT = 0.05
 
 
-@query("mc13_power")
+def power_sql(effect: float, measured: str = "power") -> str:
+    """(method, trials, measured, mean_effect, mean_var_reduction) of 200 trials."""
+    def each(name: str, y: str, theta: str) -> str:
+        return f"SELECT '{name}' AS method, x.t, arm, {y} - {theta} * (pre - mx) AS z, vy FROM x JOIN o ON x.t = o.t"
+
+    return f"""SELECT method, count(*) AS trials, {r('avg((p < 0.05)::INT)', measured)}, {r('avg(effect)', 'mean_effect', 4)}, {r('avg(vr)', 'mean_var_reduction')} FROM (
+WITH {METRICS}, g AS (SELECT t, pre, post, ({mm("'arm_' || t || '_' || user_id")} / 4294967296.0 < 0.5)::INT AS arm FROM m, (SELECT unnest(range(200)) AS t)),
+x AS (SELECT t, arm, pre, post * (CASE WHEN arm = 1 THEN {1 + effect!r} ELSE 1 END)::DOUBLE AS post FROM g),
+o AS (SELECT t, covar_samp(post, pre) / var_samp(pre) AS t1, covar_samp(post - pre, pre) / var_samp(pre) AS t2, avg(pre) AS mx, var_pop(post) AS vy FROM x GROUP BY 1),
+z AS ({each('plain', 'post', '0.0')} UNION ALL {each('did', '(post - pre)', '0.0')} UNION ALL {each('cuped', 'post', 't1')} UNION ALL {each('did_cuped', '(post - pre)', 't2')}),
+a AS (SELECT method, t, any_value(vy) AS vy, var_pop(z) AS vz, count(*) FILTER (arm = 1) AS nt, count(*) FILTER (arm = 0) AS nc, {', '.join(f"{f}(z) FILTER (arm = {k}) AS {c}{s}" for f, c in (('avg', 'm'), ('var_samp', 'v')) for k, s in ((1, 't'), (0, 'c')))} FROM z GROUP BY 1, 2),
+s AS (SELECT method, mt - mc AS effect, 1 - vz / vy AS vr, (mt - mc) / sqrt(vt / nt + vc / nc) AS st, pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS nu FROM a)
+SELECT method, effect, vr, {sqlfn.p_t('st', 'nu', closed=True)} AS p FROM s) GROUP BY 1"""
+
+
+def effects_rounded(out):
+    """mean_effect to four places: it is some thousands."""
+    return rounded(out.withColumn("mean_effect", F.round("mean_effect", 4)))
+
+
+@query("mc13_power", power_sql(POWER_EFFECT))
 def mc13(spark, d):
-    return rounded(simulate.power_study(metrics(spark, d), "pre", "post", 200, POWER_EFFECT))
+    return effects_rounded(simulate.power_study(metrics(spark, d), "pre", "post", 200, POWER_EFFECT))
 
 
-@query("mc13_type1")
+@query("mc13_type1", f"SELECT *, type1 BETWEEN 0.02 AND 0.08 AS sound FROM ({power_sql(0.0, 'type1')})")
 def mc13_type1(spark, d):
     """How often the estimators find an effect where there is none; 2 to 8 per cent is sound."""
     s = simulate.power_study(metrics(spark, d), "pre", "post", 200, 0.0).withColumnRenamed("power", "type1")
-    return rounded(s.withColumn("sound", F.col("type1").between(0.02, 0.08)))
+    return effects_rounded(s.withColumn("sound", F.col("type1").between(0.02, 0.08)))
 
 
-@query("rp05_study_report")
+@query("rp05_study_report", f"SELECT p.*, type1, type1 BETWEEN 0.02 AND 0.08 AS sound, CASE WHEN p.mean_var_reduction BETWEEN 0 AND 1 THEN p.mean_var_reduction ELSE 0.0 END AS valid_var_reduction FROM ({power_sql(POWER_EFFECT)}) p JOIN ({power_sql(0.0, 'type1')}) q USING (method)")
 def rp05(spark, d):
     """Power next to type-I error, and the variance reduction of trials in which it is between 0 and 1."""
     a, b = mc13(spark, d), mc13_type1(spark, d).select("method", "type1", "sound")
