@@ -127,10 +127,10 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_w", "_l").withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
-def rule_costs(sample: DataFrame, rules: list[Rule], times: int = 10) -> list[float]:
+def rule_costs(sample: DataFrame, rules: list[Rule], times: int = 5) -> list[float]:
     """Seconds a row of each rule's condition: the time of a job that evaluates it `times` times on
     every row of the sample, less that of a job that reads the rows only; the better of two runs.
-    What is below a microsecond, where the jobs' own times differ by more, counts as one."""
+    Jobs of the same work differ by some ten milliseconds; what is below that counts as that."""
     rows = max(1, sample.count()) * times
     every = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_i"))
 
@@ -144,13 +144,14 @@ def rule_costs(sample: DataFrame, rules: list[Rule], times: int = 10) -> list[fl
         return best
 
     empty = seconds(F.col("n_words") < 0)
-    return [max((seconds(r.condition()) - empty) / rows, 1e-6) for r in rules]
+    return [max(seconds(r.condition()) - empty, 0.01) / rows for r in rules]
 
 
-def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[Rule]:
+def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7, cost_rows: int = 200) -> list[Rule]:
     """The rules in the order of their rejections per cost among the rows that reach them.
 
-    Both are estimated on a sample of about sample_rows rows that the base rule lets through: the
+    Both are estimated on a sample of about sample_rows rows that the base rule lets through, the costs on
+    cost_rows of them, by the clock, so rules of about equal rank may change places between runs: the
     rule with the most rejections a second comes first, the next is chosen by what it rejects of
     the rest, and so on. The order decides only what is computed, never which rows are kept.
     """
@@ -158,8 +159,9 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, s
     if not n:
         return rules
     sample = base_columns(docs.sample(False, min(1.0, sample_rows / n), seed)).filter("not base_failed").cache()
+    timed = sample.limit(cost_rows).cache()
     try:
-        costs = rule_costs(sample, rules)
+        costs = rule_costs(timed, rules)
         verdicts = [[bool(x) for x in r] for r in sample.select(*[F.coalesce(r.condition(), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()]  # about sample_rows rows
         order, left = [], list(range(len(rules)))
         while left:
@@ -169,6 +171,7 @@ def cascade_order(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, s
             verdicts = [v for v in verdicts if not v[best]]
         return order
     finally:
+        timed.unpersist()
         sample.unpersist()
 
 
