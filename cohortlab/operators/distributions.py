@@ -63,7 +63,7 @@ def _with_totals(at: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     for k in keys:
         total = total.withColumnRenamed(k, f"_t_{k}")
         cond &= F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    return at.join(total, cond)
+    return at.join(F.broadcast(total), cond)  # a row a key
 
 
 def ks_two_sample(df: DataFrame, arm: str, y: str, keys: list[str] = ()) -> DataFrame:

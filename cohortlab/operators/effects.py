@@ -299,7 +299,7 @@ def outlier_study(df: DataFrame, arm: str, y: str, user: str, trials: int = 100,
     t = t.select("trial", arm, (lifted + noise * F.col("_sd") * normal(F.lit("outlier"), "trial", user)).alias("raw"))
     points = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}
     b = percentiles(t, "raw", points, ["trial", arm])
-    t = t.join(b, ["trial", arm])
+    t = t.join(F.broadcast(b), ["trial", arm])  # a row a trial and arm
     between = lambda lo, hi: F.least(F.greatest(F.col("raw"), F.col(lo)), F.col(hi))
     t = t.withColumns({"w5": between("p05", "p95"), "w1": between("p01", "p99"), "cap": F.least(F.col("raw"), F.col("p99")), "log": F.log1p(F.greatest(F.col("raw"), F.lit(0.0)))})
     long = t.selectExpr("trial", arm, "stack(5, 'raw', raw, 'winsorize_5', w5, 'winsorize_1', w1, 'cap_99', cap, 'log', log) as (method, v)")
