@@ -1,7 +1,7 @@
 """What only shows on larger tables: joins left to Spark's guess of sizes, and limits that larger tables pass."""
 
 import duckdb
-from cohortlab.operators import effects, frames
+from cohortlab.operators import effects, frames, simulate
 from cohortlab.plans import registry
 from pyspark.sql import functions as F
 
@@ -44,3 +44,8 @@ def test_running_sums_never_send_the_rows_to_the_driver(spark):
 
 def test_outlier_study_broadcasts_bounds_only(spark):
     assert not guessed(effects.outlier_study(registry.metrics(spark, D), "arm", "post", "user_id", trials=2), "trial")
+
+
+def test_full_evaluation_broadcasts_the_deal_only(spark):
+    out = simulate.full_evaluation(registry.users(spark, D, "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal")), ["c_acctbal"], 2, order=["c_custkey"])
+    assert not [x for c in ("bucket#", "user_id#") for x in guessed(out, c) if "Join Inner" in x]
