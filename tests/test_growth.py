@@ -49,3 +49,8 @@ def test_outlier_study_broadcasts_bounds_only(spark):
 def test_full_evaluation_broadcasts_the_deal_only(spark):
     out = simulate.full_evaluation(registry.users(spark, D, "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal")), ["c_acctbal"], 2, order=["c_custkey"])
     assert not [x for c in ("bucket#", "user_id#") for x in guessed(out, c) if "Join Inner" in x]
+
+
+def test_stratified_vs_overall_has_room_for_every_user(spark, tmp_path):
+    """At 60,000 customers a pool of 50,000 slots ran out."""
+    assert against_sql(spark, "bm17_stratified_vs_overall", times(400, ["customer"], tmp_path), ["customer"]) == 2
