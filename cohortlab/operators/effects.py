@@ -28,7 +28,11 @@ def conversion_test(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def continuous_test(df: DataFrame, arm: str, y: str, alpha: float = 0.05, keys: list[str] = ()) -> DataFrame:
     """Welch's test; interval and Cohen's d use population variances."""
-    m = arms(df, arm, [y], keys=list(keys))
+    return tested(arms(df, arm, [y], keys=list(keys)), y, alpha, keys)
+
+
+def tested(m: DataFrame, y: str, alpha: float = 0.05, keys: list[str] = ()) -> DataFrame:
+    """continuous_test from the moments of both arms."""
     mt, mc, nt, nc = F.col(f"mean_{y}_t"), F.col(f"mean_{y}_c"), F.col("n_t"), F.col("n_c")
     t, nu = welch(mt, F.col(f"var_{y}_t"), nt, mc, F.col(f"var_{y}_c"), nc)
     vt, vc = F.col(f"vpop_{y}_t"), F.col(f"vpop_{y}_c")
@@ -138,7 +142,11 @@ def pre_post(df: DataFrame, arm: str, pre: str, post: str, keys: list[str] = (),
     names as (of the adjusted, of the plain metric) for a method.
     """
     d = df.select(*keys, F.col(arm).alias("a"), F.col(pre).cast("double").alias("x"), F.col(post).cast("double").alias("y")).withColumn("d", F.col("y") - F.col("x"))
-    m = arms(d, "a", ["x", "y", "d"], [("y", "x"), ("d", "x")], list(keys))
+    return estimates(arms(d, "a", ["x", "y", "d"], [("y", "x"), ("d", "x")], list(keys)), keys, ddof)
+
+
+def estimates(m: DataFrame, keys: list[str] = (), ddof: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """pre_post from the moments of x, y and d = y - x of both arms."""
     rows = []
     n = F.col("n_t") + F.col("n_c")
     for name, y, adjust in (("plain", "y", False), ("did", "d", False), ("cuped", "y", True), ("did_cuped", "d", True)):

@@ -1,6 +1,10 @@
 """What only shows on larger tables: joins left to Spark's guess of sizes, and limits that larger tables pass."""
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from cohortlab.functions.murmur import Prefixed, murmur32, uniform
 from cohortlab.operators import effects, frames, simulate
 from cohortlab.plans import registry
 from pyspark.sql import functions as F
@@ -54,3 +58,26 @@ def test_full_evaluation_broadcasts_the_deal_only(spark):
 def test_stratified_vs_overall_has_room_for_every_user(spark, tmp_path):
     """At 60,000 customers a pool of 50,000 slots ran out."""
     assert against_sql(spark, "bm17_stratified_vs_overall", times(400, ["customer"], tmp_path), ["customer"]) == 2
+
+
+def test_trials_make_no_row_a_user_and_trial(spark):
+    """Moments by trial against the rows of users and trials, for ids of several lengths."""
+    rng = np.random.default_rng(4)
+    ids = [f"{'é' * (i % 5)}u{i}" for i in range(300)]
+    users = spark.createDataFrame(pd.DataFrame({"user_id": ids, "pre": rng.normal(1000, 3, 300), "post": rng.normal(990, 5, 300)}))
+    got = {r["trial"]: r for r in simulate.aa_trials(users, "post", 120).collect()}
+    t = users.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(119)))).withColumn("arm", (uniform(F.lit("aa"), "trial", "user_id") < 0.5).cast("int"))
+    for r in effects.continuous_test(t, "arm", "post", keys=["trial"]).collect():
+        assert list(got[r["trial"]])[1:] == pytest.approx([r["diff"], r["ci_low"], r["ci_high"], r["p_value"]], rel=1e-9, abs=1e-9)
+    t = t.withColumn("arm", (uniform(F.lit("arm"), "trial", "user_id") < 0.5).cast("int"))
+    for how, y in ((True, F.col("post") * 1.05), (False, F.col("post") + 0.05)):
+        want = effects.pre_post(t.withColumn("y", F.when(F.col("arm") == 1, y).otherwise(F.col("post"))), "arm", "pre", "y", ["trial"]).groupBy("method").agg(F.avg((F.col("p_value") < 0.05).cast("int")), F.avg("effect"), F.avg("var_reduction")).collect()
+        got = {r["method"]: list(r)[2:] for r in simulate.power_study(users, "pre", "post", 120, 0.05, multiplicative=how).collect()}
+        assert len(want) == 4 and all(got[r[0]] == pytest.approx(list(r)[1:], rel=1e-9, abs=1e-9) for r in want)
+    assert "Generate" not in simulate.aa_trials(users, "post", 120)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_under_prefixes():
+    keys = ["", "a", "ab", "abc", "abcd", "user_12345", "é", "x" * 33]
+    for p in ("", "a", "aa_", "aa_1", "aa_10_", "arm_199_"):
+        assert Prefixed(keys).hashes(p.encode()).tolist() == murmur32([p + k for k in keys]).tolist()
