@@ -70,7 +70,7 @@ def fold_ranges(arrivals: DataFrame, groups: int = 10, size: int = 100_000, gues
 def _routed(arrivals: DataFrame, base: Column, pick: Column, groups: int, size: int, guess: list[int] | None) -> DataFrame:
     ranked = cut(arrivals.withColumns({"_base": base.cast("int"), "_pick": pick}))
     found = fold_ranges(ranked.select(F.col("k").alias("i"), F.col("_base").alias("base"), F.col("_pick").alias("pick")), groups, size, guess)
-    return ranked.drop("_base", "_pick").join(found.withColumnRenamed("i", "k"), "k")
+    return ranked.drop("_base", "_pick").join(found.withColumnRenamed("i", "k").hint("merge"), "k")
 
 
 def calibrated_route(arrivals: DataFrame, order: list[str], groups: int = 10, buckets: int = 1000, salt: str = SALT, user: str = "user_id", size: int = 100_000, guess: list[int] | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ def sticky_route(arrivals: DataFrame, order: list[str], groups: int = 10, share:
     first = ranked.groupBy(user).agg(F.min("k").alias("k")).withColumns({"base": pure_hash(user, salt, buckets, groups).cast("int"), "pick": _share(user, salt, share)})
     first = cut(with_rank(first, ["k"], "i"))
     found = fold_ranges(first, groups, size, guess)
-    return ranked.join(first.select(user, "i").join(found, "i").select(user, "group_id"), user)
+    return ranked.join(first.select(user, "i").join(found.hint("merge"), "i").select(user, "group_id").hint("merge"), user)
 
 
 class _Adaptive:
@@ -143,7 +143,7 @@ def adaptive_route(arrivals: DataFrame, order: list[str], groups: int = 10, buck
     ranked = cut(ranked)
     first = ranked.groupBy(user, "_b").agg(F.min("k").alias("k"))
     fresh = first.groupBy(F.floor(F.col("k") / window).alias("w"), "_b").agg(F.count("*").alias("new"))
-    cells = cut(ranked.groupBy("w", "_b").agg(F.count("*").alias("n"), F.min("k").alias("first")).join(fresh, ["w", "_b"], "left").fillna(0, ["new"]))
+    cells = cut(ranked.groupBy("w", "_b").agg(F.count("*").alias("n"), F.min("k").alias("first")).join(fresh.hint("merge"), ["w", "_b"], "left").fillna(0, ["new"]))
     deal = snake_map(first.groupBy(F.col("_b").cast("long").alias("bucket")).agg(F.count("*").alias("n")), buckets, groups).orderBy("bucket").collect()  # a row a bucket
     place = {r["bucket"]: i for i, r in enumerate(sorted(deal, key=lambda r: (r["group_id"], -r["n"], r["bucket"])))}
     state = _Adaptive([r["group_id"] for r in deal], [place[b] for b in range(buckets)], groups, limit)
@@ -197,4 +197,5 @@ def adaptive_route(arrivals: DataFrame, order: list[str], groups: int = 10, buck
                         state.met.append(r["group"])
             step, w, span = step + 1, w + block, block
     routed = spark.read.schema(schema).parquet(folder).filter("kind = 0").select("w", F.col("bucket").alias("_b"), F.col("group").alias("group_id"))
-    return ranked.join(routed, ["w", "_b"]).drop("_b")
+    # its files are small for a row a window and bucket: Spark's own choice would broadcast them
+    return ranked.join(routed.hint("merge"), ["w", "_b"]).drop("_b")

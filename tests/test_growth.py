@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from cohortlab.functions.murmur import Prefixed, murmur32, uniform
-from cohortlab.operators import effects, frames, simulate
+from cohortlab.operators import effects, frames, ordered, simulate
 from cohortlab.plans import registry
 from pyspark.sql import functions as F
 
@@ -81,3 +81,8 @@ def test_hashes_under_prefixes():
     keys = ["", "a", "ab", "abc", "abcd", "user_12345", "é", "x" * 33]
     for p in ("", "a", "aa_", "aa_1", "aa_10_", "arm_199_"):
         assert Prefixed(keys).hashes(p.encode()).tolist() == murmur32([p + k for k in keys]).tolist()
+
+
+def test_adaptive_router_broadcasts_no_table_of_windows(spark):
+    out = ordered.adaptive_route(registry.arrivals(spark, D), ["ts", "event_id"])
+    assert not guessed(out, "_b#") and not guessed(ordered.calibrated_route(registry.arrivals(spark, D), ["ts", "event_id"]), "k#")
