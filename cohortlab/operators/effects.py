@@ -296,22 +296,30 @@ def outlier_study(df: DataFrame, arm: str, y: str, user: str, trials: int = 100,
     """(method, power, mean_effect, std_effect, raw_p, rank_p): how often each treatment of outliers
     finds an effect put into the treated arm under noise, and what the plain and the rank test say of the data.
 
-    Trials are keys, so their moments and percentiles are grouped ones; a row a user and trial is made and summed.
+    A task makes its users' values of every trial in place and sums them (`simulate.noisy_points`, `noisy_sums`), so no row a user and trial exists.
     """
-    from .simulate import _each_trial, normal
+    from .simulate import noisy_points, noisy_sums
 
     own = df.filter(F.col(arm).isin(0, 1)).select(user, arm, F.col(y).cast("double").alias("y"))
-    spread = own.groupBy(arm).agg(F.stddev_pop(F.when(F.col(arm) == 1, F.col("y") * (1 + effect_pct / 100)).otherwise(F.col("y"))).alias("_sd"))
-    t = _each_trial(own.join(F.broadcast(spread), arm), trials, user)  # a row an arm
     lifted = F.when(F.col(arm) == 1, F.col("y") * (1 + effect_pct / 100)).otherwise(F.col("y"))
-    t = t.select("trial", arm, (lifted + noise * F.col("_sd") * normal(F.lit("outlier"), "trial", user)).alias("raw"))
-    points = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}
-    b = percentiles(t, "raw", points, ["trial", arm])
-    t = t.join(F.broadcast(b), ["trial", arm])  # a row a trial and arm
-    between = lambda lo, hi: F.least(F.greatest(F.col("raw"), F.col(lo)), F.col(hi))
-    t = t.withColumns({"w5": between("p05", "p95"), "w1": between("p01", "p99"), "cap": F.least(F.col("raw"), F.col("p99")), "log": F.log1p(F.greatest(F.col("raw"), F.lit(0.0)))})
-    long = t.selectExpr("trial", arm, "stack(5, 'raw', raw, 'winsorize_5', w5, 'winsorize_1', w1, 'cap_99', cap, 'log', log) as (method, v)")
-    each = continuous_test(long, arm, "v", keys=["method", "trial"])
+    rows = own.select(F.col(user).cast("string").alias("u"), F.col(arm).cast("int").alias("a"), lifted.alias("y"))
+    # equal values are their own mean to the last digit
+    about = rows.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("u").isNotNull(), F.col("y"))).alias("held"), F.stddev_pop("y").alias("sd"), F.when(F.min("y") == F.max("y"), F.min("y")).otherwise(F.avg("y")).alias("mean"))
+    about = {x["a"]: x for x in about.collect()}  # a row an arm
+    rows = rows.filter("u is not null and y is not null")
+    scale = {a: noise * x["sd"] for a, x in about.items() if x["held"]}
+    held, mean = {a: about[a]["held"] for a in scale}, {a: about[a]["mean"] for a in scale}
+    points = noisy_points(rows, "outlier", trials, scale, held, [0.01, 0.05, 0.95, 0.99])
+
+    def treated(raw, at):
+        p01, p05, p95, p99 = at
+        between = lambda lo, hi: np.minimum(np.maximum(raw, lo), hi)
+        return {"raw": raw, "winsorize_5": between(p05, p95), "winsorize_1": between(p01, p99), "cap_99": np.minimum(raw, p99), "log": np.log1p(np.maximum(raw, 0.0))}
+
+    m = noisy_sums(rows, "outlier", trials, scale, mean, points, treated)
+    for s, code in (("t", 1), ("c", 0)):
+        m = m.withColumn(f"n_{s}", F.lit(about[code]["n"] if code in about else 0).cast("long"))
+    each = tested(m, "v", keys=["method", "trial"])
     out = each.groupBy("method").agg(F.avg(F.col("significant").cast("double")).alias("power"), F.avg("diff").alias("mean_effect"), F.stddev_pop("diff").alias("std_effect"))
     return out.join(continuous_test(own, arm, "y").select(F.col("p_value").alias("raw_p"))).join(mann_whitney(own, arm, "y").select(F.col("p_value").alias("rank_p")))  # one row each
 

@@ -86,3 +86,21 @@ def test_hashes_under_prefixes():
 def test_adaptive_router_broadcasts_no_table_of_windows(spark):
     out = ordered.adaptive_route(registry.arrivals(spark, D), ["ts", "event_id"])
     assert not guessed(out, "_b#") and not guessed(ordered.calibrated_route(registry.arrivals(spark, D), ["ts", "event_id"]), "k#")
+
+
+@pytest.mark.parametrize("noise", [0.1, 0.0])
+def test_outlier_study_makes_no_row_a_user_and_trial(spark, noise):
+    """Against the rows of users and trials: long tails, many equal values, and bounds that first miss the points."""
+    rng = np.random.default_rng(7)
+    y = np.where(rng.random(900) < 0.4, 0.0, np.exp(rng.normal(3, 2, 900)))
+    users = spark.createDataFrame(pd.DataFrame({"user_id": [f"u{i}" for i in range(900)], "arm": np.arange(900) % 2, "post": y}))
+    plan = effects.outlier_study(users, "arm", "post", "user_id", 5, noise=noise)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    rows = users.select(F.col("user_id").alias("u"), F.col("arm").cast("int").alias("a"), F.col("post").alias("y"))
+    points, sd = [0.01, 0.05, 0.95, 0.99], noise * float(y.std())
+    for spare in (0.001, -0.051):
+        got = simulate.noisy_points(rows, "outlier", 5, {0: sd, 1: sd}, {0: 450, 1: 450}, points, spare)
+        t = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("raw", F.col("y") + sd * simulate.normal(F.lit("outlier"), "trial", "u")).toPandas()
+        assert len(got) == 10
+        for (k, a), own in t.groupby(["trial", "a"]):
+            assert got[k, a] == pytest.approx(np.percentile(own["raw"], [100 * p for p in points]), rel=1e-9, abs=1e-9)
